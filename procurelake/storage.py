@@ -7,6 +7,7 @@ machine) a temporary folder is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -65,3 +66,13 @@ class Scratch:
             _, path = self.paths.pop(id(df), (None, None))
             if path:
                 self._filesystem(path).delete(self._path(path), True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's JVM collects garbage, which a small driver heap may not do for hours; a step
+    that has just written its table calls this so that the files don't lie beside the table until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
