@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procurelake.llm import bpe, decontaminate, simhash
+from procurelake.llm import bpe, decontaminate, htmltext, langid, linededup, secrets, simhash, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents")))
 
@@ -19,16 +27,34 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_text": op6_html_text,
+    "op7_secrets": op7_secrets,
+    "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
 }
