@@ -29,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratches of this process, in order; ``drop_since`` removes those that a finished step made.
+_made: list[Scratch] = []
+
+
+def mark() -> int:
+    """The place in the list of scratches to give to ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(place: int) -> None:
+    """Delete all tables of scratches made after ``mark`` gave ``place``: their step's result has been written."""
+    for scratch in _made[place:]:
+        scratch.drop(*[df for df, _ in scratch.paths.values()])
+    del _made[place:]
+
+
 class Scratch:
     """Named intermediate tables of one operator call, removed when the JVM ends or on ``drop``."""
 
@@ -37,6 +53,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/procurelake/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.written = 0
+        _made.append(self)
         self._filesystem(self.root).deleteOnExit(self._path(self.root))
 
     def _path(self, path: str):
