@@ -199,6 +199,6 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, id_col: str = "do
     return map_batches(rows, run, _schema(rows, ids=T.BinaryType(), decoded=T.BinaryType())).withColumnRenamed("doc_id", id_col)
 
 
-def digests(trip: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of what ``round_trip`` returns."""
-    return trip.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(trip: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of what ``round_trip`` returns, after columns to keep."""
+    return trip.select(id_col, *keep, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

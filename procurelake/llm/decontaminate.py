@@ -22,6 +22,8 @@ WINDOW = 13
 #: Words: runs of ASCII digits, ASCII letters and everything beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: At least a twentieth of the words are hit.
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 #: Rows of a lookup table up to which it is sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -93,6 +95,32 @@ def decontaminate(
     occurrence of a window are hit; a document is contaminated if at least a twentieth of its words are.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows, seqs, items = _hits(docs, tests, id_col, text_col, item_col, item_text_col, width, scratch)
+    holders = _windows_of(seqs, width).join(items.where("item_id is not null"), "seq").select("win", "item_id").distinct()
+    named = rows.where("n_hit > 0").select("doc_id", "fp", F.explode("wins").alias("win")).distinct().join(_sized(scratch.save(holders, "holders")), "win")
+    named = named.groupBy(F.col("doc_id").alias("c_id"), F.col("fp").alias("c_fp")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    out = rows.join(named, rows.doc_id.eqNullSafe(F.col("c_id")) & (rows.fp == F.col("c_fp")), "left")
+    return out.select(
+        F.col("doc_id").alias(id_col),
+        "n_words",
+        "n_hit",
+        F.coalesce(F.size(F.when(F.col("items").isNotNull(), F.col("items"))), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.expr(CONTAMINATED).alias("contaminated"),
+    )
+
+
+def clean(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, unchanged, that aren't contaminated."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows, _, _ = _hits(docs, tests, id_col, text_col, item_col, item_text_col, width, scratch)
+    gone = rows.where(CONTAMINATED).select(F.col("doc_id").alias("__pl_id"), F.col("fp").alias("__pl_fp")).distinct()
+    keyed = docs.withColumn("__pl_own", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    return keyed.join(gone, keyed[id_col].eqNullSafe(F.col("__pl_id")) & (F.col("__pl_own") == F.col("__pl_fp")), "left_anti").select(*docs.columns)
+
+
+def _hits(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored rows (doc_id, fp, n_words, n_hit, wins) of every document, the test sequences and their items."""
     seqs, items = _tests(tests, item_col, item_text_col, scratch)
     vocabulary = _places(seqs).select("term").distinct()
     index = build_index(docs, vocabulary, scratch, id_col, text_col)
@@ -108,19 +136,7 @@ def decontaminate(
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct((a["n"] + F.greatest(s["e"] - F.greatest(s["s"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["e"]).alias("end"))
     hit = F.when(F.size("spans") > 0, F.aggregate("spans", start, step)["n"]).otherwise(0).cast("long")
-    rows = scratch.save(rows.select("doc_id", "fp", "n_words", hit.alias("n_hit"), "wins"), "hits")
-    holders = _windows_of(seqs, width).join(items.where("item_id is not null"), "seq").select("win", "item_id").distinct()
-    named = rows.where("n_hit > 0").select("doc_id", "fp", F.explode("wins").alias("win")).distinct().join(_sized(scratch.save(holders, "holders")), "win")
-    named = named.groupBy(F.col("doc_id").alias("c_id"), F.col("fp").alias("c_fp")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = rows.join(named, rows.doc_id.eqNullSafe(F.col("c_id")) & (rows.fp == F.col("c_fp")), "left")
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        "n_words",
-        "n_hit",
-        F.coalesce(F.size(F.when(F.col("items").isNotNull(), F.col("items"))), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    return scratch.save(rows.select("doc_id", "fp", "n_words", hit.alias("n_hit"), "wins"), "hits"), seqs, items
 
 
 def _windows_of(seqs: DataFrame, width: int) -> DataFrame:

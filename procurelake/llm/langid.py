@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.arrow import blocks, map_batches
+from procurelake.llm.arrow import BATCH_ROWS, blocks, map_batches
 
 BUCKETS_LOG2 = 16
 LENGTHS = (1, 2, 3)
@@ -170,3 +170,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on ``docs`` and predict all of its rows."""
     return predict(docs, train(docs, rows_per_lang, id_col, text_col, lang_col), id_col, text_col)
+
+
+def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language the model tells with at least ``min_score``; ``und`` goes."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = sent.value.predict(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

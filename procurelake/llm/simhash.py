@@ -104,3 +104,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = placed.join(first, "root").select("fp", "component_id", "n_same")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(by_fp, "fp").select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id", "n_same")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_max: int = BUCKET_MAX) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps its first.
+
+    First is the least id, null ids last, then a hash of the text; of rows with equal id and text one stays.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"))
+    keyed = docs.withColumn("__pl_key", key)
+    groups = near_duplicates(keyed.select("__pl_key", text_col), "__pl_key", text_col, bucket_max)
+    first = groups.where(F.col("__pl_key") == F.col("component_id")).groupBy(F.col("__pl_key.id").alias("__pl_id"), F.col("__pl_key.fp").alias("__pl_fp")).agg(F.count("*").alias("__pl_n"))
+    found = keyed.join(first, keyed[id_col].eqNullSafe(F.col("__pl_id")) & (F.col("__pl_key.fp") == F.col("__pl_fp")))
+    once = found.where("__pl_n = 1").select(*docs.columns)
+    # rows that repeat id and text are equal but for other columns
+    again = found.where("__pl_n > 1").dropDuplicates(["__pl_key"]).select(*docs.columns)
+    return once.unionByName(again)
