@@ -1,19 +1,62 @@
-"""The corpus pipeline: documents in, token ids out."""
+"""The corpus pipeline: documents in, token ids out.
+
+Each stage takes all rows that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from procurelake.llm import bpe, decontaminate, langid, linededup, simhash
+from procurelake.storage import Scratch, drop_since, mark
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; texts that are null, without letters or undecided go."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without repeated three-line windows; n_chars follows the text."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each near-duplicate group; of equal rows one."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark texts don't contaminate."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids packed as little-endian 32-bit integers, and digests of ids and decoded text."""
+    trip = bpe.round_trip(docs)
+    return bpe.digests(trip, keep=["ids"])
 
-from procurelake.llm import simhash
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 #: SQL can't express byte-pair encoding; tests/llm compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        place, before = mark(), docs
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        drop_since(place)
+        scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
