@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables, and the SQL that checks them."""
 
-from __future__ import annotations
+from procurelake.queries.core import QUERIES
+from procurelake.queries.oracle import ORACLE_SQL
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
