@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ def mark() -> int:
 def drop_since(place: int) -> None:
     """Delete all tables of scratches made after ``mark`` gave ``place``: their step's result has been written."""
     for scratch in _made[place:]:
-        scratch.drop(*[df for df, _ in scratch.paths.values()])
+        scratch.drop_all()
     del _made[place:]
 
 
@@ -77,6 +78,9 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def drop_all(self) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in frames:
@@ -91,5 +95,7 @@ def release_shuffles(spark: SparkSession) -> None:
     Its cleaner acts when the driver's JVM collects garbage, which a small driver heap may not do for hours; a step
     that has just written its table calls this so that the files don't lie beside the table until then.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what Python's objects held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
