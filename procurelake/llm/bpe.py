@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import struct
 from functools import cache
 
 import numpy as np
@@ -86,7 +86,7 @@ class Pieces(dict):
         self.ids_of = ids_of
 
     def __missing__(self, piece: bytes) -> bytes:
-        packed = np.array(self.ids_of(piece), IDS).tobytes()
+        packed = struct.pack(f"<{len(ids := self.ids_of(piece))}I", *ids)
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -94,31 +94,36 @@ class Pieces(dict):
         return packed
 
 
-def encode_texts(texts: list[str], pieces: Pieces) -> Iterator[bytes]:
-    """Packed ids of each text."""
-    get = pieces.__getitem__
-    for a, b in blocks(texts):
-        some = [t for t in texts[a:b] if t]
-        if some:
-            points = np.frombuffer("".join(some).encode("utf-32-le"), "<u4")
-            lengths = np.array([len(t) for t in some])
-            firsts = np.cumsum(lengths) - lengths
-            starts = boundaries(points, firsts)
-            wide = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-            at = np.zeros(len(points) + 1, np.int64)
-            np.cumsum(wide, out=at[1:])
-            raw = "".join(some).encode()
-            cuts = [*at[starts].tolist(), len(raw)]
-            row_at = np.searchsorted(starts, firsts).tolist() + [len(starts)]
-            del points, wide, at
-        k = 0
-        for t in texts[a:b]:
-            if not t:
-                yield b""
-                continue
-            lo, hi = row_at[k], row_at[k + 1]
-            k += 1
-            yield b"".join(map(get, [raw[x:y] for x, y in zip(cuts[lo:hi], cuts[lo + 1 : hi + 1], strict=True)]))
+def _encode_block(texts: list[str], pieces: Pieces) -> list[bytes]:
+    """Packed ids of texts, none of them empty, that are all ASCII or have their code points worked out together."""
+    whole = "".join(texts)
+    raw = whole.encode()
+    lengths = np.array([len(t) for t in texts])
+    firsts = np.cumsum(lengths) - lengths
+    if len(raw) == len(whole):  # a byte is a code point
+        starts = boundaries(np.frombuffer(raw, np.uint8), firsts)
+        cuts = [*starts.tolist(), len(raw)]
+    else:
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        starts = boundaries(points, firsts)
+        wide = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        at = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(wide, out=at[1:])
+        cuts = [*at[starts].tolist(), len(raw)]
+    get, rows = pieces.__getitem__, [*np.searchsorted(starts, firsts).tolist(), len(starts)]
+    return [b"".join(map(get, [raw[x:y] for x, y in zip(cuts[lo:hi], cuts[lo + 1 : hi + 1])])) for lo, hi in zip(rows, rows[1:])]  # noqa: B905
+
+
+def encode_texts(texts: list[str], pieces: Pieces) -> list[bytes]:
+    """Packed ids of each text; ASCII texts go apart from the others, as their bytes are their code points."""
+    out = [b""] * len(texts)
+    for kind in (True, False):
+        rows = [i for i, t in enumerate(texts) if t and t.isascii() == kind]
+        some = [texts[i] for i in rows]
+        for a, b in blocks(some):
+            for i, packed in zip(rows[a:b], _encode_block(some[a:b], pieces), strict=True):
+                out[i] = packed
+    return out
 
 
 class Vocabulary:
@@ -134,7 +139,7 @@ class Vocabulary:
         self.pieces = Pieces(lambda piece: merge(piece, self.ranks))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return list(encode_texts([t or "" for t in texts], self.pieces))
+        return encode_texts([t or "" for t in texts], self.pieces)
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, IDS).tolist()))

@@ -64,7 +64,7 @@ def _pieces(path: str) -> Pieces:
 
 def encode_packed(texts: list[str | None], path: str) -> list[bytes]:
     """The library's ids of each text, without special tokens, packed."""
-    return list(encode_texts([t or "" for t in texts], _pieces(path)))
+    return encode_texts([t or "" for t in texts], _pieces(path))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -166,6 +166,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, i
     placed = ordered.repartitionByRange(_parts(spark), "start").sortWithinPartitions("start")
     placed.select(F.spark_partition_id().alias("part"), "doc_id", "tie", "copy", "start", "n_tokens", "digests", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(_recipes(spark, path, docs.schema[id_col].dataType)).write.parquet(f"{path}/manifest")
+    scratch.drop_all()
+    del light, ordered, placed
+    release_shuffles(spark)
     return total
 
 
@@ -206,13 +209,15 @@ def read_store(spark: SparkSession, path: str, id_type: T.DataType | None = None
     """
     id_type = id_type or T.LongType()
     recipes, chunks = _recipes(spark, path, id_type), _data(spark, path, "chunk", id_type)
-    own = chunks.select("owner.doc_id", "owner.tie", "owner.at", "payload")
+    # one key column, null ids included, so that gathering and joining share one exchange
+    key = lambda c: F.struct(F.col(f"{c}doc_id").alias("doc_id"), F.col(f"{c}tie").alias("tie")).alias("key")
+    own = chunks.select(key("owner."), "owner.at", "payload")
     places = recipes.where("copy = 1").select("doc_id", "tie", F.posexplode("digests").alias("at", "digest"))
     shared = chunks.where("n_refs > 1").select("digest", "owner", "payload")
-    again = places.join(shared, "digest").where(~F.struct("doc_id", "tie", "at").eqNullSafe(F.col("owner"))).select("doc_id", "tie", "at", "payload")
-    parts = own.unionByName(again).groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"))
-    parts = parts.select(F.col("doc_id").alias("p_id"), F.col("tie").alias("p_tie"), F.col("parts.payload").alias("payloads"))
-    whole = recipes.join(parts, recipes.doc_id.eqNullSafe(F.col("p_id")) & (recipes.tie == F.col("p_tie")), "left").select("doc_id", "start", "n_tokens", "digests", "root", "payloads")
+    again = places.join(shared, "digest").where(~F.struct("doc_id", "tie", "at").eqNullSafe(F.col("owner"))).select(key(""), "at", "payload")
+    parts = own.unionByName(again).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"))
+    parts = parts.select("key", F.col("parts.payload").alias("payloads"))
+    whole = recipes.withColumn("key", key("")).join(parts, "key", "left").select("doc_id", "start", "n_tokens", "digests", "root", "payloads")
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(b: dict[str, list]) -> dict[str, list]:
