@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ GRAPHIC = re.compile(r"<(?:pic:pic|w:drawing|v:shape|w:pict)[\s>/]")
 #: Twentieths of a point in a line, twips in a centimetre; pages are estimated from these when nothing tells them.
 LINE, TWIPS_CM = 240, 567
 DEFAULT_PT, DEFAULT_LINES, CHAR_FACTOR = 14.0, 1.5, 0.92
-PAGE_CM, MARGIN_CM, POINTS_CM = (21.0, 29.7), 2.5, 28.35
+POINTS_CM = 72 / 2.54
 
 
 def _attribute(xml: str | None, tag: str, name: str) -> str | None:
@@ -84,16 +85,27 @@ def _image(name: str, raw: bytes) -> dict:
     return {"name": name, "has_exif": any(mark in raw for mark in (b"Exif\x00", b"http://ns.adobe.com/xap", b"Photoshop 3.0", b"eXIf")), "color_space": space}
 
 
-def _pages(paragraphs: list[dict], margins: dict, width: float, height: float) -> int:
-    """Pages by the density of characters: sizes and line heights are means weighted by length."""
+def _pages(paragraphs: list[dict], margins: dict, width: float | None, height: float | None) -> int | None:
+    """Pages by the density of characters; null without page size or margins.
+
+    Type size, line height and space around paragraphs are means weighted by characters.
+    """
+    if width is None or height is None or None in margins.values():
+        return None
+    across, down = (width - margins["left_cm"] - margins["right_cm"]) * POINTS_CM, (height - margins["top_cm"] - margins["bottom_cm"]) * POINTS_CM
     total = sum(len(p["text"]) for p in paragraphs)
-    if not total:
-        return 1
-    size = sum((p["sizes_pt"][0] if p["sizes_pt"] else DEFAULT_PT) * len(p["text"]) for p in paragraphs) / total
-    line = sum((p["line_spacing_pt"] or (p["line_multiple"] or DEFAULT_LINES) * size) * len(p["text"]) for p in paragraphs) / total
-    across = max(1, int((width - (margins["left_cm"] or MARGIN_CM) - (margins["right_cm"] or MARGIN_CM)) * POINTS_CM / size / CHAR_FACTOR))
-    down = max(1, int((height - (margins["top_cm"] or MARGIN_CM) - (margins["bottom_cm"] or MARGIN_CM)) * POINTS_CM / line))
-    return max(1, -(-sum(-(-len(p["text"]) // across) if p["text"] else 1 for p in paragraphs) // down))
+    if across <= 0 or down <= 0 or not total:
+        return 1 if across > 0 and down > 0 else None
+    size = line = gap = 0.0
+    for p in paragraphs:
+        share = len(p["text"]) / total
+        own = sum(p["sizes_pt"]) / len(p["sizes_pt"]) if p["sizes_pt"] else DEFAULT_PT
+        size += own * share
+        line += (p["line_spacing_pt"] if p["line_spacing_pt"] is not None else own * (p["line_multiple"] or DEFAULT_LINES)) * share
+        gap += ((p["space_before_pt"] or 0) + (p["space_after_pt"] or 0)) * share
+    if size <= 0 or line <= 0:
+        return None
+    return max(1, ceil(total / (max(1, int(across / (size * CHAR_FACTOR))) * max(1, int(down / (line + gap))))))
 
 
 def parse(raw: bytes) -> dict:
@@ -110,7 +122,7 @@ def parse(raw: bytes) -> dict:
     section = (re.findall(r"<w:sectPr.*?</w:sectPr>", body, re.DOTALL) or [""])[-1]
     cm = lambda tag, name: None if (x := _number(_attribute(section, tag, name))) is None else round(x / TWIPS_CM, 2)
     margins = {f"{s}_cm": cm("w:pgMar", f"w:{s}") for s in ("top", "bottom", "left", "right")}
-    width, height = cm("w:pgSz", "w:w") or PAGE_CM[0], cm("w:pgSz", "w:h") or PAGE_CM[1]
+    width, height = cm("w:pgSz", "w:w"), cm("w:pgSz", "w:h")
     filled = [n for n, xml in edges.items() if "".join(TEXT.findall(xml)).strip() or GRAPHIC.search(xml) or "<w:fldSimple" in xml or "<w:instrText" in xml]
     told = _number(inner(app, "Pages"))
     heads, feet = sum("header" in n for n in filled), sum("footer" in n for n in filled)
@@ -128,7 +140,7 @@ def parse(raw: bytes) -> dict:
         "doc": {
             "margins_cm": margins, "page_width_cm": width, "page_height_cm": height, "header_count": heads, "footer_count": feet, "headers_footers": heads + feet,
             "watermark": sum(len(GRAPHIC.findall(xml)) for xml in edges.values()),
-            "page_count": int(told) if told else _pages(paragraphs, margins, width, height), "page_count_source": "app_props" if told else "estimate", "page_count_estimated": not told,
+            "page_count": int(told) if told else _pages(paragraphs, margins, width, height), "page_count_source": "app_props" if told else "estimated", "page_count_estimated": not told,
         },
     }
 
