@@ -30,11 +30,18 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     letters = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[^\p{L}\p{N}_]", "")
     rows = docs.select(id_col, letters.alias("t"))
-    pairs = F.when(F.length("t") >= 2, F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # signs beside the signs after them: linear in the text, as substring() by place would not be
+    signs = F.split("t", "")
+    pairs = F.when(F.length("t") >= 2, F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), lambda x, y: F.concat(x, y))).otherwise(F.array().cast("array<string>"))
     counted = rows.select(id_col, F.explode(pairs).alias("pair")).groupBy(id_col, "pair").agg(F.count("*").alias("n"))
     hashed = counted.withColumn("h", F.conv(F.substring(F.md5("pair"), 1, 16), 16, -10).cast("bigint"))
-    sums = hashed.groupBy(id_col).agg(*[F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)])
-    fp = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"b{i}") > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)) for i in range(64)])
+    # two counts in one 64-bit sum, of bit i and bit i + 32: a text has less than 2**31 pairs
+    bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))
+    lanes = [F.sum((bit(i) + F.shiftleft(bit(i + 32), 32)) * F.col("n")).alias(f"b{i}") for i in range(32)]
+    sums = hashed.groupBy(id_col).agg(F.sum("n").alias("total"), *lanes)
+    count = lambda i: F.col(f"b{i}").bitwiseAND(F.lit(0xFFFFFFFF)) if i < 32 else F.shiftrightunsigned(f"b{i - 32}", 32)
+    bits = [F.when(2 * count(i) > F.col("total"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)) for i in range(64)]
+    fp = reduce(lambda x, y: x.bitwiseOR(y), bits)
     return rows.select(id_col).join(sums.select(F.col(id_col).alias("__id"), fp.alias("fp")), F.col(id_col) == F.col("__id"), "left").select(id_col, F.coalesce("fp", F.lit(0)).cast("bigint").alias("fp"))
 
 
