@@ -115,8 +115,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn("__pl_key", key)
     groups = near_duplicates(keyed.select("__pl_key", text_col), "__pl_key", text_col, bucket_max)
     first = groups.where(F.col("__pl_key") == F.col("component_id")).groupBy(F.col("__pl_key.id").alias("__pl_id"), F.col("__pl_key.fp").alias("__pl_fp")).agg(F.count("*").alias("__pl_n"))
+    first = Scratch(docs.sparkSession, "one-of-each").save(first, "first")
     found = keyed.join(first, keyed[id_col].eqNullSafe(F.col("__pl_id")) & (F.col("__pl_key.fp") == F.col("__pl_fp")))
     once = found.where("__pl_n = 1").select(*docs.columns)
+    if first.where("__pl_n > 1").isEmpty():
+        return once
     # rows that repeat id and text are equal but for other columns
     again = found.where("__pl_n > 1").dropDuplicates(["__pl_key"]).select(*docs.columns)
     return once.unionByName(again)
