@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from procurelake.llm.arrow import blocks, map_batches
 from procurelake.llm.pretokenize import boundaries
 
-#: Pieces kept before the cache starts anew, and the longest that is kept.
-CACHE_PIECES, CACHE_LENGTH = 250_000, 64
+#: Pieces in each half of the cache (about 70 MB), and the longest that is kept.
+CACHE_PIECES, CACHE_LENGTH = 350_000, 64
 IDS = np.dtype("<u4")
 
 
@@ -79,16 +79,23 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Packed ids by pre-token; a missing one is worked out, and kept if short."""
+    """Packed ids by pre-token; a missing one is looked up among the older ones or worked out, and kept if short.
+
+    When the newer half is full it becomes the older one, so what recurs stays and memory is bounded by two halves.
+    """
 
     def __init__(self, ids_of):
         super().__init__()
         self.ids_of = ids_of
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        packed = struct.pack(f"<{len(ids := self.ids_of(piece))}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = struct.pack(f"<{len(ids := self.ids_of(piece))}I", *ids)
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
