@@ -87,16 +87,22 @@ def check_compliance(requirements: DataFrame, drafts: DataFrame, project_col: st
 
     完全响应 if at least half of the key words, rounded down but one at least, occur in the project's draft (project,
     draft), in any case; a requirement without key words or with too few hits is pending: 缺失 unless a model judges it.
+    With ``most_pending`` the column to_judge marks the first so many pending ones of a project, by req_id.
     """
     joined = requirements.join(drafts.select(F.col(project_col).alias("__p"), "draft"), F.col(project_col) == F.col("__p"), "left")
     words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull())
     draft = F.coalesce("draft", F.lit(""))
     hits = F.size(F.filter(words, lambda k: F.contains(F.lower(draft), F.lower(k))))
     met = (F.size(words) > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size(words) / 2)))
-    return joined.select(
+    out = joined.select(
         project_col, "req_id", F.when(met, "完全响应").otherwise("缺失").alias("status"), F.when(met, find_evidence(words, draft)).otherwise("").alias("evidence"),
         F.when(met, F.lit("")).otherwise(F.lit(pending_comment)).alias("comment"), hits.alias("n_hit"), F.size(words).alias("n_keywords"),
     )
+    if most_pending is None:
+        return out
+    pending = F.col("status") == "缺失"
+    turn = F.row_number().over(Window.partitionBy(project_col, pending).orderBy("req_id"))
+    return out.withColumn("to_judge", pending & (turn <= most_pending))
 
 
 def compliance_summary(checked: DataFrame, project_col: str = "project_id") -> DataFrame:

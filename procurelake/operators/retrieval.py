@@ -24,7 +24,7 @@ def cut(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str
         end = min(at + size, len(text))
         if end < len(text):
             line = text.rfind("\n\n", 0, end + 2)
-            if line > at + size - LOOKBACK:
+            if line > max(at, at + size - LOOKBACK):
                 end = line
         pieces.append(text[at:end])
         if end >= len(text):

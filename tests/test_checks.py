@@ -228,3 +228,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for f in (pii.mask_pii, pii.scan_disclosure, clauses.clause_match, clauses.constraint_params, clauses.fairness_hits, clauses.detect_industry, collusion.simhash):
         assert f(none).count() == 0
+
+
+def test_pending_cap(spark):
+    reqs = spark.createDataFrame([(1, f"R{i}", ["没有"]) for i in range(5)] + [(1, "R9", ["工期"])], "project_id long, req_id string, keywords array<string>")
+    drafts = spark.createDataFrame([(1, "工期")], "project_id long, draft string")
+    got = {r.req_id: r.to_judge for r in evidence.check_compliance(reqs, drafts, most_pending=2).collect()}
+    assert got == {"R0": True, "R1": True, "R2": False, "R3": False, "R4": False, "R9": False}
+
+
+def test_extract_requirements(spark):
+    from procurelake.plans.requirements import extract_requirements
+
+    def extractor(text):
+        return '[{"category":"资质门槛","content":"须 具备施工总承包资质"},{"content":"同一条要求 %s"}]' % text[:1]
+
+    got = extract_requirements(spark.createDataFrame([(1, "a" * 90 + "b" * 90), (2, " "), (3, None)], "tender_id long, text string"), extractor, size=100, overlap=10).orderBy("id").collect()
+    assert [(r.id, r.source_chunk, r.mandatory) for r in got] == [("R001", 0, True), ("R002", 0, False), ("R003", 1, False)]
