@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.arrow import map_batches
+from procurelake.llm.arrow import BATCH_ROWS, map_batches
 from procurelake.operators.ordering import running_total
 from procurelake.storage import Scratch
 
@@ -44,15 +44,15 @@ def buckets(text: str | None) -> np.ndarray:
 
 def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts over all rows and over those marked ``target``; the sums that meet on the driver are two per bucket."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BUCKETS_LOG2), np.int64)
         for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                got = np.bincount(buckets(text), minlength=sums.shape[1])
-                sums[0] += got
-                if target:
-                    sums[1] += got
+            found = [buckets(t) for t in batch.column("text").to_pylist()]
+            for row, chosen in enumerate((found, [f for f, t in zip(found, batch.column("target").to_pylist(), strict=True) if t])):
+                if chosen:
+                    sums[row] += np.bincount(np.concatenate(chosen), minlength=sums.shape[1])
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "n", "t"])
 
