@@ -97,6 +97,7 @@ def resample(
     scored = map_batches(keyed.select("doc_id", "fp", "text"), score, schema)
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "fp"), F.lit(1 << 50)) + 0.5) / float(1 << 50)
     scored = scored.withColumn("sample_key", F.col("log_weight") * sharpness - F.log(-F.log(uniform))).withColumn("one", F.lit(1).cast("long"))
+    scored = scratch.save(scored, "scored")  # dealing by range reads its input twice
     ranked, total = running_total(scored, [F.col("sample_key").desc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("fp")], "one", "rank", scratch)
     k = int(total * (keep_share if keep_share is not None else good / max(n, 1)))
     return ranked.select(F.col("doc_id").alias(id_col), "log_weight", "sample_key", (F.col("sample_key").isNotNull() & (F.col("rank") < k)).alias("kept"))
