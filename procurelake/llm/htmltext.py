@@ -53,29 +53,38 @@ SPACE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _away(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether a part is dropped; ``inside`` an article its header stays for the headings."""
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not inside:
-        return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-            if name in ("class", "id", "role") and any(w.lower() in AWAY for w in WORDS.findall(value)):
-                return True
-    elif attributes and tag == "article":
-        return any("comment" in (m[2] or "").lower() for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
-    return False
+#: Those of them that also describe the frame around an article ("has-sidebar").
+FRAME = frozenset("ad ads banner sidebar sidebars side menu menus nav navbar header topbar toolbar footer modal overlay search share tags".split())
+
+
+def _away(tag: str, attributes: str, inside: bool) -> str:
+    """Why a part is dropped: ``part``, or ``frame`` if words alone say so that a frame may have; '' if it stays.
+
+    ``inside`` an article its header stays for the headings.
+    """
+    if tag in DROPPED or tag == "header" and not inside:
+        return "part"
+    if not attributes or tag in ("html", "body", "main"):
+        return ""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if tag == "article":
+            if name in ("class", "id") and "comment" in value.lower():
+                return "part"
+            continue
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            return "part"
+        words = {w.lower() for w in WORDS.findall(value)} & AWAY if name in ("class", "id", "role") else set()
+        if words:
+            return "frame" if words <= FRAME else "part"
+    return ""
 
 
 class Page:
     """Nodes by number, parents before children: tag, parent, whether dropped; and the text pieces by node."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.dropped, self.inside = ["body"], [-1], [False], [False]
+        self.tags, self.parents, self.dropped, self.inside, self.why = ["body"], [-1], [False], [False], [""]
         self.pieces: list[tuple[int, str]] = []
         self.stack = [0]
         at, n = 0, len(html)
@@ -132,7 +141,12 @@ class Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
-        self.dropped.append(self.dropped[parent] or _away(tag, attributes, self.inside[parent]))
+        why = _away(tag, attributes, self.inside[parent])
+        if tag in ("article", "main") and not why and self.dropped[parent] and all(self.why[i] in ("", "frame") for i in self.stack):
+            for i in self.stack:  # what seemed to be a sidebar holds the article
+                self.dropped[i] = False
+        self.why.append(why)
+        self.dropped.append(self.dropped[parent] or bool(why))
         if tag not in VOID and not attributes.endswith("/") or tag in BLOCKS and tag not in VOID:
             self.stack.append(len(self.tags) - 1)
 

@@ -179,6 +179,10 @@ def test_html_cases():
     assert htmltext.extract_text("plain text") == "plain text" and htmltext.extract_text(None) == htmltext.extract_text("") == htmltext.extract_text("<p></p>") == ""
     assert htmltext.extract_text("<p>a<div>b</div>c<hr>d<!-- x > y -->e") == "a\nb\nc\nde"
     assert htmltext.extract_text("<article><p>1 < 2 <b>x</b></article><script>never closed <p>no") == "1 < 2 x"
+    framed = '<div class="wrapper has-sidebar"><article><h1>T</h1><p>Body.</p></article><div class="sidebar">links</div></div>'
+    assert htmltext.extract_text(framed) == "T\nBody."
+    replies = '<main><p>Body.</p></main><div class="comments"><article><p>reply</p></article></div>'
+    assert htmltext.extract_text(replies) == "Body."
     assert htmltext.extract_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
