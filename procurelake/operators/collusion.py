@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +61,26 @@ def all_pairs(fps: DataFrame, project_col: str, id_col: str = "doc_id") -> DataF
     return a.join(b, "project").where("doc_a < doc_b").select(F.col("project").alias(project_col), "doc_a", "doc_b", distance.alias("distance"), verdict(distance).alias("verdict"))
 
 
+def block_masks() -> list[int]:
+    """The bits of each three of six blocks, as signed 64-bit integers."""
+    ends = [0, 11, 22, 33, 44, 54, 64]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+    masks = [x | y | z for x, y, z in combinations(blocks, 3)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def close_pairs(fps: DataFrame, id_col: str = "doc_id", within: list[str] | None = None) -> DataFrame:
-    """(within..., doc_a, doc_b, distance): pairs of documents at distance 3 or less, found by bands.
+    """(within..., doc_a, doc_b, distance): pairs of documents at distance 3 or less.
 
-    Two fingerprints that differ in at most three bits agree in one of four 16-bit bands (Manku et al., WWW 2007).
+    Of six blocks of bits three stay the same when three bits differ at most (Manku et al., WWW 2007), so a pair agrees in
+    one of twenty tables whose keys are three blocks, some 32 bits: chance meetings stay rare for billions of documents.
     Equal fingerprints are one class, and a class's members pair with its least member only: the groups stay the
     same while copies don't multiply.
     """
     keys = within or []
     classes = fps.groupBy(*keys, "fp").agg(F.min(id_col).alias("least"))
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)])
-    banded = classes.select(*keys, "fp", "least", F.explode(bands).alias("band")).select(*keys, "fp", "least", "band.k", "band.v")
+    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(block_masks())])
+    banded = classes.select(*keys, "fp", "least", F.explode(tables).alias("t")).select(*keys, "fp", "least", "t.k", "t.v")
     other = banded.select(*keys, "k", "v", F.col("fp").alias("fp2"), F.col("least").alias("least2"))
     met = banded.join(other, [*keys, "k", "v"]).where("fp < fp2").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= HIGH)
     between = met.select(*keys, F.least("least", "least2").alias("doc_a"), F.greatest("least", "least2").alias("doc_b"), F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))).alias("distance")).distinct()
