@@ -111,6 +111,14 @@ def test_bpe_long_pieces(tiktoken_encoding):
         assert np.frombuffer(v.encode([text])[0], bpe.IDS).tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
+def test_bpe_small_cache(tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    v = bpe.Vocabulary(bpe.default_ranks())
+    texts = [f"word{i % 13} and number {i * i} again, élan {i}" for i in range(60)]
+    assert [np.frombuffer(p, bpe.IDS).tolist() for p in v.encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    assert len(v.pieces) <= 5 and len(v.pieces.older) <= 5
+
+
 def test_bpe_query_and_edges(spark, edges, none, tiktoken_encoding):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
     for r in QUERIES["op3_bpe"](spark, SMALL).collect():
