@@ -8,7 +8,8 @@ Dong, Moses and Li, "Efficient k-nearest neighbor graph construction for generic
 3. Rounds of neighbours-of-neighbours joins: the neighbours of a pivot, forward and reverse, are compared with each
    other, and each keeps its best.  A pivot's reverse neighbours are dealt into groups of bounded size.  Pivots whose
    lists didn't change sit out.  Edges under ``FLOOR`` are not kept: they say nothing about who is within the threshold.
-4. A list that is full of links is enlarged, twofold each round.
+4. A list that is full of links is enlarged, twofold each round.  Past ``K_MAX`` it may lose links, so components with
+   full lists are compared exactly with each other, by cells and their reach, and merged where a link is found.
 5. An audit compares a bounded sample of nodes with all nodes of their labels; if it finds less than ``RECALL`` of
    their links inside the found components, further trees are added and the rounds go on.
 6. Links are then counted exactly inside each connected component, a chunk of rows against a chunk of rows at a time,
@@ -220,6 +221,70 @@ def _components(graph: DataFrame, threshold: float) -> DataFrame:
     return connected_components(edges)
 
 
+def _bridged(vecs: DataFrame, graph: DataFrame, placed: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """``placed`` with those components merged between which full lists may have pushed all links out.
+
+    A link is in neither list of its ends only if both are full of links.  So the components that have such nodes are
+    cut into cells around members, and all of a label are compared: by the angles of centres and the reach of cells,
+    and where these leave it open, member by member.
+    """
+    full = graph.where((F.size("list") >= F.col("cap")) & (-F.col("list")[F.col("cap") - 1]["far"] >= threshold)).select("node")
+    crowded = placed.join(full, "node", "left_semi").select("component").distinct()
+    inside = scratch.save(placed.join(crowded, "component").join(vecs, "node").select("component", "node", "label", "dim", "vec"), "crowded")
+    rivals = inside.where("node = component").groupBy("label", "dim").count().where("count > 1").select("label", "dim")
+    inside = inside.join(rivals, ["label", "dim"])
+    if inside.isEmpty():
+        return placed
+    sizes = inside.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = inside.join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+    def cut(group: pa.Table) -> pa.Table:
+        ids, x = np.asarray(group["node"]), _unit(group["vec"].to_pylist())
+        cell, reach, left = np.zeros_like(ids), np.zeros(len(ids)), np.arange(len(ids))
+        while len(left):
+            cos = x[left] @ x[left[0]]
+            near = cos >= threshold
+            near[0] = True
+            cell[left[near]], reach[left[near]] = ids[left[0]], np.arccos(np.clip(cos[near].min(), -1, 1))
+            left = left[~near]
+        return pa.table({"node": ids, "cell": cell, "reach": reach})
+
+    cells = scratch.save(_map_groups(dealt.select("component", "c", "node", "vec"), ["component", "c"], cut, "node bigint, cell bigint, reach double"), "cells")
+    centres = cells.where("node = cell").join(inside, "node").select("cell", "reach", "component", "label", "dim", "vec")
+    shares = centres.groupBy("label", "dim").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    spread = centres.join(shares, ["label", "dim"]).withColumn("c", F.pmod(F.xxhash64("cell"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
+    side = lambda x, y, n: spread.where(F.col(x) <= F.col(y)).select("label", "dim", F.col(x).alias("x"), F.col(y).alias("y"), F.lit(n).alias("side"), "cell", "reach", "component", "vec")
+    widest = float(np.arccos(threshold)) + 1e-6
+
+    def near(group: pa.Table) -> pa.Table | None:
+        sides, ids, comps, reach, x = np.asarray(group["side"]), np.asarray(group["cell"]), np.asarray(group["component"]), np.asarray(group["reach"]), _unit(group["vec"].to_pylist())
+        a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        if not len(a) or not len(b):
+            return None
+        cos = x[a] @ x[b].T
+        r, c = np.nonzero((np.arccos(np.clip(cos, -1, 1)) <= widest + reach[a][:, None] + reach[b][None, :]) & (comps[a][:, None] != comps[b][None, :]))
+        i, j, linked = a[r], b[c], cos[r, c] >= threshold
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        return pa.table({"a_cell": ids[i], "b_cell": ids[j], "a": comps[i], "b": comps[j], "linked": linked})
+
+    blocks = side("c", "o", 0).unionByName(side("o", "c", 1))
+    pairs = scratch.save(_map_groups(blocks, ["label", "dim", "x", "y"], near, "a_cell bigint, b_cell bigint, a bigint, b bigint, linked boolean").distinct(), "pairs")
+    ends = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sure = ends(pairs.where("linked"))
+    open_ = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(sure.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"], "left_anti")
+    members = cells.select("node", "cell").join(vecs.select("node", "vec"), "node")
+    of = lambda name, n: open_.join(members, F.col(name) == F.col("cell")).select("a_cell", "b_cell", "a", "b", F.lit(n).alias("side"), "vec")
+
+    def meet(group: pa.Table) -> pa.Table | None:
+        sides, packed = np.asarray(group["side"]), group["vec"].to_pylist()
+        a, b = (_unit([packed[i] for i in np.flatnonzero(sides == n)]) for n in (0, 1))
+        return group.select(["a", "b"]).slice(0, 1) if (a @ b.T >= threshold).any() else None
+
+    met = ends(_map_groups(of("a_cell", 0).unionByName(of("b_cell", 1)), ["a_cell", "b_cell"], meet, "a bigint, b bigint"))
+    roots = connected_components(scratch.save(sure.unionByName(met), "bridges")).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return placed.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
 def _audit(vecs: DataFrame, placed: DataFrame, threshold: float) -> tuple[int, int]:
     """Links of a bounded sample of nodes against all nodes of their labels: all, and those inside a component."""
     sample = vecs.orderBy(F.xxhash64(F.lit(SEED), "node")).limit(AUDIT_ROWS).join(placed, "node", "left").toArrow()
@@ -301,6 +366,7 @@ def near_duplicates(
             if not moved:
                 break
         placed = scratch.save(_components(graph, threshold), "placed")
+        placed = scratch.save(_bridged(vecs, graph, placed, threshold, scratch), "placed")
         every, inside = _audit(vecs, placed, threshold)
         if inside >= RECALL * every:
             break

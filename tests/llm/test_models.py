@@ -82,6 +82,23 @@ def test_vectors_against_brute_force(spark):
     assert {i: got[i] for i in range(2000, 2008)} == {i: want[i] for i in range(2000, 2008)}
 
 
+def test_vectors_of_dense_groups_that_link_across(spark):
+    """Every list fills up inside its own group, so no list holds a link to the other one."""
+    rng = np.random.default_rng(3)
+    noise = rng.standard_normal((400, 64))
+    noise[:, :5] = 0
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = []
+    for i in range(400):
+        v = noise[i] * 0.015**0.5
+        v[0], v[1 + i // 200] = 0.945**0.5, 0.04**0.5
+        rows.append((i, v.tolist(), 7))
+    rows += [(1000 + i, np.roll(r[1], 9).tolist(), 7) for i, r in enumerate(rows[:100])]  # a group out of reach
+    schema = "vec_id long, embedding array<double>, label int"
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardupvec.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    assert got == brute(rows) and got[399][:2] == (399, 0)
+
+
 def test_vectors_empty(spark):
     assert neardupvec.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
     alone = neardupvec.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, [1.0, 0.0], 1)], VEC)).collect()
