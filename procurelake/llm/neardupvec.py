@@ -10,8 +10,9 @@ Dong, Moses and Li, "Efficient k-nearest neighbor graph construction for generic
    lists didn't change sit out.  Edges under ``FLOOR`` are not kept: they say nothing about who is within the threshold.
 4. A list that is full of links is enlarged, twofold each round.  Past ``K_MAX`` it may lose links, so components with
    full lists are compared exactly with each other, by cells and their reach, and merged where a link is found.
-5. An audit compares a bounded sample of nodes with all nodes of their labels; if it finds less than ``RECALL`` of
-   their links inside the found components, further trees are added and the rounds go on.
+5. An audit compares bounded samples of nodes with all nodes of their labels; if a node, on average, has less than
+   ``RECALL`` of its links inside its component, in large components or elsewhere, further trees are added and the
+   rounds go on, until the audit passes or ``ATTEMPTS`` are used up, which is an error.
 6. Links are then counted exactly inside each connected component, a chunk of rows against a chunk of rows at a time,
    so neither the count nor the component of a large group of near copies depends on list lengths.
 """
@@ -38,7 +39,10 @@ K = 16
 K_MAX = 64
 ROUNDS = 4
 RECALL = 0.97
+#: Sampled nodes of large components, and of others.
 AUDIT_ROWS = 512
+#: Sets of trees until an audit that doesn't pass is an error.
+ATTEMPTS = 10
 #: Vectors of one side of a block of exact counting.
 CHUNK = 1024
 SEED = 5
@@ -285,11 +289,20 @@ def _bridged(vecs: DataFrame, graph: DataFrame, placed: DataFrame, threshold: fl
     return placed.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
-def _audit(vecs: DataFrame, placed: DataFrame, threshold: float) -> tuple[int, int]:
-    """Links of a bounded sample of nodes against all nodes of their labels: all, and those inside a component."""
-    sample = vecs.orderBy(F.xxhash64(F.lit(SEED), "node")).limit(AUDIT_ROWS).join(placed, "node", "left").toArrow()
+def _audit(vecs: DataFrame, placed: DataFrame, threshold: float) -> float:
+    """Recall by bounded samples of nodes against all nodes of their labels.
+
+    A node's recall is the share of its links that lie inside its component.  Members of components of over K_MAX nodes
+    and all others are sampled apart, so that a hot group doesn't hide what small groups lost; of both means of the
+    nodes that have links the lesser counts.
+    """
+    sizes = placed.groupBy("component").agg(F.count("*").alias("members"))
+    placed = placed.join(sizes, "component").select("node", "component", (F.col("members") > K_MAX).alias("crowd"))
+    every = vecs.join(placed, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    pick = lambda crowd: every.where(F.col("crowd") == crowd).orderBy(F.xxhash64(F.lit(SEED), "node")).limit(AUDIT_ROWS)
+    sample = pick(False).unionByName(pick(True)).toArrow()
     if not sample.num_rows:
-        return 0, 0
+        return 1.0
     ids, names, comps = np.asarray(sample["node"]), np.array(sample["label"].to_pylist(), object), np.array([-1 if c is None else c for c in sample["component"].to_pylist()])
     dims, packed = np.asarray(sample["dim"]), sample["vec"].to_pylist()
     groups = {}
@@ -298,7 +311,7 @@ def _audit(vecs: DataFrame, placed: DataFrame, threshold: float) -> tuple[int, i
     units = {k: (np.array(v), _unit([packed[i] for i in v])) for k, v in groups.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = inside = 0
+        links, inside = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for b in batches:
             label, dim, vec = b.column("label").to_pylist(), b.column("dim").to_pylist(), b.column("vec").to_pylist()
             node, comp = np.asarray(b.column("node")), np.array([-2 if c is None else c for c in b.column("component").to_pylist()])
@@ -309,12 +322,13 @@ def _audit(vecs: DataFrame, placed: DataFrame, threshold: float) -> tuple[int, i
                 if k in units:
                     at, x = units[k]
                     hit = (x @ _unit([vec[i] for i in rows]).T >= threshold) & (ids[at][:, None] != node[rows][None, :])
-                    every += int(hit.sum())
-                    inside += int((hit & (comps[at][:, None] == comp[rows][None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([every]), pa.array([inside])], ["n", "i"])
+                    links[at] += hit.sum(axis=1)
+                    inside[at] += (hit & (comps[at][:, None] == comp[rows][None, :])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(inside)], ["node", "n", "i"])
 
-    r = vecs.join(placed, "node", "left").mapInArrow(run, "n bigint, i bigint").agg(F.sum("n"), F.sum("i")).first()
-    return int(r[0] or 0), int(r[1] or 0)
+    got = {r[0]: r[1] / r[2] for r in every.drop("crowd").mapInArrow(run, "node bigint, n bigint, i bigint").groupBy("node").agg(F.sum("i"), F.sum("n").alias("n")).where("n > 0").collect()}
+    crowd = dict(zip(ids.tolist(), sample["crowd"].to_pylist(), strict=True))
+    return min((float(np.mean(x)) for c in (False, True) if (x := [r for i, r in got.items() if crowd[i] == c])), default=1.0)
 
 
 def _counted(vecs: DataFrame, nodes: DataFrame, placed: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -359,7 +373,7 @@ def near_duplicates(
     graph = scratch.save(_merge(found, None).withColumn("fresh", F.lit(True)), "graph")
     scratch.drop(found)
     grown, placed = trees, None
-    for attempt in range(3):
+    for attempt in range(ATTEMPTS):
         for _ in range(rounds):
             graph, moved = _descend(vecs, graph, scratch, threshold)
             release_shuffles(spark)
@@ -367,9 +381,11 @@ def near_duplicates(
                 break
         placed = scratch.save(_components(graph, threshold), "placed")
         placed = scratch.save(_bridged(vecs, graph, placed, threshold, scratch), "placed")
-        every, inside = _audit(vecs, placed, threshold)
-        if inside >= RECALL * every:
+        recall = _audit(vecs, placed, threshold)
+        if recall >= RECALL:
             break
+        if attempt == ATTEMPTS - 1:
+            raise RuntimeError(f"recall is {recall:.3f} after {grown} trees, under {RECALL}")
         more = _map_groups(_trees(vecs, grown, trees, scratch), ["block"], _local(True, K), NEAR)
         grown += trees
         kept = graph.select("node", F.explode("list").alias("n")).select("node", F.col("n.other").alias("other"), (-F.col("n.far")).alias("sim"))

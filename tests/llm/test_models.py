@@ -99,6 +99,23 @@ def test_vectors_of_dense_groups_that_link_across(spark):
     assert got == brute(rows) and got[399][:2] == (399, 0)
 
 
+def test_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    """A hot group that is found whole doesn't hide that every pair elsewhere is lost."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones((300, 16)) + rng.standard_normal((300, 16)) * 0.01, np.repeat(rng.standard_normal((150, 16)), 2, axis=0) + rng.standard_normal((300, 16)) * 0.01])
+    vecs = spark.createDataFrame([(i, 1, 16, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, label int, dim int, vec binary")
+    hot = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
+    pairs = spark.createDataFrame([(i, i // 2 * 2) for i in range(300, 600)], "node long, component long")
+    assert neardupvec._audit(vecs, hot, 0.93) < neardupvec.RECALL <= neardupvec._audit(vecs, hot.unionByName(pairs), 0.93)
+
+
+def test_failed_audit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neardupvec, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(neardupvec, "_audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        neardupvec.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)], VEC), rounds=1)
+
+
 def test_vectors_empty(spark):
     assert neardupvec.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
     alone = neardupvec.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, [1.0, 0.0], 1)], VEC)).collect()
