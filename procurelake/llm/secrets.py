@@ -2,13 +2,16 @@
 
 Beside ``assign``, ``access`` and ``hex``, a run of key-like signs after a sensitive word is a candidate.  Its novelty is
 what it adds, in bytes, to a zstandard frame primed with a dictionary of common identifiers and the text around it,
-divided by its length: prose, identifiers and repeated strings cost little, random keys about their own length.
+divided by what a random string of its alphabet holds: prose, identifiers and repeated strings cost little, random
+keys about as much as they hold, whatever their alphabet and length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from math import log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +25,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 #: A run of 24 is a run of one or more that is long enough.
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN = 6
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE_MIN = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Alphabets of keys, the least first, with the bits of one sign.
+ALPHABETS = [
+    (re.compile(signs), log2(n))
+    for signs, n in [("[0-9a-f=-]+", 16), ("[0-9A-F=-]+", 16), ("[A-Z2-7=-]+", 32), ("[a-z2-7=-]+", 32), ("[0-9a-z=-]+", 36), ("[0-9A-Z=-]+", 36), ("[0-9A-Za-z=-]+", 62), (".+", 64)]
+]
 SENSITIVE = re.compile(r"password|passwd|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature|client.?id|session.?id", re.ASCII | re.IGNORECASE)
 #: Parts of the sensitive words, one of which a text must hold before the pattern is tried.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client", "session")
+#: The longest candidate whose measure is kept.
+CACHE_LENGTH = 1000
 #: Characters before a candidate that can hold the sensitive word, and around it that prime the compressor.
 REACH, AROUND = 48, 400
 NOVELTY = 0.8
@@ -60,20 +71,27 @@ def _added(before: bytes, candidate: bytes) -> int:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal bytes of text[start:end] against the identifiers and the text around it, by its length."""
+    """Marginal bytes of text[start:end] against the identifiers and the text around it, by what its alphabet holds."""
     around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-    return _added((IDENTIFIERS + around).encode(), text[start:end].encode()) / (end - start)
+    string = text[start:end]
+    bits = next(n for signs, n in ALPHABETS if signs.fullmatch(string))
+    added = _added if len(string) <= CACHE_LENGTH else _added.__wrapped__
+    return added((IDENTIFIERS + around).encode(), string.encode()) * 8 / (bits * len(string))
 
 
 def _novel(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates near a sensitive word that overlap no base span and don't compress."""
+    """Candidates near a sensitive word, whole runs from there, that overlap no base span and don't compress."""
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [e for _, e in runs]
     out, taken = [], sorted((a, e) for a, _, e in base)
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 200)):
-            a, e = m.span()
+    for word in SENSITIVE.finditer(text) if runs else ():
+        for k in range(bisect_right(ends, word.end()), len(runs)):
+            a, e = max(runs[k][0], word.end()), runs[k][1]
             if a - word.end() > REACH:
                 break
-            string = m[0]
+            if e - a < CANDIDATE_MIN:
+                continue
+            string = text[a:e]
             mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
             if mixed and not any(x < e and a < y for x, y in taken) and novelty(text, a, e) >= NOVELTY:
                 out.append((a, 3, e))

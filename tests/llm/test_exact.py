@@ -242,6 +242,13 @@ def test_secrets_novel(spark, edges, none):
     assert secrets.digests(secrets.scan(edges)).count() == len(EDGES) and secrets.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("signs", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+@pytest.mark.parametrize("length", [64, 128, 190, 230, 300, 1500])
+def test_secrets_of_any_alphabet_and_length(signs, length):
+    key = "".join(random.Random(length).choices(signs, k=length))
+    assert ("novel", 7, 7 + length) in secrets.scan_text(f"bearer {key} end")
+
+
 # ---- token store
 
 
