@@ -22,11 +22,15 @@ from procurelake.llm.arrow import map_batches
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title noembed noframes xmp svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript iframe textarea title noembed noframes xmp".split())
+#: Elements whose content isn't shown as text; without an end tag they hold nothing.
+FALLBACK = frozenset("template svg object canvas audio video select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = RAW | frozenset("head nav footer aside form button menu dialog fieldset label input".split())
+DROPPED = RAW | FALLBACK | frozenset("head nav footer aside form button menu dialog fieldset label input".split())
+#: Elements that frame other parts; class and id of headings, paragraphs and inline text say nothing.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td header center figure details".split())
 #: What a start tag ends: itself or its kin, up to the element that holds them.
 ENDS = {
     "li": ("li", ("ul", "ol", "menu")),
@@ -74,7 +78,13 @@ def _away(tag: str, attributes: str, inside: bool) -> str:
             continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return "part"
-        words = {w.lower() for w in WORDS.findall(value)} & AWAY if name in ("class", "id", "role") else set()
+        words: set[str] = set()
+        if tag in CONTAINERS:
+            for token in value.split() if name in ("class", "role") else [value] if name == "id" else []:
+                own = {w.lower() for w in WORDS.findall(token)}
+                # a token counts if it has no other word, an id only if it is one word: slugs tell of the text's subject
+                if own and own <= AWAY and (name != "id" or value.isalpha() and len(own) == 1):
+                    words |= own
         if words:
             return "frame" if words <= FRAME else "part"
     return ""
@@ -87,6 +97,7 @@ class Page:
         self.tags, self.parents, self.dropped, self.inside, self.why = ["body"], [-1], [False], [False], [""]
         self.pieces: list[tuple[int, str]] = []
         self.stack = [0]
+        last: dict[str, int] = {}
         at, n = 0, len(html)
         while at < n:
             m = TAG.search(html, at)
@@ -107,6 +118,11 @@ class Page:
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
                     at = end.end() if end else n
                     self._end(tag)
+                elif tag in FALLBACK:
+                    if tag not in last:
+                        last[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", html, re.IGNORECASE)), default=-1)
+                    if last[tag] < at:
+                        self._end(tag)
 
     def _text(self, text: str) -> None:
         if text:

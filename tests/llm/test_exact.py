@@ -204,6 +204,19 @@ def test_html_query(spark):
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text)
 
 
+PROSE = "Plain words of the story follow here, and there are enough of them to count as text. " * 3
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<h2 id="legal-status">{}</h2>', '<h2 id="share-of-votes">{}</h2>', '<section id="search-results"><p>{}</p></section>', '<p class="text side-note">{}</p>', "<p class=comment>{}</p>", "<p><math><mi>{}</mi></math></p>", "<p><svg></p><p>{}</p>", "<video src=a><p>{}</p>"],
+)
+@pytest.mark.parametrize("frame", ["<article><p>{}</p>{}<p>{}</p></article>", "<div><p>{}</p>{}<p>{}</p></div>"])
+def test_html_keeps_parts_of_the_article(part, frame):
+    page = frame.format(PROSE, part.format("Kept " + PROSE), PROSE)
+    assert htmltext.extract_text(f"<body>{page}</body>") == "\n".join([PROSE.strip(), "Kept " + PROSE.strip(), PROSE.strip()])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ab p\"'=!-&;#", max_size=80))
 def test_html_never_fails(text):
