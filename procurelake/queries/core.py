@@ -195,6 +195,14 @@ def compliance(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.check_compliance(reqs, drafts).select("project_id", "req_id", "status", F.col("n_hit").cast("long").alias("n_hit"))
 
 
+def compliance_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a draft, against the requirements of its remainder by seven."""
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("project_id"), F.col("text").alias("draft"))
+    asked = table(spark, sf, "benchmark").select((F.col("item_id") % 7).alias("k"), F.col("item_id").alias("req_id"), F.slice(F.split("text", " "), 1, 5).alias("keywords"))
+    reqs = docs.select("project_id", (F.col("project_id") % 7).alias("k")).join(asked, "k").drop("k")
+    return evidence.check_compliance(reqs, docs).select("project_id", "req_id", "status", F.col("n_hit").cast("long").alias("n_hit"))
+
+
 def requirement_dedup(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "conversations").select((F.col("conv_id") % 11).alias("tender_id"), F.col("conv_id").alias("chunk_no"), F.col("turn").alias("item_no"), F.col("text").alias("content"))
     return evidence.dedup_requirements(items).select("tender_id", "chunk_no", "item_no", "id")
@@ -241,5 +249,5 @@ QUERIES = {
     "rule_verdict": rule_verdict, "template_match": template_match, "geometry_verdict": geometry_verdict, "simhash_pairs": simhash_pairs, "simhash_groups": simhash_groups, "price_pattern": price_pattern,
     "price_score_linear": _scored("BASE_PRICE_LINEAR"), "price_score_lowest": _scored("LOWEST_FULL"), "price_score_ratio": _scored("BASE_PRICE_RATIO"), "price_score_reasonable": _scored("REASONABLE_LOW", limited=True),
     "price_matrix": price_matrix, "precheck_items": precheck_items, "precheck_summary": precheck_summary, "fact_check": fact_check, "fact_check_docs": fact_check_docs, "facts_check": facts_check, "extract_facts": extract_facts,
-    "compliance": compliance, "requirement_dedup": requirement_dedup, "chunk_fixed": chunk_fixed, "chunk_text": chunk_text, "hybrid_topk": hybrid_topk, "kb_flatten": kb_flatten, "docx_audit": docx_audit, "event_windows": event_windows,
+    "compliance": compliance, "compliance_docs": compliance_docs, "requirement_dedup": requirement_dedup, "chunk_fixed": chunk_fixed, "chunk_text": chunk_text, "hybrid_topk": hybrid_topk, "kb_flatten": kb_flatten, "docx_audit": docx_audit, "event_windows": event_windows,
 }

@@ -242,6 +242,10 @@ COMPLIANCE = """with r as (select item_id % 7 project_id, item_id req_id, string
 h as (select project_id, req_id, len(k) n, len(list_filter(k, lambda w: contains(lower(coalesce(draft, '')), lower(w)))) hit from r left join d using (project_id))
 select project_id, req_id, case when n > 0 and hit >= greatest(1, n // 2) then '完全响应' else '缺失' end status, hit::bigint n_hit from h"""
 
+COMPLIANCE_DOCS = """with r as (select doc_id project_id, item_id req_id, string_split(b.text, ' ')[1:5] k, d.text draft from documents d join benchmark b on d.doc_id % 7 = b.item_id % 7),
+h as (select project_id, req_id, len(k) n, len(list_filter(k, lambda w: contains(lower(coalesce(draft, '')), lower(w)))) hit from r)
+select project_id, req_id, case when n > 0 and hit >= greatest(1, n // 2) then '完全响应' else '缺失' end status, hit::bigint n_hit from h"""
+
 ORACLE_SQL = {
     "pii_mask": _pii_mask(),
     "pii_type_counts": _pii_types(),
@@ -271,6 +275,7 @@ ORACLE_SQL = {
     "facts_check": _facts_check(),
     "extract_facts": _extract_facts(),
     "compliance": COMPLIANCE,
+    "compliance_docs": COMPLIANCE_DOCS,
     "requirement_dedup": f"with i as (select conv_id % 11 tender_id, conv_id chunk_no, turn item_no, substr({_bare('text')}, 1, 40) k from conversations), f as (select *, row_number() over (partition by tender_id, k order by chunk_no, item_no) n from i) select tender_id, chunk_no, item_no, format('R{{:03d}}', row_number() over (partition by tender_id order by chunk_no, item_no)) id from f where n = 1",
     "chunk_fixed": "select doc_id, i::bigint chunk_no, md5(substr(text, i * 900 + 1, 1000)) digest, length(substr(text, i * 900 + 1, 1000)) len from documents, unnest(range(0, greatest(ceil((length(text) - 100) / 900.0), 1)::bigint)) t(i) where length(text) > 0",
     "hybrid_topk": "with q as (select * from embeddings where vec_id % 100 = 0), s as (select q.vec_id query_id, d.vec_id doc_id, 0.3 * list_cosine_similarity(q.embedding::double[], d.embedding::double[]) + 0.7 * case when q.label = d.label then 1 else 0 end similarity from q, embeddings d), r as (select *, row_number() over (partition by query_id order by similarity desc, doc_id) as rank from s where similarity >= 0.2) select query_id, doc_id, round(similarity, 6) similarity, rank from r where rank <= 8",

@@ -39,3 +39,8 @@ def test_equals_duckdb(spark, duck, name):
 def test_rows_only_queries(spark):
     for name in set(QUERIES) - set(ORACLE_SQL):
         assert QUERIES[name](spark, SMALL).limit(1).count() == 1, name
+
+
+def test_compliance_takes_every_document(spark):
+    got = QUERIES["compliance_docs"](spark, SMALL).select("project_id").distinct()
+    assert got.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
