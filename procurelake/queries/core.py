@@ -15,6 +15,7 @@ from procurelake.sources.tables import table
 #: A pack for texts in Latin letters, beside the Chinese ones.
 LATIN_CLAUSES = {"asks": (["the", "and", "token"], ["password"]), "names": (["der", "las", "les"], [])}
 LATIN_FAIRNESS = (FairRule("DEMO.A", "HARD", "first", ("the and", "token", "secret"), (r"(?:ing|tion) (?:the|of) [a-z]{0,20}",)), FairRule("DEMO.B", "SOFT", "second", ("licen", "und der", "que la")))
+LATIN_INDUSTRIES = (("first", "a", ["the", "and", "token"]), ("second", "b", ["der", "und", "die", "licen"]), ("third", "c", ["que", "los", "les"]))
 TENDERS = [
     (1, "投标保证金未按期提交的，否决其投标。技术标 30 分，商务标 20 分，价格分 50 分，采用综合评分法。工期要求 180 日历天。投标人须具备水利水电施工总承包资质。投标保证金 20 万元；最高投标限价 1500 万元。暗标正文字体宋体四号，不得出现单位名称。"),
     (2, "本项目为光伏电站。指定品牌的逆变器；须在本地设立分公司。具有本市业绩的加 5 分，获得鲁班奖加分。仅限国有企业参加！外地企业不得参加投标。"),
@@ -101,6 +102,10 @@ def industry_detect(spark: SparkSession, sf: str) -> DataFrame:
     return clauses.detect_industry(_frame(spark, TENDERS, "doc_id long, text string")).select("doc_id", "name", "pack_key", "confidence", F.array_join("matched_keywords", "|").alias("matched"))
 
 
+def industry_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return clauses.detect_industry(_docs(spark, sf), LATIN_INDUSTRIES).select("doc_id", "name", "pack_key", "confidence", F.array_join("matched_keywords", "|").alias("matched"))
+
+
 def constraint_params(spark: SparkSession, sf: str) -> DataFrame:
     got = clauses.constraint_params(_frame(spark, TENDERS, "doc_id long, text string"))
     money = lambda c: F.array_join(F.transform(c, lambda a: F.format_string("%.2f", a["value_yuan"])), "|")
@@ -245,7 +250,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "pii_mask": pii_mask, "pii_type_counts": pii_type_counts, "disclosure_hits": disclosure_hits, "sentence_stats": sentence_stats, "clause_match": clause_match, "clause_match_cn": clause_match_cn,
-    "fairness_hits": fairness_hits, "fairness_cn": fairness_cn, "fairness_summary": fairness_summary, "industry_detect": industry_detect, "constraint_params": constraint_params,
+    "fairness_hits": fairness_hits, "fairness_cn": fairness_cn, "fairness_summary": fairness_summary, "industry_detect": industry_detect, "industry_docs": industry_docs, "constraint_params": constraint_params,
     "rule_verdict": rule_verdict, "template_match": template_match, "geometry_verdict": geometry_verdict, "simhash_pairs": simhash_pairs, "simhash_groups": simhash_groups, "price_pattern": price_pattern,
     "price_score_linear": _scored("BASE_PRICE_LINEAR"), "price_score_lowest": _scored("LOWEST_FULL"), "price_score_ratio": _scored("BASE_PRICE_RATIO"), "price_score_reasonable": _scored("REASONABLE_LOW", limited=True),
     "price_matrix": price_matrix, "precheck_items": precheck_items, "precheck_summary": precheck_summary, "fact_check": fact_check, "fact_check_docs": fact_check_docs, "facts_check": facts_check, "extract_facts": extract_facts,

@@ -102,14 +102,14 @@ def _fair(source: str, pack, extra: str = "") -> str:
     return f"with x as (select doc_id, {_sentences('text', 6)} l from {source}), e as (select doc_id, i, l[i] s from x, unnest(range(1, len(l) + 1)) t(i)), h as (select * from (" + " union all ".join(parts) + f") where len(w) > 0) {extra}"
 
 
-def _industry() -> str:
-    rows = ", ".join(f"({i}, {_q(n)}, {_q(k)}, {_list(w)})" for i, (n, k, w) in enumerate(INDUSTRIES))
+def _industry(source: str, pack) -> str:
+    rows = ", ".join(f"({i}, {_q(n)}, {_q(k)}, {_list(w)})" for i, (n, k, w) in enumerate(pack))
     return f"""with p as (select * from (values {rows}) v(ord, name, pack_key, kw)),
-h as (select doc_id, ord, name, pack_key, len(kw) total, list_filter(kw, lambda w: contains(text, w)) hit from {_values(core.TENDERS, 'doc_id, text')}, p),
+h as (select doc_id, ord, name, pack_key, len(kw) total, list_filter(kw, lambda w: contains(text, w)) hit from {source}, p),
 b as (select *, row_number() over (partition by doc_id order by len(hit) desc, ord) r from h where len(hit) > 0),
 k as (select doc_id, array_to_string((flatten(list(hit order by ord)))[1:12], '|') matched from h where len(hit) > 0 group by 1)
 select t.doc_id, coalesce(b.name, '未识别') as name, coalesce(b.pack_key, 'construction') pack_key, coalesce(floor(len(b.hit) / b.total::double * 100 + 0.5) / 100, 0)::double confidence, coalesce(k.matched, '') matched
-from {_values(core.TENDERS, 'doc_id, text')} t left join b on b.doc_id = t.doc_id and r = 1 left join k on k.doc_id = t.doc_id"""
+from {source} t left join b on b.doc_id = t.doc_id and r = 1 left join k on k.doc_id = t.doc_id"""
 
 
 def _amounts(text: str, pattern: str, most: int) -> str:
@@ -256,7 +256,8 @@ ORACLE_SQL = {
     "fairness_hits": _fair("documents", core.LATIN_FAIRNESS, "select doc_id, rule_id, sent_no, array_to_string(w, '|') matched from h"),
     "fairness_cn": _fair(_values(core.TENDERS, "doc_id, text"), FAIRNESS, "select doc_id, rule_id, type, category, sent_no, array_to_string(w, '|') matched from h"),
     "fairness_summary": _fair("documents", core.LATIN_FAIRNESS, "select doc_id, count(*) total_hits, count(*) filter (type = 'HARD') hard_count, count(*) filter (type = 'SOFT') soft_count from h group by 1"),
-    "industry_detect": _industry(),
+    "industry_detect": _industry(_values(core.TENDERS, "doc_id, text"), INDUSTRIES),
+    "industry_docs": _industry("documents", core.LATIN_INDUSTRIES),
     "constraint_params": _params(),
     "rule_verdict": _verdict(),
     "template_match": _templates(),

@@ -44,3 +44,7 @@ def test_rows_only_queries(spark):
 def test_compliance_takes_every_document(spark):
     got = QUERIES["compliance_docs"](spark, SMALL).select("project_id").distinct()
     assert got.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_industry_takes_every_document(spark):
+    assert QUERIES["industry_docs"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
