@@ -1,15 +1,14 @@
 """Byte-level BPE encoding and decoding by merge ranks.
 
-Pre-tokens come from ``pretokenize``; each distinct one is merged once and kept in a bounded cache as the
-packed bytes of its ids, so a text's ids are one join of cached pieces.  Offsets of the ids in the text's bytes
-are running sums of their lengths in the vocabulary.
+Pre-tokens come from ``pretokenize``; those that recur are merged once and kept in a bounded table, which is looked up
+for a block of texts at once.  Offsets of the ids in the text's bytes are running sums of their lengths in the vocabulary;
+decoding puts the bytes of each id at its offset.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import struct
 from functools import cache
 
 import numpy as np
@@ -18,11 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake.llm.arrow import blocks, map_batches
+from procurelake.llm.pieces import IDS, PieceTable
 from procurelake.llm.pretokenize import boundaries
 
-#: Pieces in each half of the cache (about 70 MB), and the longest that is kept.
-CACHE_PIECES, CACHE_LENGTH = 350_000, 64
-IDS = np.dtype("<u4")
 
 
 def default_ranks() -> str:
@@ -78,58 +75,37 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-class Pieces(dict):
-    """Packed ids by pre-token; a missing one is looked up among the older ones or worked out, and kept if short.
-
-    When the newer half is full it becomes the older one, so what recurs stays and memory is bounded by two halves.
-    """
-
-    def __init__(self, ids_of):
-        super().__init__()
-        self.ids_of = ids_of
-        self.older: dict[bytes, bytes] = {}
-
-    def __missing__(self, piece: bytes) -> bytes:
-        packed = self.older.get(piece)
-        if packed is None:
-            packed = struct.pack(f"<{len(ids := self.ids_of(piece))}I", *ids)
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = packed
-        return packed
-
-
-def _encode_block(texts: list[str], pieces: Pieces) -> list[bytes]:
-    """Packed ids of texts, none of them empty, that are all ASCII or have their code points worked out together."""
+def _encode_block(texts: list[str], pieces: PieceTable) -> list[np.ndarray]:
+    """Ids of texts, none of them empty, that are all ASCII or have their code points worked out together."""
     whole = "".join(texts)
     raw = whole.encode()
     lengths = np.array([len(t) for t in texts])
     firsts = np.cumsum(lengths) - lengths
     if len(raw) == len(whole):  # a byte is a code point
         starts = boundaries(np.frombuffer(raw, np.uint8), firsts)
-        cuts = [*starts.tolist(), len(raw)]
+        cuts = np.append(starts, len(raw))
     else:
         points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         starts = boundaries(points, firsts)
         wide = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(wide, out=at[1:])
-        cuts = [*at[starts].tolist(), len(raw)]
-    get, rows = pieces.__getitem__, [*np.searchsorted(starts, firsts).tolist(), len(starts)]
-    return [b"".join(map(get, [raw[x:y] for x, y in zip(cuts[lo:hi], cuts[lo + 1 : hi + 1])])) for lo, hi in zip(rows, rows[1:])]  # noqa: B905
+        cuts = np.append(at[starts], len(raw))
+    ids, counts = pieces.encode(raw, cuts)
+    before = np.append(0, np.cumsum(counts))
+    rows = [*before[np.searchsorted(starts, firsts)].tolist(), len(ids)]
+    return [ids[a:b] for a, b in zip(rows, rows[1:])]  # noqa: B905
 
 
-def encode_texts(texts: list[str], pieces: Pieces) -> list[bytes]:
-    """Packed ids of each text; ASCII texts go apart from the others, as their bytes are their code points."""
-    out = [b""] * len(texts)
+def encode_texts(texts: list[str], pieces: PieceTable) -> list[np.ndarray]:
+    """Ids of each text; ASCII texts go apart from the others, as their bytes are their code points."""
+    out = [np.zeros(0, IDS)] * len(texts)
     for kind in (True, False):
         rows = [i for i, t in enumerate(texts) if t and t.isascii() == kind]
         some = [texts[i] for i in rows]
         for a, b in blocks(some):
-            for i, packed in zip(rows[a:b], _encode_block(some[a:b], pieces), strict=True):
-                out[i] = packed
+            for i, ids in zip(rows[a:b], _encode_block(some[a:b], pieces), strict=True):
+                out[i] = ids
     return out
 
 
@@ -143,17 +119,23 @@ class Vocabulary:
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
         self.length_of = np.array([len(x) for x in self.bytes_of], np.int32)
-        self.pieces = Pieces(lambda piece: merge(piece, self.ranks))
+        self.first_of = np.cumsum(self.length_of, dtype=np.int64) - self.length_of
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.pieces = PieceTable(lambda piece: merge(piece, self.ranks))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return encode_texts([t or "" for t in texts], self.pieces)
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, IDS).tolist()))
-
-    def offsets(self, packed: bytes) -> np.ndarray:
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset at which each id starts, and the end."""
-        return np.concatenate([[0], np.cumsum(self.length_of[np.frombuffer(packed, IDS)])]).astype(np.int64)
+        out = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.length_of[ids], out=out[1:])
+        return out
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of ids, each put at its offset."""
+        offsets = self.offsets(ids) if offsets is None else offsets
+        return self.flat[np.arange(offsets[-1]) + np.repeat(self.first_of[ids] - offsets[:-1], np.diff(offsets))].tobytes()
 
 
 @cache
@@ -180,8 +162,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
 
     def run(b: dict[str, list]) -> dict[str, list]:
         v = vocabulary(path)
-        packed = v.encode(b["text"])
-        return {"doc_id": b["doc_id"], "ids": [np.frombuffer(p, IDS).astype(np.int32) for p in packed], "offsets": [v.offsets(p) for p in packed]}
+        found = v.encode(b["text"])
+        return {"doc_id": b["doc_id"], "ids": [ids.astype(np.int32) for ids in found], "offsets": [v.offsets(ids) for ids in found]}
 
     out = map_batches(rows, run, _schema(rows, ids=T.ArrayType(T.IntegerType()), offsets=T.ArrayType(T.LongType())))
     return out.withColumnRenamed("doc_id", id_col)
@@ -194,7 +176,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, id_col: str = "doc
 
     def run(b: dict[str, list]) -> dict[str, list]:
         v = vocabulary(path)
-        return {"doc_id": b["doc_id"], "text": [None if i is None else v.decode(np.array(i, IDS).tobytes()).decode(errors="replace") for i in b["ids"]]}
+        return {"doc_id": b["doc_id"], "text": [None if i is None else v.decode(np.array(i, IDS)).decode(errors="replace") for i in b["ids"]]}
 
     return map_batches(rows, run, _schema(rows, text=T.StringType())).withColumnRenamed("doc_id", id_col)
 
@@ -205,8 +187,8 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, id_col: str = "do
 
     def run(b: dict[str, list]) -> dict[str, list]:
         v = vocabulary(path)
-        packed = v.encode(b["text"])
-        return {"doc_id": b["doc_id"], "ids": packed, "decoded": [v.decode(p) for p in packed]}
+        found = v.encode(b["text"])
+        return {"doc_id": b["doc_id"], "ids": [ids.tobytes() for ids in found], "decoded": [v.decode(ids, v.offsets(ids)) for ids in found]}
 
     return map_batches(rows, run, _schema(rows, ids=T.BinaryType(), decoded=T.BinaryType())).withColumnRenamed("doc_id", id_col)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.arrow import BATCH_ROWS, blocks, map_batches
+from procurelake.llm.arrow import blocks, map_batches, slices
 
 BUCKETS_LOG2 = 16
 LENGTHS = (1, 2, 3)
@@ -108,45 +108,42 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_langs: int = MAX_LANGS) -> Model:
     """Fit on rows that aren't held out, have a language and a text: about ``rows_per_lang`` of each, by hash.
 
-    The hash of id and text picks the rows, so the choice depends on neither order nor partitions.  Fewer rows
-    than that are all used.  Without any such row the model knows no language.
+    The hash of id and text picks the rows, so the choice depends on neither order nor partitions; rows that share an id
+    are told apart by their texts.  Fewer rows than that are all used.  The priors are the shares of the languages among
+    all rows that may be learned from, not among those picked.  Without any such row the model knows no language.  More
+    languages than ``max_langs`` are an error: with the buckets they bound the matrix that is broadcast.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, 1 << BUCKETS_LOG2)), np.zeros(0))
     below = {k: ceil(min(1.0, rows_per_lang / n) * (1 << 30)) for k, n in sizes.items()}
     limit = F.create_map(*[F.lit(x) for kv in below.items() for x in kv])[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < limit).where(F.col("text").isNotNull()).select("lang", "text")
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 30)) < limit).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 got = count_ngrams([text])
                 sums[lang] = sums[lang] + got if lang in sums else got
-                seen[lang] = seen.get(lang, 0) + 1
         for lang, got in sums.items():
             at = np.flatnonzero(got)
-            columns = [pa.array([lang] * (len(at) + 1)), pa.array([-1, *at], pa.int64()), pa.array([seen[lang], *got[at]], pa.int64())]
+            columns = [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(got[at], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
     counted = chosen.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts, docs_of = np.zeros((len(langs), 1 << BUCKETS_LOG2)), np.ones(len(langs))
+    counts, row = np.zeros((len(langs), 1 << BUCKETS_LOG2)), {k: i for i, k in enumerate(langs)}
     for r in counted.toLocalIterator():  # at most languages times buckets
-        if r[1] < 0:
-            docs_of[langs.index(r[0])] = r[2]
-        else:
-            counts[langs.index(r[0]), r[1]] = r[2]
-    return Model(langs, counts, docs_of)
+        counts[row[r[0]], r[1]] = r[2]
+    return Model(langs, counts, np.array([sizes[k] for k in langs], np.float64))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,10 +172,9 @@ def identify(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS, id_col: str = "do
 def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose language the model tells with at least ``min_score``; ``und`` goes."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             names, scores = sent.value.predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

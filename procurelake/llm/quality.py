@@ -2,9 +2,10 @@
 
 After Xie et al., "Data Selection for Language Models via Importance Resampling" (NeurIPS 2023): hashed counts of words
 and pairs of neighbouring words make one generative model of the target (documents labelled good and not toxic) and
-one of all documents.  A document's weight is the mean log-ratio of the two over its n-grams, so that long texts weigh
-no more than short ones; Gumbel noise on ``sharpness`` times the weight and the k largest keys are a sample without
-replacement in proportion to exp(sharpness * weight).
+one of all documents.  A document's log-ratio is the sum over its n-grams of the logs of the two models' ratio, that is
+the log of the ratio of its likelihoods.  Its weight is that sum, as published, or by default the mean over its n-grams, so
+that long texts weigh no more than short ones; Gumbel noise on ``sharpness`` times the weight and the k largest keys are a
+sample without replacement in proportion to exp(sharpness * weight).
 
 The raw model counts every document.  The target is a bounded sample of labelled rows, chosen by hash.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.arrow import BATCH_ROWS, map_batches
+from procurelake.llm.arrow import map_batches, slices
 from procurelake.operators.ordering import running_total
 from procurelake.storage import Scratch
 
@@ -29,7 +30,8 @@ BUCKETS_LOG2 = 18
 #: Labelled rows that the target model is fitted on, about.
 TARGET_ROWS = 20_000
 SMOOTH = 1.0
-SHARPNESS = 50.0
+#: Factor of the weight before noise: of a mean, and of a sum.
+SHARPNESS = {"mean": 50.0, "sum": 1.0}
 SEED = 7
 
 
@@ -44,11 +46,10 @@ def buckets(text: str | None) -> np.ndarray:
 
 def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts over all rows and over those marked ``target``; the sums that meet on the driver are two per bucket."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BUCKETS_LOG2), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [buckets(t) for t in batch.column("text").to_pylist()]
             for row, chosen in enumerate((found, [f for f, t in zip(found, batch.column("target").to_pylist(), strict=True) if t])):
                 if chosen:
@@ -70,15 +71,17 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, smooth: float = SMOOTH) -> np
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, keep_share: float | None = None, target_rows: int = TARGET_ROWS, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, keep_share: float | None = None, target_rows: int = TARGET_ROWS, weight: str = "mean", sharpness: float | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, log_weight, sample_key, kept) of every row.
+    """(id, log_ratio, log_weight, sample_key, kept) of every row.
 
+    ``weight`` is ``mean`` or ``sum``: log_weight is the log-ratio over the number of n-grams, or the log-ratio itself.
     ``labels`` has doc_id, quality and toxic.  ``keep_share`` of all rows are kept, by default the share of good ones
     among the labelled; k is rounded down.  Texts without words have a null weight and key and come last.  Equal
     keys go by id, then by a hash of the text; null ids take part.  Without labels of good documents the target is
     empty, every weight is about 0 and the choice is by noise alone.
     """
+    factor = SHARPNESS[weight] if sharpness is None else sharpness
     scratch = Scratch(docs.sparkSession, "quality")
     marks = labels.select(F.col("doc_id").alias("l_id"), "quality", "toxic").where("l_id is not null")
     n, good, clean = marks.agg(F.count("quality"), F.count_if(F.col("quality") == 1), F.count_if((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))).first()
@@ -88,16 +91,18 @@ def resample(
     marked = rows.join(F.broadcast(chosen), rows.doc_id == F.col("l_id"), "left").select("text", F.col("l_id").isNotNull().alias("target"))  # about target_rows ids
     sent = docs.sparkSession.sparkContext.broadcast(log_ratio(*_counts(marked)))
     keyed = rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("log_ratio", T.DoubleType()), T.StructField("log_weight", T.DoubleType())])
 
     def score(b: dict[str, list]) -> dict[str, list]:
         found = [buckets(t) for t in b["text"]]
-        return {"doc_id": b["doc_id"], "fp": b["fp"], "log_weight": [float(sent.value[g].mean(dtype=np.float64)) if len(g) else None for g in found]}
+        sums = [float(sent.value[g].sum(dtype=np.float64)) if len(g) else None for g in found]
+        weights = sums if weight == "sum" else [None if x is None else x / len(g) for x, g in zip(sums, found, strict=True)]
+        return {"doc_id": b["doc_id"], "fp": b["fp"], "log_ratio": sums, "log_weight": weights}
 
     scored = map_batches(keyed.select("doc_id", "fp", "text"), score, schema)
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "fp"), F.lit(1 << 50)) + 0.5) / float(1 << 50)
-    scored = scored.withColumn("sample_key", F.col("log_weight") * sharpness - F.log(-F.log(uniform))).withColumn("one", F.lit(1).cast("long"))
+    scored = scored.withColumn("sample_key", F.col("log_weight") * factor - F.log(-F.log(uniform))).withColumn("one", F.lit(1).cast("long"))
     scored = scratch.save(scored, "scored")  # dealing by range reads its input twice
     ranked, total = running_total(scored, [F.col("sample_key").desc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("fp")], "one", "rank", scratch)
     k = int(total * (keep_share if keep_share is not None else good / max(n, 1)))
-    return ranked.select(F.col("doc_id").alias(id_col), "log_weight", "sample_key", (F.col("sample_key").isNotNull() & (F.col("rank") < k)).alias("kept"))
+    return ranked.select(F.col("doc_id").alias(id_col), "log_ratio", "log_weight", "sample_key", (F.col("sample_key").isNotNull() & (F.col("rank") < k)).alias("kept"))

@@ -10,7 +10,11 @@ one recipe for each document.  The store is a folder with three tables:
   the document's first id in the whole stream and the Merkle root of its chunk digests;
 * ``manifest``: (part, n_docs, start, n_tokens, root) for each range of recipes, with the root over its documents.
 
-Reading gathers a document's own chunks, adds those it shares with an earlier place, and checks digests and roots.
+Reading checks the recipes against the manifest, gathers a document's own chunks, adds those it shares with an earlier
+place, and checks digests and roots.
+
+Texts are encoded as the tokenizers library encodes them with add_special_tokens=False: the string of an added token in a
+text becomes that token's id.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake.llm.arrow import map_batches
-from procurelake.llm.bpe import IDS, Pieces, encode_texts
+from procurelake.llm.bpe import encode_texts
+from procurelake.llm.pieces import IDS, PieceTable
 from procurelake.operators.ordering import running_total
 from procurelake.storage import Scratch, release_shuffles
 
@@ -51,20 +56,35 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-@cache
-def _pieces(path: str) -> Pieces:
-    """Ids of pre-tokens from the library's own model."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """The library's ids of texts; pre-tokens that recur are looked up, the others go to the library's own model.
 
-    tokenizer = Tokenizer.from_file(path)
-    model, signs = tokenizer.model, _byte_signs()
-    return Pieces(lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(signs))])
+    Texts that hold one of the tokenizer's added tokens literally go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        model, signs = self.tokenizer.model, _byte_signs()
+        self.pieces = PieceTable(lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(signs))])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, as with add_special_tokens=False; null has none."""
+        full = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(full) if any(a in t for a in self.added)]
+        out = encode_texts(["" if i in whole else t for i, t in enumerate(full)] if whole else full, self.pieces)
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(full[i], add_special_tokens=False).ids, IDS)
+        return out
 
 
-def encode_packed(texts: list[str | None], path: str) -> list[bytes]:
-    """The library's ids of each text, without special tokens, packed."""
-    return encode_texts([t or "" for t in texts], _pieces(path))
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(path)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -110,6 +130,7 @@ def _unpack(payload: bytes, decompressor) -> bytes:
     return np.frombuffer(decompressor.decompress(payload[1:]), f"<u{payload[0]}").astype(IDS).tobytes()
 
 
+MANIFEST = T.StructType([T.StructField(k, v) for k, v in (("part", T.IntegerType()), ("n_docs", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("root", T.BinaryType()))])
 OWNER = T.StructType([T.StructField("tie", T.LongType()), T.StructField("at", T.IntegerType())])
 
 
@@ -129,13 +150,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> Da
             for name, value in zip(schema.names, values, strict=True):
                 out[name].append(value)
 
-        end = np.array([END_ID], IDS).tobytes()
-        for doc_id, tie, packed in zip(b["doc_id"], b["tie"], encode_packed(b["text"], tokenizer_path), strict=True):
-            ids = np.frombuffer(packed + end, IDS)
+        for doc_id, tie, ids in zip(b["doc_id"], b["tie"], encoder(tokenizer_path).encode(b["text"]), strict=True):
+            ids = np.append(ids, IDS.type(END_ID))
             ends = cuts(ids)
             parts = [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
             digests = [_digest(p.tobytes()) for p in parts]
-            add("recipe", doc_id, tie, 0, _digest(f"{doc_id} {tie}".encode()), None, len(ids), digests, merkle(digests))
+            add("recipe", doc_id, tie, 0, _digest((f"{tie} null" if doc_id is None else f"{tie} id {doc_id}").encode()), None, len(ids), digests, merkle(digests))
             for at, (digest, part) in enumerate(zip(digests, parts, strict=True)):
                 add("chunk", doc_id, tie, at, digest, _pack(part, squeeze), None, None, None)
         return out
@@ -185,7 +205,6 @@ def _recipes(spark: SparkSession, path: str, id_type: T.DataType) -> DataFrame:
 
 def _manifest(recipes: DataFrame) -> DataFrame:
     """Merkle roots of the ranges of recipes; a range is one partition of them."""
-    schema = T.StructType([T.StructField(k, v) for k, v in (("part", T.IntegerType()), ("n_docs", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("root", T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list[tuple[int, int, bytes]]] = {}
@@ -196,18 +215,38 @@ def _manifest(recipes: DataFrame) -> DataFrame:
             rows.sort()
             columns = [[part], [len(rows)], [rows[0][0]], [sum(r[1] for r in rows)], [merkle([r[2] for r in rows])]]
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=MANIFEST.names)
+
+    return recipes.select("part", "start", "n_tokens", "root").repartition(_parts(recipes.sparkSession), "part").mapInArrow(run, MANIFEST)
+
 
-    return recipes.select("part", "start", "n_tokens", "root").repartition(_parts(recipes.sparkSession), "part").mapInArrow(run, schema)
+def verify_manifest(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> int:
+    """The number of ids by the manifest; an error if a range of recipes doesn't match it or a range is missing.
+
+    One row for each range, of which there is one a partition, comes to the driver.
+    """
+    recipes = _recipes(spark, path, id_type or T.LongType())
+    told, found = ({r.part: tuple(r) for r in df.collect()} for df in (spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), _manifest(recipes)))
+    for part in sorted({*told, *found}):
+        if told.get(part) != found.get(part):
+            raise ValueError(f"range {part} of the recipes doesn't match the manifest")
+    at = 0
+    for _, _, start, n_tokens, _ in sorted(told.values(), key=lambda r: r[2]):
+        if start != at:
+            raise ValueError(f"the manifest has no range for the ids from {at} to {start}")
+        at += n_tokens
+    return at
 
 
 def read_store(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids BINARY) of every document, rebuilt from the store's files.
 
-    A missing chunk, a payload that doesn't match its digest or a root that doesn't match the recipe is an error.
-    Only chunks with more than one reference are looked up by digest; the rest go straight to their owner.
+    Recipes are checked against the manifest first.  A missing recipe, range or chunk, a payload that doesn't match its
+    digest or a root that doesn't match the recipe is an error.  Only chunks with more than one reference are looked up
+    by digest; the rest go straight to their owner.
     """
     id_type = id_type or T.LongType()
+    verify_manifest(spark, path, id_type)
     recipes, chunks = _recipes(spark, path, id_type), _data(spark, path, "chunk", id_type)
     # one key column, null ids included, so that gathering and joining share one exchange
     key = lambda c: F.struct(F.col(f"{c}doc_id").alias("doc_id"), F.col(f"{c}tie").alias("tie")).alias("key")

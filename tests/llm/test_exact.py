@@ -12,7 +12,7 @@ from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from procurelake.llm import bpe, decontaminate, htmltext, linededup, secrets, simhash, tokenstore
+from procurelake.llm import bpe, decontaminate, htmltext, linededup, pieces, secrets, simhash, tokenstore
 from procurelake.llm.queries import ORACLE_SQL, QUERIES
 
 DOC = "doc_id long, text string"
@@ -100,23 +100,37 @@ SIGNS = st.text(alphabet=st.one_of(st.sampled_from(list("  \n\t'''sstmdrevlLl aZ
 @given(texts=st.lists(SIGNS, max_size=5))
 def test_bpe_is_tiktoken(tiktoken_encoding, texts):
     v = bpe.vocabulary(bpe.default_ranks())
-    for text, packed in zip(texts, v.encode(texts), strict=True):
-        assert np.frombuffer(packed, bpe.IDS).tolist() == tiktoken_encoding.encode_ordinary(text)
-        assert v.decode(packed) == text.encode()
+    for text, ids in zip(texts, v.encode(texts), strict=True):
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(text)
+        assert v.decode(ids) == text.encode()
 
 
 def test_bpe_long_pieces(tiktoken_encoding):
     v = bpe.vocabulary(bpe.default_ranks())
     for text in ("ab" * 3000, " " * 5000, "ünï" * 999, "'" * 800 + "s"):
-        assert np.frombuffer(v.encode([text])[0], bpe.IDS).tolist() == tiktoken_encoding.encode_ordinary(text)
+        assert v.encode([text])[0].tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
-def test_bpe_small_cache(tiktoken_encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_bpe_small_cache(tiktoken_encoding, most):
+    """Forgetting and long pre-tokens change no ids."""
     v = bpe.Vocabulary(bpe.default_ranks())
-    texts = [f"word{i % 13} and number {i * i} again, élan {i}" for i in range(60)]
-    assert [np.frombuffer(p, bpe.IDS).tolist() for p in v.encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
-    assert len(v.pieces) <= 5 and len(v.pieces.older) <= 5
+    v.pieces = pieces.PieceTable(v.pieces.ids_of, most)
+    rng = random.Random(most)
+    for _ in range(12):
+        texts = [f"word{rng.randrange(30)} and number {i * i} again, élan {i} " + "longer" * rng.randrange(8) for i in range(20)]
+        assert [ids.tolist() for ids in v.encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+        assert v.pieces.n <= most
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=30), min_size=1, max_size=40), max_size=6), st.integers(1, 30))
+def test_piece_table(calls, most):
+    """Keys that differ only by trailing zero bytes or past a word are told apart."""
+    table = pieces.PieceTable(lambda p: [len(p), *p], most)
+    for parts in calls:
+        ids, counts = table.encode(b"".join(parts), np.cumsum([0, *map(len, parts)]))
+        assert ids.tolist() == [x for p in parts for x in (len(p), *p)] and counts.tolist() == [len(p) + 1 for p in parts]
 
 
 def test_bpe_query_and_edges(spark, edges, none, tiktoken_encoding):
@@ -269,7 +283,6 @@ def test_store(spark, edges, none, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenstore.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
     start = 0
     for r in QUERIES["op8_token_store"](spark, SMALL).orderBy("doc_id").collect():
@@ -283,6 +296,41 @@ def test_store(spark, edges, none, tmp_path):
     assert tokenstore.store_digests(none).count() == 0
 
 
+def test_store_encodes_as_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenstore.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> é <|endoftext", "plain", "", None, "x" * 3000 + "<|endoftext|>y"]
+    got = [ids.tolist() for ids in tokenstore.encoder(tokenstore.default_tokenizer()).encode(texts)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts] and got[0] == [64, 220, 50256, 275]
+
+
+def test_store_of_string_ids(spark, tmp_path):
+    """A null id isn't the string None."""
+    docs = spark.createDataFrame([(None, "same"), ("None", "same"), ("b", "other"), ("b", "other")], "doc_id string, text string")
+    got = tokenstore.store_digests(docs, str(tmp_path / "s")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "None", "b", "b"] and len({r.start for r in got}) == 4
+
+
+@pytest.mark.parametrize("lost", ["recipe", "range", "manifest row", "range and manifest row"])
+def test_store_notices_lost_recipes(spark, tmp_path, lost):
+    docs = spark.createDataFrame([(i, f"document number {i}") for i in range(40)], DOC)
+    tokenstore.write_store(docs, str(tmp_path / "s"))
+    assert tokenstore.read_store(spark, str(tmp_path / "s")).count() == 40
+    recipes, manifest = (spark.read.parquet(str(tmp_path / "s" / t)).cache() for t in ("recipes", "manifest"))
+    part = recipes.where("doc_id = 7").first().part
+    assert manifest.count() > 1
+    if lost != "manifest row":
+        recipes = recipes.where("doc_id <> 7" if lost == "recipe" else f"part <> {part}")
+    if "manifest" in lost:
+        manifest = manifest.where(f"part <> {part}")
+    spark.read.parquet(str(tmp_path / "s" / "data")).write.partitionBy("kind").parquet(str(tmp_path / "t" / "data"))
+    recipes.write.parquet(str(tmp_path / "t" / "recipes"))
+    manifest.write.parquet(str(tmp_path / "t" / "manifest"))
+    with pytest.raises(Exception, match="manifest"):
+        tokenstore.read_store(spark, str(tmp_path / "t")).collect()
+
+
 def test_store_notices_damage(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"document number {i}") for i in range(5)], DOC)
     tokenstore.write_store(docs, str(tmp_path / "s"))
@@ -290,7 +338,8 @@ def test_store_notices_damage(spark, tmp_path):
     data.count()
     short = data.where("kind = 'recipe' or owner.doc_id <> 3")
     short.write.partitionBy("kind").parquet(str(tmp_path / "t" / "data"))
-    spark.read.parquet(str(tmp_path / "s" / "recipes")).write.parquet(str(tmp_path / "t" / "recipes"))
+    for t in ("recipes", "manifest"):
+        spark.read.parquet(str(tmp_path / "s" / t)).write.parquet(str(tmp_path / "t" / t))
     with pytest.raises(Exception, match="recipe"):
         tokenstore.read_store(spark, str(tmp_path / "t")).collect()
 
