@@ -1,5 +1,7 @@
 """Operators with a trained or approximate part: accuracy held out, recall, planted cases; and the pipeline."""
 
+import zlib
+
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -179,3 +181,98 @@ def test_stages_keep_columns_and_bear_edges(spark, k):
     for df in (docs, docs.limit(0)):
         got = corpus_pipeline.STAGES[k][1](spark, df, SMALL)
         assert got.columns == docs.columns and got.count() <= df.count()
+
+
+def naive_bayes(rows, texts):
+    """Language and posterior by the definition, over hashed n-grams counted one by one."""
+    from collections import Counter
+    from math import exp, log
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        out = []
+        for n in langid.LENGTHS:
+            for i in range(len(letters) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h ^ ord(letters[i + k])) * int(langid.FACTORS[k]) % 2**64
+                    h ^= h >> 29
+                out.append(h * int(langid.FACTORS[0]) % 2**64 >> 64 - langid.BUCKETS_LOG2)
+        return out
+
+    counts, docs = {}, Counter()
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(text))
+        docs[lang] += 1
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        sums = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + 0.5 * (1 << langid.BUCKETS_LOG2)
+            sums[lang] = log(docs[lang] / sum(docs.values())) + sum(log((counts[lang][g] + 0.5) / total) for g in grams(text))
+        best = max(sums, key=lambda k: (sums[k], [-ord(c) for c in k]))
+        out.append((best, 1 / sum(exp(s - sums[best]) for s in sums.values())))
+    return out
+
+
+def test_language_by_the_definition(spark):
+    """With few rows every one is learned from, so the model is known; most rows are of one language, which the prior shows."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 1500").select("doc_id", "text", "lang").orderBy("doc_id").limit(70).collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(1000 + i, t, "zz" if i < 9 else None) for i, t in enumerate(["ab", "b a", "c", "q", "Ä ß", "ab ab", "x y", "1", "z", "", " 1 ", None, "İstanbul a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = {r.doc_id: r.h for r in df.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
+    want = naive_bayes([(t, lang) for i, t, lang in rows if not fold[i] and lang and t is not None], [t for _, t, _ in rows])
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i].lang_pred == lang and got[i].held_out == fold[i] and got[i].score == pytest.approx(score, abs=1e-3)
+
+
+def test_language_tells_rows_of_one_id_apart(spark):
+    """The rows of one id are not taken or left together."""
+    one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 != 1)
+    df = spark.createDataFrame([(one, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en") for i in range(2000)], "doc_id long, text string, lang string")
+    seen = lambda n: int((langid.train(df, rows_per_lang=n).logp > langid.train(df, rows_per_lang=n).logp.min()).sum())
+    assert 0.1 < seen(500) / seen(2000) < 0.9
+
+
+def importance(docs, good):
+    """Log-ratios by the definition: {id: (sum, n-grams)}."""
+    from collections import Counter
+    from math import log
+
+    def grams(text):
+        words = [zlib.crc32(w) for w in (text or "").encode().lower().split()]
+        pairs = [(a * 0xC2B2AE3D27D4EB4F ^ b * 0x165667B19E3779F9) % 2**64 for a, b in zip(words, words[1:])]
+        return [x * 0x9E3779B97F4A7C15 % 2**64 >> 64 - quality.BUCKETS_LOG2 for x in words + pairs]
+
+    raw, target = Counter(), Counter()
+    for i, text in docs:
+        raw.update(grams(text))
+        if i in good:
+            target.update(grams(text))
+    of = lambda c, b: log((c[b] + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * (1 << quality.BUCKETS_LOG2)))
+    return {i: (sum(of(target, b) - of(raw, b) for b in grams(t)), len(grams(t))) for i, t in docs}
+
+
+@pytest.mark.parametrize("weight", ["mean", "sum"])
+def test_quality_by_the_definition(spark, weight):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(60).collect()] + [(5000, None), (5001, " ")]
+    labels = [(i, int(k % 3 > 0), int(k % 7 == 0)) for k, (i, _) in enumerate(docs[:50])] + [(None, 1, 0), (9999, 1, None)]
+    want = importance(docs, {i for i, q, t in labels if q and not t})
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.resample(df, marks, keep_share=0.4, weight=weight).collect()}
+    for i, (total, n) in want.items():
+        if not n:
+            assert got[i].log_ratio is None and got[i].log_weight is None and not got[i].kept
+            continue
+        assert got[i].log_ratio == pytest.approx(total, rel=1e-3, abs=1e-3)
+        assert got[i].log_weight == pytest.approx(total / n if weight == "mean" else total, rel=1e-3, abs=1e-3)
+    keys = sorted((r.sample_key for r in got.values() if r.sample_key is not None), reverse=True)
+    assert {r.sample_key for r in got.values() if r.kept} == set(keys[: int(len(docs) * 0.4)])
+    noise = {i: r.sample_key - quality.SHARPNESS[weight] * r.log_weight for i, r in got.items() if r.sample_key is not None}
+    assert 0.2 < np.mean(list(noise.values())) < 1.0  # Gumbel noise has mean 0.577
