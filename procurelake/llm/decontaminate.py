@@ -1,10 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.  DataFrame functions only.
 
-The index holds (term, document, position) for every corpus word that occurs in the test texts.  For each
-window of a test text the two rarest of its words, by corpus count, are looked up; their lists are moved by
-their place in the test text, so that hits of one alignment meet on one diagonal (document position minus
-test position), and only diagonals where both words of a window meet go on to the exact comparison with
-the document's words.
+The index holds (term, document, position) for every corpus word that occurs in the test texts, and the number of
+words of every document.  For each window of a test text the two rarest of its words, by corpus count, are looked
+up; their lists are moved by their place in the test text, so that hits of one alignment meet on one diagonal
+(document position minus test position), and only documents with a diagonal where both words of a window meet are
+read again, for the exact comparison with their words.
 
 Rows: texts that are null or without words have no words and are never hit.  Rows that repeat a document
 (same id and text) each get the same result; rows that share an id but not the text are told apart.  Items
@@ -26,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 #: Rows of a lookup table up to which it is sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Stands for a document's own row in the index, which has -1 minus its number of words for a position.
+OWN_TERM = -1
 
 
 def words(text: Column) -> Column:
@@ -35,9 +37,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its row count allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, held: str | None = None) -> DataFrame:
+    """Marked for broadcast if the number of rows, with those of the list ``held`` in each, allows."""
+    n = df.agg(F.count("*") + (F.coalesce(F.sum(F.size(held)), F.lit(0)) if held else 0)).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,11 +54,17 @@ def _tests(tests: DataFrame, item_col: str, text_col: str, scratch: Scratch) ->
     return rows.groupBy("seq").agg(F.first("words").alias("words")), rows.select("seq", "item_id").distinct()
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored postings (term, doc_id, fp, pos) of the words whose hashes ``vocabulary`` (term) has."""
-    each = _keyed(docs, id_col, text_col).select("doc_id", "fp", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    hashed = each.select(F.xxhash64("word").alias("term"), "doc_id", "fp", "pos")
-    return scratch.save(hashed.join(_sized(vocabulary), "term", "left_semi"), "postings")
+def build_index(docs: DataFrame, vocabulary: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored in one pass: the postings (term, doc_id, fp, pos) of the words whose hashes ``vocabulary`` (term) has, and
+    (doc_id, fp, n_words) of every row."""
+    found = _keyed(docs, id_col, text_col).select("doc_id", "fp", words(F.col("text")).alias("words"))
+    counted = F.concat(F.array(F.size("words").cast("string")), F.col("words"))  # the number of words stands before the first
+    each = found.select("doc_id", "fp", F.posexplode(counted).alias("at", "word"))
+    own = F.col("at") == 0
+    hashed = each.select(F.when(own, F.lit(OWN_TERM).cast("bigint")).otherwise(F.xxhash64("word")).alias("term"), "doc_id", "fp", F.when(own, -1 - F.col("word").cast("int")).otherwise(F.col("at") - 1).alias("pos"))
+    known = vocabulary.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(OWN_TERM).cast("bigint").alias("term"))).distinct()
+    index = scratch.save(hashed.join(_sized(known), "term", "left_semi"), "postings")
+    return index.where("pos >= 0"), index.where("pos < 0").select("doc_id", "fp", (-1 - F.col("pos")).cast("long").alias("n_words"))
 
 
 def _places(seqs: DataFrame) -> DataFrame:
@@ -79,11 +88,10 @@ def _candidates(seqs: DataFrame, index: DataFrame, width: int, scratch: Scratch)
     wins = scratch.save(wins, "windows")
     anchors = scratch.save(ranked.select("seq", "at", "term").distinct(), "anchors")
     met = index.join(_sized(anchors), "term").select("doc_id", "fp", "seq", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
-    met = met.groupBy("doc_id", "fp", "seq", "diagonal").agg(F.collect_set("at").alias("found"))
-    by_seq = wins.groupBy("seq").agg(F.collect_list(F.struct("first", "need", "win")).alias("wins"))
-    met = met.join(_sized(by_seq), "seq")
-    met = met.select("doc_id", "fp", "diagonal", F.explode(F.filter("wins", lambda w: F.size(F.array_except(w["need"], F.col("found"))) == 0)).alias("w"))
-    return met.select("doc_id", "fp", (F.col("diagonal") + F.col("w.first")).alias("start"), F.col("w.win").alias("win")).where("start >= 0").distinct()
+    met = met.groupBy("doc_id", "fp", "seq", "diagonal").agg(F.collect_set("at").alias("found"))  # at most the places of a test text
+    led = wins.select("seq", F.col("need")[0].alias("at"), "first", "need", "win")
+    met = met.select("*", F.explode("found").alias("at")).join(_sized(led), ["seq", "at"]).where(F.size(F.array_except("need", "found")) == 0)
+    return met.select("doc_id", "fp", (F.col("diagonal") + F.col("first")).alias("start"), "win").where("start >= 0").distinct()
 
 
 def decontaminate(
@@ -114,29 +122,33 @@ def clean(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs``, unchanged, that aren't contaminated."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     rows, _, _ = _hits(docs, tests, id_col, text_col, item_col, item_text_col, width, scratch)
-    gone = rows.where(CONTAMINATED).select(F.col("doc_id").alias("__pl_id"), F.col("fp").alias("__pl_fp")).distinct()
+    gone = scratch.save(rows.where(CONTAMINATED).select(F.col("doc_id").alias("__pl_id"), F.col("fp").alias("__pl_fp")).distinct(), "gone")
     keyed = docs.withColumn("__pl_own", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(F.col("__pl_id")) & (F.col("__pl_own") == F.col("__pl_fp")), "left_anti").select(*docs.columns)
+    return keyed.join(_sized(gone), keyed[id_col].eqNullSafe(F.col("__pl_id")) & (F.col("__pl_own") == F.col("__pl_fp")), "left_anti").select(*docs.columns)
 
 
 def _hits(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored rows (doc_id, fp, n_words, n_hit, wins) of every document, the test sequences and their items."""
     seqs, items = _tests(tests, item_col, item_text_col, scratch)
     vocabulary = _places(seqs).select("term").distinct()
-    index = build_index(docs, vocabulary, scratch, id_col, text_col)
+    index, sizes = build_index(docs, vocabulary, scratch, id_col, text_col)
     found = _candidates(seqs, index, width, scratch)
     grouped = found.groupBy(F.col("doc_id").alias("c_id"), F.col("fp").alias("c_fp")).agg(F.collect_list(F.struct("start", "win")).alias("cand"))
+    grouped = scratch.save(grouped, "candidates")
     rows = _keyed(docs, id_col, text_col)
-    rows = rows.join(grouped, rows.doc_id.eqNullSafe(F.col("c_id")) & (rows.fp == F.col("c_fp")), "left")
-    rows = rows.select("doc_id", "fp", words(F.col("text")).alias("words"), "cand")
+    again = rows.join(_sized(grouped, "cand"), rows.doc_id.eqNullSafe(F.col("c_id")) & (rows.fp == F.col("c_fp")))
+    again = again.select("doc_id", "fp", words(F.col("text")).alias("words"), "cand")
     n_win = lambda w: F.size(F.split(w, " "))
     true = F.filter("cand", lambda c: F.array_join(F.slice("words", c["start"] + 1, n_win(c["win"])), " ") == c["win"])
     spans = F.array_sort(F.transform(true, lambda c: F.struct(c["start"].alias("s"), (c["start"] + n_win(c["win"])).alias("e"))))
-    rows = rows.select("doc_id", "fp", F.size("words").cast("long").alias("n_words"), spans.alias("spans"), F.array_distinct(F.transform(true, lambda c: c["win"])).alias("wins"))
+    again = again.select("doc_id", "fp", spans.alias("spans"), F.array_distinct(F.transform(true, lambda c: c["win"])).alias("wins")).where(F.size("spans") > 0)
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct((a["n"] + F.greatest(s["e"] - F.greatest(s["s"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["e"]).alias("end"))
-    hit = F.when(F.size("spans") > 0, F.aggregate("spans", start, step)["n"]).otherwise(0).cast("long")
-    return scratch.save(rows.select("doc_id", "fp", "n_words", hit.alias("n_hit"), "wins"), "hits"), seqs, items
+    hit = again.select(F.col("doc_id").alias("c_id"), F.col("fp").alias("c_fp"), F.aggregate("spans", start, step)["n"].cast("long").alias("n_hit"), "wins")
+    hit = scratch.save(hit.dropDuplicates(["c_id", "c_fp"]), "matches")  # rows that repeat a document are alike
+    out = sizes.join(_sized(hit, "wins"), sizes.doc_id.eqNullSafe(F.col("c_id")) & (sizes.fp == F.col("c_fp")), "left")
+    out = out.select("doc_id", "fp", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "wins")
+    return scratch.save(out, "hits"), seqs, items
 
 
 def _windows_of(seqs: DataFrame, width: int) -> DataFrame:
@@ -155,7 +167,7 @@ def proximity_matches(
     """
     scratch = Scratch(docs.sparkSession, "proximity")
     seqs, items = _tests(tests, item_col, item_text_col, scratch)
-    index = build_index(docs, _places(seqs).select("term").distinct(), scratch, id_col, text_col)
+    index, _ = build_index(docs, _places(seqs).select("term").distinct(), scratch, id_col, text_col)
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     each = _places(seqs).select("seq", "term").distinct().join(counts, "term", "left").fillna(0, ["n"])
     order = Window.partitionBy("seq").orderBy("n", "term")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from procurelake.storage import Scratch
 
 WIDTH = 3
+#: Documents and cuts up to which the cuts are sent to every executor (some 20 MB); beyond, the join shuffles.
+BROADCAST_CUTS = 400_000
 BLANK = r"^[ \t\r\f\x0B]*$"
 
 
@@ -54,6 +56,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = each.groupBy("h1", "h2").agg(F.min(order).alias("kept"), F.max(order).alias("top")).where("kept < top").drop("top")
     later = each.join(firsts, ["h1", "h2"]).where(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "n") > F.col("kept"))
     covered = later.groupBy(F.col("doc_id").alias("__pl_id"), F.col("fp").alias("__pl_cfp")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__pl_cut"))
+    covered = scratch.save(covered, "covered")
+    n_rows, n_cuts = covered.agg(F.count("*"), F.coalesce(F.sum(F.size("__pl_cut")), F.lit(0))).first()
+    # where few places are cut, texts stay where they are; else both sides are dealt by document
+    covered = F.broadcast(covered) if n_rows + n_cuts <= BROADCAST_CUTS else covered
     found = keyed.join(covered, keyed[id_col].eqNullSafe(F.col("__pl_id")) & (F.col("__pl_fp") == F.col("__pl_cfp")), "left")
     split, cut = F.split(text_col, "\n"), F.col("__pl_cut")
     # between two covered stretches, before the first and after the last

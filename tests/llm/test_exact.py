@@ -67,7 +67,9 @@ def cut_lines(docs):
     return out
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 400_000])
+def test_line_dedup_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(linededup, "BROADCAST_CUTS", most)
     rng = random.Random(3)
     docs = [(i, "\n".join(rng.choice(["a", "b", "c", "", " ", "d e"]) for _ in range(rng.randint(0, 14)))) for i in range(120)]
     got = linededup.dedup_lines(spark.createDataFrame(docs, DOC)).orderBy("doc_id").collect()
@@ -169,7 +171,9 @@ def hits(docs, tests):
     return sorted(out, key=repr)
 
 
-def test_decontaminate_brute_force(spark, none):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_decontaminate_brute_force(spark, none, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     rng = random.Random(5)
     pool = ["the", "The", "of", "a", "b", "ÉA", "z9", "q"]
     say = lambda n: " ".join(rng.choice(pool) for _ in range(n))
