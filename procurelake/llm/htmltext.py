@@ -4,8 +4,9 @@ Sun, Song and Liao, "DOM Based Content Extraction via Text Density" (SIGIR 2011)
 per tag, adjusted for the share of link text; the node whose children's densities sum up highest holds the article,
 and the least density on its path to the body is the threshold for what beside it still belongs.
 
-Parts that are no article whatever their density (navigation, forms, notices, reader comments, ...) go first, by
-element and by the words of class, id and role.  The found node is widened to the article or main element around it.
+Densities are summed over blocks: bold or linked words are no parts of their own.  Article and main elements only break
+ties.  Parts that are marked as no article, by element or by the words of class, id and role (navigation, forms, notices,
+reader comments, ...), have no density and no text, unless they frame the page's text: see ``Page.settle``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,13 @@ FALLBACK = frozenset("template svg object canvas audio video select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = RAW | FALLBACK | frozenset("head nav footer aside form button menu dialog fieldset label input".split())
+HIDDEN = RAW | FALLBACK | frozenset(["head"])
+DROPPED = frozenset("nav footer aside form button menu dialog fieldset label input".split())
+#: Elements and words among those that drop a part that a frame around a whole page may have too.
+FRAMES = frozenset("form fieldset aside header".split())
+FRAME_WORDS = frozenset("sidebar sidebars side menu menus nav navbar navigation header masthead topbar toolbar modal overlay search widget widgets".split())
+#: Text outside of a marked part, as a share of its own, under which it is the frame of the page.
+SHARE = 0.05
 #: Elements that frame other parts; class and id of headings, paragraphs and inline text say nothing.
 CONTAINERS = frozenset("div section ul ol dl table tbody tr td header center figure details".split())
 #: What a start tag ends: itself or its kin, up to the element that holds them.
@@ -55,19 +62,20 @@ AWAY = frozenset(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-
-#: Those of them that also describe the frame around an article ("has-sidebar").
-FRAME = frozenset("ad ads banner sidebar sidebars side menu menus nav navbar header topbar toolbar footer modal overlay search share tags".split())
+#: Elements that an article has.
+SHOWS = HEADINGS | frozenset(["article", "main"])
 
 
 def _away(tag: str, attributes: str, inside: bool) -> str:
-    """Why a part is dropped: ``part``, or ``frame`` if words alone say so that a frame may have; '' if it stays.
+    """Why a part is no article: ``hidden`` if it isn't shown; ``part`` by element or words, ``frame`` if a frame
+    around a page may have them too; '' if nothing says so.
 
     ``inside`` an article its header stays for the headings.
     """
+    if tag in HIDDEN:
+        return "hidden"
     if tag in DROPPED or tag == "header" and not inside:
-        return "part"
+        return "frame" if tag in FRAMES else "part"
     if not attributes or tag in ("html", "body", "main"):
         return ""
     for m in ATTRIBUTE.finditer(attributes):
@@ -77,7 +85,7 @@ def _away(tag: str, attributes: str, inside: bool) -> str:
                 return "part"
             continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return "part"
+            return "hidden"
         words: set[str] = set()
         if tag in CONTAINERS:
             for token in value.split() if name in ("class", "role") else [value] if name == "id" else []:
@@ -86,7 +94,7 @@ def _away(tag: str, attributes: str, inside: bool) -> str:
                 if own and own <= AWAY and (name != "id" or value.isalpha() and len(own) == 1):
                     words |= own
         if words:
-            return "frame" if words <= FRAME else "part"
+            return "frame" if words <= FRAME_WORDS else "part"
     return ""
 
 
@@ -97,6 +105,9 @@ class Page:
         self.tags, self.parents, self.dropped, self.inside, self.why = ["body"], [-1], [False], [False], [""]
         self.pieces: list[tuple[int, str]] = []
         self.stack = [0]
+        #: Places in the stack of open elements by tag, and of open blocks: the nearest one is the last.
+        self.open: dict[str, list[int]] = {"body": [0]}
+        self.open_blocks = [0]
         last: dict[str, int] = {}
         at, n = 0, len(html)
         while at < n:
@@ -124,6 +135,8 @@ class Page:
                     if last[tag] < at:
                         self._end(tag)
 
+        self.settle()
+
     def _text(self, text: str) -> None:
         if text:
             self.pieces.append((self.stack[-1], unescape(text) if "&" in text else text))
@@ -132,15 +145,23 @@ class Page:
         """A block starts or ends here."""
         self.pieces.append((-1, ""))
 
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        """Place in the stack of the nearest open element of ``names``, 0 if none is open."""
+        return max((self.open[k][-1] for k in names if self.open.get(k)), default=0)
+
+    def _close(self, place: int) -> None:
+        """End the open elements from a place on."""
+        while len(self.stack) > place:
+            tag = self.tags[self.stack.pop()]
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.open_blocks.pop()
+
     def _pop(self, names: tuple[str, ...], holders: tuple[str, ...]) -> None:
         """End the nearest open element of ``names`` that no holder shields."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[i]]
-            if tag in names:
-                del self.stack[i:]
-                return
-            if tag in holders:
-                return
+        place = self._nearest(names)
+        if place and place > self._nearest(holders):
+            self._close(place)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
@@ -158,25 +179,54 @@ class Page:
         self.parents.append(parent)
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
         why = _away(tag, attributes, self.inside[parent])
-        if tag in ("article", "main") and not why and self.dropped[parent] and all(self.why[i] in ("", "frame") for i in self.stack):
-            for i in self.stack:  # what seemed to be a sidebar holds the article
-                self.dropped[i] = False
         self.why.append(why)
-        self.dropped.append(self.dropped[parent] or bool(why))
+        self.dropped.append(False)
         if tag not in VOID and not attributes.endswith("/") or tag in BLOCKS and tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCKS:
+                self.open_blocks.append(len(self.stack))
             self.stack.append(len(self.tags) - 1)
 
     def _end(self, tag: str) -> None:
-        if tag in VOID:
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[i]] == tag:
-                del self.stack[i:]
-                if tag in BLOCKS:
-                    self._break()
-                return
-            if tag not in BLOCKS and self.tags[self.stack[i]] in BLOCKS and tag != "a":
-                return  # the end of an inline element doesn't end blocks
+        place = self._nearest((tag,))
+        # the end of an inline element doesn't end blocks
+        if place and (tag in BLOCKS or tag == "a" or self.open_blocks[-1] < place):
+            self._close(place)
+            if tag in BLOCKS:
+                self._break()
+
+    def settle(self) -> None:
+        """Drop the parts that are marked, but for those that the page's text lies in.
+
+        A part that may be a frame is one if it holds a heading, an article or a main element, and the text beside links
+        outside of it, in parts that aren't marked, is under SHARE of its own: then only what is marked inside of it goes.
+        """
+        n = len(self.tags)
+        linked, hidden = [False] * n, [self.why[i] == "hidden" for i in range(n)]
+        for i in range(1, n):
+            linked[i] = linked[self.parents[i]] or self.tags[i] == "a"
+            hidden[i] = hidden[i] or hidden[self.parents[i]]
+        # text beside links outside of marked parts, the same with the best frame inside, and whether an article shows
+        bare, full, shows = [0] * n, [0] * n, [self.tags[i] in SHOWS and not hidden[i] for i in range(n)]
+        for i, text in self.pieces:
+            if i >= 0 and not linked[i] and not hidden[i]:
+                bare[i] += len("".join(text.split()))
+        for i in range(n - 1, -1, -1):
+            p, full[i] = self.parents[i], full[i] + bare[i] if self.why[i] or not i else full[i]
+            if i and not hidden[i]:
+                shows[p] = shows[p] or shows[i]
+                full[p] = max(full[p], full[i] if self.why[i] in ("", "frame") else 0)
+                bare[p] += 0 if self.why[i] else bare[i]
+        outside, holder = [0] * n, [0] * n  # text around the nearest frame, and that frame
+        for i in range(1, n):
+            p = self.parents[i]
+            outside[i], holder[i], self.dropped[i] = outside[p], holder[p], self.dropped[p] or hidden[i]
+            if self.why[i] and not self.dropped[i]:
+                around = outside[p] + bare[holder[p]]
+                if self.why[i] == "frame" and shows[i] and around < SHARE * full[i]:
+                    outside[i], holder[i] = around, i
+                else:
+                    self.dropped[i] = True
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density of every node and the sum over its children."""
@@ -205,21 +255,17 @@ class Page:
                 base = log(log(chars[i] / plain * links[i] + share * chars[i] + e) + 1e-9) if links[i] or share else 0.0
                 ratio = chars[i] / max(links[i], 1) * max(tags[i], 1) / max(link_tags[i], 1)
                 density[i] = chars[i] / max(tags[i], 1) * (log(max(ratio, 1.0)) / (1 + max(base, 0.0)))
-                if i:
+                if i and self.tags[i] in BLOCKS:  # bold or linked words are no part of their own
                     sums[self.parents[i]] += density[i]
         return density, sums
 
     def chosen(self) -> set[int]:
         """Roots of the subtrees that make up the article."""
         density, sums = self.densities()
-        best = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        best = max(range(len(sums)), key=lambda i: (sums[i], self.tags[i] in ("article", "main"), -i))
         path = [best]
         while path[-1]:
             path.append(self.parents[path[-1]])
-        for name in ("article", "main"):
-            for i in reversed(path):  # the outermost
-                if self.tags[i] == name:
-                    return {i}
         threshold = min(density[i] for i in path)
         roots, on_path = {best}, set(path)
         for i in range(1, len(density)):
