@@ -1,6 +1,7 @@
 """Secret scan: three fixed kinds, and strings that stay new to a primed compressor.
 
-Beside ``assign``, ``access`` and ``hex``, a run of key-like signs after a sensitive word is a candidate.  Its novelty is
+Beside ``assign``, ``access`` and ``hex``, a run of key-like signs that starts at most ``REACH`` characters after a
+sensitive word is a candidate, whatever its length; dots inside join the parts of a token.  Its novelty is
 what it adds, in bytes, to a zstandard frame primed with a dictionary of common identifiers and the text around it,
 divided by what a random string of its alphabet holds: prose, identifiers and repeated strings cost little, random
 keys about as much as they hold, whatever their alphabet and length.
@@ -9,7 +10,7 @@ keys about as much as they hold, whatever their alphabet and length.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from functools import lru_cache
 from math import log2
 
@@ -26,11 +27,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN = 6
 CANDIDATE_MIN = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+#: Signs that stand between a sensitive word and a key in the same run.
+BETWEEN = "=-_/+."
 #: Alphabets of keys, the least first, with the bits of one sign.
 ALPHABETS = [
     (re.compile(signs), log2(n))
-    for signs, n in [("[0-9a-f=-]+", 16), ("[0-9A-F=-]+", 16), ("[A-Z2-7=-]+", 32), ("[a-z2-7=-]+", 32), ("[0-9a-z=-]+", 36), ("[0-9A-Z=-]+", 36), ("[0-9A-Za-z=-]+", 62), (".+", 64)]
+    for signs, n in [("[0-9a-f.=-]+", 16), ("[0-9A-F.=-]+", 16), ("[A-Z2-7.=-]+", 32), ("[a-z2-7.=-]+", 32), ("[0-9a-z.=-]+", 36), ("[0-9A-Z.=-]+", 36), ("[0-9A-Za-z.=-]+", 62), (".+", 64)]
 ]
 SENSITIVE = re.compile(r"password|passwd|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature|client.?id|session.?id", re.ASCII | re.IGNORECASE)
 #: Parts of the sensitive words, one of which a text must hold before the pattern is tried.
@@ -80,22 +83,31 @@ def novelty(text: str, start: int, end: int) -> float:
 
 
 def _novel(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates near a sensitive word, whole runs from there, that overlap no base span and don't compress."""
-    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    """Candidates near a sensitive word, whole runs from there, that overlap no base span and don't compress.
+
+    A run that the word itself begins or lies in counts from behind the word and the signs that follow it.
+    """
+    runs = [m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= CANDIDATE_MIN]
     ends = [e for _, e in runs]
     out, taken = [], sorted((a, e) for a, _, e in base)
     for word in SENSITIVE.finditer(text) if runs else ():
         for k in range(bisect_right(ends, word.end()), len(runs)):
-            a, e = max(runs[k][0], word.end()), runs[k][1]
+            a, e = runs[k]
+            if a < word.end():
+                a = word.end()
+                while a < e and text[a] in BETWEEN:
+                    a += 1
             if a - word.end() > REACH:
                 break
             if e - a < CANDIDATE_MIN:
                 continue
             string = text[a:e]
             mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
-            if mixed and not any(x < e and a < y for x, y in taken) and novelty(text, a, e) >= NOVELTY:
+            at = bisect_right(taken, (a, len(text)))  # spans of one text don't overlap, so the neighbours tell
+            free = (not at or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= e)
+            if mixed and free and novelty(text, a, e) >= NOVELTY:
                 out.append((a, 3, e))
-                taken.append((a, e))
+                insort(taken, (a, e))
     return out
 
 

@@ -1,8 +1,10 @@
 """Operators that have an exact answer, against brute force, the libraries or SQL."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -235,6 +237,39 @@ def test_html_keeps_parts_of_the_article(part, frame):
     assert htmltext.extract_text(f"<body>{page}</body>") == "\n".join([PROSE.strip(), "Kept " + PROSE.strip(), PROSE.strip()])
 
 
+def test_html_by_density_alone(spark):
+    """Pages without article and main elements, and with them in a form, have the same text."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        wrapped = re.sub(r"<(/?)body>", lambda m: "</form></body>" if m[1] else "<body><form id=aspnetForm>", r.html)
+        assert htmltext.extract_text(plain) == htmltext.extract_text(wrapped) == htmltext.extract_text(r.html) != ""
+
+
+@pytest.mark.parametrize("frame", ["<form id=aspnetForm>{}</form>", '<div class="legal-news">{}</div>', '<div class="has-comments">{}</div>', '<div class="search-page">{}</div>', '<main><div class="notice-of-meeting">{}</div></main>', '<div class="sidebar"><div class="menu">{}</div></div>', "<fieldset>{}</fieldset>"])
+@pytest.mark.parametrize("kind", ["article", "div"])
+def test_html_frames(frame, kind):
+    inner = f'<div class="menu"><a href=x>Home</a></div><{kind}><h1>T</h1><p>{PROSE}</p><p>More.</p></{kind}><div class="comments"><p>A reader says so.</p></div>'
+    assert htmltext.extract_text(f"<body>{frame.format(inner)}<footer>foot</footer></body>") == f"T\n{PROSE.strip()}\nMore."
+
+
+def test_html_without_article_is_empty():
+    assert htmltext.extract_text('<nav><p>Home and more</p></nav><div class="ad">Buy this now.</div><div class="sidebar">Some text beside.</div><form><p>Search</p></form><footer><p>All rights are reserved here.</p></footer>') == ""
+
+
+def test_html_long_comments_are_no_frame():
+    page = f'<div><h1>T</h1><p>{PROSE}</p></div><div class="comments">{"<p>A reader says something long about it.</p>" * 30}</div>'
+    assert htmltext.extract_text(page) == f"T\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<p><button>" + "<div>" * 100_000 + "</section>" * 100_000, "<p><b>" * 50_000, "<ul><li>" * 50_000 + "<li>" * 50_000])
+def test_html_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    htmltext.extract_text(page[: len(page) // 8])
+    middle = time.process_time()
+    htmltext.extract_text(page)
+    assert time.process_time() - middle < 24 * (middle - began) + 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ab p\"'=!-&;#", max_size=80))
 def test_html_never_fails(text):
@@ -280,6 +315,52 @@ def test_secrets_of_any_alphabet_and_length(signs, length):
     assert ("novel", 7, 7 + length) in secrets.scan_text(f"bearer {key} end")
 
 
+def novel_spans(text):
+    """By the definition: every run and every sensitive word before it, in order."""
+    import zstandard
+
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    runs, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and (text[j] in signs or text[j] == "." and j > i and text[j - 1] in signs and text[j + 1 : j + 2] and text[j + 1] in signs):
+            j += 1
+        if j - i >= 20:
+            runs.append((i, j))
+        i = max(j, i + 1)
+    taken, out = [(a, e) for a, _, e in base_spans(text)], []
+    for word in re.finditer(secrets.SENSITIVE.pattern, text, re.ASCII | re.IGNORECASE):
+        for a, e in runs:
+            if e <= word.end():
+                continue
+            if a < word.end():
+                a = word.end() + len(text[word.end() : e]) - len(text[word.end() : e].lstrip("=-_/+."))
+            s = text[a:e]
+            if a - word.end() > 48 or len(s) < 20 or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(x < e and a < y for x, y in taken):
+                continue
+            bits = next(math.log2(n) for alphabet, n in [("0123456789abcdef", 16), ("0123456789ABCDEF", 16), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyz234567", 32), ("0123456789abcdefghijklmnopqrstuvwxyz", 36), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 36), (signs[:62], 62), (signs, 64)] if set(s) <= set(alphabet + ".=-"))
+            primed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict((secrets.IDENTIFIERS + text[max(0, a - 400) : a] + text[e : e + 400]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            if (len(primed.compress(s.encode())) - len(primed.compress(b""))) * 8 / (bits * len(s)) >= 0.8:
+                out.append((a, e))
+                taken.append((a, e))
+    return sorted(out)
+
+
+KEYS = [random.Random(k).choices(a, k=n) for k, (a, n) in enumerate([("0123456789ABCDEF", 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 43), ("abcdefghijklmnopqrstuvwxyz234567", 320), ("abcdefghij", 30)])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["bearer ", "token", "Signature: ", "client_id=", " ", ".", "=", "\n", " and then some prose follows, ", "path/to/some_file.txt", "é", "AKIA"]), st.sampled_from(["".join(k) for k in KEYS])), max_size=12).map("".join))
+def test_secrets_novel_by_the_definition(text):
+    assert [(a, e) for k, a, e in secrets.scan_text(text) if k == "novel"] == novel_spans(text)
+
+
+def test_secrets_of_dotted_parts():
+    parts = ["".join(random.Random(k).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", k=n)) for k, n in enumerate((36, 90, 43))]
+    key = ".".join(parts)
+    assert [s for s in secrets.scan_text(f"authorization: {key}. Next.") if s[0] == "novel"] == [("novel", 15, 15 + len(key))]
+
+
 # ---- token store
 
 
