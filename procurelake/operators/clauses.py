@@ -58,12 +58,16 @@ def constraint_params(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def parse_constraints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``constraint_params`` with the counts of sentences and of each clause list."""
-    counts = clause_match(docs, None, id_col, text_col).groupBy(id_col).pivot("list_name", list(L.CLAUSES)).count()
-    counts = counts.select(F.col(id_col).alias("__id"), *[F.col(k).alias(f"{k}_count") for k in L.CLAUSES])
-    base = constraint_params(docs, id_col, text_col).join(docs.select(F.col(id_col).alias("__d"), F.size(sentences(F.col(text_col), 6)).alias("sentence_count")), F.col(id_col) == F.col("__d"))
-    return base.join(counts, base[id_col] == F.col("__id"), "left").drop("__id", "__d").fillna(0, [f"{k}_count" for k in L.CLAUSES])
+def parse_constraints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: dict | None = None) -> DataFrame:
+    """``constraint_params`` with the counts of sentences and of each clause list, all within a row.
+
+    Null texts have no parameters, no sentences and null n_chars; rows that repeat an id each have their own row.
+    """
+    each = sentences(F.col(text_col), 6)
+    found = lambda words, negative: F.size(F.filter(each, lambda s: (F.size(present(s, words)) > 0) & (F.size(present(s, negative)) == 0)))
+    params = constraint_params(docs.withColumn(id_col, F.struct(F.col(id_col).alias("id"), F.size(each).alias("n"), *[found(*pair).alias(k) for k, pair in (lists or L.CLAUSES).items()])), id_col, text_col)
+    counts = [F.col(f"{id_col}.n").alias("sentence_count"), *[F.col(f"{id_col}.{k}").alias(f"{k}_count") for k in lists or L.CLAUSES]]
+    return params.select(F.col(f"{id_col}.id").alias(id_col), *[c for c in params.columns if c != id_col], *counts)
 
 
 def fairness_hits(docs: DataFrame, pack=FAIRNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from procurelake.functions.text import bare
 from procurelake.operators.graph import connected_components
@@ -15,6 +19,8 @@ from procurelake.operators.pricing import price_pattern
 #: Characters beside white space below which a document is left out.
 MIN_CHARS = 30
 HIGH, MEDIUM = 3, 10
+#: Character pairs whose hash a worker keeps (some 30 MB).
+PAIRS_KEPT = 200_000
 VERDICTS = ("高度相似", "较相似", "差异明显")
 
 
@@ -23,27 +29,40 @@ def eligible(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.where(F.length(bare(F.coalesce(text_col, F.lit("")))) >= MIN_CHARS)
 
 
+def fingerprint(letters: str, hashes: dict[int, bytes]) -> int:
+    """64 signs of sums over a text's overlapping character pairs, as a signed integer; ``hashes`` keeps pairs met before."""
+    points = np.frombuffer(letters.encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(points) < 2:
+        return 0
+    pairs, counts = np.unique(points[:-1] << np.uint64(32) | points[1:], return_counts=True)
+    rows = []
+    for pair in pairs.tolist():
+        found = hashes.get(pair)
+        if found is None:
+            found = md5((chr(pair >> 32) + chr(pair & 0xFFFFFFFF)).encode()).digest()[:8]
+            if len(hashes) < PAIRS_KEPT:
+                hashes[pair] = found
+        rows.append(found)
+    bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * (counts @ bits.astype(np.int64)) > counts.sum()).view(">i8")[0])
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp BIGINT): 64 signs of sums over overlapping character pairs, with multiplicity; no pairs: 0.
+    """(id, fp BIGINT) of every row: 64 signs of sums over overlapping character pairs, with multiplicity; no pairs: 0.
 
-    A pair's hash is the first eight bytes of its MD5.  Pairs are counted per document first, so the sums meet each
-    different pair once; ids are taken to be unique.
+    A pair's hash is the first eight bytes of its MD5.  Null texts have no pairs.  Each row is fingerprinted by itself, so
+    nothing is shuffled and rows that repeat an id have their own.
     """
     letters = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[^\p{L}\p{N}_]", "")
-    rows = docs.select(id_col, letters.alias("t"))
-    # signs beside the signs after them: linear in the text, as substring() by place would not be
-    signs = F.split("t", "")
-    pairs = F.when(F.length("t") >= 2, F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), lambda x, y: F.concat(x, y))).otherwise(F.array().cast("array<string>"))
-    counted = rows.select(id_col, F.explode(pairs).alias("pair")).groupBy(id_col, "pair").agg(F.count("*").alias("n"))
-    hashed = counted.withColumn("h", F.conv(F.substring(F.md5("pair"), 1, 16), 16, -10).cast("bigint"))
-    # two counts in one 64-bit sum, of bit i and bit i + 32: a text has less than 2**31 pairs
-    bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))
-    lanes = [F.sum((bit(i) + F.shiftleft(bit(i + 32), 32)) * F.col("n")).alias(f"b{i}") for i in range(32)]
-    sums = hashed.groupBy(id_col).agg(F.sum("n").alias("total"), *lanes)
-    count = lambda i: F.col(f"b{i}").bitwiseAND(F.lit(0xFFFFFFFF)) if i < 32 else F.shiftrightunsigned(f"b{i - 32}", 32)
-    bits = [F.when(2 * count(i) > F.col("total"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)) for i in range(64)]
-    fp = reduce(lambda x, y: x.bitwiseOR(y), bits)
-    return rows.select(id_col).join(sums.select(F.col(id_col).alias("__id"), fp.alias("fp")), F.col(id_col) == F.col("__id"), "left").select(id_col, F.coalesce("fp", F.lit(0)).cast("bigint").alias("fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[int, bytes] = {}
+        for batch in batches:
+            found = [fingerprint(t.as_py(), hashes) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=batch.schema.names[:1] + ["fp"])
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias(id_col), letters.alias("letters")).mapInArrow(run, schema)
 
 
 def verdict(distance: Column) -> Column:
@@ -53,7 +72,8 @@ def verdict(distance: Column) -> Column:
 def all_pairs(fps: DataFrame, project_col: str, id_col: str = "doc_id") -> DataFrame:
     """(project, doc_a, doc_b, distance, verdict) of every pair of a project: what a report on one tender shows.
 
-    Quadratic in the bids of a project, of which there are a handful; for the whole corpus use ``close_pairs``.
+    Quadratic in the bids of a project, of which there are a handful; for the whole corpus use ``close_pairs``.  Rows
+    without a project or id have no pairs.
     """
     a = fps.select(F.col(project_col).alias("project"), F.col(id_col).alias("doc_a"), F.col("fp").alias("x"))
     b = fps.select(F.col(project_col).alias("project"), F.col(id_col).alias("doc_b"), F.col("fp").alias("y"))
@@ -75,7 +95,7 @@ def close_pairs(fps: DataFrame, id_col: str = "doc_id", within: list[str] | None
     Of six blocks of bits three stay the same when three bits differ at most (Manku et al., WWW 2007), so a pair agrees in
     one of twenty tables whose keys are three blocks, some 32 bits: chance meetings stay rare for billions of documents.
     Equal fingerprints are one class, and a class's members pair with its least member only: the groups stay the
-    same while copies don't multiply.
+    same while copies don't multiply.  Null ids are left out of pairs.
     """
     keys = within or []
     classes = fps.groupBy(*keys, "fp").agg(F.min(id_col).alias("least"))

@@ -111,6 +111,22 @@ def compliance_summary(checked: DataFrame, project_col: str = "project_id") -> D
     return checked.groupBy(project_col).agg(F.count("*").alias("total"), n("完全响应").alias("met"), n("部分响应").alias("partial"), n("缺失").alias("missing"))
 
 
+def normalize_checks(checks: DataFrame) -> DataFrame:
+    """``checks`` (status, evidence, comment, ...) of a model, tidied: any other status is 缺失, null texts are empty."""
+    return checks.withColumns({"status": F.when(trim(F.col("status")).isin(L.STATUSES), trim(F.col("status"))).otherwise(L.MISSING), "evidence": F.coalesce("evidence", F.lit("")), "comment": F.coalesce("comment", F.lit(""))})
+
+
+def judge_pending(checked: DataFrame, judged: DataFrame, project_col: str = "project_id") -> DataFrame:
+    """``checked`` with status, evidence and comment of the rows (project, req_id, ...) that a model has judged.
+
+    Only rows that are pending, 缺失, change; a row that was judged twice takes the judgement that sorts first.
+    """
+    told = normalize_checks(judged).groupBy(F.col(project_col).alias("__p"), F.col("req_id").alias("__q")).agg(F.min(F.struct("status", "evidence", "comment")).alias("__j"))
+    joined = checked.join(told, F.col(project_col).eqNullSafe(F.col("__p")) & (F.col("req_id") == F.col("__q")), "left")
+    take = (F.col("status") == L.MISSING) & F.col("__j").isNotNull()
+    return joined.withColumns({c: F.when(take, F.col(f"__j.{c}")).otherwise(F.col(c)) for c in ("status", "evidence", "comment")}).select(*checked.columns)
+
+
 def normalize_requirements(raw: DataFrame, json_col: str = "json", tender_col: str = "tender_id") -> DataFrame:
     """(tender, id, category, content, mandatory, keywords): what dirty JSON arrays of requirements come to.
 

@@ -9,7 +9,7 @@ from procurelake.functions.text import LEFT, RIGHT, around, matches, present, sq
 from procurelake.packs.lexicons import PII, PLACEHOLDER
 from procurelake.packs.rules import DISCLOSURE, Rule
 
-#: Matches of one pattern that are looked at.
+#: Matches of one pattern that are looked at by default; 2**30 looks at all.
 SCAN_MOST = 200
 
 
@@ -72,3 +72,13 @@ def scan_disclosure(docs: DataFrame, pack: tuple[Rule, ...] = DISCLOSURE, id_col
     # one pass tells the few documents that any pattern meets, before places and contexts are worked out
     some = "|".join(f"(?:{p})" for r in rules for p in r.expect["patterns"])
     return docs.where(text.rlike(some)).select(id_col, F.explode(F.concat(*per_rule)).alias("hit")).select(id_col, "hit.*")
+
+
+def leak_summary(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, rule_id, n) of what ``scan_disclosure`` returns."""
+    return hits.groupBy(id_col, "rule_id").agg(F.count("*").alias("n"))
+
+
+def scan_and_mask(docs: DataFrame, pack: tuple[Rule, ...] = DISCLOSURE, id_col: str = "doc_id", text_col: str = "text", most: int = SCAN_MOST) -> tuple[DataFrame, DataFrame]:
+    """Hits as of ``scan_disclosure``, and ``mask_pii`` of the same documents."""
+    return scan_disclosure(docs, pack, id_col, text_col, most), mask_pii(docs, id_col, text_col)

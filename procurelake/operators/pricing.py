@@ -20,40 +20,49 @@ def valid(price: Column) -> Column:
     return price.isNotNull() & ~F.isnan(price) & (price > 0) & (price < float("inf"))
 
 
-def _mean(prices: Column) -> Column:
-    return round2(F.aggregate(prices, F.lit(0.0), lambda a, x: a + x) / F.size(prices))
-
-
-def _base(sorted_prices: Column, algorithm: str, drop_n: int, control: Column | None, two_decimals: bool) -> Column:
-    """STRUCT<value, degraded>."""
-    n, mean = F.size(sorted_prices), _mean(sorted_prices)
-    if algorithm == "MIN_PRICE":
-        value, degraded = sorted_prices[0], F.lit(False)
-    elif algorithm == "AVG_DROP":
-        degraded = n < 2 * drop_n + 1
-        value = F.when(degraded, mean).otherwise(_mean(F.slice(sorted_prices, F.lit(drop_n + 1), F.greatest(n - 2 * drop_n, F.lit(0)))))
-    elif algorithm == "AVG_DROP_LOWER":
-        degraded = n < drop_n + 1
-        value = F.when(degraded, mean).otherwise(_mean(F.slice(sorted_prices, F.lit(drop_n + 1), F.greatest(n - drop_n, F.lit(0)))))
-    elif algorithm == "CONTROL_WEIGHT" and control is not None:
-        degraded = ~F.coalesce(valid(control), F.lit(False))
-        mixed = 0.5 * control + 0.5 * mean
-        value = F.when(degraded, mean).otherwise(round2(mixed) if two_decimals else F.floor(mixed + F.lit(0.5)).cast("double"))
-    else:
-        value, degraded = mean, F.lit(algorithm == "CONTROL_WEIGHT")
-    return F.struct(value.alias("value"), degraded.alias("degraded"))
+def _based(rows: DataFrame, algorithms: dict[str, str], drop_n: int, group_col: str, control: Column | None = None, two_decimals: bool = False) -> DataFrame:
+    """``rows`` (group, price, ...) with a column STRUCT<value, degraded> for each of ``algorithms`` (column to name).
+
+    Sums run over a group's prices in order, inside one sort of its rows that spills; nothing collects a group.
+    """
+    group, price = Window.partitionBy(group_col), F.col("price")
+    every = group.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"__r": F.row_number().over(group.orderBy("price")), "__n": F.count("*").over(group)})
+    r, n = F.col("__r"), F.col("__n")
+    mean = round2(F.sum("price").over(every) / n)
+    kept = lambda low, high: round2(F.sum(F.when((r > low) & (r <= n - high), price)).over(every) / (n - low - high))
+    made = {}
+    for column, algorithm in algorithms.items():
+        if algorithm == "MIN_PRICE":
+            value, degraded = F.min("price").over(group), F.lit(False)
+        elif algorithm == "AVG_DROP":
+            degraded = n < 2 * drop_n + 1
+            value = F.when(degraded, mean).otherwise(kept(drop_n, drop_n))
+        elif algorithm == "AVG_DROP_LOWER":
+            degraded = n < drop_n + 1
+            value = F.when(degraded, mean).otherwise(kept(drop_n, 0))
+        elif algorithm == "CONTROL_WEIGHT" and control is not None:
+            limit = F.max(control).over(group)
+            degraded = ~F.coalesce(valid(limit), F.lit(False))
+            mixed = 0.5 * limit + 0.5 * mean
+            value = F.when(degraded, mean).otherwise(round2(mixed) if two_decimals else F.floor(mixed + F.lit(0.5)).cast("double"))
+        else:
+            value, degraded = mean, F.lit(algorithm == "CONTROL_WEIGHT")
+        made[column] = F.struct(value.alias("value"), degraded.alias("degraded"))
+    return rows.withColumns(made).drop("__r", "__n")
 
 
 def base_price(bids: DataFrame, algorithm: str = "AVG_DROP", drop_n: int = 1, control_col: str | None = None, group_col: str = "group_id", price_col: str = "price", control_weight_2dp: bool = False) -> DataFrame:
     """(group, value, algorithm, degraded): the base price of each group of bids.
 
     AVG_DROP leaves out ``drop_n`` bids at either end, AVG_DROP_LOWER the lowest; with too few bids both fall back to
-    the mean, as CONTROL_WEIGHT does without a control price (``control_col``, the same over a group).  The weighted
+    the mean, as CONTROL_WEIGHT does without a control price (``control_col``, the greatest of a group).  The weighted
     price is a whole number unless ``control_weight_2dp``.
     """
-    price = F.col(price_col).cast("double")
-    grouped = bids.where(valid(price)).groupBy(group_col).agg(F.array_sort(F.collect_list(price)).alias("p"), *([F.max(control_col).cast("double").alias("c")] if control_col else []))
-    out = grouped.select(group_col, _base(F.col("p"), algorithm, drop_n, F.col("c") if control_col else None, control_weight_2dp).alias("b"))
+    price, control = F.col(price_col).cast("double"), F.col(control_col).cast("double") if control_col else F.lit(None).cast("double")
+    rows = bids.where(valid(price)).select(F.col(group_col), price.alias("price"), control.alias("__c"))
+    based = _based(rows, {"__b": algorithm}, drop_n, group_col, F.col("__c") if control_col else None, control_weight_2dp)
+    out = based.groupBy(group_col).agg(F.first("__b").alias("b"))
     return out.select(group_col, "b.value", F.lit(algorithm).alias("algorithm"), "b.degraded")
 
 
@@ -68,7 +77,9 @@ def _linear(p: Column, base: Column, above: float, below: float, full: float) ->
 def score_prices(
     bids: DataFrame, method: str = "BASE_PRICE_LINEAR", full_score: float = 100.0, params: dict | None = None, control_col: str | None = None, group_col: str = "group_id", bid_col: str = "bid_no", price_col: str = "price"
 ) -> DataFrame:
-    """(group, bid_no, price, base_price, score, rank): rank by score, then bid_no; 0 for bids without score.
+    """(group, bid_no, price, base_price, score, rank): rank by score, then bid_no, then price; 0 for bids without score.
+
+    Rows that repeat a bid_no are bids of their own; rows equal in all columns have ranks next to each other.
 
     Unknown methods count as BASE_PRICE_LINEAR, a full score that isn't positive as 100.  Bids above the control price
     score 0.  For HEBEI_DUAL_RANDOM see ``score_matrix``.
@@ -79,8 +90,8 @@ def score_prices(
     m, full = METHODS[method] | (params or {}), full_score if full_score and full_score > 0 else 100.0
     price = F.col(price_col).cast("double")
     rows = bids.where(valid(price)).select(group_col, bid_col, price.alias("price"), *([F.col(control_col).cast("double").alias("control")] if control_col else []))
-    base = base_price(bids, m["base"], m.get("drop_n", 0), control_col, group_col, price_col).select(F.col(group_col).alias("__g"), F.col("value").alias("base_price"))
-    rows = rows.join(base, rows[group_col].eqNullSafe(F.col("__g"))).drop("__g")
+    based = _based(rows, {"__b": m["base"]}, m.get("drop_n", 0), group_col, F.col("control") if control_col else None)
+    rows = based.withColumn("base_price", F.col("__b.value")).drop("__b")
     p, b = F.col("price"), F.col("base_price")
     if method == "LOWEST_FULL":
         score = _fix(full * (b / p))
@@ -95,20 +106,24 @@ def score_prices(
     if control_col:
         score = F.when(F.coalesce(valid(F.col("control")) & (p > F.col("control")), F.lit(False)), 0.0).otherwise(score)
     scored = rows.withColumn("score", score)
-    order = Window.partitionBy(group_col, F.col("score") > 0).orderBy(F.desc("score"), bid_col)
+    order = Window.partitionBy(group_col, F.col("score") > 0).orderBy(F.desc("score"), bid_col, "price")
     return scored.select(group_col, bid_col, "price", "base_price", "score", F.when(F.col("score") > 0, F.row_number().over(order)).otherwise(0).alias("rank"))
 
 
 def score_matrix(bids: DataFrame, params: dict | None = None, full_score: float = 100.0, group_col: str = "group_id", bid_col: str = "bid_no", price_col: str = "price") -> DataFrame:
-    """(group, algorithm, base_price, bid_no, price, score): the scores under each base that may be drawn."""
+    """(group, algorithm, base_price, bid_no, price, score): the scores under each base that may be drawn.
+
+    Bids that aren't valid and groups without valid bids have no rows.
+    """
     m = METHODS["HEBEI_DUAL_RANDOM"] | (params or {})
     price = F.col(price_col).cast("double")
-    grouped = bids.where(valid(price)).groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(price.alias("price"), F.col(bid_col).alias("bid_no")))).alias("b"))
-    grouped = grouped.withColumn("p", F.transform("b", lambda x: x["price"]))
-    bases = F.array(*[F.struct(F.lit(a).alias("algorithm"), _base(F.col("p"), a, m["drop_n"], None, False)["value"].alias("base_price")) for a in m["candidates"]])
-    each = grouped.select(group_col, "b", F.explode(bases).alias("a")).select(group_col, "a.*", F.explode("b").alias("x"))
-    score = _linear(F.col("x.price"), F.col("base_price"), m["above_penalty"], m["below_penalty"], full_score)
-    return each.select(group_col, "algorithm", "base_price", F.col("x.bid_no").alias(bid_col), F.col("x.price").alias("price"), score.alias("score"))
+    rows = bids.where(valid(price)).select(group_col, F.col(bid_col).alias(bid_col), price.alias("price"))
+    named = {f"__b{i}": a for i, a in enumerate(m["candidates"])}
+    based = _based(rows, named, m["drop_n"], group_col)
+    bases = F.array(*[F.struct(F.lit(a).alias("algorithm"), F.col(f"{c}.value").alias("base_price")) for c, a in named.items()])
+    each = based.select(group_col, bid_col, "price", F.inline(bases))
+    score = _linear(F.col("price"), F.col("base_price"), m["above_penalty"], m["below_penalty"], full_score)
+    return each.select(group_col, "algorithm", "base_price", bid_col, "price", score.alias("score"))
 
 
 def price_pattern(bids: DataFrame, group_col: str = "group_id", bid_col: str = "bid_no", price_col: str = "price") -> DataFrame:

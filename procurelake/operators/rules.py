@@ -115,7 +115,7 @@ def _finding(rule: Rule, n: Column, expected: str, actual: Column, severity: Col
     )
 
 
-def _one(rule: Rule) -> Column:
+def _one(rule: Rule, text_most: int) -> Column:
     """The rule's findings over the facts of a row: an array of none or one, null if its facts weren't collected."""
     e, d = rule.expect, rule.detect
     none = F.array().cast(FINDING)
@@ -126,9 +126,12 @@ def _one(rule: Rule) -> Column:
     flat = lambda ps, field: F.flatten(F.transform(ps, lambda p: F.coalesce(p[field], F.array())))
     unset = _finding(rule, F.lit(0), "", F.lit(NOT_SET), F.lit("WARN"))
     if d == "text.pattern":
-        hits = pattern_hits(F.coalesce("text", F.lit("")), rule, TEXT_MOST)
-        sample = F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: F.concat(F.lit("「"), h["match"], F.lit("」"))), "、")
-        return when(F.size(hits) > e.get("occurrences", 0), _finding(rule, F.size(hits), f"≤ {e.get('occurrences', 0)}", sample))
+        text, most = F.coalesce("text", F.lit("")), e.get("occurrences", 0)
+        quoted = lambda hits: F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: F.concat(F.lit("「"), h["match"], F.lit("」"))), "、")
+        # hits are written once, and worked out only where one of the patterns occurs
+        tested = F.transform(F.array(pattern_hits(text, rule, text_most)), lambda hits: _finding(rule, F.size(hits), f"≤ {most}", quoted(hits)))
+        some = text.rlike("|".join(f"(?:{p})" for p in e["patterns"]))
+        return F.when(some, F.filter(tested, lambda f: f["n"] > most)).otherwise(none)
     if d.startswith("metadata."):
         got = F.coalesce(F.col("metadata")[d.split(".")[1]], F.lit(""))
         bad = got != "" if e.get("must_be_empty") else (got != "") & ~F.lower(got).isin([v.lower() for v in e["neutral"]])
@@ -195,11 +198,15 @@ def _one(rule: Rule) -> Column:
     return F.when(there, out)
 
 
-def findings(facts: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id") -> DataFrame:
-    """(id, checked, skipped, found): found is the array of findings; a rule whose facts are missing is skipped."""
+def findings(facts: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_most: int = TEXT_MOST) -> DataFrame:
+    """(id, checked, skipped, found): found is the array of findings; a rule whose facts are missing is skipped.
+
+    A text rule looks at the first ``text_most`` matches of each of its patterns, so n is at most that for each of them;
+    whether a rule is broken doesn't depend on it unless all of those are excused.
+    """
     columns = {f.split()[0]: f.split(None, 1)[1] for f in _split_fields(FACTS)}
     have = facts.select(id_col, *[(F.col(c).cast(t) if c in facts.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
-    each = F.array(*[_one(r) for r in rules]) if rules else F.array().cast(f"array<{FINDING}>")
+    each = F.array(*[_one(r, text_most) for r in rules]) if rules else F.array().cast(f"array<{FINDING}>")
     got = have.select(id_col, each.alias("e"))
     return got.select(id_col, F.size(F.filter("e", lambda x: x.isNotNull())).alias("checked"), F.size(F.filter("e", lambda x: x.isNull())).alias("skipped"), F.flatten(F.filter("e", lambda x: x.isNotNull())).alias("found"))
 

@@ -66,3 +66,7 @@ CITATION = r"(SL\s?\d+|GB/?T?\s?\d+|DL/T\s?\d+|JGJ\s?\d+|CJJ\s?\d+|\d+(?:\.\d+)?
 CATEGORIES = ["废标条款", "资质门槛", "评分标准", "格式要求", "商务条款"]
 FALLBACK_CATEGORY = "商务条款"
 MANDATORY = ["废标条款", "资质门槛"]
+
+# What a requirement's check can come to.
+STATUSES = ["完全响应", "部分响应", "缺失"]
+MISSING = "缺失"

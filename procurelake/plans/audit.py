@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procurelake.functions.text import bare
 from procurelake.operators import collusion, rules
 from procurelake.sources.docx import read_docx_facts
 
@@ -21,7 +22,7 @@ def collusion_report(docs: DataFrame, prices: DataFrame | None = None, project_c
     fit = collusion.eligible(docs)
     fps = collusion.simhash(fit).join(fit.select(F.col("doc_id").alias("__d"), project_col), F.col("doc_id") == F.col("__d")).drop("__d")
     pairs = collusion.all_pairs(fps, project_col)
-    short = docs.groupBy(F.col(project_col).alias("__p")).agg(F.count_if(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) < collusion.MIN_CHARS).alias("skipped_short"))
+    short = docs.groupBy(F.col(project_col).alias("__p")).agg(F.count_if(F.length(bare(F.coalesce("text", F.lit("")))) < collusion.MIN_CHARS).alias("skipped_short"))
     risk = collusion.project_risk(pairs, prices, project_col)
     full = short.join(risk, F.col("__p") == F.col(project_col), "left").drop(project_col).withColumnRenamed("__p", project_col)
     return pairs, full.fillna({"high": 0, "medium": 0, "max_distance": 0, "pattern": False, "risk": "LOW"})

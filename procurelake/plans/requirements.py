@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,23 +11,41 @@ from pyspark.sql import functions as F
 
 from procurelake.functions.text import clip
 from procurelake.operators.evidence import dedup_requirements, normalize_requirements
-from procurelake.operators.retrieval import CHUNK, OVERLAP, chunk
+from procurelake.operators.retrieval import CHUNK, OVERLAP, chunk, extract_json
 
 
-def extract_requirements(tenders: DataFrame, extractor: Callable[[str], str], size: int = CHUNK, overlap: int = OVERLAP, most_chars: int = 120_000) -> DataFrame:
+def answered(extractor: Callable[[str], str], chunk: str, attempts: int) -> str:
+    """The JSON array that an extractor answers with, bare or as the list in an object; ``[]`` after the last attempt."""
+    for _ in range(attempts):
+        try:
+            said = extractor(chunk)
+            found = json.loads(extract_json(said) or "null") if said.lstrip().startswith(("{", "`")) and "[" in said and not said.lstrip().startswith("```json\n[") else json.loads(said.replace("```json", "").replace("```", ""))
+        except Exception:  # noqa: BLE001, S112 - whatever a model's client raises
+            continue
+        if isinstance(found, dict):
+            found = next((v for v in found.values() if isinstance(v, list)), None)
+        if isinstance(found, list):
+            return json.dumps(found, ensure_ascii=False)
+    return "[]"
+
+
+def extract_requirements(tenders: DataFrame, extractor: Callable[[str], str], size: int = CHUNK, overlap: int = OVERLAP, most_chars: int | None = 120_000, attempts: int = 3) -> DataFrame:
     """(tender_id, id, source_chunk, category, content, mandatory, keywords) of tenders (tender_id, text).
 
     ``extractor`` gives a JSON array of requirements for a chunk's text; it runs in Python workers, a batch of chunks at a
     time, and is the only part that may be a model.  What it returns is tidied, and of requirements of a tender that
-    start alike the first stays.  Blank tenders have none.
+    start alike the first stays.  Blank tenders have none.  Text after ``most_chars`` characters is left out; None reads
+    all of it.  An answer that is no JSON array, or holds none, and an error are tried again, ``attempts`` times in all;
+    then the chunk counts as one without requirements, so that one bad answer doesn't end the job.
     """
-    docs = tenders.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("tender_id", clip(F.col("text"), most_chars).alias("text"))
+    text = F.col("text") if most_chars is None else clip(F.col("text"), most_chars)
+    docs = tenders.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("tender_id", text.alias("text"))
     chunks = chunk(docs, size, overlap, "tender_id")
     tender = docs.schema["tender_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"tender_id": b["tender_id"], "chunk_no": b["chunk_no"], "json": [extractor(c) for c in b["chunk"]]})
+            yield pd.DataFrame({"tender_id": b["tender_id"], "chunk_no": b["chunk_no"], "json": [answered(extractor, c, attempts) for c in b["chunk"]]})
 
     raw = chunks.mapInPandas(run, f"tender_id {tender}, chunk_no int, json string")
     keyed = raw.withColumn("place", F.struct("tender_id", "chunk_no"))

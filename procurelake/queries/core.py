@@ -194,18 +194,71 @@ def extract_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compliance(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    reqs = table(spark, sf, "benchmark").select((F.col("item_id") % 7).alias("project_id"), F.col("item_id").alias("req_id"), F.slice(F.split("text", " "), 1, 5).alias("keywords"))
-    drafts = docs.where("doc_id < 7").select(F.col("doc_id").alias("project_id"), F.col("text").alias("draft"))
-    return evidence.check_compliance(reqs, drafts).select("project_id", "req_id", "status", F.col("n_hit").cast("long").alias("n_hit"))
-
-
-def compliance_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a draft, against the requirements of its remainder by seven."""
     docs = _docs(spark, sf).select(F.col("doc_id").alias("project_id"), F.col("text").alias("draft"))
     asked = table(spark, sf, "benchmark").select((F.col("item_id") % 7).alias("k"), F.col("item_id").alias("req_id"), F.slice(F.split("text", " "), 1, 5).alias("keywords"))
     reqs = docs.select("project_id", (F.col("project_id") % 7).alias("k")).join(asked, "k").drop("k")
-    return evidence.check_compliance(reqs, docs).select("project_id", "req_id", "status", F.col("n_hit").cast("long").alias("n_hit"))
+    return evidence.check_compliance(reqs, docs).select("project_id", "req_id", "status", "evidence", F.col("n_hit").cast("long").alias("n_hit"))
+
+
+def rule_categories(spark: SparkSession, sf: str) -> DataFrame:
+    text_rules = tuple(r for r in DISCLOSURE if r.detect == "text.pattern")
+    found = rules.findings(_docs(spark, sf).select("doc_id", "text"), text_rules)
+    return rules.by_category(rules.finding_rows(found))
+
+
+def leak_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.leak_summary(pii.scan_disclosure(_docs(spark, sf)))
+
+
+def constraints_docs(spark: SparkSession, sf: str) -> DataFrame:
+    got = clauses.parse_constraints(_docs(spark, sf), lists=LATIN_CLAUSES)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return got.select("doc_id", "duration_days", long("n_chars"), long("sentence_count"), long("asks_count"), long("names_count"))
+
+
+def collusion_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight documents and the bids of one part make a tender."""
+    from procurelake.plans.audit import collusion_report
+
+    docs = _docs(spark, sf).select("doc_id", "text", F.floor(F.col("doc_id") / 8).alias("project_id"))
+    prices = _bids(spark, sf).withColumnRenamed("group_id", "project_id")
+    risk = collusion_report(docs, prices)[1]
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return risk.select("project_id", long("high"), long("medium"), long("max_distance"), "pattern", "risk", long("skipped_short"))
+
+
+def facts_merged(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    old = docs.select(F.col("doc_id").alias("project_id"), F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("source"), F.coalesce("source", F.lit(""))).alias("facts"))
+    new = docs.where("n_chars > 500").select(F.col("doc_id").alias("project_id"), F.create_map(F.lit("source"), F.upper(F.coalesce("source", F.lit(""))), F.lit("size"), F.col("n_chars").cast("string")).alias("facts"))
+    return evidence.merge_facts(old, new).select("project_id", F.explode("facts").alias("fact_key", "value"))
+
+
+def requirements_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """Two entries a document, of which the language is too short to stay."""
+    item = F.struct(F.when(F.col("doc_id") % 3 == 0, "资质门槛").otherwise(F.col("source")).alias("category"), F.col("text").alias("content"), F.split("text", " ").alias("keywords"))
+    short = F.struct(F.lit("废标条款").alias("category"), F.substring("lang", 1, 3).alias("content"), F.array(F.lit("x")).alias("keywords"))
+    raw = _docs(spark, sf).select(F.col("doc_id").alias("tender_id"), F.to_json(F.array(short, item)).alias("json"))
+    got = evidence.normalize_requirements(raw)
+    return got.select("tender_id", "id", "category", F.md5("content").alias("digest"), "mandatory", F.array_join("keywords", "|").alias("keywords"))
+
+
+def industry_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """Industry packs written as files, read again and used."""
+    from procurelake.packs import files
+    from procurelake.storage import Scratch
+
+    folder = Scratch(spark, "packs").path("industries")
+    files.write_packs(spark, folder, {f"pack_{key}": {"key": key, "name": name, "keywords": words, "ord": i} for i, (name, key, words) in enumerate(LATIN_INDUSTRIES)})
+    pack = files.industries(files.choose(files.read_packs(spark, folder, "industry"), "all"))
+    return clauses.detect_industry(_docs(spark, sf), pack).select("doc_id", "name", "pack_key", "confidence", F.array_join("matched_keywords", "|").alias("matched"))
+
+
+def score_table(spark: SparkSession, sf: str) -> DataFrame:
+    """How many bids of each method's table have a score, and the best of each tender."""
+    got = pricing.score_prices(_bids(spark, sf), "BASE_PRICE_LINEAR")
+    return got.groupBy("group_id").agg(F.count_if(F.col("rank") > 0).alias("n_ranked"), F.max(F.col("rank").cast("long")).alias("last_rank"), F.max("score").alias("best"))
 
 
 def requirement_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +272,8 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.chunk(_docs(spark, sf)).select("doc_id", "chunk_no", F.length("chunk").alias("len"))
+    got = retrieval.chunk(_docs(spark, sf))
+    return got.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("len"), F.md5("chunk").alias("digest"))
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,5 +308,6 @@ QUERIES = {
     "rule_verdict": rule_verdict, "template_match": template_match, "geometry_verdict": geometry_verdict, "simhash_pairs": simhash_pairs, "simhash_groups": simhash_groups, "price_pattern": price_pattern,
     "price_score_linear": _scored("BASE_PRICE_LINEAR"), "price_score_lowest": _scored("LOWEST_FULL"), "price_score_ratio": _scored("BASE_PRICE_RATIO"), "price_score_reasonable": _scored("REASONABLE_LOW", limited=True),
     "price_matrix": price_matrix, "precheck_items": precheck_items, "precheck_summary": precheck_summary, "fact_check": fact_check, "fact_check_docs": fact_check_docs, "facts_check": facts_check, "extract_facts": extract_facts,
-    "compliance": compliance, "compliance_docs": compliance_docs, "requirement_dedup": requirement_dedup, "chunk_fixed": chunk_fixed, "chunk_text": chunk_text, "hybrid_topk": hybrid_topk, "kb_flatten": kb_flatten, "docx_audit": docx_audit, "event_windows": event_windows,
+    "compliance": compliance, "rule_categories": rule_categories, "leak_summary": leak_summary, "constraints_docs": constraints_docs, "collusion_risk": collusion_risk, "facts_merged": facts_merged,
+    "requirements_normalized": requirements_normalized, "industry_packs": industry_packs, "score_table": score_table, "requirement_dedup": requirement_dedup, "chunk_fixed": chunk_fixed, "chunk_text": chunk_text, "hybrid_topk": hybrid_topk, "kb_flatten": kb_flatten, "docx_audit": docx_audit, "event_windows": event_windows,
 }

@@ -183,7 +183,7 @@ def _score(base: str, score: str, limit: bool = False) -> str:
     bids = "select b.*, p_retailprice * 40 control from b join part on p_partkey = group_id" if limit else "select *, null::double control from b"
     return f"""with b as ({BIDS}), c as ({bids}), g as (select group_id, list_sort(list(price)) p from c group by 1), a as (select group_id, {BASES[base]} base_price from g),
 s as (select group_id, bid_no, price, base_price, case when price > control then 0 else ({score})::double end::double score from c join a using (group_id))
-select *, (case when score > 0 then row_number() over (partition by group_id, score > 0 order by score desc, bid_no) else 0 end)::bigint as rank from s"""
+select *, (case when score > 0 then row_number() over (partition by group_id, score > 0 order by score desc, bid_no, price) else 0 end)::bigint as rank from s"""
 
 
 def _matrix() -> str:
@@ -238,13 +238,54 @@ def _extract_facts() -> str:
     return f"with x as (select project_id, string_agg(content, chr(10) order by ord) t from {_values(rows, 'project_id, ord, content')} group by 1) select * from ({parts}) where value <> ''"
 
 
-COMPLIANCE = """with r as (select item_id % 7 project_id, item_id req_id, string_split(text, ' ')[1:5] k from benchmark), d as (select doc_id project_id, text draft from documents where doc_id < 7),
-h as (select project_id, req_id, len(k) n, len(list_filter(k, lambda w: contains(lower(coalesce(draft, '')), lower(w)))) hit from r left join d using (project_id))
-select project_id, req_id, case when n > 0 and hit >= greatest(1, n // 2) then '完全响应' else '缺失' end status, hit::bigint n_hit from h"""
+def _compliance() -> str:
+    off = "instr(lower(draft), lower(hit[1])) - 1"
+    return f"""with r as (select doc_id project_id, item_id req_id, string_split(b.text, ' ')[1:5] k, coalesce(d.text, '') draft from documents d join benchmark b on d.doc_id % 7 = b.item_id % 7),
+h as (select project_id, req_id, draft, len(k) n, list_filter(k, lambda w: contains(lower(draft), lower(w))) every, list_filter(k, lambda w: w <> '' and contains(lower(draft), lower(w))) hit from r),
+s as (select *, n > 0 and len(every) >= greatest(1, n // 2) met, {off} p from h)
+select project_id, req_id, case when met then '完全响应' else '缺失' end status,
+       case when met and len(hit) > 0 then {_squeeze("substr(draft, greatest(p - 80, 0) + 1, least(p, 80) + length(hit[1]) + 80)")} else '' end evidence, len(every)::bigint n_hit from s"""
+
+
+def _risk() -> str:
+    return f"""with {FINGERPRINTS}, x as (select doc_id // 8 project, doc_id, fp from f),
+p as (select a.project, bit_count(xor(a.fp, b.fp))::bigint d from x a join x b on a.project = b.project and a.doc_id < b.doc_id),
+t as (select project, count(*) filter (d <= 3) high, count(*) filter (d > 3 and d <= 10) medium, max(d) max_distance from p group by 1),
+pr as (select group_id project, detected as pattern from ({_pattern()}) where group_id >= 0),
+k as (select doc_id // 8 project, count(*) filter (length({_bare("coalesce(text, '')")}) < 30) skipped_short from documents group by 1)
+select k.project::bigint project_id, coalesce(high, 0)::bigint high, coalesce(medium, 0)::bigint medium, coalesce(max_distance, 0)::bigint max_distance, coalesce(pattern, false) as pattern,
+       case when coalesce(high, 0) > 0 or coalesce(pattern, false) then 'HIGH' when coalesce(medium, 0) > 0 then 'MEDIUM' else 'LOW' end risk, skipped_short from k left join t using (project) left join pr using (project)"""
+
+
+def _chunks() -> str:
+    size, overlap, back = 6000, 400, 800
+    line = "case when contains({p}, chr(10) || chr(10)) then length({p}) - instr(reverse({p}), chr(10) || chr(10)) - 1 else -1 end".replace("{p}", f"substr(text, 1, pos + {size} + 2)")
+    stop = f"case when pos + {size} >= length(text) then length(text) when {line} > greatest(pos, pos + {size} - {back}) then {line} else pos + {size} end"
+    return f"""with recursive c as (select doc_id, text, 0::bigint as chunk_no, 0::bigint as pos, ({stop.replace("pos", "0")})::bigint as e from documents where length(text) > 0
+union all select doc_id, text, chunk_no + 1, pos, ({stop})::bigint from (select doc_id, text, chunk_no, greatest(e - {overlap}, pos + 1) as pos from c where e < length(text)))
+select doc_id, chunk_no, e - pos as len, md5(substr(text, pos + 1, e - pos)) digest from c"""
+
+
+def _flat() -> str:
+    """The pack of the query, list by list."""
+    return """with p as (select 'water' k, [{'t': '施工导流', 'c': '导流方案', 'g': ['导流']}, {'t': '度汛', 'c': '度汛方案', 'g': []}] outline, [{'t': '防渗墙', 'c': '工法', 'g': []::varchar[]}] methods)
+select k || '/overview' doc_id, 'overview' kind, '水利水电' title, k tags, '概述' as content from p
+union all select k || '/outline/' || (i - 1), 'outline', outline[i].t, array_to_string([k, 'outline'] || outline[i].g::varchar[], '|'), outline[i].c from p, unnest(range(1, len(outline) + 1)) u(i)
+union all select k || '/methods/' || (i - 1), 'methods', methods[i].t, array_to_string([k, 'methods'] || methods[i].g::varchar[], '|'), methods[i].c from p, unnest(range(1, len(methods) + 1)) u(i)"""
+
+
+def _geometry() -> str:
+    """The inline documents with one paragraph each, against the limits of the provincial template."""
+    names = "doc_id, font, size, color, rule, pt, indent, align, before, after, top, rest, pages"
+    rows = [("good", "宋体", 14.0, "000000", "exact", 30.0, 2.0, "justify", 0.0, 0.0, 2.5, 2.0, 10), ("bad", "Arial", 12.0, "00FF00", None, None, 0.0, "left", 6.0, 0.0, 3.0, 2.0, 200), ("near", "宋体", 14.0, "000000", "exact", 30.0, 2.0, "justify", 0.0, 0.0, 2.5, 2.0, 110)]
+    total, common = len(core.rules.effective_rules(core.rules.choose_template(core.date(2025, 1, 1), industry="工程"))), len(DISCLOSURE)
+    reject = ["font not in ('宋体', 'SimSun')", "abs(size - 14) > 0.01", "coalesce(rule <> 'exact' or abs(pt - 30) > 0.5, true)", "abs(top - 2.5) > 0.05 or abs(rest - 2) > 0.05", "color not in ('000000', 'auto', '')", "pages > 125"]
+    warn = ["pages > 100 and pages <= 125", "abs(indent - 2) > 0.3", "align <> 'justify'", "abs(before) > 0.5 or abs(after) > 0.5"]
+    n = lambda conditions: " + ".join(f"({c})::int" for c in conditions)
+    return f"""with d as (select *, {n(reject)} reject, {n(warn)} warn from {_values(rows, names)}),
+e as (select doc_id, {total} checked, 0 skipped, reject, warn from d union all select 'none', {common}, {total - common}, 0, 0)
+select doc_id, case when reject > 0 then 'REJECT' when warn > 0 then 'WARN' else 'PASS' end verdict, greatest(0, 100 - least(15 * reject, 60) - least(3 * warn, 30))::double score, {total} rule_count, checked, skipped, reject, warn, 0 info, reject + warn rules_triggered from e"""
 
-COMPLIANCE_DOCS = """with r as (select doc_id project_id, item_id req_id, string_split(b.text, ' ')[1:5] k, d.text draft from documents d join benchmark b on d.doc_id % 7 = b.item_id % 7),
-h as (select project_id, req_id, len(k) n, len(list_filter(k, lambda w: contains(lower(coalesce(draft, '')), lower(w)))) hit from r)
-select project_id, req_id, case when n > 0 and hit >= greatest(1, n // 2) then '完全响应' else '缺失' end status, hit::bigint n_hit from h"""
 
 ORACLE_SQL = {
     "pii_mask": _pii_mask(),
@@ -275,8 +316,18 @@ ORACLE_SQL = {
     "fact_check_docs": f"with {_cited('(select doc_id section_id, text from documents)', chr(40) + 'select item_id section_id, ' + chr(39) * 2 + ' source, text as content from benchmark)')} select x.section_id, len(x.l)::bigint total_sentences, count(c.s) factual_sentences, count(c.s) filter (c.cited) cited, count(c.s) filter (not c.cited) uncited from x left join c using (section_id) group by 1, 2",
     "facts_check": _facts_check(),
     "extract_facts": _extract_facts(),
-    "compliance": COMPLIANCE,
-    "compliance_docs": COMPLIANCE_DOCS,
+    "compliance": _compliance(),
+    "rule_categories": f"select doc_id, 'DISCLOSURE' category, count(distinct rule_id)::bigint reject, 0::bigint warn, 0::bigint info from ({_disclosure_rows()}) group by 1",
+    "leak_summary": f"select doc_id, rule_id, count(*) n from ({_disclosure_rows()}) group by 1, 2",
+    "constraints_docs": f"with x as (select doc_id, text, {_sentences('text', 6)} l from documents) select doc_id, try_cast(nullif(regexp_extract(text, {_q(L.DURATION)}, 1), '') as int) duration_days, length(text) n_chars, len(l) sentence_count, " + ", ".join(f"len(list_filter(l, lambda s: len({_present('s', w)}) > 0 and len({_present('s', n)}) = 0)) {k}_count" for k, (w, n) in core.LATIN_CLAUSES.items()) + " from x",
+    "collusion_risk": _risk(),
+    "facts_merged": "select doc_id project_id, unnest(['lang', 'source']) fact_key, unnest([coalesce(lang, ''), case when n_chars > 500 then upper(coalesce(source, '')) else coalesce(source, '') end]) as value from documents union all select doc_id, 'size', n_chars::varchar from documents where n_chars > 500",
+    "requirements_normalized": f"with x as (select doc_id, {_trim('text')} t, string_split(text, ' ') k, case when doc_id % 3 = 0 then '资质门槛' when list_contains({_list(L.CATEGORIES)}, source) then source else '商务条款' end category from documents) select doc_id tender_id, 'R001' id, category, md5(t) digest, list_contains({_list(L.MANDATORY)}, category) mandatory, array_to_string(k[1:5], '|') keywords from x where length(t) >= 4",
+    "industry_packs": _industry("documents", core.LATIN_INDUSTRIES),
+    "score_table": f"select group_id, count(*) filter (rank > 0) n_ranked, max(rank) last_rank, max(score) best from ({_score('AVG_DROP', LINEAR)}) group by 1",
+    "geometry_verdict": _geometry(),
+    "kb_flatten": _flat(),
+    "chunk_text": _chunks(),
     "requirement_dedup": f"with i as (select conv_id % 11 tender_id, conv_id chunk_no, turn item_no, substr({_bare('text')}, 1, 40) k from conversations), f as (select *, row_number() over (partition by tender_id, k order by chunk_no, item_no) n from i) select tender_id, chunk_no, item_no, format('R{{:03d}}', row_number() over (partition by tender_id order by chunk_no, item_no)) id from f where n = 1",
     "chunk_fixed": "select doc_id, i::bigint chunk_no, md5(substr(text, i * 900 + 1, 1000)) digest, length(substr(text, i * 900 + 1, 1000)) len from documents, unnest(range(0, greatest(ceil((length(text) - 100) / 900.0), 1)::bigint)) t(i) where length(text) > 0",
     "hybrid_topk": "with q as (select * from embeddings where vec_id % 100 = 0), s as (select q.vec_id query_id, d.vec_id doc_id, 0.3 * list_cosine_similarity(q.embedding::double[], d.embedding::double[]) + 0.7 * case when q.label = d.label then 1 else 0 end similarity from q, embeddings d), r as (select *, row_number() over (partition by query_id order by similarity desc, doc_id) as rank from s where similarity >= 0.2) select query_id, doc_id, round(similarity, 6) similarity, rank from r where rank <= 8",

@@ -1,13 +1,14 @@
 """Tables written between steps, in the folder that driver and executors share.
 
 Writing a step's rows and reading them back cuts the lineage, so a lost executor costs a re-read
-and not a re-run.  The folder is ``spark.checkpoint.dir``; where the session has none (tests on one
-machine) a temporary folder is made and set.
+and not a re-run.  The folder is ``spark.checkpoint.dir``; where a session on one machine has none (tests) a temporary
+folder is made and set, and on a cluster that is an error, as its machines would each write to their own disk.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         placed = spark.sparkContext._jsc.sc().getCheckpointDir()
         if placed.isDefined():
             found = placed.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             found = tempfile.mkdtemp(prefix="procurelake-")
             spark.sparkContext.setCheckpointDir(found)

@@ -42,7 +42,7 @@ def test_rows_only_queries(spark):
 
 
 def test_compliance_takes_every_document(spark):
-    got = QUERIES["compliance_docs"](spark, SMALL).select("project_id").distinct()
+    got = QUERIES["compliance"](spark, SMALL).select("project_id").distinct()
     assert got.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
 
 
