@@ -245,3 +245,63 @@ def test_extract_requirements(spark):
 
     got = extract_requirements(spark.createDataFrame([(1, "a" * 90 + "b" * 90), (2, " "), (3, None)], "tender_id long, text string"), extractor, size=100, overlap=10).orderBy("id").collect()
     assert [(r.id, r.source_chunk, r.mandatory) for r in got] == [("R001", 0, True), ("R002", 0, False), ("R003", 1, False)]
+
+
+def test_repeated_bid_numbers_rank_by_price(spark):
+    rows = [(1, 7, 900.0), (1, 7, 850.0), (1, 7, 800.0), (1, 7, 850.0), (1, 5, 1000.0), (1, None, 870.0)]
+    df = spark.createDataFrame(rows, "group_id long, bid_no long, price double")
+    for parts in (1, 5):
+        got = pricing.score_prices(df.repartition(parts), "BASE_PRICE_RATIO").collect()
+        assert sorted((r.rank, r.bid_no, r.price) for r in got if r.score == 100) == [(1, None, 870.0), (2, 7, 800.0), (3, 7, 850.0), (4, 7, 850.0)]
+    assert pricing.score_prices(df, control_col=None).count() == 6
+
+
+def test_packs_from_files(spark, tmp_path):
+    from procurelake.packs import files
+    from procurelake.packs.rules import FAIRNESS, INDUSTRIES
+
+    files.write_packs(spark, str(tmp_path / "t"), {f"file{i}": files.as_json(t) for i, t in enumerate(TEMPLATES)})
+    read = files.read_packs(spark, str(tmp_path / "t"), "template")
+    assert sorted(files.templates(read), key=lambda t: t.id) == sorted(TEMPLATES, key=lambda t: t.id)
+    assert files.templates(files.choose(read, "file0.json")) == files.templates(files.choose(read, TEMPLATES[0].id)) == (TEMPLATES[0],)
+    with pytest.raises(ValueError, match="no pack"):
+        files.choose(read)
+    files.write_packs(spark, str(tmp_path / "i"), {k: {"name": n, "keywords": w, "ord": i, "key": k if i else None} for i, (n, k, w) in enumerate(INDUSTRIES)})
+    packs = files.read_packs(spark, str(tmp_path / "i"), "industry")
+    assert files.industries(files.choose(packs, "all")) == INDUSTRIES and files.industries(files.choose(packs))[0][1] == "water"
+    files.write_packs(spark, str(tmp_path / "f"), {"fair": {"rules": [{"id": r.id, "type": r.type, "category": r.category, "keywords": r.keywords, "patterns": r.patterns} for r in FAIRNESS]}})
+    assert files.fairness(files.read_packs(spark, str(tmp_path / "f"), "fairness")) == FAIRNESS
+
+
+def test_judged_requirements(spark):
+    checked = spark.createDataFrame([(1, "R1", "缺失", "", "c"), (1, "R2", "完全响应", "e", ""), (1, "R3", "缺失", "", "c")], "project_id long, req_id string, status string, evidence string, comment string")
+    judged = spark.createDataFrame([(1, "R1", "部分响应", "x", None), (1, "R2", "缺失", "", ""), (1, "R3", "不明", None, "why"), (1, "R3", "不明", None, "why")], checked.schema)
+    got = {r.req_id: (r.status, r.evidence, r.comment) for r in evidence.judge_pending(checked, judged).collect()}
+    assert got == {"R1": ("部分响应", "x", ""), "R2": ("完全响应", "e", ""), "R3": ("缺失", "", "why")}
+
+
+def test_extractor_is_asked_again():
+    from procurelake.plans.requirements import answered
+
+    said = iter(["no json", '{"items": [{"content": "甲"}]}'])
+    assert answered(lambda _: next(said), "x", 3) == '[{"content": "甲"}]'
+    assert answered(lambda _: "```json\n[1]\n```", "x", 1) == "[1]"
+    calls = []
+
+    def fails(_):
+        calls.append(1)
+        raise TimeoutError
+
+    assert answered(fails, "x", 3) == "[]" and len(calls) == 3
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "工期 30 天 投标文件作废的情形"), (1, "工期 30 天 投标文件作废的情形"), (1, None), (None, "x")], "doc_id long, text string")
+    assert clauses.parse_constraints(df).count() == 4 and collusion.simhash(df).count() == 4
+    named = df.select("doc_id", F.col("text").alias("t"), F.lit(1).alias("n"), F.lit(2).alias("fp"), F.lit("k").alias("letters"))
+    assert collusion.simhash(named, text_col="t").columns == ["doc_id", "fp"] and clauses.parse_constraints(named, text_col="t").count() == 4
+
+
+def test_leak_summary(spark):
+    hits, masked = pii.scan_and_mask(docs(spark, "电话13900001111，电话13900001112", None))
+    assert {(r.rule_id, r.n) for r in pii.leak_summary(hits).collect()} == {("LEAK.MOBILE", 2)} and masked.count() == 2

@@ -84,3 +84,18 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_no_machine_local_folder_on_clusters(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from procurelake import storage
+
+    none = SimpleNamespace(get=lambda *_: None)
+    undefined = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master, getConf=lambda: none, _jsc=undefined))
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            storage.shared_dir(session)
