@@ -1,6 +1,8 @@
 """The registered queries over the driver's tables, and the SQL that checks them."""
 
-from procurelake.queries.core import QUERIES
-from procurelake.queries.oracle import ORACLE_SQL
+from procurelake.queries import core, oracle, paths
+
+QUERIES = core.QUERIES | paths.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | paths.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -18,55 +18,98 @@ def archive_finals(finals: DataFrame, path: str, mode: str = "append") -> None:
     tidy.write.mode(mode).partitionBy("industry", "year").parquet(path)
 
 
+#: Characters that XML can't hold.
+UNWRITABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def ingest(docs: DataFrame, path: str, dataset_col: str = "dataset", id_col: str = "doc_id") -> DataFrame:
+    """Add documents (dataset, doc_id, content, ...) to the knowledge base in the folder ``path``; (dataset, doc_id, run).
+
+    A dataset is a partition, made at its first document and used again after.  A document that its dataset holds with
+    the same content isn't written again, so a job that failed half-way can be run again whole; of rows that repeat
+    dataset, id and content one is written.  Null datasets go under ``unknown``; null contents are empty.  ``run`` is
+    DONE for what the folder then holds, which is every document.
+    """
+    spark = docs.sparkSession
+    key = [dataset_col, id_col, "digest"]
+    tidy = docs.withColumns({dataset_col: F.coalesce(F.nullif(F.trim(dataset_col), F.lit("")), F.lit("unknown")), "content": F.coalesce("content", F.lit("")), "digest": F.sha2(F.coalesce("content", F.lit("")), 256)}).dropDuplicates(key)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.schema(tidy.schema).parquet(path).select(*[F.col(c).alias(f"__{c}") for c in key])
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+        new = tidy.join(held, same, "left_anti")
+    else:
+        new = tidy
+    new.write.mode("append").partitionBy(dataset_col).parquet(path)
+    return spark.read.schema(tidy.schema).parquet(path).select(dataset_col, id_col, F.lit("DONE").alias("run")).distinct()
+
+
 def blocks(markdown: str) -> list[tuple[str, object]]:
-    """(kind, content) of a Markdown text: h1 to h4, ul, ol, hr, table and p."""
+    """(kind, content) of a Markdown text, line by line: h1 to h4, ul, ol, hr, table, p and blank."""
     out: list[tuple[str, object]] = []
-    for line in (markdown or "").splitlines():
-        s = line.strip()
-        if not s:
-            continue
-        if m := re.match(r"(#{1,4})\s+(.*)", s):
+    for line in UNWRITABLE.sub("", markdown or "").split("\n"):
+        if line.startswith("|"):
+            if not out or out[-1][0] != "table":
+                out.append(("table", []))
+            cells = [c.strip() for c in line.split("|")[1:-1]]
+            if not all(re.fullmatch("[-:]+", c) for c in cells):
+                out[-1][1].append(cells)
+        elif not line.strip():
+            out.append(("blank", ""))
+        elif m := re.match(r"(#{1,4})\s+(.*)", line):
             out.append((f"h{len(m[1])}", m[2]))
-        elif re.fullmatch(r"(-{3,}|\*{3,}|_{3,})", s):
+        elif m := re.match(r"(?:([-*+])|\d+\.)\s+(.*)", line):
+            out.append(("ul" if m[1] else "ol", m[2]))
+        elif re.fullmatch("-{3,}", line.strip()):
             out.append(("hr", ""))
-        elif m := re.match(r"[-*+]\s+(.*)", s):
-            out.append(("ul", m[1]))
-        elif m := re.match(r"\d+[.)]\s+(.*)", s):
-            out.append(("ol", m[1]))
-        elif s.startswith("|"):
-            cells = [c.strip() for c in s.strip("|").split("|")]
-            if all(re.fullmatch(r":?-+:?", c) for c in cells):
-                continue
-            if out and out[-1][0] == "table":
-                out[-1][1].append(cells)
-            else:
-                out.append(("table", [cells]))
         else:
-            out.append(("p", s))
+            out.append(("p", line))
     return out
 
 
+#: Fixed value: what is bold and what is italic within a line.
+MARKED = re.compile(r"\*\*(.+?)\*\*|\*(.+?)\*")
+
+
+def _run(text: str, props: str = "") -> str:
+    return f'<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{escape(text)}</w:t></w:r>' if text else ""
+
+
 def _runs(text: str) -> str:
-    """Runs with bold for ** and italic for *."""
-    out = []
-    for part in re.split(r"(\*\*[^*]+\*\*|\*[^*]+\*)", text):
-        if part:
-            bold, italic = part.startswith("**") and len(part) > 4, part.startswith("*") and not part.startswith("**") and len(part) > 2
-            props = "<w:b/>" if bold else "<w:i/>" if italic else ""
-            out.append(f'<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{escape(part.strip("*") if bold or italic else part)}</w:t></w:r>')
-    return "".join(out)
+    """Runs with bold for ** and italic for *; stars without a partner stay."""
+    out, at = [], 0
+    for m in MARKED.finditer(text):
+        out.append(_run(text[at : m.start()]))
+        out.append(_run(m[1] or m[2], "<w:b/>" if m[1] else "<w:i/>"))
+        at = m.end()
+    return "".join(out) + _run(text[at:])
 
 
 def _paragraph(text: str, props: str = "") -> str:
     return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{_runs(text)}</w:p>"
 
 
+def _table(rows: list[list[str]]) -> str:
+    """A bordered table over the page's width whose first row is its head; nothing without rows."""
+    if not rows:
+        return ""
+    borders = "".join(f'<w:{side} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV"))
+    grid = "<w:gridCol/>" * max(map(len, rows))
+    out = [f'<w:tbl><w:tblPr><w:tblW w:w="5000" w:type="pct"/><w:tblBorders>{borders}</w:tblBorders></w:tblPr><w:tblGrid>{grid}</w:tblGrid>']
+    for i, row in enumerate(rows):
+        style = "" if i else '<w:pStyle w:val="Strong"/>'
+        cells = "".join(f'<w:tc><w:tcPr><w:tcW w:w="0" w:type="auto"/></w:tcPr>{_paragraph(c, style)}</w:tc>' for c in row or [""])
+        out.append(f"<w:tr>{cells}</w:tr>")
+    return "".join(out) + "</w:tbl>"
+
+
 def _body(markdown: str) -> str:
     out = []
     for kind, content in blocks(markdown):
         if kind == "table":
-            rows = "".join("<w:tr>" + "".join(f"<w:tc>{_paragraph(c)}</w:tc>" for c in row) + "</w:tr>" for row in content)
-            out.append(f"<w:tbl>{rows}</w:tbl>")
+            out.append(_table(content))
+        elif kind == "blank":
+            out.append("<w:p/>")
         elif kind == "hr":
             out.append(_paragraph("", '<w:pBdr><w:bottom w:val="single" w:sz="6"/></w:pBdr>'))
         elif kind in ("ul", "ol"):
@@ -93,36 +136,45 @@ def render_docx(markdown: str, title: str = "", author: str = "", header: str =
         f'<w:abstractNum w:abstractNumId="{i}"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="{f}"/><w:lvlText w:val="{t}"/></w:lvl></w:abstractNum>' for i, f, t in ((1, "bullet", "•"), (2, "decimal", "%1."))
     ) + "".join(f'<w:num w:numId="{i}"><w:abstractNumId w:val="{i}"/></w:num>' for i in (1, 2))
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{i}"><w:name w:val="heading {i}"/><w:rPr><w:b/><w:sz w:val="{36 - 4 * i}"/></w:rPr></w:style>' for i in range(1, 5))
+    styles += '<w:style w:type="paragraph" w:styleId="Strong"><w:name w:val="Strong"/><w:rPr><w:b/></w:rPr></w:style>'
+    title, author = (escape(UNWRITABLE.sub("", t)) for t in (title, author))
     parts = {
         "word/document.xml": (f"<w:document {NS}><w:body>{_body(markdown)}{section}</w:body></w:document>", f"{main}.document.main+xml"),
         "word/styles.xml": (f"<w:styles {NS}>{styles}</w:styles>", f"{main}.styles+xml"),
         "word/numbering.xml": (f"<w:numbering {NS}>{numbering}</w:numbering>", f"{main}.numbering+xml"),
         "docProps/core.xml": (
-            f'<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator></cp:coreProperties>',
+            f'<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{title}</dc:title><dc:creator>{author}</dc:creator></cp:coreProperties>',
             "application/vnd.openxmlformats-package.core-properties+xml",
         ),
+        "word/settings.xml": (f'<w:settings {NS}><w:defaultTabStop w:val="720"/></w:settings>', f"{main}.settings+xml"),
+        "docProps/app.xml": ('<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"><Application>procurelake</Application></Properties>', "application/vnd.openxmlformats-officedocument.extended-properties+xml"),
     }
     for k, text in edges:
-        parts[f"word/{k}1.xml"] = (f"<w:{k[0]}{'dr' if k == 'header' else 'tr'} {NS}>{_paragraph(text)}</w:{k[0]}{'dr' if k == 'header' else 'tr'}>", f"{main}.{k}+xml")
+        parts[f"word/{k}1.xml"] = (f"<w:{k[0]}{'dr' if k == 'header' else 'tr'} {NS}>{_paragraph(UNWRITABLE.sub("", text), '<w:jc w:val="center"/>')}</w:{k[0]}{'dr' if k == 'header' else 'tr'}>", f"{main}.{k}+xml")
     types = "".join(f'<Override PartName="/{n}" ContentType="{t}"/>' for n, (_, t) in parts.items())
-    links = f'<Relationship Id="rId1" Type="{REL}/styles" Target="styles.xml"/><Relationship Id="rId2" Type="{REL}/numbering" Target="numbering.xml"/>'
+    links = f'<Relationship Id="rId1" Type="{REL}/styles" Target="styles.xml"/><Relationship Id="rId2" Type="{REL}/numbering" Target="numbering.xml"/><Relationship Id="rId3" Type="{REL}/settings" Target="settings.xml"/>'
     links += "".join(f'<Relationship Id="rId{i}" Type="{REL}/{k}" Target="{k}1.xml"/>' for i, (k, _) in enumerate(edges, 10))
     rels = "http://schemas.openxmlformats.org/package/2006/relationships"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
         package.writestr("[Content_Types].xml", f'{HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>')
-        package.writestr("_rels/.rels", f'{HEAD}<Relationships xmlns="{rels}"><Relationship Id="rId1" Type="{REL}/officeDocument" Target="word/document.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>')
+        package.writestr("_rels/.rels", f'{HEAD}<Relationships xmlns="{rels}"><Relationship Id="rId1" Type="{REL}/officeDocument" Target="word/document.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/><Relationship Id="rId3" Type="{REL}/extended-properties" Target="docProps/app.xml"/></Relationships>')
         package.writestr("word/_rels/document.xml.rels", f'{HEAD}<Relationships xmlns="{rels}">{links}</Relationships>')
         for name, (xml, _) in parts.items():
             package.writestr(name, HEAD + xml)
     return out.getvalue()
 
 
-def render(rows: DataFrame, markdown_col: str = "markdown", title_col: str = "title") -> DataFrame:
-    """``rows`` with the bytes of their OOXML package in ``docx``; write them with any binary sink."""
+def render(rows: DataFrame, markdown_col: str = "markdown", title_col: str = "title", author_col: str | None = None, header_col: str | None = None, footer_col: str | None = None) -> DataFrame:
+    """``rows`` with the bytes of their OOXML package in ``docx``; write them with any binary sink.
+
+    Null texts are empty; without a column, or with a null, there is no author, header or footer.  Characters that XML
+    can't hold are left out.
+    """
 
     @F.pandas_udf("binary")
-    def made(markdown: pd.Series, title: pd.Series) -> pd.Series:
-        return pd.Series([render_docx(m or "", t or "") for m, t in zip(markdown, title, strict=True)])
+    def made(markdown: pd.Series, title: pd.Series, author: pd.Series, header: pd.Series, footer: pd.Series) -> pd.Series:
+        return pd.Series([render_docx(*(x or "" for x in row)) for row in zip(markdown, title, author, header, footer, strict=True)])
 
-    return rows.withColumn("docx", made(F.col(markdown_col), F.col(title_col)))
+    texts = [F.col(c).cast("string") if c else F.lit("") for c in (markdown_col, title_col, author_col, header_col, footer_col)]
+    return rows.withColumn("docx", made(*texts))

@@ -99,3 +99,36 @@ def test_no_machine_local_folder_on_clusters(monkeypatch):
         session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master, getConf=lambda: none, _jsc=undefined))
         with pytest.raises(RuntimeError, match="checkpoint"):
             storage.shared_dir(session)
+
+
+def test_docx_blocks_and_marks():
+    assert sinks.blocks("# a\n\n- b\n1. c\n---\n| x | y |\n|--|:-|\n| 1 | 2 |\n|--|\n d") == [("h1", "a"), ("blank", ""), ("ul", "b"), ("ol", "c"), ("hr", ""), ("table", [["x", "y"], ["1", "2"]]), ("p", " d")]
+    assert sinks.blocks("") == sinks.blocks(None) == [("blank", "")] and sinks.blocks("|--|") == [("table", [])]
+    text = lambda s: parse(sinks.render_docx(s))["text"]
+    assert text("a*** b.*** c*** d") == "a* b. c** d" and text("**x*") == "*x"
+    assert text("x\x01y￾") == "xy"
+
+
+def test_docx_parts_are_xml():
+    import io
+    import zipfile
+    from xml.dom import minidom
+
+    raw = sinks.render_docx("# a\n| b |\n|--|\n| <c> |\n", "t<", "w\x02", header="h&", footer="f")
+    with zipfile.ZipFile(io.BytesIO(raw)) as package:
+        names = set(package.namelist())
+        for name in names:
+            minidom.parseString(package.read(name))
+    assert {"word/settings.xml", "docProps/app.xml", "word/header1.xml", "word/footer1.xml"} <= names
+
+
+def test_ingest_again(spark, tmp_path):
+    rows = [("k", 1, "a"), ("k", 1, "a"), ("k", None, "b"), (None, 2, None), (" ", 3, "c")]
+    docs, place = spark.createDataFrame(rows, "dataset string, doc_id int, content string"), str(tmp_path / "kb")
+    for _ in range(2):
+        told = sinks.ingest(docs, place)
+        assert {tuple(r) for r in told.collect()} == {("k", 1, "DONE"), ("k", None, "DONE"), ("unknown", 2, "DONE"), ("unknown", 3, "DONE")}
+        assert spark.read.parquet(place).count() == 4
+    sinks.ingest(spark.createDataFrame([("k", 1, "new")], docs.schema), place)
+    assert spark.read.parquet(place).count() == 5
+    assert sinks.ingest(docs.limit(0), str(tmp_path / "none")).count() == 0
