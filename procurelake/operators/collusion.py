@@ -15,12 +15,15 @@ from pyspark.sql import types as T
 from procurelake.functions.text import bare
 from procurelake.operators.graph import connected_components
 from procurelake.operators.pricing import price_pattern
+from procurelake.storage import Scratch
 
 #: Characters beside white space below which a document is left out.
 MIN_CHARS = 30
 HIGH, MEDIUM = 3, 10
 #: Character pairs whose hash a worker keeps (some 30 MB).
 PAIRS_KEPT = 200_000
+#: Different fingerprints in a bucket of ``close_pairs`` beyond which it is dealt again by more bits.
+CROWDED = 256
 VERDICTS = ("高度相似", "较相似", "差异明显")
 
 
@@ -81,29 +84,60 @@ def all_pairs(fps: DataFrame, project_col: str, id_col: str = "doc_id") -> DataF
     return a.join(b, "project").where("doc_a < doc_b").select(F.col("project").alias(project_col), "doc_a", "doc_b", distance.alias("distance"), verdict(distance).alias("verdict"))
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def block_masks() -> list[int]:
     """The bits of each three of six blocks, as signed 64-bit integers."""
     ends = [0, 11, 22, 33, 44, 54, 64]
     blocks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
-    masks = [x | y | z for x, y, z in combinations(blocks, 3)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(x | y | z) for x, y, z in combinations(blocks, 3)]
+
+
+def inner_masks() -> list[tuple[int, int]]:
+    """(table, mask): the bits of a table of ``block_masks`` and of each five of eight blocks of its other bits.
+
+    Three bits that differ touch three of the eight blocks at most, so a pair of a table agrees in one of its 56 masks.
+    A mask leaves some twelve bits open, so no more than a few thousand different fingerprints share its value.
+    """
+    out = []
+    for k, mask in enumerate(block_masks()):
+        free = [1 << i for i in range(64) if not mask >> i & 1]
+        blocks = [sum(free[len(free) * i // 8 : len(free) * (i + 1) // 8]) for i in range(8)]
+        out += [(k, _signed(mask % (1 << 64) | sum(five))) for five in combinations(blocks, 5)]
+    return out
 
 
-def close_pairs(fps: DataFrame, id_col: str = "doc_id", within: list[str] | None = None) -> DataFrame:
+def close_pairs(fps: DataFrame, id_col: str = "doc_id", within: list[str] | None = None, crowded: int = CROWDED) -> DataFrame:
     """(within..., doc_a, doc_b, distance): pairs of documents at distance 3 or less.
 
     Of six blocks of bits three stay the same when three bits differ at most (Manku et al., WWW 2007), so a pair agrees in
     one of twenty tables whose keys are three blocks, some 32 bits: chance meetings stay rare for billions of documents.
+    A bucket of more than ``crowded`` different fingerprints isn't paired with itself but dealt again, by the same rule, on
+    the bits that its table leaves open, into buckets that can't outgrow a task; no pair is lost.
     Equal fingerprints are one class, and a class's members pair with its least member only: the groups stay the
-    same while copies don't multiply.  Null ids are left out of pairs.
+    same while copies don't multiply.  Null ids are left out of pairs; null ``within`` have none.
     """
-    keys = within or []
-    classes = fps.groupBy(*keys, "fp").agg(F.min(id_col).alias("least"))
+    keys, spark = within or [], fps.sparkSession
+    # fingerprints are worked out in Python: once, not for each use
+    fps = Scratch(spark, "fingerprints").save(fps.select(*keys, id_col, "fp"), "fps")
+    classes = fps.where(F.col(id_col).isNotNull()).groupBy(*keys, "fp").agg(F.min(id_col).alias("least"))
     tables = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(block_masks())])
     banded = classes.select(*keys, "fp", "least", F.explode(tables).alias("t")).select(*keys, "fp", "least", "t.k", "t.v")
-    other = banded.select(*keys, "k", "v", F.col("fp").alias("fp2"), F.col("least").alias("least2"))
-    met = banded.join(other, [*keys, "k", "v"]).where("fp < fp2").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= HIGH)
-    between = met.select(*keys, F.least("least", "least2").alias("doc_a"), F.greatest("least", "least2").alias("doc_b"), F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))).alias("distance")).distinct()
+    sizes = banded.groupBy(*keys, "k", "v").agg(F.count("*").alias("n")).where("n > 1")
+    met = banded.join(sizes, [*keys, "k", "v"])
+    inner = spark.createDataFrame(inner_masks(), "k int, mask long")  # 1,120 rows
+    dense = met.where(F.col("n") > crowded).join(F.broadcast(inner), "k").withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
+
+    def paired(rows: DataFrame, on: list[str]) -> DataFrame:
+        other = rows.select(*on, F.col("fp").alias("fp2"), F.col("least").alias("least2"))
+        found = rows.join(other, on).where("fp < fp2").where(distance <= HIGH)
+        return found.select(*keys, F.least("least", "least2").alias("doc_a"), F.greatest("least", "least2").alias("doc_b"), distance.alias("distance"))
+
+    sparse = paired(met.where(F.col("n") <= crowded), [*keys, "k", "v"])
+    between = sparse.unionByName(paired(dense, [*keys, "mask", "v"])).distinct()
     copies = fps.join(classes, [*keys, "fp"]).where(F.col(id_col) > F.col("least")).select(*keys, F.col("least").alias("doc_a"), F.col(id_col).alias("doc_b"), F.lit(0).alias("distance"))
     return between.unionByName(copies)
 

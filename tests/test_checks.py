@@ -170,6 +170,24 @@ def test_simhash(spark):
     assert {(g.doc_id, g.group_id) for g in groups} == {(0, 0), (1, 0)}
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    import random
+
+    draw, ids = random.Random(7), range(220)
+    base = [draw.getrandbits(64) for _ in range(3)]
+    flip = lambda x: x ^ sum({1 << draw.randrange(64) for _ in range(draw.randrange(4))})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    found = {i: flip(draw.choice(base)) for i in ids}
+    fps = spark.createDataFrame([(i, signed(x)) for i, x in found.items()] + [(None, 1)], "doc_id int, fp long")
+    least = {x: min(i for i in ids if found[i] == x) for x in found.values()}
+    want = {(i, j, bin(found[i] ^ found[j]).count("1")) for i in least.values() for j in least.values() if i < j}
+    want = {p for p in want if p[2] <= 3} | {(least[found[i]], i, 0) for i in ids if least[found[i]] != i}
+    for crowded in (2, 50, 1000):
+        assert {tuple(r) for r in collusion.close_pairs(fps, crowded=crowded).collect()} == want
+    masks = collusion.inner_masks()
+    assert len(masks) == 20 * 56 and all(64 - bin(m % (1 << 64)).count("1") <= 15 for _, m in masks)
+
+
 def test_collusion_report(spark):
     from procurelake.plans.audit import collusion_report
 
