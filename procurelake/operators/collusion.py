@@ -50,22 +50,24 @@ def fingerprint(letters: str, hashes: dict[int, bytes]) -> int:
     return int(np.packbits(2 * (counts @ bits.astype(np.int64)) > counts.sum()).view(">i8")[0])
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp BIGINT) of every row: 64 signs of sums over overlapping character pairs, with multiplicity; no pairs: 0.
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns ``keep``, fp BIGINT) of every row: 64 signs of sums over overlapping character pairs, with
+    multiplicity; no pairs: 0.
 
     A pair's hash is the first eight bytes of its MD5.  Null texts have no pairs.  Each row is fingerprinted by itself, so
-    nothing is shuffled and rows that repeat an id have their own.
+    nothing is shuffled, rows that repeat an id have their own, and what a row carries needn't be joined back.
     """
     letters = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[^\p{L}\p{N}_]", "")
+    names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[int, bytes] = {}
         for batch in batches:
-            found = [fingerprint(t.as_py(), hashes) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=batch.schema.names[:1] + ["fp"])
+            found = [fingerprint(t.as_py(), hashes) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.int64())], names=[*names, "fp"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias(id_col), letters.alias("letters")).mapInArrow(run, schema)
+    schema = T.StructType([*[T.StructField(n, docs.schema[n].dataType) for n in names], T.StructField("fp", T.LongType())])
+    return docs.select(*names, letters.alias("__letters")).mapInArrow(run, schema)
 
 
 def verdict(distance: Column) -> Column:

@@ -64,12 +64,13 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold
 
     Similarity is ``vector_share`` times the cosine of the vectors plus the rest times the share of the query's terms
     that the document has.  A stated set of at most ``max_queries`` queries (query_id, vec, terms) goes to every task of
-    the corpus (doc_id, vec, terms); ranks are cut down per task before they meet.
+    the corpus (doc_id, vec, terms); ranks are cut down per task before they meet.  Null or empty terms share nothing,
+    null or zero vectors have no cosine: that part is 0.  Equal similarities rank by doc_id.
     """
     found = queries.select("query_id", F.col("vec").alias("qv"), F.col("terms").alias("qt"))
     if found.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries")
-    share = F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", "terms")) / F.size(F.array_distinct("qt"))).otherwise(0.0)
+    share = F.coalesce(F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", "terms")) / F.size(F.array_distinct("qt"))), F.lit(0.0))
     score = vector_share * F.coalesce(cosine(F.col("qv"), F.col("vec")), F.lit(0.0)) + (1 - vector_share) * share
     scored = corpus.join(F.broadcast(found)).select("query_id", "doc_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")

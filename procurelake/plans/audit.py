@@ -20,8 +20,7 @@ def audit_docx(spark: SparkSession, path: str, as_of: date, **scope: str) -> tup
 def collusion_report(docs: DataFrame, prices: DataFrame | None = None, project_col: str = "project_id") -> tuple[DataFrame, DataFrame]:
     """Pairs (project, doc_a, doc_b, distance, verdict) and (project, ..., risk, skipped_short) of tenders."""
     fit = collusion.eligible(docs)
-    fps = collusion.simhash(fit).join(fit.select(F.col("doc_id").alias("__d"), project_col), F.col("doc_id") == F.col("__d")).drop("__d")
-    pairs = collusion.all_pairs(fps, project_col)
+    pairs = collusion.all_pairs(collusion.simhash(fit, keep=(project_col,)), project_col)
     short = docs.groupBy(F.col(project_col).alias("__p")).agg(F.count_if(F.length(bare(F.coalesce("text", F.lit("")))) < collusion.MIN_CHARS).alias("skipped_short"))
     risk = collusion.project_risk(pairs, prices, project_col)
     full = short.join(risk, F.col("__p") == F.col(project_col), "left").drop(project_col).withColumnRenamed("__p", project_col)

@@ -135,8 +135,7 @@ def geometry_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def simhash_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = collusion.eligible(_docs(spark, sf))
-    fps = collusion.simhash(docs).join(docs.select(F.col("doc_id").alias("d"), "source"), F.col("doc_id") == F.col("d")).drop("d")
+    fps = collusion.simhash(collusion.eligible(_docs(spark, sf)), keep=("source",))
     return collusion.all_pairs(fps, "source").where(F.col("distance") <= collusion.MEDIUM).select("source", "doc_a", "doc_b", F.col("distance").cast("long").alias("distance"), "verdict")
 
 

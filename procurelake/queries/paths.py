@@ -240,11 +240,24 @@ def _masked_sql() -> str:
     return f"with h as (select doc_id, count(*) n_hits, count(distinct rule_id) n_rules from ({oracle._disclosure_rows()}) group by 1) select doc_id, n_hits, n_rules, n_matches n_masked, md5(masked_text) digest from ({oracle._pii_mask()}) join h using (doc_id)"
 
 
+def kb_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that share most words with the start of each benchmark item; texts have no vectors here."""
+    none = F.lit(None).cast("array<double>").alias("vec")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), none, F.slice(F.split("text", " "), 1, 8).alias("terms"))
+    corpus = _docs(spark, sf).select("doc_id", none, F.array_distinct(F.split("text", " ")).alias("terms"))
+    got = retrieval.hybrid_topk(asked, corpus)
+    return got.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+SEARCH_SQL = """with q as (select item_id query_id, list_distinct(string_split(text, ' ')[1:8]) w from benchmark), s as (select query_id, doc_id, 0.7::double * (len(list_intersect(w, string_split(text, ' ')))::double / len(w)) similarity from q, documents),
+r as (select *, row_number() over (partition by query_id order by similarity desc, doc_id) as "rank" from s where similarity >= 0.2) select query_id, doc_id, round(similarity, 6) similarity, "rank" from r where "rank" <= 8"""
+
+
 QUERIES = {
     "layout_findings": layout_findings, "docx_roundtrip": docx_roundtrip, "requirements_extracted": requirements_extracted, "archived": archived, "kb_ingested": kb_ingested,
-    "json_arguments": json_arguments, "answers": answers, "compliance_judged": compliance_judged, "rules_overridden": rules_overridden, "disclosure_masked": disclosure_masked,
+    "json_arguments": json_arguments, "answers": answers, "compliance_judged": compliance_judged, "rules_overridden": rules_overridden, "disclosure_masked": disclosure_masked, "kb_search": kb_search,
 }
 ORACLE_SQL = {
     "layout_findings": _layout_sql(), "docx_roundtrip": DOCX_SQL, "requirements_extracted": _extracted_sql(), "archived": ARCHIVED_SQL, "kb_ingested": INGESTED_SQL,
-    "json_arguments": JSON_SQL, "answers": ANSWERS_SQL, "compliance_judged": JUDGED_SQL, "rules_overridden": _overridden_sql(), "disclosure_masked": _masked_sql(),
+    "json_arguments": JSON_SQL, "answers": ANSWERS_SQL, "compliance_judged": JUDGED_SQL, "rules_overridden": _overridden_sql(), "disclosure_masked": _masked_sql(), "kb_search": SEARCH_SQL,
 }

@@ -188,6 +188,21 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert len(masks) == 20 * 56 and all(64 - bin(m % (1 << 64)).count("1") <= 15 for _, m in masks)
 
 
+def test_simhash_carries_columns(spark):
+    rows = [(1, "abc", "p"), (1, "xyz and more", None), (None, None, "q"), (2, "", "q")]
+    got = collusion.simhash(spark.createDataFrame(rows, "doc_id int, text string, letters string"), keep=("letters",))
+    assert got.columns == ["doc_id", "letters", "fp"] and got.count() == 4
+    assert {(r.doc_id, r.letters): r.fp for r in got.collect()}[(None, "q")] == 0 and got.select("fp").distinct().count() == 3
+
+
+def test_retrieval_without_terms_or_vectors(spark):
+    schema = "vec array<double>, terms array<string>"
+    asked = spark.createDataFrame([(1, [1.0, 0.0], ["a"]), (2, None, None)], f"query_id int, {schema}")
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], None), (2, None, ["a", "b"]), (3, [0.0, 0.0], []), (4, [1.0, 0.0], ["a"]), (5, [2.0, 0.0], ["a"])], f"doc_id int, {schema}")
+    got = retrieval.hybrid_topk(asked, corpus).select("query_id", "doc_id", F.round("similarity", 6), "rank").collect()
+    assert {tuple(r) for r in got} == {(1, 4, 1.0, 1), (1, 5, 1.0, 2), (1, 2, 0.7, 3), (1, 1, 0.3, 4)}
+
+
 def test_collusion_report(spark):
     from procurelake.plans.audit import collusion_report
 
