@@ -45,21 +45,42 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + F.lit(0.5)) / F.lit(100.0)
 
 
+#: Lengths that are summed one by one when a match is placed; whole blocks of them are summed once.
+STRIDE = 64
+
+
+def _bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _before(lengths: Column) -> Column:
+    """The sums of all lengths before each block of STRIDE."""
+    blocks = F.sequence(F.lit(0), F.floor(F.size(lengths) / STRIDE).cast("int"))
+    total = lambda acc, k: F.element_at(acc, -1) + F.aggregate(F.slice(lengths, k * STRIDE + 1, STRIDE), F.lit(0), lambda s, n: s + n)
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(total(acc, k))))
+
+
 def matches(text: Column, pattern: str, most: int) -> Column:
     """ARRAY<STRUCT<off INT, match STRING>>: the first ``most`` matches with their places from 0.
 
-    Built from what lies between the matches; the pattern must not match the empty string.
+    Built from what lies between the matches; the pattern must not match the empty string.  Places are sums over blocks
+    and within one, so a text of very many matches takes time in proportion to them.  A null text gives null.
     """
     found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, most)
     between = F.slice(F.split(text, pattern, -1), 1, most)
     pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<off:int,match:string>>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        off = acc["pos"] + F.length(p["gap"])
-        return F.struct((off + F.length(p["match"])).alias("pos"), F.concat(acc["out"], F.array(F.struct(off.alias("off"), p["match"].alias("match")))).alias("out"))
+    def placed(pairs: Column, lengths: Column, before: Column) -> Column:
+        def place(p: Column, i: Column) -> Column:
+            block = F.floor(i / STRIDE).cast("int")
+            inside = F.aggregate(F.slice(lengths, block * STRIDE + 1, i % STRIDE), F.lit(0), lambda s, n: s + n)
+            return F.struct((F.get(before, block) + inside + F.length(p["gap"])).alias("off"), p["match"].alias("match"))
+
+        return F.transform(pairs, place)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    size = lambda p: F.length(p["gap"]) + F.length(p["match"])
+    return _bound(pairs, lambda ps: _bound(F.transform(ps, size), lambda lengths: _bound(_before(lengths), lambda before: placed(ps, lengths, before))))
 
 
 def around(text: Column, off: Column, length: Column, reach: int) -> Column:

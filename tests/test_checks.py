@@ -188,6 +188,17 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert len(masks) == 20 * 56 and all(64 - bin(m % (1 << 64)).count("1") <= 15 for _, m in masks)
 
 
+def test_places_of_many_matches(spark):
+    from procurelake.functions.text import matches
+
+    texts = ["", "x", None, "12ab3", "é1" * 63, "é12" * 64, "1a" * 65 + "zz", "ab12 " * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (3, 1 << 20):
+        got = [r[0] for r in rows.select(matches(F.col("t"), "[0-9]+", most)).collect()]
+        want = [None if t is None else [(m.start(), m[0]) for m in re.finditer("[0-9]+", t)][:most] for t in texts]
+        assert [None if g is None else [tuple(m) for m in g] for g in got] == want
+
+
 def test_simhash_carries_columns(spark):
     rows = [(1, "abc", "p"), (1, "xyz and more", None), (None, None, "q"), (2, "", "q")]
     got = collusion.simhash(spark.createDataFrame(rows, "doc_id int, text string, letters string"), keep=("letters",))
