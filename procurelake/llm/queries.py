@@ -1,10 +1,11 @@
-"""The queries of the ten operators, each over its whole table with production parameters."""
+"""The queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, decontaminate, htmltext, langid, linededup, neardupvec, quality, secrets, simhash, tokenstore
+from procurelake.llm import bpe, debruijn, decontaminate, htmltext, langid, linededup, neardupvec, quality, secrets, simhash, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.dedup_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -62,9 +68,11 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op11_substring_dedup": debruijn.ORACLE,
 }
