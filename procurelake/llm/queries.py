@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, debruijn, decontaminate, htmltext, langid, linededup, neardupvec, quality, secrets, simhash, tokenstore
+from procurelake.llm import bpe, debruijn, decontaminate, filteraudit, htmltext, langid, linededup, neardupvec, quality, secrets, simhash, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -69,10 +73,12 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op11_substring_dedup": debruijn.ORACLE,
+    "op12_filter_audit": filteraudit.ORACLE,
 }

@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import permutations
 
 import pyarrow as pa
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from test_exact import DOC, EDGES
 
-from procurelake.llm import debruijn, wordhash
+from procurelake.llm import debruijn, filteraudit, wordhash
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +96,59 @@ def test_substrings_edges(spark, edges, none):
     long = [("b", "word " * 200_000 + "end"), ("a", "word " * 20), ("c", "x" * 400_000)]
     got = {r.name: (r.n_words, r.n_removed) for r in debruijn.dedup_spans(spark.createDataFrame(long, "name string, body string"), "name", "body").collect()}
     assert got == {"a": (20, 0), "b": (200_001, 200_000), "c": (1, 0)}
+
+
+# ---- filter audit
+
+
+def audited(docs, labels):
+    """By the definition: documents are (id, text, source), labels (id, quality, toxic); each order applied to all rows."""
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, t in labels if t == 1} - {None}
+    rows = []
+    for i, text, source in docs:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        copy = any((t or "") == text and j is not None and (i is None or j < i) for j, t, _ in docs)
+        upper = sum("A" <= c <= "Z" for c in text)
+        fails = [len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * upper > 2 * len(text), bool(set(text) & set("#$%&*|")), copy]
+        rows.append((source or "", {f for f, x in zip("ABCDE", fails, strict=True) if x}, i in good, i in toxic))
+    out = []
+    for part in {r[0] for r in rows}:
+        mine, removed = [r for r in rows if r[0] == part], {}
+        for order in permutations("ABCDE"):
+            left = mine
+            for k, f in enumerate(order):
+                gone = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                removed[f] = removed.get(f, 0) + len(gone)
+                late = sum(f in r[1] for r in mine) - len(gone)
+                out.append([part, "".join(order), k + 1, len(left), len(gone), late, sum(r[1] == {f} for r in mine), sum(r[2] for r in gone), sum(r[3] for r in gone)])
+        for row in out:
+            if row[0] == part:
+                row.append(removed[row[1][row[2] - 1]])
+    return sorted(tuple(r) for r in out)
+
+
+def test_filter_audit_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "B", "ccc", f"w{rng.randrange(900)}", "#" if rng.random() < 0.01 else "d"]) for _ in range(rng.choice([3, 199, 200, 260]))) for _ in range(60)]
+    docs = [(i, rng.choice(texts), rng.choice(["s0", "s1", "", None, "only"])) for i in range(150)]
+    docs += [(None, texts[0], "s0"), (None, None, None), (200, None, "s1"), (201, "", "s1"), (3, docs[3][1], "s0"), (202, "w " * 100_000, "long")]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 150, 2)] + [(4, 1, 1), (None, 1, 1), (9999, 1, 1)]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, source string, part string, A int")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    visits = []
+    monkeypatch.setattr(filteraudit, "_edges", lambda s, state, left, f=filteraudit._edges: (visits.append(state), f(s, state, left))[1])
+    got = filteraudit.audit(filteraudit.failures(frame, marks))
+    assert got.columns == "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley".split()
+    assert sorted(tuple(r) for r in got.collect()) == audited(docs, labels)
+    assert len(visits) == len(set(visits)) == 31  # each unordered prefix once
+
+
+def test_filter_audit_empty(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string, source string")
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filteraudit.audit(filteraudit.failures(frame, marks)).count() == 0
+    one = spark.createDataFrame([(1, None, None)], frame.schema)
+    got = filteraudit.audit(filteraudit.failures(one, marks)).collect()
+    assert len(got) == 600 and {r.part for r in got} == {""} and {r.shapley for r in got if r.filter_order[r.step - 1] == "A"} == {120}

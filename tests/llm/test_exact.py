@@ -40,7 +40,7 @@ def lower(t):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_duckdb(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         c.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = c.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SMALL)
