@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, debruijn, decontaminate, filteraudit, htmltext, langid, linededup, neardupvec, quality, secrets, simhash, tokenstore
+from procurelake.llm import bpe, debruijn, decontaminate, filteraudit, htmltext, langid, linededup, merkle, neardupvec, quality, secrets, simhash, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(filteraudit.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op11_substring_dedup": debruijn.ORACLE,
     "op12_filter_audit": filteraudit.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

@@ -1,7 +1,9 @@
 """Operators over the whole corpus: substring dedup, filter audit, manifest; against brute force."""
 
+import hashlib
 import random
 import re
+import zlib
 from itertools import permutations
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from test_exact import DOC, EDGES
 
-from procurelake.llm import debruijn, filteraudit, wordhash
+from procurelake.llm import debruijn, filteraudit, merkle, wordhash
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +154,103 @@ def test_filter_audit_empty(spark):
     one = spark.createDataFrame([(1, None, None)], frame.schema)
     got = filteraudit.audit(filteraudit.failures(one, marks)).collect()
     assert len(got) == 600 and {r.part for r in got} == {""} and {r.shapley for r in got if r.filter_order[r.step - 1] == "A"} == {120}
+
+
+# ---- manifest
+
+
+def hexed(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def levels(nodes):
+    """All levels of a tree of arity three, the leaves first."""
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([hexed(out[-1][i : i + 3]) for i in range(0, len(out[-1]), 3)])
+    return out
+
+
+def climbed(tree, idx, leaf):
+    """The siblings of a leaf, and what it leads to when it is ``leaf``."""
+    found = []
+    for nodes in tree[:-1]:
+        first = idx // 3 * 3
+        run = nodes[first : first + 3]
+        found += run[: idx - first] + run[idx - first + 1 :]
+        run[idx - first] = leaf
+        leaf, idx = hexed(run), idx // 3
+    return found, leaf
+
+
+def manifest(docs):
+    """By the definition; documents are (doc_id, source, lang, n_chars, text)."""
+    told = lambda row: hexed(["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+    by_source = {}
+    for row in docs:
+        i, text = row[0], row[4]
+        changed = told((*row[:4], text.replace("\n", ""))) if text is not None and i is not None and zlib.crc32(str(i).encode()) % 2 == 0 else told(row)
+        by_source.setdefault(row[1], []).append(((i is None, i or 0, told(row)), i, told(row), changed))
+    names = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: levels([x[2] for x in sorted(by_source[s])]) for s in names}
+    top = levels([trees[s][-1][0] for s in names])
+    out = []
+    for s in names:
+        for idx, (_, i, leaf, changed) in enumerate(sorted(by_source[s])):
+            below, sub = climbed(trees[s], idx, changed)
+            beside, root = climbed(top, names.index(s), sub)
+            out.append((i, leaf, trees[s][-1][0], top[-1][0], hexed(below + beside), root, root == top[-1][0]))
+    return sorted(out, key=repr)
+
+
+FIELDS = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+@pytest.mark.parametrize(("rows", "most"), [(7, 0), (400_000, 100_000)])
+def test_manifest_brute_force(spark, monkeypatch, rows, most):
+    """Sources of one to many rows, over many parts; nulls in every column, ties, repeated rows."""
+    monkeypatch.setattr(merkle, "PART_ROWS", rows)
+    monkeypatch.setattr(merkle, "BROADCAST_ROWS", most)
+    rng = random.Random(rows)
+    pick = lambda *xs: rng.choice([None, *xs])
+    docs = [(i, rng.choice(["hot", "hot", "s1", "s2", "ünï", None, "", f"one{i}"]), pick("en", "de"), pick(1, 2), pick("a\nb", "", "é\n" * 50, "no line")) for i in range(200)]
+    docs += [(None, "hot", None, None, None), (None, "s1", "en", 3, "x\ny"), (5, "s1", "en", 1, "p\nq"), docs[9], docs[9], (500, "s2", "en", 9, "long\n" * 100_000)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame([(*d, "x", 1, 2) for d in docs], f"{FIELDS}, leaf string, idx int, part int").repartition(3)
+    got = merkle.audit(frame)
+    assert got.columns == "doc_id leaf subroot root proof_sha256 folded_root verified".split()
+    have = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert have == manifest(docs)
+    assert {r[6] for r in have} == {True, False}
+
+
+def test_manifest_small(spark, tmp_path):
+    none = spark.createDataFrame([], FIELDS)
+    assert merkle.audit(none).count() == 0
+    one = [(4, None, None, None, None)]
+    assert [tuple(r) for r in merkle.audit(spark.createDataFrame(one, FIELDS)).collect()] == manifest(one)
+    docs = [(i, f"s{i % 2}", "en", 1, "t") for i in range(9)]
+    root = merkle.write_manifest(spark.createDataFrame(docs, FIELDS), f"file://{tmp_path}/m")
+    assert root == manifest(docs)[0][3]
+    assert spark.read.parquet(f"file://{tmp_path}/m/leaves").count() == 9 and spark.read.parquet(f"file://{tmp_path}/m/subroots").count() == 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=4), st.integers(2, 4), st.randoms(use_true_random=False))
+def test_forests_are_a_monoid(sizes, arity, rng):
+    """Any split of the leaves, merged in any order and grouping, gives the same roots and nothing else."""
+    leaves = [(t, n, i, bytes([t, i])) for t, n in enumerate(sizes) for i in range(n)]
+    rng.shuffle(leaves)
+    forests = [merkle.Forest(arity, keep=True) for _ in range(rng.randint(1, 6))]
+    for t, n, i, v in leaves:
+        rng.choice(forests).add(t, n, 0, i, v)
+    while len(forests) > 1:
+        a, b = (forests.pop(rng.randrange(len(forests))) for _ in "ab")
+        forests.insert(rng.randint(0, len(forests)), a.merge(b))
+    got = {t: v for t, _, _, _, v, root in forests[0].rows() if root}
+    assert len(forests[0].open) == len(sizes)
+    for t, n in enumerate(sizes):
+        nodes = [bytes([t, i]) for i in range(n)]
+        while len(nodes) > 1:
+            nodes = [merkle.digest(nodes[i : i + arity]) for i in range(0, len(nodes), arity)]
+        assert got[t] == nodes[0]
