@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from procurelake.operators.search import hybrid_topk  # noqa: F401 - retrieval's own name for it
+
 CHUNK, OVERLAP, LOOKBACK = 6000, 400, 800
-TOP_K, THRESHOLD, VECTOR_SHARE = 8, 0.2, 0.3
 
 
 def cut(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
@@ -53,30 +54,6 @@ def chunk_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, id_c
     return rows.select(id_col, "chunk_no", F.substring(F.col("t"), F.col("chunk_no") * step + 1, F.lit(size)).alias("chunk"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, summed in double precision; null if one is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, vector_share: float = VECTOR_SHARE, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, doc_id, similarity, rank): the ``k`` best of the corpus for each query at ``threshold`` or above.
-
-    Similarity is ``vector_share`` times the cosine of the vectors plus the rest times the share of the query's terms
-    that the document has.  A stated set of at most ``max_queries`` queries (query_id, vec, terms) goes to every task of
-    the corpus (doc_id, vec, terms); ranks are cut down per task before they meet.  Null or empty terms share nothing,
-    null or zero vectors have no cosine: that part is 0.  Equal similarities rank by doc_id.
-    """
-    found = queries.select("query_id", F.col("vec").alias("qv"), F.col("terms").alias("qt"))
-    if found.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    share = F.coalesce(F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", "terms")) / F.size(F.array_distinct("qt"))), F.lit(0.0))
-    score = vector_share * F.coalesce(cosine(F.col("qv"), F.col("vec")), F.lit(0.0)) + (1 - vector_share) * share
-    scored = corpus.join(F.broadcast(found)).select("query_id", "doc_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 #: Lists of a knowledge pack, with the kind of document that each entry becomes.
 PACK_LISTS = ("outline", "methods", "qualifications", "score_points", "regulations", "risks", "templates")
 
