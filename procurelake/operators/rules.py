@@ -1,7 +1,7 @@
 """Rule templates and the verdict over a document's facts.
 
-Templates are a handful of rows: they are matched on the driver and their rules become column expressions, so a check is
-one pass over the facts without a join.  Facts are a nested row; a part that wasn't collected is null:
+Rules become column expressions, so a check is one pass over the facts.  Where all documents have one scope and date, the
+template is chosen on the driver; else ``validate_each`` chooses one for each, and rows carry a bitmap of their rules.  Facts are a nested row; a part that wasn't collected is null:
 
 ``text STRING, metadata STRUCT<creator, lastModifiedBy, company>, marks STRUCT<revisions, comments, hidden_text,
 rsid_count>, images ARRAY<STRUCT<has_exif, color_space>>, paragraphs ARRAY<STRUCT<index, text, style, is_heading,
@@ -15,16 +15,19 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurelake.functions.text import trim
+from procurelake.operators.intervals import interval_join
 from procurelake.operators.pii import pattern_hits
 from procurelake.packs.rules import COMMON_ID, DATED, LEVELS, MATCH_CITY, MATCH_INDUSTRY, MATCH_TYPE, TEMPLATES, Rule, Template
 
 #: Matches of a pattern that a text rule looks at.
 TEXT_MOST = 500
 NOT_SET = "未显式设置"
+#: Region and type of a request that names none.
+HOME_REGION, HOME_TYPE = "河北省", "工程"
 
 PARAGRAPH = "struct<index:int,text:string,style:string,is_heading:boolean,fonts_eastAsia:array<string>,sizes_pt:array<double>,colors:array<string>,line_rule:string,line_spacing_pt:double,line_multiple:double,first_line_indent_chars:double,alignment:string,space_before_pt:double,space_after_pt:double>"
 FACTS = (
@@ -52,27 +55,32 @@ def match_template(requests: DataFrame, templates: DataFrame, always_on: str = C
 
     A template applies if it is active, of the region or of any, in force on ``as_of``, and each of its scopes is open or
     has the request's value.  Matched scopes, legal level and a start date add to the score; of equal scores the later
-    start wins, then the id.  Requests that nothing fits have a null template.
+    start wins, then the id.  Requests that nothing fits, or without a date, have a null template; a request that is there
+    twice is answered twice.  Any number of templates: the join is on the region and on blocks of time, and the
+    best of a request is a partial aggregate.
     """
     t = templates.where((F.col("status") == "ACTIVE") & (F.col("template_id") != always_on))
-    t = t.select("template_id", F.col("region").alias("t_region"), F.col("city").alias("cities"), F.col("industry").alias("industries"), F.col("tender_type").alias("types"), "level", "effective_from", "effective_to")
-    region = F.coalesce(F.col("region"), F.lit("河北省"))
-    kind = F.coalesce(F.col("tender_type"), F.lit("工程"))
-    fits = (F.col("t_region").isin("*") | (F.col("t_region") == region)) & (F.col("effective_from").isNull() | (F.col("effective_from") <= F.col("as_of"))) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("as_of")))
-    # templates are a pack of a few rows; requests stay where they are
-    joined = requests.join(F.broadcast(t), fits)
+    t = t.select(F.col("region").alias("t_region"), "template_id", F.col("city").alias("cities"), F.col("industry").alias("industries"), F.col("tender_type").alias("types"), "level", "effective_from", "effective_to")
+    asked = requests.select(F.struct("region", "city", "industry", "tender_type", "as_of").alias("scope")).distinct()
+    regions = F.array_distinct(F.array(F.lit("*"), F.coalesce(F.col("scope.region"), F.lit(HOME_REGION))))
+    joined = interval_join(asked.select("*", F.col("scope.as_of").alias("as_of"), F.explode(regions).alias("t_region")), t, "as_of", "effective_from", "effective_to", ["t_region"])
     score = F.coalesce(*[F.when(F.col("level") == k, F.lit(v / 10)) for k, v in LEVELS.items()], F.lit(5.0)) + F.when(F.col("effective_from").isNotNull(), DATED).otherwise(0)
-    for scope, value, points in (("cities", F.col("city"), MATCH_CITY), ("industries", F.col("industry"), MATCH_INDUSTRY), ("types", kind, MATCH_TYPE)):
+    kind = F.coalesce(F.col("scope.tender_type"), F.lit(HOME_TYPE))
+    for scope, value, points in (("cities", F.col("scope.city"), MATCH_CITY), ("industries", F.col("scope.industry"), MATCH_INDUSTRY), ("types", kind, MATCH_TYPE)):
         open_ = F.array_contains(scope, "*")
         has = F.coalesce((value != "") & F.array_contains(F.col(scope), value), F.lit(False))
         joined = joined.where(open_ | has)
         score = score + F.when(open_, 0).otherwise(points)
-    order = Window.partitionBy("req_id").orderBy(F.desc("score"), F.desc("effective_from"), "template_id")
-    best = joined.withColumn("score", score.cast("double")).withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("req_id").alias("__r"), "template_id", "score")
-    return requests.select("req_id").join(best, F.col("req_id") == F.col("__r"), "left").select("req_id", "template_id", "score")
+    start = F.coalesce(F.unix_date("effective_from").cast("long"), F.lit(-(1 << 40)))
+    ranked = joined.select("scope", "template_id", score.cast("double").alias("score"), start.alias("start"))
+    # the best by score and start; of equals the least id
+    top = ranked.groupBy("scope", "template_id").agg(F.max(F.struct("score", "start")).alias("b")).groupBy("scope").agg(F.max("b").alias("b"), F.min_by("template_id", F.struct(-F.col("b.score"), -F.col("b.start"), F.col("template_id"))).alias("template_id"))
+    best = top.select("scope", "template_id", F.col("b.score").alias("score"))
+    told = requests.select("req_id", F.struct("region", "city", "industry", "tender_type", "as_of").alias("__s"))
+    return told.join(best, F.col("__s").eqNullSafe(F.col("scope")), "left").select("req_id", "template_id", "score")
 
 
-def choose_template(as_of: date, region: str = "河北省", city: str = "", industry: str = "", tender_type: str = "工程", templates: tuple[Template, ...] = TEMPLATES, always_on: str = COMMON_ID) -> Template | None:
+def choose_template(as_of: date, region: str = HOME_REGION, city: str = "", industry: str = "", tender_type: str = HOME_TYPE, templates: tuple[Template, ...] = TEMPLATES, always_on: str = COMMON_ID) -> Template | None:
     """The same choice for one request, on the driver, to build rules from."""
     best = None
     for t in active(templates):
@@ -198,17 +206,20 @@ def _one(rule: Rule, text_most: int) -> Column:
     return F.when(there, out)
 
 
-def findings(facts: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_most: int = TEXT_MOST) -> DataFrame:
+def findings(facts: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_most: int = TEXT_MOST, gate: str | None = None) -> DataFrame:
     """(id, checked, skipped, found): found is the array of findings; a rule whose facts are missing is skipped.
 
     A text rule looks at the first ``text_most`` matches of each of its patterns, so n is at most that for each of them;
-    whether a rule is broken doesn't depend on it unless all of those are excused.
+    whether a rule is broken doesn't depend on it unless all of those are excused.  ``gate`` names a column of bitmaps
+    (ARRAY<BIGINT>, 63 rules in each): a row is held to the rules whose bit is set, and no other is worked out for it.
     """
     columns = {f.split()[0]: f.split(None, 1)[1] for f in _split_fields(FACTS)}
-    have = facts.select(id_col, *[(F.col(c).cast(t) if c in facts.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
-    each = F.array(*[_one(r, text_most) for r in rules]) if rules else F.array().cast(f"array<{FINDING}>")
-    got = have.select(id_col, each.alias("e"))
-    return got.select(id_col, F.size(F.filter("e", lambda x: x.isNotNull())).alias("checked"), F.size(F.filter("e", lambda x: x.isNull())).alias("skipped"), F.flatten(F.filter("e", lambda x: x.isNotNull())).alias("found"))
+    have = facts.select(id_col, *([gate] if gate else []), *[(F.col(c).cast(t) if c in facts.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
+    on = lambda i: F.get(F.col(gate), F.lit(i // 63)).bitwiseAND(F.lit(1 << i % 63)) != 0 if gate else F.lit(True)
+    each = F.array(*[F.struct(on(i).alias("on"), (F.when(on(i), _one(r, text_most)) if gate else _one(r, text_most)).alias("f")) for i, r in enumerate(rules)]) if rules else F.array().cast(f"array<struct<on:boolean,f:{FINDING}>>")
+    got = have.select(id_col, F.filter(each, lambda x: x["on"]).alias("e"))
+    none = lambda x: x["f"].isNull()
+    return got.select(id_col, F.size(F.filter("e", lambda x: ~none(x))).alias("checked"), F.size(F.filter("e", none)).alias("skipped"), F.flatten(F.transform(F.filter("e", lambda x: ~none(x)), lambda x: x["f"])).alias("found"))
 
 
 def _split_fields(ddl: str) -> list[str]:
@@ -226,12 +237,16 @@ def finding_rows(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.explode("found").alias("f")).select(id_col, "f.*")
 
 
-def verdicts(found: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id") -> DataFrame:
-    """(id, verdict, score, rule_count, checked, skipped, reject, warn, info, rules_triggered) of every document."""
+def verdicts(found: DataFrame, rules: tuple[Rule, ...] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, verdict, score, rule_count, checked, skipped, reject, warn, info, rules_triggered) of every document.
+
+    Without ``rules`` the count is of those that the row was held to.
+    """
     n = lambda s: F.size(F.filter("found", lambda f: f["severity"] == s))
     out = found.select(id_col, "checked", "skipped", n("REJECT").alias("reject"), n("WARN").alias("warn"), n("INFO").alias("info"), F.size(F.array_distinct(F.transform("found", lambda f: f["rule_id"]))).alias("rules_triggered"))
     score = F.greatest(F.lit(0.0), 100.0 - F.least(15 * F.col("reject"), F.lit(60)) - F.least(3 * F.col("warn"), F.lit(30)))
-    return out.select(id_col, F.when(F.col("reject") > 0, "REJECT").when(F.col("warn") > 0, "WARN").otherwise("PASS").alias("verdict"), score.alias("score"), F.lit(len(rules)).alias("rule_count"), "checked", "skipped", "reject", "warn", "info", "rules_triggered")
+    count = F.lit(len(rules)) if rules is not None else F.col("checked") + F.col("skipped")
+    return out.select(id_col, F.when(F.col("reject") > 0, "REJECT").when(F.col("warn") > 0, "WARN").otherwise("PASS").alias("verdict"), score.alias("score"), count.alias("rule_count"), "checked", "skipped", "reject", "warn", "info", "rules_triggered")
 
 
 def by_category(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -240,16 +255,56 @@ def by_category(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.groupBy(id_col, "category").agg(n("REJECT").alias("reject"), n("WARN").alias("warn"), n("INFO").alias("info"))
 
 
-def validate(facts: DataFrame, as_of: date, id_col: str = "doc_id", templates: tuple[Template, ...] = TEMPLATES, **scope: str) -> tuple[DataFrame, DataFrame]:
+def validate(facts: DataFrame, as_of: date, id_col: str = "doc_id", templates: tuple[Template, ...] = TEMPLATES, text_most: int = TEXT_MOST, **scope: str) -> tuple[DataFrame, DataFrame]:
     """Findings and verdicts under the rules in force on ``as_of`` for a region, city, industry and tender_type.
 
     Findings are sorted by severity and rule when collected in that order: see ``finding_rows``.
     """
     rules = effective_rules(choose_template(as_of, templates=templates, **scope), templates)
-    found = findings(facts, rules, id_col)
+    found = findings(facts, rules, id_col, text_most)
     return finding_rows(found, id_col), verdicts(found, rules, id_col)
 
 
+def compiled_rules(templates: tuple[Template, ...] = TEMPLATES, always_on: str = COMMON_ID) -> tuple[tuple[Rule, ...], dict[str | None, list[int]]]:
+    """Every different rule of the active templates once, and for each template the bitmap of the rules in force under it.
+
+    The bitmap of None is that of documents without a template: the always-on rules.
+    """
+    sets = {None: effective_rules(None, templates, always_on)}
+    sets |= {t.id: effective_rules(t, templates, always_on) for t in active(templates) if t.status == "ACTIVE" and t.id != always_on}
+    every: list[Rule] = []
+    for members in sets.values():
+        every += [r for r in members if r not in every]
+    maps = {}
+    for name, members in sets.items():
+        words = [0] * (-(-len(every) // 63) or 1)
+        for r in members:
+            i = every.index(r)
+            words[i // 63] |= 1 << i % 63
+        maps[name] = words
+    return tuple(every), maps
+
+
+def validate_each(facts: DataFrame, id_col: str = "doc_id", templates: tuple[Template, ...] = TEMPLATES, always_on: str = COMMON_ID, text_most: int = TEXT_MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, verdicts and templates (id, template_id) where each row of ``facts`` has its own scope and date.
+
+    The scope is in the columns region, city, industry, tender_type and as_of.  A template is matched once for each
+    different scope, and the rules of all templates are compiled once; a row's bitmap says which it is held to.
+    Rows that no template fits, or without a date, are held to the always-on rules.  Rows that repeat an id each have
+    their findings and verdict.
+    """
+    spark = facts.sparkSession
+    scope = F.struct(*[F.col(c) for c in ("region", "city", "industry", "tender_type", "as_of")])
+    asked = facts.select(scope.alias("req_id")).distinct().select("req_id", "req_id.*")
+    every, maps = compiled_rules(templates, always_on)
+    chosen = match_template(asked, template_frame(spark, templates), always_on)
+    masks = F.create_map(*[x for name, words in maps.items() for x in (F.lit(name or ""), F.array(*[F.lit(w).cast("long") for w in words]))])
+    gated = chosen.select(F.col("req_id").alias("__scope"), F.col("template_id").alias("__template"), F.element_at(masks, F.coalesce("template_id", F.lit(""))).alias("__rules"))
+    met = facts.join(gated, scope.eqNullSafe(F.col("__scope")), "left")
+    found = findings(met, every, id_col, text_most, "__rules")
+    return finding_rows(found, id_col), verdicts(found, None, id_col), met.select(id_col, F.col("__template").alias("template_id"))
+
+
 def sorted_findings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """By document, REJECT before WARN before INFO before others, then rule."""
     order = F.when(F.col("severity") == "REJECT", 0).when(F.col("severity") == "WARN", 1).when(F.col("severity") == "INFO", 2).otherwise(9)

@@ -80,7 +80,17 @@ def _pick(values: list) -> str:
     return f"([{', '.join(map(lit, values))}])[doc_id % {len(values)} + 1]"
 
 
-def _layout_sql() -> str:
+#: What the layout rules of a template are, for the SQL: size, top margin, other margins, exact spacing, severity of margins and of pages, indent, alignment.
+LAYOUTS = {
+    "hebei-provincial-v3": (14, 2.5, 2.0, True, "REJECT", "REJECT", True, True),
+    "hebei-baoding-v2": (12, 2.5, 2.5, False, "REJECT", "WARN", True, False),
+    "hebei-transport-2026": (14, 2.5, 2.5, False, "WARN", "REJECT", False, False),
+    "hebei-zhangjiakou-v2": (14, 2.5, 2.0, False, "REJECT", None, True, False),
+}
+
+
+def _layout_parts() -> tuple[str, list[tuple], dict[str, list[tuple]]]:
+    """The documents' facts as a step of SQL, and (rule_id, category, severity, n, actual, condition) of common and templates' findings."""
     shown = "coalesce(rule, 'null') || '/' || coalesce(pt::varchar, 'null') || '/' || coalesce(multiple::varchar, 'null')"
     distinct = "array_to_string(list_transform(list_filter({l}, lambda v, i: list_position({l}, v) = i), lambda v: v::varchar), '/')"
     rule, points, multiple = (_pick([x[i] for x in LINES]) for i in range(3))
@@ -92,31 +102,147 @@ def _layout_sql() -> str:
         ("IMG.EXIF", "METADATA", "REJECT", "1", "1", "doc_id % 2 = 0"), ("IMG.COLOR", "FORMAT", "WARN", "1 + (coalesce(space, '') not in ('gray', 'unknown'))::int", "1 + (coalesce(space, '') not in ('gray', 'unknown'))::int", "true"),
     ]
     fonts, colors = "list_filter(fonts, lambda v: v not in ('', '宋体', 'SimSun'))", "list_filter(colors, lambda v: lower(v) not in ('000000', 'auto', ''))"
-    parts = []
-    for template, size, tops, others in (("provincial", 14, 2.5, 2.0), ("city", 12, 2.5, 2.5)):
+    every = {}
+    for template, (size, tops, others, exact, margins, pages, indent, align) in LAYOUTS.items():
         sizes = f"list_filter(sizes, lambda v: abs(v - {size}) > 0.01)"
         sides = f"list_filter([case when top is null or abs(top - {tops}) > 0.05 then 'top_cm=' || coalesce(top::varchar, 'null') end, case when abs(2.0 - {others}) > 0.05 then 'bottom_cm=2.0' end, case when abs(lft - {others}) > 0.05 then 'left_cm=' || lft::double end, case when abs(2.0 - {others}) > 0.05 then 'right_cm=2.0' end], lambda v: v is not null)"
         own = [
             ("FONT.FAMILY.BODY", "FORMAT", "REJECT", f"len({fonts})", distinct.format(l=fonts), f"len({fonts}) > 0"), ("FONT.FAMILY.BODY", "FORMAT", "WARN", "0", "'未显式设置'", "len(fonts) = 0"),
             ("FONT.SIZE.BODY", "FORMAT", "REJECT", f"len({sizes})", distinct.format(l=sizes), f"len({sizes}) > 0"), ("FONT.SIZE.BODY", "FORMAT", "WARN", "0", "'未显式设置'", "len(sizes) = 0"),
             ("FONT.COLOR", "FORMAT", "REJECT", f"len({colors})", distinct.format(l=colors), f"len({colors}) > 0"),
-            ("PAGE.MARGIN", "FORMAT", "REJECT", f"len({sides})", f"array_to_string({sides}, ' / ')", f"len({sides}) > 0"),
+            ("PAGE.MARGIN", "FORMAT", margins, f"len({sides})", f"array_to_string({sides}, ' / ')", f"len({sides}) > 0"),
             ("DOC.NO_HEADER_FOOTER", "DISCLOSURE", "REJECT", "1", "1", "doc_id % 2 > 0"), ("DOC.NO_WATERMARK", "DISCLOSURE", "REJECT", "1", "1", "doc_id % 5 = 0"),
-            ("PARA.FIRST_LINE_INDENT", "FORMAT", "WARN", "1", "indent", "written and abs(indent - 2) > 0.3"),
         ]
-        if template == "provincial":
+        if indent:
+            own.append(("PARA.FIRST_LINE_INDENT", "FORMAT", "WARN", "1", "indent", "written and abs(indent - 2) > 0.3"))
+        if exact:
             ok = "coalesce(rule = 'exact' and abs(pt - 30) <= 0.5, false)"
-            own += [("PARA.LINE_SPACING", "FORMAT", "REJECT", "1", shown, f"written and not {ok}"), ("PARA.ALIGN", "FORMAT", "WARN", "1", "align", "written and align <> 'justify'"), ("PARA.SPACING", "FORMAT", "WARN", "1", "1", "written and (before > 0.5 or after > 0.5)")]
-            own += [("DOC.PAGE_COUNT", "STRUCTURE", "case when unsure and pages <= 125 then 'WARN' else 'REJECT' end", "pages", "pages", "pages > 100")]
+            own.append(("PARA.LINE_SPACING", "FORMAT", "REJECT", "1", shown, f"written and not {ok}"))
         else:
             bad = "(written and not coalesce(coalesce(rule, 'auto') = 'auto' and abs(multiple - 1.5) <= 0.02, false))"
-            own += [("PARA.LINE_SPACING", "FORMAT", "REJECT", f"1 + {bad}::int", f"'exact/30.0/null' || case when {bad} and {shown} <> 'exact/30.0/null' then '/' || {shown} else '' end", "true"), ("DOC.PAGE_COUNT", "STRUCTURE", "WARN", "pages", "pages", "pages > 100")]
-        for rule_id, category, severity, n, actual, where in common + own:
-            severity = severity if " " in severity else f"'{severity}'"
-            parts.append(f"select '{template}' as template, doc_id, '{rule_id}' rule_id, '{category}' category, {severity} severity, ({n})::bigint n, ({actual})::varchar actual from d where {where}")
+            own.append(("PARA.LINE_SPACING", "FORMAT", "REJECT", f"1 + {bad}::int", f"'exact/30.0/null' || case when {bad} and {shown} <> 'exact/30.0/null' then '/' || {shown} else '' end", "true"))
+        if align:
+            own += [("PARA.ALIGN", "FORMAT", "WARN", "1", "align", "written and align <> 'justify'"), ("PARA.SPACING", "FORMAT", "WARN", "1", "1", "written and (before > 0.5 or after > 0.5)")]
+        if pages:
+            own.append(("DOC.PAGE_COUNT", "STRUCTURE", f"case when unsure and pages <= 125 then 'WARN' else '{pages}' end", "pages", "pages", "pages > 100"))
+        every[template] = own
+    return d, common, every
+
+
+def _finding_select(template: str, part: tuple, extra: str = "true", source: str = "d") -> str:
+    rule_id, category, severity, n, actual, where = part
+    severity = severity if " " in severity else f"'{severity}'"
+    return f"select {template} as template, doc_id, '{rule_id}' rule_id, '{category}' category, {severity} severity, ({n})::bigint n, ({actual})::varchar actual from {source} where ({where}) and {extra}"
+
+
+def _layout_sql() -> str:
+    d, common, every = _layout_parts()
+    parts = [_finding_select(f"'{name}'", p) for name, key in (("provincial", "hebei-provincial-v3"), ("city", "hebei-baoding-v2")) for p in common + every[key]]
     return f"with {d} " + " union all ".join(parts)
 
 
+# Scopes that documents are given by the remainder of their id.
+SCOPE_REGIONS, SCOPE_CITIES = ["河北省", None, "河北省", "山西省", "河北省"], ["", "保定市", "承德市", None, "廊坊市", "石家庄市"]
+SCOPE_INDUSTRIES, SCOPE_TYPES, SCOPE_DATES = ["工程", "房建", "公路", "光伏"], ["工程", None, "货物", "工程", "工程", "工程", "工程"], ["2023-12-31", "2024-03-31", "2025-01-01", "2026-06-01", None, "2031-05-31", "2031-06-01"]
+
+
+def scoped(docs: DataFrame) -> DataFrame:
+    """``docs`` with a region, city, industry, type and date of their own."""
+    return docs.withColumns({"region": _by(SCOPE_REGIONS, "string"), "city": _by(SCOPE_CITIES, "string"), "industry": _by(SCOPE_INDUSTRIES, "string"), "tender_type": _by(SCOPE_TYPES, "string"), "as_of": F.get(F.array(*[F.lit(x).cast("date") for x in SCOPE_DATES]), F.floor(F.col("doc_id") / 4).cast("int") % len(SCOPE_DATES))})
+
+
+def rules_each(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of every document under the template of its own region, city, industry, type and date."""
+    found, _, chosen = rules.validate_each(scoped(layout_facts(_docs(spark, sf))))
+    told = found.join(chosen.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"))
+    return told.select(F.coalesce("template_id", F.lit("")).alias("template"), "doc_id", "rule_id", "category", "severity", F.col("n").cast("long").alias("n"), "actual")
+
+
+def verdict_each(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts over texts and layout under each document's own template."""
+    given = scoped(layout_facts(_docs(spark, sf))).withColumn("text", F.lit("我公司专利，电话13900001111")).drop("paragraphs")
+    verdict = rules.validate_each(given)[1]
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return verdict.select("doc_id", "verdict", "score", *[long(c) for c in ("rule_count", "checked", "skipped", "reject", "warn", "rules_triggered")])
+
+
+def _matched(templates: str, requests: str) -> str:
+    """(req_id, template_id, score) by the definition: ``templates`` t and ``requests`` q are steps of SQL."""
+    scope = lambda s, v: f"(list_contains({s}, '*') or ({v} <> '' and list_contains({s}, {v})))"
+    points = lambda s, n: f"case when list_contains({s}, '*') then 0 else {n} end"
+    return f"""t as ({templates}), q as ({requests}),
+m as (select req_id, template_id, lvl + case when f is not null then {oracle.DATED} else 0 end + {points('cities', oracle.MATCH_CITY)} + {points('industries', oracle.MATCH_INDUSTRY)} + {points('types', oracle.MATCH_TYPE)} score, f
+      from q, t where t.region in ('*', coalesce(q.region, '河北省')) and as_of is not null and (f is null or f <= as_of) and (u is null or u >= as_of)
+      and {scope('cities', 'city')} and {scope('industries', 'industry')} and {scope('types', "coalesce(tender_type, '工程')")}),
+b as (select *, row_number() over (partition by req_id order by score desc, f desc nulls last, template_id) r from m)"""
+
+
+def _templates_sql() -> str:
+    rows = ", ".join(f"({oracle._q(t.id)}, {oracle._q(t.region)}, {oracle._list(t.city)}, {oracle._list(t.industry)}, {oracle._list(t.tender_type)}, {oracle.LEVELS[t.level] / 10}::double, {oracle._q(t.effective_from)}::date, {oracle._q(t.effective_to)}::date)" for t in rules.active(TEMPLATES) if t.id != oracle.COMMON_ID and t.status == "ACTIVE")
+    return f"select * from (values {rows}) v(template_id, region, cities, industries, types, lvl, f, u)"
+
+
+def _scopes_sql() -> str:
+    picked = ", ".join(f"{_pick(v)} {k}" for k, v in (("region", SCOPE_REGIONS), ("city", SCOPE_CITIES), ("industry", SCOPE_INDUSTRIES), ("tender_type", SCOPE_TYPES)))
+    dates = ", ".join(f"{oracle._q(x)}::date" for x in SCOPE_DATES)
+    return f"select doc_id req_id, {picked}, ([{dates}])[(doc_id // 4) % {len(SCOPE_DATES)} + 1] as_of from documents"
+
+
+def _rules_each_sql() -> str:
+    d, common, every = _layout_parts()
+    parts = [_finding_select("coalesce(template_id, '')", p, source="c") for p in common]
+    parts += [_finding_select("template_id", p, f"template_id = '{key}'", "c") for key, own in every.items() for p in own]
+    return f"with {d}, {_matched(_templates_sql(), _scopes_sql())}, c as (select d.*, b.template_id from d left join b on b.req_id = d.doc_id and r = 1) " + " union all ".join(parts)
+
+
+def _verdict_each_sql() -> str:
+    d, common, every = _layout_parts()
+    out = ["DOC.NO_HEADER_FOOTER", "DOC.NO_WATERMARK", "PAGE.MARGIN", "DOC.PAGE_COUNT"]
+    parts = [_finding_select("template_id", p, source="c") for p in common]
+    parts += [_finding_select("template_id", p, f"template_id = '{key}'", "c") for key, own in every.items() for p in own if p[0] in out]
+    text = [("LEAK.MOBILE", "", "REJECT", "1", "''", "true"), ("DOC.NO_SPECIAL_METHOD", "", "REJECT", "1", "''", "template_id = 'hebei-transport-2026'")]
+    parts += [_finding_select("template_id", p, source="c") for p in text]
+    counts = ", ".join(f"('{t.id}', {len(rules.effective_rules(t))}, {sum(r.detect.startswith(('run.', 'paragraph.')) for r in t.rules)})" for t in TEMPLATES if t.id != oracle.COMMON_ID)
+    return f"""with {d}, {_matched(_templates_sql(), _scopes_sql())}, c as (select d.*, b.template_id from d left join b on b.req_id = d.doc_id and r = 1),
+x as ({" union all ".join(parts)}), n as (select doc_id, count(*) filter (severity = 'REJECT') reject, count(*) filter (severity = 'WARN') warn, count(distinct rule_id) rules_triggered from x group by 1),
+k as (select * from (values {counts}) v(template_id, rule_count, skipped))
+select n.doc_id, case when reject > 0 then 'REJECT' else 'WARN' end verdict, greatest(0, 100 - least(15 * reject, 60) - least(3 * warn, 30))::double score, coalesce(rule_count, {len(DISCLOSURE)})::bigint rule_count,
+  (coalesce(rule_count, {len(DISCLOSURE)}) - coalesce(skipped, 0))::bigint checked, coalesce(skipped, 0)::bigint skipped, reject, warn, rules_triggered from n join c using (doc_id) left join k using (template_id)"""
+
+
+def template_registry(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A template of every customer, and a request of every order."""
+    key, n = F.col("c_custkey"), F.col("c_nationkey")
+    star = lambda every, c: F.when(key % every == 0, F.array(F.lit("*"))).otherwise(F.array(c.cast("string"), F.lit("other")))
+    start = F.date_add(F.lit("1992-01-01").cast("date"), (key * 37 % 2400).cast("int"))
+    templates = table(spark, sf, "customer").select(
+        F.concat(F.lit("t"), key.cast("string")).alias("template_id"), F.when(key % 50 == 0, "*").otherwise(F.concat(F.lit("n"), n.cast("string"))).alias("region"), star(2, key % 7).alias("city"), star(3, F.col("c_mktsegment")).alias("industry"),
+        star(5, F.lit("工程")).alias("tender_type"), _level(key).alias("level"), F.when(key % 17 > 0, start).alias("effective_from"), F.when(key % 19 > 0, F.date_add(start, (key % 90).cast("int"))).alias("effective_to"), F.when(key % 13 == 0, "DRAFT").otherwise("ACTIVE").alias("status"),
+    )
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == key)
+    requests = orders.select(F.col("o_orderkey").alias("req_id"), F.concat(F.lit("n"), n.cast("string")).alias("region"), (F.col("o_orderkey") % 7).cast("string").alias("city"), F.col("c_mktsegment").alias("industry"), F.when(F.col("o_orderkey") % 2 == 0, "工程").alias("tender_type"), F.col("o_orderdate").cast("date").alias("as_of"))
+    return requests, templates
+
+
+def _level(key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, oracle.LEVELS)), (key % len(oracle.LEVELS) + 1).cast("int"))
+
+
+def template_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The template in force for every order, from a registry that grows with the customers."""
+    return rules.match_template(*template_registry(spark, sf))
+
+
+def _orders_sql() -> str:
+    star = lambda every, c: f"case when c_custkey % {every} = 0 then ['*'] else [{c}, 'other'] end"
+    start = "date '1992-01-01' + (c_custkey * 37 % 2400)::int"
+    levels = ", ".join(f"{v / 10}::double" for v in oracle.LEVELS.values())
+    templates = f"""select 't' || c_custkey template_id, case when c_custkey % 50 = 0 then '*' else 'n' || c_nationkey end region, {star(2, '(c_custkey % 7)::varchar')} cities, {star(3, 'c_mktsegment')} industries, {star(5, "'工程'")} types,
+([{levels}])[c_custkey % {len(oracle.LEVELS)} + 1] lvl, case when c_custkey % 17 > 0 then {start} end f, case when c_custkey % 19 > 0 then {start} + (c_custkey % 90)::int end u from customer where c_custkey % 13 > 0"""
+    requests = "select o_orderkey req_id, 'n' || c_nationkey region, (o_orderkey % 7)::varchar city, c_mktsegment industry, case when o_orderkey % 2 = 0 then '工程' end tender_type, o_orderdate::date as_of from orders join customer on o_custkey = c_custkey"
+    return f"with {_matched(templates, requests)} select q.req_id, b.template_id, b.score::double score from q left join b on b.req_id = q.req_id and r = 1"
+
+
 def docx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Every document written as an OOXML file with all parts, and its facts read back."""
     rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("markdown"), F.lit("t").alias("title"), F.col("source").alias("who"), F.col("lang").alias("head"), F.when(F.col("doc_id") % 2 == 0, "foot").alias("foot"))
@@ -267,9 +393,11 @@ select doc_id::varchar doc_id, case when reject > 0 then 'REJECT' else 'WARN' en
 QUERIES = {
     "layout_findings": layout_findings, "docx_roundtrip": docx_roundtrip, "requirements_extracted": requirements_extracted, "archived": archived, "kb_ingested": kb_ingested,
     "json_arguments": json_arguments, "answers": answers, "compliance_judged": compliance_judged, "rules_overridden": rules_overridden, "disclosure_masked": disclosure_masked, "kb_search": kb_search,
+    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders,
 }
 ORACLE_SQL = {
     "docx_audit": _audit_sql(),
     "layout_findings": _layout_sql(), "docx_roundtrip": DOCX_SQL, "requirements_extracted": _extracted_sql(), "archived": ARCHIVED_SQL, "kb_ingested": INGESTED_SQL,
     "json_arguments": JSON_SQL, "answers": ANSWERS_SQL, "compliance_judged": JUDGED_SQL, "rules_overridden": _overridden_sql(), "disclosure_masked": _masked_sql(), "kb_search": SEARCH_SQL,
+    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(),
 }
