@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procurelake.functions.automaton import found_words, words_of
 from procurelake.functions.text import present, round2, sentences, strings, trim
 from procurelake.packs import lexicons as L
 from procurelake.packs.rules import DEFAULT_PACK, FAIRNESS, INDUSTRIES, UNKNOWN_INDUSTRY
@@ -18,16 +19,16 @@ def split_sentences(docs: DataFrame, min_len: int = 6, id_col: str = "doc_id", t
 def clause_match(docs: DataFrame, lists: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, list_name, sent_no, sentence, matched): sentences with a word of a list and none of its negative ones.
 
-    ``matched`` are the first three words found, in the order of the list.
+    ``matched`` are the first three words found, in the order of the list.  Lists may be of any length: large ones are
+    searched in one pass over a sentence.
     """
-    each = split_sentences(docs, 6, id_col, text_col)
-    s = F.col("sentence")
-    found = [
-        F.struct(F.lit(name).alias("list_name"), F.when(F.size(present(s, negative)) == 0, F.slice(present(s, words), 1, 3)).otherwise(strings([])).alias("matched"))
-        for name, (words, negative) in (lists or L.CLAUSES).items()
-    ]
-    hits = each.select("*", F.explode(F.filter(F.array(*found), lambda f: F.size(f["matched"]) > 0)).alias("f"))
-    return hits.select(id_col, "f.list_name", "sent_no", "sentence", "f.matched")
+    lists = lists or L.CLAUSES
+    names = F.array(*[F.lit(n) for n in lists])
+    found = found_words(F.col("sentence"), [words for pair in lists.values() for words in pair])  # a list's words, then its negative ones
+    each = split_sentences(docs, 6, id_col, text_col).withColumn("found", found).where(F.size("found") > 0)
+    spoilt = lambda f: F.exists("found", lambda g: g["no"] == f["no"] + 1)
+    hits = each.select("*", F.explode(F.filter("found", lambda f: (f["no"] % 2 == 0) & ~spoilt(f))).alias("f"))
+    return hits.select(id_col, F.get(names, (F.col("f.no") / 2).cast("int")).alias("list_name"), "sent_no", "sentence", F.slice("f.words", 1, 3).alias("matched"))
 
 
 def amounts(text: Column, pattern: str, most: int) -> Column:
@@ -73,15 +74,23 @@ def parse_constraints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def fairness_hits(docs: DataFrame, pack=FAIRNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule_ord, rule_id, type, category, sent_no, sentence, matched): a row for each rule and sentence that meet.
 
-    ``matched`` are the rule's key words in order, then each pattern's first match, marked, up to 40 characters.
+    ``matched`` are the rule's key words in order, then each pattern's first match, marked, up to 40 characters.  The key
+    words of all rules are searched in one pass over a sentence; patterns one by one.
     """
-    s = F.col("sentence")
-    rules = []
+    s, pack = F.col("sentence"), tuple(pack)
+    each = split_sentences(docs, 6, id_col, text_col).withColumn("found", found_words(s, [r.keywords for r in pack]))
+    marked = []
     for i, rule in enumerate(pack):
-        marks = [F.when(s.rlike(p), F.array(F.concat(F.lit("匹配："), F.substring(F.regexp_extract(s, p, 0), 1, 40)))).otherwise(strings([])) for p in rule.patterns]
-        rules.append(F.struct(F.lit(i).alias("rule_ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.type).alias("type"), F.lit(rule.category).alias("category"), F.concat(present(s, rule.keywords), *marks).alias("matched")))
-    hits = split_sentences(docs, 6, id_col, text_col).select("*", F.explode(F.filter(F.array(*rules), lambda r: F.size(r["matched"]) > 0)).alias("r"))
-    return hits.select(id_col, "r.rule_ord", "r.rule_id", "r.type", "r.category", "sent_no", "sentence", "r.matched")
+        if rule.patterns:
+            marks = [F.when(s.rlike(p), F.array(F.concat(F.lit("匹配："), F.substring(F.regexp_extract(s, p, 0), 1, 40)))).otherwise(strings([])) for p in rule.patterns]
+            marked.append(F.struct(F.lit(i).alias("no"), F.concat(words_of(F.col("found"), i), *marks).alias("words")))
+    plain = [i for i, r in enumerate(pack) if not r.patterns]
+    met = F.filter("found", lambda f: f["no"].isin(plain)) if marked else F.col("found")
+    if marked:
+        met = F.concat(met, F.filter(F.array(*marked), lambda f: F.size(f["words"]) > 0))
+    about = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.type).alias("type"), F.lit(r.category).alias("category")) for r in pack])
+    hits = each.select("*", F.explode(met).alias("r")).withColumn("rule", F.get(about, F.col("r.no")))
+    return hits.select(id_col, F.col("r.no").alias("rule_ord"), "rule.rule_id", "rule.type", "rule.category", "sent_no", "sentence", F.col("r.words").alias("matched"))
 
 
 def fairness_summary(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -97,11 +106,13 @@ def detect_industry(docs: DataFrame, pack=INDUSTRIES, id_col: str = "doc_id", te
 
     Of equals the first of the pack wins; matched_keywords are the first twelve over all industries in order.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.array(*[F.struct(F.lit(-i).alias("neg"), F.lit(name).alias("name"), F.lit(key).alias("key"), F.lit(len(words)).alias("of"), present(t, words).alias("words")) for i, (name, key, words) in enumerate(pack)])
-    hit = F.filter(found, lambda f: F.size(f["words"]) > 0)
+    pack = tuple(pack)
+    about = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(key).alias("key"), F.lit(len(words)).alias("of")) for name, key, words in pack])
+    named = lambda f: F.struct((-f["no"]).alias("neg"), F.get(about, f["no"])["name"].alias("name"), F.get(about, f["no"])["key"].alias("key"), F.get(about, f["no"])["of"].alias("of"), f["words"].alias("words"))
+    given = docs.select(id_col, found_words(F.coalesce(F.col(text_col), F.lit("")), [words for _, _, words in pack]).alias("found"))
+    hit = F.transform("found", named)
     best = F.array_max(F.transform(hit, lambda f: F.struct(F.size(f["words"]).alias("n"), f["neg"].alias("neg"), f["name"].alias("name"), f["key"].alias("key"), f["of"].alias("of"))))
-    out = docs.select(id_col, hit.alias("hit"), best.alias("b"))
+    out = given.select(id_col, hit.alias("hit"), best.alias("b"))
     return out.select(
         id_col,
         F.coalesce("b.name", F.lit(UNKNOWN_INDUSTRY)).alias("name"),

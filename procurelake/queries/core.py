@@ -136,7 +136,7 @@ def geometry_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 def simhash_pairs(spark: SparkSession, sf: str) -> DataFrame:
     fps = collusion.simhash(collusion.eligible(_docs(spark, sf)), keep=("source",))
-    return collusion.all_pairs(fps, "source").where(F.col("distance") <= collusion.MEDIUM).select("source", "doc_a", "doc_b", F.col("distance").cast("long").alias("distance"), "verdict")
+    return collusion.near_pairs(fps, "source").select("source", "doc_a", "doc_b", F.col("distance").cast("long").alias("distance"), "verdict")
 
 
 def simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
