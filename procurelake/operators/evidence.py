@@ -10,30 +10,39 @@ from procurelake.functions.text import around, bare, matches, sentences, squeeze
 from procurelake.packs import lexicons as L
 
 
+def _statements(sections: DataFrame, citations: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, total, placeholders, facts ARRAY<STRUCT<index, s, has_number, standard, cited>>) of every row of ``sections``."""
+    blob = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit("")))
+    raw = citations.select(F.col(id_col).alias("__id"), F.explode(F.regexp_extract_all(blob, F.lit(L.CITATION), F.lit(0))).alias("tok"))
+    tokens = raw.groupBy("__id").agg(F.collect_set(F.lower(bare(F.col("tok")))).alias("tokens"))
+    rows = sections.select(F.col(id_col).alias("id"), sentences(F.col(text_col), 8).alias("each"), F.coalesce(F.regexp_count(text_col, F.lit(L.PLACEHOLDER)), F.lit(0)).alias("placeholders"))
+    told = F.transform("each", lambda s, i: F.struct(i.alias("index"), s.alias("s"), s.rlike(L.FACT_NUMBER).alias("has_number"), s.rlike(L.FACT_STANDARD).alias("standard")))
+    facts = F.filter(told, lambda f: (f["has_number"] | f["standard"]) & ~f["s"].rlike(L.NARRATIVE))
+    rows = rows.select("id", F.size("each").alias("total"), "placeholders", facts.alias("facts")).join(tokens, F.col("id") == F.col("__id"), "left")
+    cited = lambda f: F.coalesce(F.exists("tokens", lambda t: F.contains(F.lower(bare(f["s"])), t)), F.lit(False))
+    return rows.select("id", "total", "placeholders", F.transform("facts", lambda f: F.struct(f["index"].alias("index"), f["s"].alias("s"), f["has_number"].alias("has_number"), f["standard"].alias("standard"), cited(f).alias("cited"))).alias("facts"))
+
+
 def fact_check(sections: DataFrame, citations: DataFrame, id_col: str = "section_id", text_col: str = "text") -> DataFrame:
     """(id, index, sentence, has_number, cited, status, reason) of the sentences that state facts.
 
     A sentence of at least eight characters states one if it holds a number with a unit or names a standard and doesn't
     start as a narrative.  It is cited if it contains a token of a citation of the same id (id, source, content).
+    Null texts state nothing; sections that repeat an id are checked each against all citations of the id; a null id
+    has none.
     """
-    blob = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit("")))
-    raw = citations.select(F.col(id_col).alias("__id"), F.explode(F.regexp_extract_all(blob, F.lit(L.CITATION), F.lit(0))).alias("tok"))
-    tokens = raw.groupBy("__id").agg(F.collect_set(F.lower(bare(F.col("tok")))).alias("tokens"))
-    each = sections.select(id_col, F.posexplode(sentences(F.col(text_col), 8)).alias("index", "s"))
-    each = each.withColumns({"has_number": F.col("s").rlike(L.FACT_NUMBER), "standard": F.col("s").rlike(L.FACT_STANDARD)}).where((F.col("has_number") | F.col("standard")) & ~F.col("s").rlike(L.NARRATIVE))
-    joined = each.join(tokens, F.col(id_col) == F.col("__id"), "left").withColumn("low", F.lower(bare(F.col("s"))))
-    joined = joined.withColumn("cited", F.coalesce(F.exists("tokens", lambda t: F.contains(F.col("low"), t)), F.lit(False)))
+    each = _statements(sections, citations, id_col, text_col).select("id", F.explode("facts").alias("f")).select("id", "f.*")
     reason = F.when(F.col("cited"), "命中知识库来源 token").when(F.col("standard"), "含规范/标准引用但无对应知识库来源").otherwise("含具体数字/参数但无知识库来源")
-    return joined.select(id_col, "index", F.substring("s", 1, 120).alias("sentence"), "has_number", "cited", F.when(F.col("cited"), "已引用").otherwise("待人工补充").alias("status"), reason.alias("reason"))
+    return each.select(F.col("id").alias(id_col), "index", F.substring("s", 1, 120).alias("sentence"), "has_number", "cited", F.when(F.col("cited"), "已引用").otherwise("待人工补充").alias("status"), reason.alias("reason"))
 
 
-def fact_summary(sections: DataFrame, checked: DataFrame, id_col: str = "section_id", text_col: str = "text") -> DataFrame:
-    """(id, total_sentences, factual_sentences, cited, uncited, placeholder_count) of every section."""
-    counts = checked.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("f"), F.count_if("cited").alias("c"))
-    base = sections.select(id_col, F.size(sentences(F.col(text_col), 8)).alias("total_sentences"), F.coalesce(F.regexp_count(text_col, F.lit(L.PLACEHOLDER)), F.lit(0)).alias("placeholder_count"))
-    out = base.join(counts, F.col(id_col) == F.col("__id"), "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(id_col, "total_sentences", n("f").alias("factual_sentences"), n("c").alias("cited"), (n("f") - n("c")).alias("uncited"), "placeholder_count")
+def fact_summary(sections: DataFrame, citations: DataFrame, id_col: str = "section_id", text_col: str = "text") -> DataFrame:
+    """(id, total_sentences, factual_sentences, cited, uncited, placeholder_count) of every section, as ``fact_check`` finds them.
+
+    Each row of ``sections`` is counted by itself, also one that repeats an id.
+    """
+    cited = F.size(F.filter("facts", lambda f: f["cited"]))
+    return _statements(sections, citations, id_col, text_col).select(F.col("id").alias(id_col), F.col("total").alias("total_sentences"), F.size("facts").alias("factual_sentences"), cited.alias("cited"), (F.size("facts") - cited).alias("uncited"), F.col("placeholders").alias("placeholder_count"))
 
 
 def extract_facts(requirements: DataFrame, project_col: str = "project_id", order_col: str = "ord", content_col: str = "content") -> DataFrame:
@@ -58,12 +67,14 @@ def check_facts(texts: DataFrame, facts: DataFrame, id_col: str = "doc_id", text
     """(id, fact_key, expected, found_in_text, context, verdict) for each fact (id, fact_key, expected) with a number.
 
     Quantities of the text match if they contain the fact's first number as characters; 一致 if all of them have the
-    fact's unit, else 偏离; 缺失 without a match.
+    fact's unit, else 偏离; 缺失 without a match.  Every fact is checked against every text of its id, so ids that repeat
+    have a row for each such pair; ids that are null or on one side only have none.  All quantities of a text count;
+    a null text has none.
     """
     number = F.regexp_extract("expected", r"(\d+(?:\.\d+)?)", 1)
     wanted = facts.select(F.col(id_col).alias("__id"), "fact_key", "expected", number.alias("num")).where("num <> ''")
-    t = F.col(text_col)
-    spans = F.transform(matches(t, L.QUANTITY, 1 << 20), lambda m: F.struct(m["match"].alias("value"), around(t, m["off"], F.length(m["match"]), 20).alias("context")))
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    spans = F.transform(matches(t, L.QUANTITY, (1 << 31) - 1), lambda m: F.struct(m["match"].alias("value"), around(t, m["off"], F.length(m["match"]), 20).alias("context")))
     joined = wanted.join(texts.select(id_col, spans.alias("spans")), F.col(id_col) == F.col("__id"))
     hits = joined.withColumn("hits", F.filter("spans", lambda s: F.contains(s["value"], F.col("num"))))
     unit = lambda c: F.regexp_extract(c, L.UNIT, 1)
@@ -87,6 +98,7 @@ def check_compliance(requirements: DataFrame, drafts: DataFrame, project_col: st
 
     完全响应 if at least half of the key words, rounded down but one at least, occur in the project's draft (project,
     draft), in any case; a requirement without key words or with too few hits is pending: 缺失 unless a model judges it.
+    A requirement of a project with several drafts is checked against each, one row for each; without a draft it is missing.
     With ``most_pending`` the column to_judge marks the first so many pending ones of a project, by req_id.
     """
     joined = requirements.join(drafts.select(F.col(project_col).alias("__p"), "draft"), F.col(project_col) == F.col("__p"), "left")

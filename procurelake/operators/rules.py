@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procurelake.functions.text import trim
@@ -305,9 +305,16 @@ def validate_each(facts: DataFrame, id_col: str = "doc_id", templates: tuple[Tem
     return finding_rows(found, id_col), verdicts(found, None, id_col), met.select(id_col, F.col("__template").alias("template_id"))
 
 
+def _report_order() -> list[Column]:
+    """REJECT before WARN before INFO before others, then rule."""
+    return [F.when(F.col("severity") == "REJECT", 0).when(F.col("severity") == "WARN", 1).when(F.col("severity") == "INFO", 2).otherwise(9), F.col("rule_id")]
+
+
 def sorted_findings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """By document, REJECT before WARN before INFO before others, then rule."""
-    order = F.when(F.col("severity") == "REJECT", 0).when(F.col("severity") == "WARN", 1).when(F.col("severity") == "INFO", 2).otherwise(9)
-    return rows.orderBy(id_col, order, "rule_id")
+    """Findings by document, in the order of a report; ``ranked_findings`` numbers them instead of sorting all rows."""
+    return rows.orderBy(id_col, *_report_order())
 
 
+def ranked_findings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` with ``no``: the place of a finding in its document's report, from 1; equal ones in any order."""
+    return rows.withColumn("no", F.row_number().over(Window.partitionBy(id_col).orderBy(*_report_order())))

@@ -180,7 +180,7 @@ def fact_check(spark: SparkSession, sf: str) -> DataFrame:
 def fact_check_docs(spark: SparkSession, sf: str) -> DataFrame:
     sections = _docs(spark, sf).select(F.col("doc_id").alias("section_id"), "text")
     cites = table(spark, sf, "benchmark").select(F.col("item_id").alias("section_id"), F.lit("").alias("source"), F.col("text").alias("content"))
-    return evidence.fact_summary(sections, evidence.fact_check(sections, cites)).select("section_id", F.col("total_sentences").cast("long").alias("total_sentences"), "factual_sentences", "cited", "uncited")
+    return evidence.fact_summary(sections, cites).select("section_id", F.col("total_sentences").cast("long").alias("total_sentences"), "factual_sentences", "cited", "uncited")
 
 
 def facts_check(spark: SparkSession, sf: str) -> DataFrame:

@@ -121,9 +121,9 @@ def _money(text: str, pattern: str) -> str:
     return f"coalesce(array_to_string(list_transform({_amounts(text, pattern, 3)}, lambda v: format('{{:.2f}}', v)), '|'), '')"
 
 
-def _params() -> str:
+def _params(source: str | None = None) -> str:
     weights = ", ".join(f"regexp_extract(text, {_q(p)}, 1) w{i}" for i, p in enumerate(L.WEIGHTS.values()))
-    return f"select doc_id, {weights}, try_cast(nullif(regexp_extract(text, {_q(L.DURATION)}, 1), '') as int) duration_days, {_money('text', L.BOND)} bond, {_money('text', L.CONTROL_PRICE)} control from {_values(core.TENDERS, 'doc_id, text')}"
+    return f"select doc_id, {weights}, try_cast(nullif(regexp_extract(text, {_q(L.DURATION)}, 1), '') as int) duration_days, {_money('text', L.BOND)} bond, {_money('text', L.CONTROL_PRICE)} control from {source or _values(core.TENDERS, 'doc_id, text')}"
 
 
 def _verdict() -> str:
@@ -195,7 +195,9 @@ def _any(text: str, *words: str) -> str:
     return "(" + " or ".join(f"contains({text}, {_q(w)})" for w in words) + ")"
 
 
-def _statuses(source: str) -> str:
+def _statuses(source: str, extra: dict[str, str] | None = None) -> str:
+    """The twelve checks; ``extra`` has further columns by code, and for all other codes under ''."""
+    extra = extra or {}
     starred = _list([*STARRED_INDUSTRIES, *[n for n, k, _ in INDUSTRIES if k in STARRED_INDUSTRIES]])
     t = "draft_text"
     status = {
@@ -213,7 +215,7 @@ def _statuses(source: str) -> str:
         "P12": "case when days > 0 and said is null then 'MANUAL' when days > 0 and said > days then 'REJECT_RISK' when not coalesce(days > 0, false) and said is null then 'WARN' else 'PASS' end",
     }
     base = f"select *, {_amounts(t, L.BID_PRICE, 8)} prices, try_cast(nullif(regexp_extract({t}, {_q(L.COMMITTED_DURATION)}, 1), '') as int) said from {source} where {_trim(t)} <> ''"
-    return f"with d as ({base}) " + " union all ".join(f"select doc_id, '{c}' code, {s} status from d" for c, s in status.items())
+    return f"with d as ({base}) " + " union all ".join(f"select doc_id, '{c}' code, {s} status{extra.get(c, extra.get('', ''))} from d" for c, s in status.items())
 
 
 def _cited(sections: str, citations: str) -> str:
@@ -223,19 +225,19 @@ f as (select *, regexp_matches(s, {_q(L.FACT_NUMBER)}) has_number from e where (
 c as (select f.*, exists (select 1 from k where k.section_id = f.section_id and contains(lower({_bare('f.s')}), k.tok)) cited from f)"""
 
 
-def _facts_check() -> str:
+def _facts_check(facts: str | None = None, texts: str | None = None, more: str = "") -> str:
     q, u = _q(L.QUANTITY), _q(L.UNIT)
     unit = lambda c: f"regexp_extract({c}, {u}, 1)"
-    return f"""with f as (select *, regexp_extract(expected, '(\\d+(?:\\.\\d+)?)', 1) num from {_values(core.FACT_ROWS, 'doc_id, fact_key, expected')}),
-t as (select doc_id, regexp_extract_all(text, {q}) m from {_values(core.CHECKED_TEXT, 'doc_id, text')}),
-h as (select fact_key, expected, list_filter(m, lambda v: contains(v, num)) hit from f join t using (doc_id) where num <> '')
-select fact_key, expected, coalesce(hit[1], '') found_in_text, case when len(hit) = 0 then '缺失' when len(list_filter(hit, lambda v: {unit('v')} <> {unit('expected')})) = 0 then '一致' else '偏离' end verdict from h"""
+    return f"""with f as (select *, regexp_extract(expected, '(\\d+(?:\\.\\d+)?)', 1) num from {facts or _values(core.FACT_ROWS, 'doc_id, fact_key, expected')}),
+t as (select doc_id, regexp_extract_all(text, {q}) m from {texts or _values(core.CHECKED_TEXT, 'doc_id, text')}),
+h as (select {more}fact_key, expected, list_filter(m, lambda v: contains(v, num)) hit from f join t using (doc_id) where num <> '')
+select {more}fact_key, expected, coalesce(hit[1], '') found_in_text, case when len(hit) = 0 then '缺失' when len(list_filter(hit, lambda v: {unit('v')} <> {unit('expected')})) = 0 then '一致' else '偏离' end verdict from h"""
 
 
-def _extract_facts() -> str:
+def _extract_facts(source: str | None = None) -> str:
     rows = [(i, 0, t) for i, t in core.TENDERS] + [(1, 1, "混凝土设计强度等级为 C30，抗渗等级 W8，缺陷责任期 24 个月")]
     parts = " union all ".join(f"select project_id, {_q(k)} fact_key, {_trim(f'regexp_extract(t, {_q(p)})')} as value from x" for k, p in L.FACTS)
-    return f"with x as (select project_id, string_agg(content, chr(10) order by ord) t from {_values(rows, 'project_id, ord, content')} group by 1) select * from ({parts}) where value <> ''"
+    return f"with x as (select project_id, string_agg(content, chr(10) order by ord) t from {source or _values(rows, 'project_id, ord, content')} group by 1) select * from ({parts}) where value <> ''"
 
 
 def _compliance() -> str:

@@ -229,7 +229,7 @@ def test_fact_check(spark):
     assert sum(r.cited for r in got) >= 1 and sum(not r.cited for r in got) >= 1
     s = spark.createDataFrame(core.SECTIONS, "section_id long, text string")
     c = spark.createDataFrame(core.CITATIONS, "section_id long, source string, content string")
-    assert {r.section_id: r.placeholder_count for r in evidence.fact_summary(s, evidence.fact_check(s, c)).collect()} == {1: 1, 2: 0}
+    assert {r.section_id: r.placeholder_count for r in evidence.fact_summary(s, c).collect()} == {1: 1, 2: 0}
 
 
 def test_facts(spark):
@@ -349,3 +349,19 @@ def test_repeated_ids_keep_their_rows(spark):
 def test_leak_summary(spark):
     hits, masked = pii.scan_and_mask(docs(spark, "电话13900001111，电话13900001112", None))
     assert {(r.rule_id, r.n) for r in pii.leak_summary(hits).collect()} == {("LEAK.MOBILE", 2)} and masked.count() == 2
+
+
+def test_repeated_ids_of_evidence(spark):
+    """Sections of one id are counted each by itself; facts and drafts of one id meet each other, as documented."""
+    s = spark.createDataFrame([(1, "坝高 35 m 的大坝施工。另一句没有数字的叙述。", "x"), (1, "＊＊＊＊＊＊水位 20 m 的说明文字。", "y"), (None, "坝高 35 m 的大坝施工。", "z"), (2, None, None)], "section_id long, text string, tokens string")
+    c = spark.createDataFrame([(1, "", "35 m"), (1, None, None), (None, "", "35 m")], "section_id long, source string, content string")
+    got = sorted(map(tuple, evidence.fact_summary(s, c).collect()), key=repr)
+    assert got == [(1, 1, 1, 0, 1, 1), (1, 2, 1, 1, 0, 0), (2, 0, 0, 0, 0, 0), (None, 1, 1, 0, 1, 0)]
+    assert sorted((r[0] or 0, r[1], r.cited) for r in evidence.fact_check(s, c).collect()) == [(0, 0, False), (1, 0, False), (1, 0, True)]
+    texts = spark.createDataFrame([(1, "工期 180 天", 5), (1, "工期 90 天", 6), (2, None, 7)], "doc_id long, text string, spans int")
+    facts = spark.createDataFrame([(1, "工期", "180 日历天"), (2, "工期", "5 天"), (None, "x", "1 天"), (1, "名称", None)], "doc_id long, fact_key string, expected string")
+    checked = evidence.check_facts(texts, facts).collect()
+    assert sorted((r.doc_id, r.found_in_text, r.verdict) for r in checked) == [(1, "", "缺失"), (1, "180 天", "偏离"), (2, "", "缺失")]
+    drafts = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, None)], "project_id long, draft string")
+    reqs = spark.createDataFrame([(1, "r1", ["alpha"]), (2, "r2", ["x"]), (3, "r3", None)], "project_id long, req_id string, keywords array<string>")
+    assert sorted((r.project_id, r.n_hit) for r in evidence.check_compliance(reqs, drafts).collect()) == [(1, 0), (1, 1), (2, 0), (3, 0)]
