@@ -26,6 +26,10 @@ from procurelake.packs.rules import COMMON_ID, DATED, LEVELS, MATCH_CITY, MATCH_
 #: Matches of a pattern that a text rule looks at.
 TEXT_MOST = 500
 NOT_SET = "未显式设置"
+#: What rules expect as numbers.
+NUMBERS = ("occurrences", "max", "pt", "tolerance", "multiple", "mult_tolerance", "chars", "before_pt", "after_pt", "top_cm", "bottom_cm", "left_cm", "right_cm")
+#: What the finding of a rule that can't be decided shows.
+FAILED = "判定失败"
 #: Region and type of a request that names none.
 HOME_REGION, HOME_TYPE = "河北省", "工程"
 
@@ -124,7 +128,23 @@ def _finding(rule: Rule, n: Column, expected: str, actual: Column, severity: Col
 
 
 def _one(rule: Rule, text_most: int) -> Column:
-    """The rule's findings over the facts of a row: an array of none or one, null if its facts weren't collected."""
+    """The rule's findings over the facts of a row: an array of none or one, null if its facts weren't collected.
+
+    A rule that can't be decided, as what it expects is malformed, gives a WARN finding that says so.
+    """
+    try:
+        if "failed" in rule.expect:
+            raise ValueError(rule.expect["failed"])
+        if odd := [k for k in NUMBERS if not isinstance(rule.expect.get(k, 0), int | float)]:
+            raise TypeError(f"no numbers: {odd}")
+        return _decided(rule, text_most)
+    except (KeyError, TypeError, ValueError, AttributeError):
+        failed = F.array(_finding(rule, F.lit(0), "", F.lit(FAILED), F.lit("WARN")))
+        paragraphs = F.coalesce(F.size("paragraphs") > 0, F.lit(False)) if rule.detect.startswith(("run.", "paragraph.")) else F.col("doc").isNotNull()
+        return F.when(paragraphs, failed) if rule.detect.startswith(("run.", "paragraph.", "doc.")) else failed
+
+
+def _decided(rule: Rule, text_most: int) -> Column:
     e, d = rule.expect, rule.detect
     none = F.array().cast(FINDING)
     when = lambda cond, finding: F.when(F.coalesce(cond, F.lit(False)), F.array(finding)).otherwise(none)
@@ -134,7 +154,9 @@ def _one(rule: Rule, text_most: int) -> Column:
     flat = lambda ps, field: F.flatten(F.transform(ps, lambda p: F.coalesce(p[field], F.array())))
     unset = _finding(rule, F.lit(0), "", F.lit(NOT_SET), F.lit("WARN"))
     if d == "text.pattern":
-        text, most = F.coalesce("text", F.lit("")), e.get("occurrences", 0)
+        text, most = F.coalesce("text", F.lit("")), int(e.get("occurrences", 0))
+        if not e["patterns"]:
+            return none
         quoted = lambda hits: F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: F.concat(F.lit("「"), h["match"], F.lit("」"))), "、")
         # hits are written once, and worked out only where one of the patterns occurs
         tested = F.transform(F.array(pattern_hits(text, rule, text_most)), lambda hits: _finding(rule, F.size(hits), f"≤ {most}", quoted(hits)))

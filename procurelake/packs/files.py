@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procurelake.packs.patterns import usable
 from procurelake.packs.rules import FairRule, Rule, Template
 
 RULE = "struct<id:string,category:string,severity:string,detect:string,expect:string,auto_fixable:boolean,needs_review:boolean>"
@@ -54,12 +55,37 @@ def fairness(packs: DataFrame) -> tuple[FairRule, ...]:
 
 
 def templates(packs: DataFrame) -> tuple[Template, ...]:
-    """Rule templates for ``choose_template``, ``match_template`` and ``validate``; ``expect`` is a JSON object."""
+    """Rule templates for ``choose_template``, ``match_template`` and ``validate``; ``expect`` is a JSON object.
+
+    Patterns of text rules are JavaScript's.  An invalid one is left out; a rule with one that Java can't express is
+    kept and gives a WARN finding, as does one whose ``expect`` is no object.
+    """
     import json
 
+    java = packs.sparkSession._jvm.java.util.regex.Pattern
+
+    def compiles(pattern: str) -> bool:
+        try:
+            return not java.compile(pattern).matcher("").find()
+        except Exception:  # noqa: BLE001 - what the JVM raises arrives as one kind of error
+            return False
+
+    def expected(detect: str, text: str | None) -> dict:
+        try:
+            found = json.loads(text or "{}")
+        except ValueError:
+            found = None
+        if not isinstance(found, dict):
+            return {"failed": "expect is no object"}
+        if detect == "text.pattern":
+            found["patterns"], failed = usable(list(found.get("patterns") or []), compiles)
+            if failed:
+                found["failed"] = failed
+        return found
+
     day = lambda d: date.fromisoformat(d) if d else None
     scope = lambda s: tuple(s) if s else ("*",)
-    rule = lambda x: Rule(x.id, x.category, x.severity, x.detect, json.loads(x.expect or "{}"), bool(x.auto_fixable), bool(x.needs_review))
+    rule = lambda x: Rule(x.id, x.category, x.severity, x.detect, expected(x.detect, x.expect), bool(x.auto_fixable), bool(x.needs_review))
     rows = packs.orderBy("key").collect()
     return tuple(Template(r.key, r.region or "*", scope(r.city), scope(r.industry), scope(r.tender_type), r.level or "", day(r.effective_from), day(r.effective_to), tuple(map(rule, r.rules or ())), tuple(r.supersedes or ()), r.status or "ACTIVE") for r in rows)
 

@@ -355,6 +355,30 @@ def _overridden_sql() -> str:
 select doc_id, case when reject > 0 then 'REJECT' when warn > 0 then 'WARN' else 'PASS' end verdict, {len(DISCLOSURE) + 1}::bigint rule_count, {len(DISCLOSURE) + 1}::bigint checked, warn, info from d"""
 
 
+#: A template as its file holds it: patterns of JavaScript, invalid ones, a rule that can't be decided, one without a detector.
+ODD_RULES = [
+    ("ODD.WORD", "REJECT", "text.pattern", {"patterns": [r"\btoken\b", "([a-z", "a++"], "occurrences": 1}), ("ODD.ANY", "WARN", "text.pattern", {"patterns": [r"\.[^][A-Z]{2}", "*"]}), ("ODD.NONE", "REJECT", "text.pattern", {"patterns": ["(?>a)", "[b-a]"]}),
+    ("ODD.EMPTY", "REJECT", "text.pattern", {"patterns": ["q*"]}), ("ODD.LIMIT", "REJECT", "marks.comments", {"max": "many"}), ("ODD.KIND", "REJECT", "no.such.detector", {}),
+]
+
+
+def odd_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings on every document under a template from a file with odd patterns."""
+    from procurelake.packs import files
+
+    folder = Scratch(spark, "packs").path("odd")
+    given = [{"id": i, "category": "X", "severity": s, "detect": d, "expect": json.dumps(e)} for i, s, d, e in ODD_RULES]
+    files.write_packs(spark, folder, {"odd": {"key": "odd", "region": "*", "level": "LAW", "effective_from": "2024-01-01", "rules": given}})
+    templates = files.templates(files.read_packs(spark, folder, "template"))
+    found = rules.validate(_docs(spark, sf).select("doc_id", "text"), date(2025, 1, 1), templates=templates, text_most=(1 << 31) - 1)[0]
+    return found.select("doc_id", "rule_id", "severity", F.col("n").cast("long").alias("n"))
+
+
+ODD_SQL = r"""with x as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '\btoken\b')) a, len(regexp_extract_all(coalesce(text, ''), '\.[\s\S][A-Z]{2}')) b from documents)
+select doc_id, 'ODD.WORD' rule_id, 'REJECT' severity, a::bigint n from x where a > 1 union all select doc_id, 'ODD.ANY', 'WARN', b::bigint from x where b > 0
+union all select doc_id, 'ODD.EMPTY', 'WARN', 0 from x union all select doc_id, 'ODD.LIMIT', 'WARN', 0 from x"""
+
+
 def disclosure_masked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with disclosures, how many, and what masking makes of their personal data."""
     hits, masked = pii.scan_and_mask(_docs(spark, sf))
@@ -393,11 +417,11 @@ select doc_id::varchar doc_id, case when reject > 0 then 'REJECT' else 'WARN' en
 QUERIES = {
     "layout_findings": layout_findings, "docx_roundtrip": docx_roundtrip, "requirements_extracted": requirements_extracted, "archived": archived, "kb_ingested": kb_ingested,
     "json_arguments": json_arguments, "answers": answers, "compliance_judged": compliance_judged, "rules_overridden": rules_overridden, "disclosure_masked": disclosure_masked, "kb_search": kb_search,
-    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders,
+    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders, "odd_patterns": odd_patterns,
 }
 ORACLE_SQL = {
     "docx_audit": _audit_sql(),
     "layout_findings": _layout_sql(), "docx_roundtrip": DOCX_SQL, "requirements_extracted": _extracted_sql(), "archived": ARCHIVED_SQL, "kb_ingested": INGESTED_SQL,
     "json_arguments": JSON_SQL, "answers": ANSWERS_SQL, "compliance_judged": JUDGED_SQL, "rules_overridden": _overridden_sql(), "disclosure_masked": _masked_sql(), "kb_search": SEARCH_SQL,
-    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(),
+    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(), "odd_patterns": ODD_SQL,
 }
