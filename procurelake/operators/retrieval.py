@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,18 @@ def chunk(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, id_col: st
     return docs.select(id_col, text_col).mapInPandas(run, schema)
 
 
+class ChunkText:
+    """A table function: ``chunk_text(text, size, overlap)`` has the rows (chunk_no, chunk) of ``cut``."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(cut(text, size, overlap))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Let SQL of this session call ``chunk_text``, as in ``from docs, lateral chunk_text(docs.text, 6000, 400)``."""
+    spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="chunk_no int, chunk string"))
+
+
 def chunk_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same at a fixed stride, without Python: (id, chunk_no, chunk)."""
     step = size - overlap

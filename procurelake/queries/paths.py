@@ -275,6 +275,40 @@ def _extracted_sql() -> str:
 select doc_id tender_id, printf('R%03d', row_number() over (partition by doc_id order by chunk_no)) id, chunk_no source_chunk, '资质门槛' category, md5(content) digest, true mandatory, 'a' keywords from k where n = 1"""
 
 
+def _flaky(chunk: str) -> str:
+    """In a model's place: prose around the list, and no list for chunks that begin with a letter from N on."""
+    if chunk[:1].upper() >= "N":
+        return "I found nothing"
+    return f"Sure, here it is: {_heads(chunk)} - anything else?"
+
+
+def requirements_failed(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of every document by what came of asking: requirements, or the failure that shows."""
+    from procurelake.plans.requirements import ask_chunks, failed_chunks, requirements_of
+
+    tenders = _docs(spark, sf).select(F.col("doc_id").alias("tender_id"), "text")
+    asked = Scratch(spark, "asked").save(ask_chunks(tenders, _flaky, most_chars=None, attempts=2), "asked")
+    kept = requirements_of(asked).groupBy("tender_id").agg(F.count("*").alias("n_requirements"))
+    failed = failed_chunks(asked).groupBy("tender_id").agg(F.count("*").alias("n_failed"), F.max(F.col("attempts").cast("long")).alias("attempts"), F.max("error").alias("error"))
+    n = asked.groupBy("tender_id").agg(F.count("*").alias("n_chunks"))
+    return n.join(kept, "tender_id", "left").join(failed, "tender_id", "left").fillna(0, ["n_requirements", "n_failed"])
+
+
+def _failed_sql() -> str:
+    pieces = oracle._chunks().rsplit("\nselect", 1)[0]
+    return f"""{pieces}, p as (select doc_id, chunk_no, substr(text, pos + 1, e - pos) piece from c where trim(text) <> ''), q as (select *, upper(substr(piece, 1, 1)) >= 'N' bad, {oracle._trim("substr(piece, 1, 60)")} content from p),
+k as (select *, row_number() over (partition by doc_id, substr({oracle._bare("content")}, 1, 40) order by chunk_no) n from q where not bad and length(content) >= 4)
+select q.doc_id tender_id, count(*) n_chunks, coalesce(any_value(r.n), 0)::bigint n_requirements, count(*) filter (bad) n_failed, case when count(*) filter (bad) > 0 then 2::bigint end attempts, case when count(*) filter (bad) > 0 then 'no list in the answer' end error
+from q left join (select doc_id, count(*) n from k where n = 1 group by 1) r using (doc_id) group by q.doc_id"""
+
+
+def chunk_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """``chunk_text`` as a table function that SQL calls."""
+    retrieval.register_table_functions(spark)
+    docs = _docs(spark, sf).select("doc_id", "text")
+    return spark.sql("select doc_id, cast(c.chunk_no as long) chunk_no, cast(length(c.chunk) as long) len, md5(c.chunk) digest from {docs}, lateral chunk_text(text, 6000, 400) c", docs=docs)
+
+
 def archived(spark: SparkSession, sf: str) -> DataFrame:
     """Every document archived as a final under its industry and year, and counted from the files."""
     finals = _docs(spark, sf).select("doc_id", "text", F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("industry"), F.when(F.col("doc_id") % 3 > 0, 2020 + F.col("doc_id") % 5).alias("year"))
@@ -417,11 +451,11 @@ select doc_id::varchar doc_id, case when reject > 0 then 'REJECT' else 'WARN' en
 QUERIES = {
     "layout_findings": layout_findings, "docx_roundtrip": docx_roundtrip, "requirements_extracted": requirements_extracted, "archived": archived, "kb_ingested": kb_ingested,
     "json_arguments": json_arguments, "answers": answers, "compliance_judged": compliance_judged, "rules_overridden": rules_overridden, "disclosure_masked": disclosure_masked, "kb_search": kb_search,
-    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders, "odd_patterns": odd_patterns,
+    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders, "odd_patterns": odd_patterns, "requirements_failed": requirements_failed, "chunk_sql": chunk_sql,
 }
 ORACLE_SQL = {
     "docx_audit": _audit_sql(),
     "layout_findings": _layout_sql(), "docx_roundtrip": DOCX_SQL, "requirements_extracted": _extracted_sql(), "archived": ARCHIVED_SQL, "kb_ingested": INGESTED_SQL,
     "json_arguments": JSON_SQL, "answers": ANSWERS_SQL, "compliance_judged": JUDGED_SQL, "rules_overridden": _overridden_sql(), "disclosure_masked": _masked_sql(), "kb_search": SEARCH_SQL,
-    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(), "odd_patterns": ODD_SQL,
+    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(), "odd_patterns": ODD_SQL, "requirements_failed": _failed_sql(), "chunk_sql": oracle._chunks(),
 }

@@ -328,15 +328,36 @@ def test_extractor_is_asked_again():
     from procurelake.plans.requirements import answered
 
     said = iter(["no json", '{"items": [{"content": "甲"}]}'])
-    assert answered(lambda _: next(said), "x", 3) == '[{"content": "甲"}]'
-    assert answered(lambda _: "```json\n[1]\n```", "x", 1) == "[1]"
+    assert answered(lambda _: next(said), "x", 3) == ('[{"content": "甲"}]', 2, "")
+    for text, want in [("```json\n[1]\n```", "[1]"), ('Here it is: [{"a": 1}] as asked', '[{"a": 1}]'), ('Sure: {"requirements": [2]}', "[2]"), ('{"a": {"b": "]"}, "c": [3]}', "[3]"), ("see [the list]: {\"c\": [4]}", "[4]"), ("[]", "[]")]:
+        assert answered(lambda _, t=text: t, "x", 1) == (want, 1, "")
     calls = []
 
     def fails(_):
         calls.append(1)
-        raise TimeoutError
+        raise TimeoutError("late")
 
-    assert answered(fails, "x", 3) == "[]" and len(calls) == 3
+    assert answered(fails, "x", 3) == (None, 3, "TimeoutError: late") and len(calls) == 3
+    for text in ("nothing", "{", '{"a": 1}', "[1", ""):
+        assert answered(lambda _, t=text: t, "x", 2) == (None, 2, "no list in the answer")
+
+
+def test_failed_chunks_show(spark):
+    """A chunk without an answer is an error, or a row of its own beside the others' requirements."""
+    from procurelake.plans import requirements as plan
+
+    def extractor(text):
+        if text.startswith("b"):
+            raise TimeoutError("late")
+        return '[{"category":"资质门槛","content":"须具备施工总承包资质"}]'
+
+    tenders = spark.createDataFrame([(1, "a" * 90), (2, "b" * 90), (3, None)], "tender_id long, text string")
+    with pytest.raises(Exception, match="no requirements of chunk 0: TimeoutError: late"):
+        plan.extract_requirements(tenders, extractor).collect()
+    assert [r.tender_id for r in plan.extract_requirements(tenders, extractor, strict=False).collect()] == [1]
+    asked = plan.ask_chunks(tenders, extractor, attempts=2).cache()
+    assert [tuple(r) for r in plan.failed_chunks(asked).collect()] == [(2, 0, 2, "TimeoutError: late")]
+    assert [(r.tender_id, r.id) for r in plan.requirements_of(asked).collect()] == [(1, "R001")]
 
 
 def test_repeated_ids_keep_their_rows(spark):
