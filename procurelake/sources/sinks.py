@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procurelake.sources.base import ingest  # noqa: F401 - the third sink, with a log of its own
+
 
 def archive_finals(finals: DataFrame, path: str, mode: str = "append") -> None:
     """Write rows with their project metadata, by industry and year; blank ones go under ``unknown`` and 0."""
@@ -22,28 +24,6 @@ def archive_finals(finals: DataFrame, path: str, mode: str = "append") -> None:
 UNWRITABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
-def ingest(docs: DataFrame, path: str, dataset_col: str = "dataset", id_col: str = "doc_id") -> DataFrame:
-    """Add documents (dataset, doc_id, content, ...) to the knowledge base in the folder ``path``; (dataset, doc_id, run).
-
-    A dataset is a partition, made at its first document and used again after.  A document that its dataset holds with
-    the same content isn't written again, so a job that failed half-way can be run again whole; of rows that repeat
-    dataset, id and content one is written.  Null datasets go under ``unknown``; null contents are empty.  ``run`` is
-    DONE for what the folder then holds, which is every document.
-    """
-    spark = docs.sparkSession
-    key = [dataset_col, id_col, "digest"]
-    tidy = docs.withColumns({dataset_col: F.coalesce(F.nullif(F.trim(dataset_col), F.lit("")), F.lit("unknown")), "content": F.coalesce("content", F.lit("")), "digest": F.sha2(F.coalesce("content", F.lit("")), 256)}).dropDuplicates(key)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        held = spark.read.schema(tidy.schema).parquet(path).select(*[F.col(c).alias(f"__{c}") for c in key])
-        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
-        new = tidy.join(held, same, "left_anti")
-    else:
-        new = tidy
-    new.write.mode("append").partitionBy(dataset_col).parquet(path)
-    return spark.read.schema(tidy.schema).parquet(path).select(dataset_col, id_col, F.lit("DONE").alias("run")).distinct()
-
-
 def blocks(markdown: str) -> list[tuple[str, object]]:
     """(kind, content) of a Markdown text, line by line: h1 to h4, ul, ol, hr, table, p and blank."""
     out: list[tuple[str, object]] = []

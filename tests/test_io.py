@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from procurelake.operators.graph import connected_components
@@ -132,3 +133,36 @@ def test_ingest_again(spark, tmp_path):
     sinks.ingest(spark.createDataFrame([("k", 1, "new")], docs.schema), place)
     assert spark.read.parquet(place).count() == 5
     assert sinks.ingest(docs.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_additions_are_logged(spark, tmp_path):
+    """The second addition reads the log and candidate files only; a failed one shows; a logged one that wasn't moved is."""
+    from procurelake.sources import base
+
+    place, schema = f"file://{tmp_path}/kb", "dataset string, doc_id int, content string"
+    make = lambda rows: spark.createDataFrame(rows, schema).coalesce(1)
+    base.ingest(make([("a b", 1, "x"), ("a b", 2, "x")]), place)
+    base.ingest(make([("a b", 50, "x"), ("c", 1, "x"), ("c", None, "y")]), place)
+    assert base.documents(spark, place).count() == 5 and base.log(spark, place).agg(F.sum("n")).first()[0] == 5
+    near = lambda *keys: len(base.held_files(spark, place, spark.createDataFrame(keys, "dataset string, id int")))
+    assert (near(("a b", 2)), near(("a b", 3)), near(("a b", 60), ("a b", 2)), near(("c", None)), near(("d", 1)), near(("a b", 0), ("c", 1))) == (1, 0, 2, 1, 0, 1)
+    bad = make([("a b", 1, "x"), ("c", 7, "z")]).withColumn("content", F.when(F.col("doc_id") == 7, F.raise_error(F.lit("no text")).cast("string")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no text"):
+        base.ingest(bad, place)
+    late = make([("a b", 1, "x"), ("c", 8, "z")])
+    kept, base._Folder.write = base._Folder.write, lambda self, name, text: (_ for _ in ()).throw(OSError("full")) if '"error"' not in text else kept(self, name, text)
+    try:
+        told = {tuple(r) for r in base.ingest(late, place, strict=False).collect()}
+    finally:
+        base._Folder.write = kept
+    assert told == {("a b", 1, "DONE"), ("c", 8, "FAIL")}
+    assert base.documents(spark, place).count() == 5 and base.log(spark, place).where("error is not null").count() == 2
+    moved, base._Folder.move = base._Folder.move, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        with pytest.raises(OSError, match="lost"):
+            base.ingest(late, place)
+    finally:
+        base._Folder.move = moved
+    assert spark.read.parquet(place).count() == 5  # logged, not yet moved
+    assert base.documents(spark, place).count() == 6 and {r.run for r in base.ingest(late, place).collect()} == {"DONE"}
+    assert base.documents(spark, place).count() == 6
