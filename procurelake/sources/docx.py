@@ -7,6 +7,8 @@ import re
 import zipfile
 from collections.abc import Iterator
 from math import ceil
+from xml.parsers import expat
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,7 @@ from pyspark.sql import functions as F
 
 from procurelake.operators.rules import FACTS
 
-PARAGRAPH = re.compile(r"<w:p(?:\s[^>]*)?>(.*?)</w:p>|<w:p(?:\s[^>]*)?/>", re.DOTALL)
 TEXT = re.compile(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", re.DOTALL)
-RUN = re.compile(r"<w:r(?:\s[^>]*)?>(.*?)</w:r>", re.DOTALL)
 GRAPHIC = re.compile(r"<(?:pic:pic|w:drawing|v:shape|w:pict)[\s>/]")
 #: Twentieths of a point in a line, twips in a centimetre; pages are estimated from these when nothing tells them.
 LINE, TWIPS_CM = 240, 567
@@ -24,12 +24,6 @@ DEFAULT_PT, DEFAULT_LINES, CHAR_FACTOR = 14.0, 1.5, 0.92
 POINTS_CM = 72 / 2.54
 
 
-def _attribute(xml: str | None, tag: str, name: str) -> str | None:
-    """An attribute of the first element of a tag."""
-    m = re.search(rf"<{tag}(?=[\s/>])[^>]*?\s{name}=\"([^\"]*)\"", xml or "", re.IGNORECASE)
-    return m[1] if m else None
-
-
 def _number(value: str | None) -> float | None:
     try:
         return float(value) if value is not None else None
@@ -42,34 +36,126 @@ def _scaled(value: str | None, by: float) -> float | None:
     return None if n is None else n / by
 
 
-def _paragraph(index: int, xml: str) -> dict:
+#: The namespaces of word processing, of both editions of the format.
+WORD_URIS = ("http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://purl.oclc.org/ooxml/wordprocessingml/main")
+
+
+class _Body:
+    """Paragraphs, section and marks of a document's main part, by events: what is held is the open paragraphs' facts.
+
+    Elements are told by their namespace, whatever prefix stands for it; parts that declare none by the usual prefix.  A
+    paragraph inside another, as in a text box, is one of its own and leaves the outer as it was.  Characters that
+    XML writes as entities stay so in texts, as the rules and the page estimate count them.  A part that breaks off
+    gives what came before.
+    """
+
+    def __init__(self, xml: bytes):
+        self.paragraphs: list[dict] = []
+        self.open: list[dict] = []
+        self.section: dict[str, str] = {}
+        self.marks = {"ins": 0, "del": 0, "vanish": 0, "commentReference": 0}
+        self.section_depth = 0
+        for uris in (True, False):
+            if self._read(xml, uris) or self.paragraphs or not uris:
+                return
+
+    def _read(self, xml: bytes, uris: bool) -> bool:
+        parser = expat.ParserCreate(namespace_separator=" ") if uris else expat.ParserCreate()
+        parser.buffer_text = True
+        names = {f"{u} ": "" for u in WORD_URIS} if uris else {"w:": ""}
+
+        def local(name: str) -> str | None:
+            return next((name[len(n) :] for n in names if name.startswith(n)), None)
+
+        def start(name: str, attributes: dict[str, str]) -> None:
+            if tag := local(name):
+                self.start(tag, {k: v for key, v in attributes.items() if (k := local(key))})
+
+        parser.StartElementHandler = start
+        parser.EndElementHandler = lambda name: (tag := local(name)) and self.end(tag)
+        parser.CharacterDataHandler = self.text
+        try:
+            parser.Parse(xml, True)
+        except expat.ExpatError:
+            return False
+        return True
+
+    def start(self, tag: str, at: dict[str, str]) -> None:
+        if tag in self.marks:
+            self.marks[tag] += 1
+        if tag == "p":
+            found = {"index": len(self.paragraphs), "text": [], "style": None, "outline": False, "fonts": [], "sizes": [], "colors": [], "spacing": {}, "ind": {}, "jc": None, "run": None, "head": 0, "in_text": False}
+            self.paragraphs.append(found)
+            self.open.append(found)
+        elif tag == "sectPr":
+            self.section, self.section_depth = {}, 1
+        elif self.section_depth and tag in ("pgMar", "pgSz"):
+            self.section |= {f"{tag}.{k}": v for k, v in at.items()}
+        elif self.open:
+            p = self.open[-1]
+            if tag == "pPr":
+                p["head"] += 1
+            elif tag == "r":
+                p["run"] = set()
+            elif tag == "t":
+                p["in_text"] = True
+            elif p["head"]:
+                if tag == "pStyle":
+                    p["style"] = at.get("val") if p["style"] is None else p["style"]
+                elif tag == "outlineLvl":
+                    p["outline"] = True
+                elif tag in ("spacing", "ind") and not p[tag]:
+                    p[tag] = at
+                elif tag == "jc" and p["jc"] is None:
+                    p["jc"] = at.get("val")
+            elif p["run"] is not None and tag in ("rFonts", "sz", "color") and tag not in p["run"]:
+                p["run"].add(tag)
+                into, value = {"rFonts": ("fonts", at.get("eastAsia")), "sz": ("sizes", at.get("val")), "color": ("colors", at.get("val"))}[tag]
+                if value:
+                    p[into].append(value)
+
+    def end(self, tag: str) -> None:
+        if tag == "p" and self.open:
+            self.open.pop()
+        elif tag == "sectPr":
+            self.section_depth = 0
+        elif self.open:
+            p = self.open[-1]
+            if tag == "pPr":
+                p["head"] -= 1
+            elif tag == "r":
+                p["run"] = None
+            elif tag == "t":
+                p["in_text"] = False
+
+    def text(self, data: str) -> None:
+        if self.open and self.open[-1]["in_text"]:
+            self.open[-1]["text"].append(escape(data))
+
+
+def _paragraph(p: dict) -> dict:
     """The facts of one paragraph; what isn't set is null."""
-    props = re.search(r"<w:pPr>.*?</w:pPr>", xml, re.DOTALL)
-    head = props[0] if props else ""
-    runs = RUN.findall(xml)
-    values = lambda tag, name: list(dict.fromkeys(v for r in runs if (v := _attribute(r, tag, name)) is not None))
-    style = _attribute(head, "w:pStyle", "w:val")
-    rule, line = _attribute(head, "w:spacing", "w:lineRule"), _attribute(head, "w:spacing", "w:line")
+    line, rule = _number(p["spacing"].get("line")), p["spacing"].get("lineRule")
     indent = None
-    for name, by in (("w:firstLineChars", 100), ("w:hangingChars", -100), ("w:firstLine", LINE), ("w:hanging", -LINE)):
-        if indent is None:
-            indent = _scaled(_attribute(head, "w:ind", name), by)
-    align = _attribute(head, "w:jc", "w:val")
+    for name, by in (("firstLineChars", 100), ("hangingChars", -100), ("firstLine", LINE), ("hanging", -LINE)):
+        if name in p["ind"]:
+            indent = _scaled(p["ind"][name], by)
+            break
     return {
-        "index": index,
-        "text": "".join(TEXT.findall(xml)),
-        "style": style,
-        "is_heading": "<w:outlineLvl" in head or bool(re.search("标题|Heading", style or "", re.IGNORECASE)),
-        "fonts_eastAsia": values("w:rFonts", "w:eastAsia"),
-        "sizes_pt": [x / 2 for v in values("w:sz", "w:val") if (x := _number(v)) is not None],
-        "colors": values("w:color", "w:val"),
-        "line_rule": rule,
-        "line_spacing_pt": _scaled(line, 20) if rule in ("exact", "atLeast") else None,
-        "line_multiple": _scaled(line, LINE) if line is not None and rule in (None, "auto") else None,
+        "index": p["index"],
+        "text": "".join(p["text"]),
+        "style": p["style"],
+        "is_heading": p["outline"] or bool(re.search("标题|Heading", p["style"] or "", re.IGNORECASE)),
+        "fonts_eastAsia": p["fonts"],
+        "sizes_pt": [x / 2 for v in p["sizes"] if (x := _number(v)) is not None],
+        "colors": p["colors"],
+        "line_rule": None if line is None else "exact" if rule == "exact" else rule or "auto",
+        "line_spacing_pt": line / 20 if line is not None and rule == "exact" else None,
+        "line_multiple": line / LINE if line is not None and rule != "exact" else None,
         "first_line_indent_chars": indent,
-        "alignment": "justify" if align == "both" else align,
-        "space_before_pt": _scaled(_attribute(head, "w:spacing", "w:before"), 20),
-        "space_after_pt": _scaled(_attribute(head, "w:spacing", "w:after"), 20),
+        "alignment": "justify" if p["jc"] == "both" else p["jc"],
+        "space_before_pt": _scaled(p["spacing"].get("before"), 20),
+        "space_after_pt": _scaled(p["spacing"].get("after"), 20),
     }
 
 
@@ -113,16 +199,16 @@ def parse(raw: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(raw)) as package:
         names = set(package.namelist())
         read = lambda n: package.read(n).decode("utf-8", "replace") if n in names else ""
-        body, core, app, settings = (read(n) for n in ("word/document.xml", "docProps/core.xml", "docProps/app.xml", "word/settings.xml"))
+        body = _Body(package.read("word/document.xml") if "word/document.xml" in names else b"")
+        core, app, settings = (read(n) for n in ("docProps/core.xml", "docProps/app.xml", "word/settings.xml"))
         notes = read("word/comments.xml")
         edges = {n: read(n) for n in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", n)}
         images = [_image(n, package.read(n)) for n in sorted(names) if n.startswith("word/media/")]
-    paragraphs = [_paragraph(i, m[1] or "") for i, m in enumerate(PARAGRAPH.finditer(body))]
+    paragraphs = [_paragraph(p) for p in body.paragraphs]
     inner = lambda xml, tag: (m[1] if (m := re.search(rf"<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", xml, re.DOTALL)) else "")
-    section = (re.findall(r"<w:sectPr.*?</w:sectPr>", body, re.DOTALL) or [""])[-1]
-    cm = lambda tag, name: None if (x := _number(_attribute(section, tag, name))) is None else round(x / TWIPS_CM, 2)
-    margins = {f"{s}_cm": cm("w:pgMar", f"w:{s}") for s in ("top", "bottom", "left", "right")}
-    width, height = cm("w:pgSz", "w:w"), cm("w:pgSz", "w:h")
+    cm = lambda name: None if (x := _number(body.section.get(name))) is None else round(x / TWIPS_CM, 2)
+    margins = {f"{s}_cm": cm(f"pgMar.{s}") for s in ("top", "bottom", "left", "right")}
+    width, height = cm("pgSz.w"), cm("pgSz.h")
     filled = [n for n, xml in edges.items() if "".join(TEXT.findall(xml)).strip() or GRAPHIC.search(xml) or "<w:fldSimple" in xml or "<w:instrText" in xml]
     told = _number(inner(app, "Pages"))
     heads, feet = sum("header" in n for n in filled), sum("footer" in n for n in filled)
@@ -130,9 +216,9 @@ def parse(raw: bytes) -> dict:
         "text": "\n".join(p["text"] for p in paragraphs),
         "metadata": {"creator": inner(core, "dc:creator"), "lastModifiedBy": inner(core, "cp:lastModifiedBy"), "company": inner(app, "Company")},
         "marks": {
-            "revisions": len(re.findall(r"<w:(?:ins|del)[\s>]", body)),
-            "comments": len(re.findall(r"<w:comment[\s>]", notes)) or len(re.findall(r"<w:commentReference[\s/]", body)),
-            "hidden_text": len(re.findall(r"<w:vanish[\s/>]", body)),
+            "revisions": body.marks["ins"] + body.marks["del"],
+            "comments": len(re.findall(r"<w:comment[\s>]", notes)) or body.marks["commentReference"],
+            "hidden_text": body.marks["vanish"],
             "rsid_count": len(set(re.findall(r'w:rsid\w*(?:\s+w:val)?="([0-9A-Fa-f]{8})"', settings))),
         },
         "images": images,

@@ -166,3 +166,49 @@ def test_additions_are_logged(spark, tmp_path):
     assert spark.read.parquet(place).count() == 5  # logged, not yet moved
     assert base.documents(spark, place).count() == 6 and {r.run for r in base.ingest(late, place).collect()} == {"DONE"}
     assert base.documents(spark, place).count() == 6
+
+
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+BODY = """<{p}:document xmlns:{p}="{uri}" xmlns:v="urn:v"><{p}:body>
+<{p}:p><{p}:pPr><{p}:pStyle {p}:val="Heading1"/><{p}:spacing {p}:line="600" {p}:lineRule="exact" {p}:before="40"/><{p}:ind {p}:firstLineChars="200" {p}:firstLine="9"/><{p}:jc {p}:val="both"/><{p}:rPr><{p}:sz {p}:val="99"/></{p}:rPr></{p}:pPr>
+<{p}:r><{p}:rPr><{p}:rFonts {p}:ascii="x" {p}:eastAsia="宋体"/><{p}:sz {p}:val="28"/><{p}:color {p}:val="FF0000"/><{p}:vanish/></{p}:rPr><{p}:t>one &amp; </{p}:t></{p}:r>
+<{p}:r><v:shape><v:textbox><{p}:txbxContent><{p}:p><{p}:r><{p}:rPr><{p}:sz {p}:val="20"/></{p}:rPr><{p}:t>inner</{p}:t></{p}:r></{p}:p></{p}:txbxContent></v:textbox></v:shape></{p}:r>
+<{p}:ins><{p}:r><{p}:rPr><{p}:rFonts {p}:eastAsia="宋体"/></{p}:rPr><{p}:t xml:space="preserve"> two &lt;</{p}:t></{p}:r></{p}:ins></{p}:p>
+<{p}:p/><{p}:p><{p}:pPr><{p}:spacing {p}:line="360" {p}:lineRule="atLeast"/><{p}:ind {p}:hanging="480"/></{p}:pPr><{p}:del><{p}:r><{p}:delText>gone</{p}:delText></{p}:r></{p}:del></{p}:p>
+<{p}:p><{p}:pPr><{p}:spacing {p}:line="360"/><{p}:outlineLvl {p}:val="0"/><{p}:sectPr><{p}:pgMar {p}:top="1"/></{p}:sectPr></{p}:pPr></{p}:p>
+<{p}:sectPr><{p}:pgSz {p}:w="11906" {p}:h="16838"/><{p}:pgMar {p}:top="1417" {p}:bottom="1134" {p}:left="1134" {p}:right="1134"/></{p}:sectPr></{p}:body></{p}:document>"""
+
+
+def packed(body):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", body)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(("prefix", "uri"), [("w", W), ("ns0", W), ("w", "http://purl.oclc.org/ooxml/wordprocessingml/main")])
+def test_paragraphs_by_events(prefix, uri):
+    """Nested paragraphs, entities, any prefix and both editions; the last section counts, runs' properties by run."""
+    got = parse(packed(BODY.format(p=prefix, uri=uri)))
+    outer, inner, empty, least, last = got["paragraphs"]
+    assert (outer["text"], inner["text"], empty["text"], [p["index"] for p in got["paragraphs"]]) == ("one &amp;  two &lt;", "inner", "", [0, 1, 2, 3, 4])
+    assert (outer["fonts_eastAsia"], outer["sizes_pt"], outer["colors"], inner["sizes_pt"]) == (["宋体", "宋体"], [14.0], ["FF0000"], [10.0])
+    assert (outer["is_heading"], outer["style"], outer["alignment"], outer["first_line_indent_chars"], outer["space_before_pt"]) == (True, "Heading1", "justify", 2.0, 2.0)
+    shown = lambda p: (p["line_rule"], p["line_spacing_pt"], p["line_multiple"])
+    assert [shown(p) for p in (outer, empty, least, last)] == [("exact", 30.0, None), (None, None, None), ("atLeast", None, 1.5), ("auto", None, 1.5)]
+    assert least["first_line_indent_chars"] == -2.0 and last["is_heading"] and inner["style"] is None
+    assert got["marks"] | {"rsid_count": 0, "comments": 0} == {"revisions": 2, "hidden_text": 1, "rsid_count": 0, "comments": 0}
+    assert got["doc"]["margins_cm"] == {"top_cm": 2.5, "bottom_cm": 2.0, "left_cm": 2.0, "right_cm": 2.0} and got["doc"]["page_width_cm"] == 21.0
+
+
+def test_broken_and_undeclared_parts():
+    bare = "<w:document><w:body><w:p><w:r><w:t>a</w:t></w:r></w:p></w:body></w:document>"
+    assert parse(packed(bare))["text"] == "a"
+    cut = BODY.format(p="w", uri=W)
+    assert parse(packed(cut[: cut.index("<w:p/>")]))["text"] == "one &amp;  two &lt;\ninner"
+    assert parse(packed(""))["paragraphs"] == [] and parse(packed("no xml"))["text"] == ""
+    deep = "<w:p><w:r>" * 3000 + "</w:r></w:p>" * 3000
+    assert len(parse(packed(f'<w:document xmlns:w="{W}">{deep}</w:document>'))["paragraphs"]) == 3000
