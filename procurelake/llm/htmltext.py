@@ -30,7 +30,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HIDDEN = RAW | FALLBACK | frozenset(["head"])
-DROPPED = frozenset("nav footer aside form button menu dialog fieldset label input".split())
+DROPPED = frozenset("nav footer aside form button menu dialog fieldset input".split())
 #: Elements and words among those that drop a part that a frame around a whole page may have too.
 FRAMES = frozenset("form fieldset aside header".split())
 FRAME_WORDS = frozenset("sidebar sidebars side menu menus nav navbar navigation header masthead topbar toolbar modal overlay search widget widgets".split())
@@ -59,6 +59,8 @@ AWAY = frozenset(
     "footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist disqus replies respond widget widgets search skip tags copyright legal disclaimer complementary contentinfo navigation banner".split()
 )
+#: Words beside those that say where or of what kind a part is, as in site-header, main-nav, cookie-bar or user-comments.
+BESIDE = frozenset("site page web blog main global user reader readers visitor top bottom left right upper lower primary secondary sub bar box list block section area wrap wrapper container inner outer panel strip row col column group links".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -66,14 +68,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHOWS = HEADINGS | frozenset(["article", "main"])
 
 
-def _away(tag: str, attributes: str, inside: bool) -> str:
+def _away(tag: str, attributes: str, inside: bool, in_form: bool) -> str:
     """Why a part is no article: ``hidden`` if it isn't shown; ``part`` by element or words, ``frame`` if a frame
     around a page may have them too; '' if nothing says so.
 
-    ``inside`` an article its header stays for the headings.
+    ``inside`` an article its header stays for the headings; a label is part of a form only ``in_form``.
     """
     if tag in HIDDEN:
         return "hidden"
+    if tag == "label" and in_form:
+        return "part"
     if tag in DROPPED or tag == "header" and not inside:
         return "frame" if tag in FRAMES else "part"
     if not attributes or tag in ("html", "body", "main"):
@@ -90,14 +94,22 @@ def _away(tag: str, attributes: str, inside: bool) -> str:
         if tag in CONTAINERS:
             for token in value.split() if name in ("class", "role") else [value] if name == "id" else []:
                 own = {w.lower() for w in WORDS.findall(token)}
-                # a token counts if it has no other word, an id only if it is one word: slugs tell of the text's subject
-                if own and own <= AWAY and (name != "id" or value.isalpha() and len(own) == 1):
-                    words |= own
+                # a token counts if its other words, if any, say where it is: other slugs tell of the text's subject
+                if own & AWAY and own <= AWAY | BESIDE and (name != "id" or len(own & AWAY) == 1 and not any(c.isdigit() for c in value)):
+                    words |= own & AWAY
         if words:
             return "frame" if words <= FRAME_WORDS else "part"
     return ""
 
 
+def _density(chars: int, links: int, tags: int, link_tags: int, share: float) -> float:
+    """Characters per tag, adjusted for links; ``share`` is that of link text in the whole page."""
+    plain = max(chars - links, 1)
+    base = log(log(chars / plain * links + share * chars + e) + 1e-9) if links or share else 0.0
+    ratio = chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * (log(max(ratio, 1.0)) / (1 + max(base, 0.0)))
+
+
 class Page:
     """Nodes by number, parents before children: tag, parent, whether dropped; and the text pieces by node."""
 
@@ -178,7 +190,7 @@ class Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
-        why = _away(tag, attributes, self.inside[parent])
+        why = _away(tag, attributes, self.inside[parent], bool(self.open.get("form") or self.open.get("fieldset")))
         self.why.append(why)
         self.dropped.append(False)
         if tag not in VOID and not attributes.endswith("/") or tag in BLOCKS and tag not in VOID:
@@ -202,7 +214,8 @@ class Page:
         outside of it, in parts that aren't marked, is under SHARE of its own: then only what is marked inside of it goes.
         """
         n = len(self.tags)
-        linked, hidden = [False] * n, [self.why[i] == "hidden" for i in range(n)]
+        self.linked = linked = [False] * n
+        hidden = [self.why[i] == "hidden" for i in range(n)]
         for i in range(1, n):
             linked[i] = linked[self.parents[i]] or self.tags[i] == "a"
             hidden[i] = hidden[i] or hidden[self.parents[i]]
@@ -228,18 +241,15 @@ class Page:
                 else:
                     self.dropped[i] = True
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density of every node and the sum over its children."""
+    def densities(self) -> tuple[list[float], list[float], float]:
+        """Composite density of every node, the sum over its children, and the share of link text in the page."""
         n = len(self.tags)
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        linked = [False] * n
-        for i in range(1, n):
-            linked[i] = linked[self.parents[i]] or self.tags[i] == "a"
         for i, text in self.pieces:
             if i >= 0 and not self.dropped[i]:
                 size = len(text) - text.count(" ") - text.count("\n") if text.isspace() else len(text)
                 chars[i] += size
-                links[i] += size * linked[i]
+                links[i] += size * self.linked[i]
         for i in range(n - 1, 0, -1):
             if not self.dropped[i]:
                 p = self.parents[i]
@@ -251,17 +261,17 @@ class Page:
         density, sums = [0.0] * n, [0.0] * n
         for i in range(n):
             if chars[i] and not self.dropped[i]:
-                plain = max(chars[i] - links[i], 1)
-                base = log(log(chars[i] / plain * links[i] + share * chars[i] + e) + 1e-9) if links[i] or share else 0.0
-                ratio = chars[i] / max(links[i], 1) * max(tags[i], 1) / max(link_tags[i], 1)
-                density[i] = chars[i] / max(tags[i], 1) * (log(max(ratio, 1.0)) / (1 + max(base, 0.0)))
+                density[i] = _density(chars[i], links[i], tags[i], link_tags[i], share)
                 if i and self.tags[i] in BLOCKS:  # bold or linked words are no part of their own
                     sums[self.parents[i]] += density[i]
-        return density, sums
+        return density, sums, share
 
-    def chosen(self) -> set[int]:
-        """Roots of the subtrees that make up the article."""
-        density, sums = self.densities()
+    def chosen(self) -> tuple[set[int], set[int]]:
+        """Roots of the subtrees that make up the article, and numbers of pieces beside them that belong to it.
+
+        Text that stands on the path to the body itself is weighed stretch by stretch, as a node of its own would be.
+        """
+        density, sums, share = self.densities()
         best = max(range(len(sums)), key=lambda i: (sums[i], self.tags[i] in ("article", "main"), -i))
         path = [best]
         while path[-1]:
@@ -271,12 +281,25 @@ class Page:
         for i in range(1, len(density)):
             if self.parents[i] in on_path and i not in on_path and not self.dropped[i] and self.parents[i] != best and (density[i] >= threshold or self.tags[i] in HEADINGS):
                 roots.add(i)
-        own = {i for i, text in self.pieces if i in on_path and not self.dropped[i] and text.strip()}
-        return {0} if own & (on_path - {best}) else roots
+        block = [0] * len(density)  # the nearest block of each node
+        for i in range(1, len(density)):
+            block[i] = i if self.tags[i] in BLOCKS else block[self.parents[i]]
+        beside, stretch = set(), []
+        stray = on_path - {best}
+        for k, (i, text) in enumerate([*self.pieces, (-1, "")]):
+            if i >= 0 and block[i] in stray and not self.dropped[i]:
+                stretch.append((k, i, text))
+            elif i < 0 and stretch:
+                size = sum(len(t) for _, _, t in stretch)
+                links = sum(len(t) for _, i, t in stretch if self.linked[i])
+                if any(t.strip() for _, _, t in stretch) and _density(size, links, 1, len({i for _, i, _ in stretch if self.linked[i]}), share) >= threshold:
+                    beside |= {k for k, _, _ in stretch}
+                stretch = []
+        return roots, beside
 
     def text(self) -> str:
         """The article's blocks, one line each."""
-        roots, n = self.chosen(), len(self.tags)
+        (roots, beside), n = self.chosen(), len(self.tags)
         kept, headed = [False] * n, [False] * n
         for i in range(n):
             p = self.parents[i]
@@ -284,11 +307,11 @@ class Page:
             # of an article's own header only the headings stay
             headed[i] = (self.tags[i] == "header" or p >= 0 and headed[p]) and self.tags[i] not in HEADINGS
         lines: list[list[str]] = [[]]
-        for i, text in self.pieces:
+        for k, (i, text) in enumerate(self.pieces):
             if i < 0:
                 if lines[-1]:
                     lines.append([])
-            elif kept[i] and not headed[i]:
+            elif (kept[i] or k in beside) and not headed[i]:
                 lines[-1].append(text)
         done = [SPACE.sub(" ", "".join(x)).strip() for x in lines]
         return "\n".join(x for x in done if x)

@@ -252,6 +252,36 @@ def test_html_frames(frame, kind):
     assert htmltext.extract_text(f"<body>{frame.format(inner)}<footer>foot</footer></body>") == f"T\n{PROSE.strip()}\nMore."
 
 
+def test_html_stray_text():
+    """A word on the path to the body doesn't make the page its article; long text there belongs to it."""
+    links = "".join(f"<p><a href=x>Link number {k}</a></p>" for k in range(20))
+    body = f"<div class=wrap>{{}}<div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></div>"
+    want = f"T\n{PROSE.strip()}\n{PROSE.strip()}"
+    for word, at in (("Welcome", "{}" + body.format("") + links), ("by", body + links)):
+        got = htmltext.extract_text(f"<body>{at.format(word)}</body>")
+        assert "Link" not in got and got.removeprefix(word).strip() == want
+    got = htmltext.extract_text(f"<body>{body.format(PROSE)}{links}</body>")
+    assert got == f"{PROSE.strip()}\n{want}"
+
+
+@pytest.mark.parametrize("part", ['<div class="site-header">{}</div>', '<div class="x site-footer">{}</div>', '<div id="main-nav">{}</div>', '<div class="cookie-bar">{}</div>', '<section id="user-comments">{}</section>', '<div class="commentList">{}</div>', '<ul id="breadcrumbs">{}</ul>'])
+def test_html_compound_names(part):
+    own = "Here is a text of some length that a reader or the owner of this site has written, with words enough to count. " * 2
+    page = f"<body>{part.format(f'<p>{own}</p>')}<div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert htmltext.extract_text(page) == f"T\n{PROSE.strip()}\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("name", ["legal-status", "share-of-votes", "search-results", "side-note", "comment-on-the-law", "header-files", "menu-2024"])
+def test_html_slugs_stay(name):
+    page = f'<body><div><h1>T</h1><p>{PROSE}</p><section id="{name}"><h2>U</h2><p>{PROSE}</p></section></div></body>'
+    assert htmltext.extract_text(page) == f"T\n{PROSE.strip()}\nU\n{PROSE.strip()}"
+
+
+def test_html_labels():
+    page = f"<body><div><p>Press <label>Go</label> and wait. {PROSE}</p><form><label>Name</label><input></form><p>{PROSE}</p></div></body>"
+    assert htmltext.extract_text(page) == f"Press Go and wait. {PROSE.strip()}\n{PROSE.strip()}"
+
+
 def test_html_without_article_is_empty():
     assert htmltext.extract_text('<nav><p>Home and more</p></nav><div class="ad">Buy this now.</div><div class="sidebar">Some text beside.</div><form><p>Search</p></form><footer><p>All rights are reserved here.</p></footer>') == ""
 
