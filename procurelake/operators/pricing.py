@@ -110,6 +110,15 @@ def score_prices(
     return scored.select(group_col, bid_col, "price", "base_price", "score", F.when(F.col("score") > 0, F.row_number().over(order)).otherwise(0).alias("rank"))
 
 
+def placed_scores(scored: DataFrame, group_col: str = "group_id", bid_col: str = "bid_no") -> DataFrame:
+    """``scored`` bids with ``place``, from 1: their order in a group's table, by rank and bids without one last.
+
+    Bids without rank follow by bid_no, then price.
+    """
+    order = Window.partitionBy(group_col).orderBy(F.col("rank") == 0, "rank", bid_col, "price")
+    return scored.withColumn("place", F.row_number().over(order))
+
+
 def score_matrix(bids: DataFrame, params: dict | None = None, full_score: float = 100.0, group_col: str = "group_id", bid_col: str = "bid_no", price_col: str = "price") -> DataFrame:
     """(group, algorithm, base_price, bid_no, price, score): the scores under each base that may be drawn.
 

@@ -14,19 +14,23 @@ from procurelake.operators.search import hybrid_topk  # noqa: F401 - retrieval's
 CHUNK, OVERLAP, LOOKBACK = 6000, 400, 800
 
 
-def cut(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+def cut(text: str | None, size: int = CHUNK, overlap: int = OVERLAP, window: bool = False) -> list[str]:
     """Pieces of at most ``size`` characters that overlap.
 
-    A piece that isn't the last ends at the last empty line at or before its end, if that lies in its last 800 characters.
+    A piece that isn't the last ends at the last empty line at or before its end, if that lies in its last 800 characters;
+    with ``window`` at the last one that lies wholly within these, which may be the first of them.
     """
     pieces, at = [], 0
     text = text or ""
     while at < len(text):
         end = min(at + size, len(text))
         if end < len(text):
-            line = text.rfind("\n\n", 0, end + 2)
-            if line > max(at, at + size - LOOKBACK):
-                end = line
+            if window:
+                line = text.rfind("\n\n", max(at + size - LOOKBACK, 0), end)
+                end = line if line > at else end
+            else:
+                line = text.rfind("\n\n", 0, end + 2)
+                end = line if line > max(at, at + size - LOOKBACK) else end
         pieces.append(text[at:end])
         if end >= len(text):
             break
@@ -34,13 +38,13 @@ def cut(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str
     return pieces
 
 
-def chunk(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_no from 0, chunk); null and empty texts have none."""
+def chunk(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", window: bool = False) -> DataFrame:
+    """(id, chunk_no from 0, chunk) by ``cut``; null and empty texts have none."""
     schema = T.StructType([docs.schema[id_col], T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, c) for i, t in zip(b[id_col], b[text_col], strict=True) for n, c in enumerate(cut(t, size, overlap))]
+            rows = [(i, n, c) for i, t in zip(b[id_col], b[text_col], strict=True) for n, c in enumerate(cut(t, size, overlap, window))]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk"])
 
     return docs.select(id_col, text_col).mapInPandas(run, schema)

@@ -309,6 +309,84 @@ def chunk_sql(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("select doc_id, cast(c.chunk_no as long) chunk_no, cast(length(c.chunk) as long) len, md5(c.chunk) digest from {docs}, lateral chunk_text(text, 6000, 400) c", docs=docs)
 
 
+def chunk_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of every document by the rule that looks for empty lines within a window."""
+    got = retrieval.chunk(_docs(spark, sf), window=True)
+    return got.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("len"), F.md5("chunk").alias("digest"))
+
+
+def _window_sql() -> str:
+    seen = "substr(text, pos + 5201, 800)"
+    line = f"case when pos + 6000 < length(text) and contains({seen}, chr(10) || chr(10)) then pos + 5200 + length({seen}) - instr(reverse({seen}), chr(10) || chr(10)) - 1 else least(pos + 6000, length(text)) end"
+    return f"""with recursive c as (select doc_id, text, 0::bigint as chunk_no, 0::bigint as pos, ({line.replace("pos", "0")})::bigint as e from documents where length(text) > 0
+union all select doc_id, text, chunk_no + 1, pos, ({line})::bigint from (select doc_id, text, chunk_no, greatest(e - 400, pos + 1) as pos from c where e < length(text)))
+select doc_id, chunk_no, e - pos as len, md5(substr(text, pos + 1, e - pos)) digest from c"""
+
+
+def fairness_docx(spark: SparkSession, sf: str) -> DataFrame:
+    """Fairness of every document, written as an OOXML file and read back."""
+    from procurelake.operators.clauses import fairness_hits
+    from procurelake.queries.core import LATIN_FAIRNESS
+
+    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("markdown"), F.lit("t").alias("title"))
+    read = facts(sinks.render(rows), content_col="docx").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return fairness_hits(read, LATIN_FAIRNESS).select("doc_id", "rule_id", F.col("sent_no").cast("long").alias("sent_no"), F.array_join("matched", "|").alias("matched"))
+
+
+def _fairness_docx_sql() -> str:
+    from procurelake.queries.core import LATIN_FAIRNESS
+
+    lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: case when trim(l, ' ' || chr(9) || chr(13)) = '' then '' else {_MARKED} end)"
+    source = f"(select doc_id, replace(replace(replace(array_to_string({lines}, chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as text from documents)"
+    return oracle._fair(source, LATIN_FAIRNESS, "select doc_id, rule_id, sent_no, array_to_string(w, '|') matched from h")
+
+
+#: Heads of image files: grey and coloured PNG, JPEG of three and four colours, and no image.
+MEDIA = [b"\x89PNG\r\n\x1a\n" + bytes(17) + b"\x00", b"\x89PNG\r\n\x1a\n" + bytes(17) + b"\x02", b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x01\x00\x01\x03", b"\xff\xd8\xff\xc2\x00\x11\x08\x00\x01\x00\x01\x04", b"GIF89a"]
+
+
+def docx_media(spark: SparkSession, sf: str) -> DataFrame:
+    """Images and revision ids of every document's file, to which both were added."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def add(batches):
+        for b in batches:
+            out = []
+            for path, raw in zip(b["path"], b["docx"], strict=True):
+                i, made = int(path), io.BytesIO()
+                with zipfile.ZipFile(io.BytesIO(raw)) as old, zipfile.ZipFile(made, "w") as new:
+                    for name in old.namelist():
+                        new.writestr(name, old.read(name) if name != "word/settings.xml" else "<w:settings>" + "".join(f'<w:rsid w:val="{k % 4:08X}"/>' for k in range(i % 6)) + "</w:settings>")
+                    for k in range(i % 3):
+                        new.writestr(f"word/media/image{k}.bin", MEDIA[(i + k) % len(MEDIA)] + (b"Exif\x00" if i % 4 == 0 else b""))
+                out.append(made.getvalue())
+            yield pd.DataFrame({"path": b["path"], "docx": out})
+
+    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("markdown"), F.lit("t").alias("title"))
+    got = facts(sinks.render(rows).select("path", "docx").mapInPandas(add, "path string, docx binary"), content_col="docx")
+    images = F.col("images")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(images).cast("long").alias("n_images"), F.size(F.filter(images, lambda x: x["has_exif"])).cast("long").alias("n_exif"), F.array_join(F.transform(images, lambda x: x["color_space"]), "|").alias("spaces"), F.col("marks.rsid_count").cast("long").alias("n_rsid"))
+
+
+MEDIA_SQL = """select doc_id, doc_id % 3 n_images, case when doc_id % 4 = 0 then doc_id % 3 else 0 end n_exif,
+coalesce(array_to_string(list_transform(range(0, doc_id % 3), lambda k: (['gray', 'rgb', 'rgb', 'cmyk', 'unknown'])[(doc_id + k) % 5 + 1]), '|'), '') spaces, least(doc_id % 6, 4) n_rsid from documents"""
+
+
+def score_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of every tender's bids in order, bids over the limit last."""
+    from procurelake.operators import pricing
+    from procurelake.queries.core import _bids_limited
+
+    got = pricing.placed_scores(pricing.score_prices(_bids_limited(spark, sf), "REASONABLE_LOW", control_col="control"))
+    return got.select("group_id", "bid_no", "price", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+
+
+PLACES_SQL = f"select group_id, bid_no, price, rank, row_number() over (partition by group_id order by rank = 0, rank, bid_no, price) place from ({oracle.ORACLE_SQL['price_score_reasonable']})"
+
+
 def archived(spark: SparkSession, sf: str) -> DataFrame:
     """Every document archived as a final under its industry and year, and counted from the files."""
     finals = _docs(spark, sf).select("doc_id", "text", F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("industry"), F.when(F.col("doc_id") % 3 > 0, 2020 + F.col("doc_id") % 5).alias("year"))
@@ -451,11 +529,11 @@ select doc_id::varchar doc_id, case when reject > 0 then 'REJECT' else 'WARN' en
 QUERIES = {
     "layout_findings": layout_findings, "docx_roundtrip": docx_roundtrip, "requirements_extracted": requirements_extracted, "archived": archived, "kb_ingested": kb_ingested,
     "json_arguments": json_arguments, "answers": answers, "compliance_judged": compliance_judged, "rules_overridden": rules_overridden, "disclosure_masked": disclosure_masked, "kb_search": kb_search,
-    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders, "odd_patterns": odd_patterns, "requirements_failed": requirements_failed, "chunk_sql": chunk_sql,
+    "rules_each": rules_each, "verdict_each": verdict_each, "template_orders": template_orders, "odd_patterns": odd_patterns, "requirements_failed": requirements_failed, "chunk_sql": chunk_sql, "chunk_window": chunk_window, "fairness_docx": fairness_docx, "docx_media": docx_media, "score_places": score_places,
 }
 ORACLE_SQL = {
     "docx_audit": _audit_sql(),
     "layout_findings": _layout_sql(), "docx_roundtrip": DOCX_SQL, "requirements_extracted": _extracted_sql(), "archived": ARCHIVED_SQL, "kb_ingested": INGESTED_SQL,
     "json_arguments": JSON_SQL, "answers": ANSWERS_SQL, "compliance_judged": JUDGED_SQL, "rules_overridden": _overridden_sql(), "disclosure_masked": _masked_sql(), "kb_search": SEARCH_SQL,
-    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(), "odd_patterns": ODD_SQL, "requirements_failed": _failed_sql(), "chunk_sql": oracle._chunks(),
+    "rules_each": _rules_each_sql(), "verdict_each": _verdict_each_sql(), "template_orders": _orders_sql(), "odd_patterns": ODD_SQL, "requirements_failed": _failed_sql(), "chunk_sql": oracle._chunks(), "chunk_window": _window_sql(), "fairness_docx": _fairness_docx_sql(), "docx_media": MEDIA_SQL, "score_places": PLACES_SQL,
 }
