@@ -142,7 +142,7 @@ def test_quality_edges(spark):
 
 
 def test_queries_are_complete():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_by_brute_force(spark):
