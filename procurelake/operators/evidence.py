@@ -41,8 +41,8 @@ def fact_summary(sections: DataFrame, citations: DataFrame, id_col: str = "secti
 
     Each row of ``sections`` is counted by itself, also one that repeats an id.
     """
-    cited = F.size(F.filter("facts", lambda f: f["cited"]))
-    return _statements(sections, citations, id_col, text_col).select(F.col("id").alias(id_col), F.col("total").alias("total_sentences"), F.size("facts").alias("factual_sentences"), cited.alias("cited"), (F.size("facts") - cited).alias("uncited"), F.col("placeholders").alias("placeholder_count"))
+    cited, stated = F.size(F.filter("facts", lambda f: f["cited"])).cast("long"), F.size("facts").cast("long")
+    return _statements(sections, citations, id_col, text_col).select(F.col("id").alias(id_col), F.col("total").alias("total_sentences"), stated.alias("factual_sentences"), cited.alias("cited"), (stated - cited).alias("uncited"), F.col("placeholders").alias("placeholder_count"))
 
 
 def extract_facts(requirements: DataFrame, project_col: str = "project_id", order_col: str = "ord", content_col: str = "content") -> DataFrame:
