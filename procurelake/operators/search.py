@@ -65,15 +65,19 @@ def _terms(c: str) -> Column:
     return F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))
 
 
-def build_index(corpus: DataFrame, path: str) -> TermIndex:
+def build_index(corpus: DataFrame, path: str, wanted: DataFrame | None = None) -> TermIndex:
     """Write the index of ``corpus`` (doc_id, vec, terms) below ``path``, a folder that all executors reach.
 
-    Every row of the corpus has its own entry, also one that repeats an id or has a null id.
+    Every row of the corpus has its own entry, also one that repeats an id or has a null id.  With ``wanted`` (term) only
+    the postings of these terms are kept: an index for one set of queries.
     """
     spark = corpus.sparkSession
     docs = corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("vec").cast("array<double>").alias("vec"), _terms("terms").alias("terms"))
     docs.write.parquet(f"{path}/docs")
-    spark.read.parquet(f"{path}/docs").select(F.explode("terms").alias("term"), "row").write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/docs").select(F.explode("terms").alias("term"), "row")
+    if wanted is not None:
+        postings = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    postings.write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/lengths")
     return load_index(spark, path)
 
@@ -118,10 +122,10 @@ def search(queries: DataFrame, index: TermIndex, k: int = TOP_K, threshold: floa
     by_query = Window.partitionBy("q").orderBy("df", "term")
     each = scratch.save(each.select("*", F.row_number().over(by_query).alias("place"), F.sum("df").over(by_query.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far")), "terms")
 
-    def prefixed(reach: DataFrame | None) -> DataFrame:
+    def prefixed(reach: DataFrame) -> DataFrame:
         """(q, term, place, size, low): prefixes for the score that each query has to reach; low if no term is needed."""
-        held = each if reach is None else each.join(reach, "q", "left")
-        goal = F.lit(float(threshold)) if reach is None else F.greatest(F.coalesce("reach", F.lit(float(threshold))), F.lit(float(threshold)))
+        held = each.join(reach, "q", "left")
+        goal = F.greatest(F.coalesce("reach", F.lit(float(threshold))), F.lit(float(threshold)))
         m = _least_terms(goal, F.col("n"), F.col("vector"), vector_share)
         held = held.withColumn("m", m).where(F.col("place") <= F.col("n") - F.greatest(F.col("m"), F.lit(1)) + 1)
         return held.withColumn("size", F.max("so_far").over(Window.partitionBy("q"))).withColumn("low", F.col("m") < 1)
@@ -132,7 +136,7 @@ def search(queries: DataFrame, index: TermIndex, k: int = TOP_K, threshold: floa
     seeded = scratch.save(_scored(seeds, asked, index.docs, vector_share).where(F.col("similarity") >= threshold), "seeded")
     top = Window.partitionBy("q").orderBy(F.desc("similarity"))
     reach = seeded.select("q", "similarity", F.row_number().over(top).alias("r")).where(F.col("r") == k).select("q", F.col("similarity").alias("reach"))
-    prefix = scratch.save(prefixed(scratch.save(reach, "reach")), "prefixes")
+    prefix = scratch.save(prefixed(reach), "prefixes")
     told = prefix.groupBy("q").agg(F.max("size").alias("size"), F.max("low").alias("low"))
     wide = asked.join(told, "q", "left").where(F.coalesce(F.col("low"), F.col("vector") & F.lit(vector_share + ROOM >= threshold) | F.lit(threshold <= 0)) | (F.coalesce("size", F.lit(0)) > prefix_most))
     wide = scratch.save(wide.select(*asked.columns), "wide")
@@ -255,5 +259,7 @@ def _against_all(block: pa.Table, docs: DataFrame, k: int, threshold: float, vec
 
 def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, vector_share: float = VECTOR_SHARE, prefix_most: int | None = None) -> DataFrame:
     """``search`` over an index of ``corpus`` (doc_id, vec, terms) that is made for this call."""
-    index = build_index(corpus, Scratch(corpus.sparkSession, "term-index").path("index"))
+    scratch = Scratch(corpus.sparkSession, "term-index")
+    wanted = scratch.save(queries.select(F.explode(_terms("terms")).alias("term")).distinct(), "wanted")
+    index = build_index(corpus, scratch.path("index"), wanted)
     return search(queries, index, k, threshold, vector_share, prefix_most)
