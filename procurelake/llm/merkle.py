@@ -28,7 +28,7 @@ from procurelake.storage import Scratch
 
 ARITY = 3
 #: Rows of a part, about: a task holds one part's nodes.
-PART_ROWS = 400_000
+PART_ROWS = 200_000
 #: Rows of small tables (one for each source, or source and part) up to which they are sent to every executor.
 BROADCAST_ROWS = 100_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

@@ -206,7 +206,7 @@ def manifest(docs):
 FIELDS = "doc_id long, source string, lang string, n_chars long, text string"
 
 
-@pytest.mark.parametrize(("rows", "most"), [(7, 0), (400_000, 100_000)])
+@pytest.mark.parametrize(("rows", "most"), [(7, 0), (200_000, 100_000)])
 def test_manifest_brute_force(spark, monkeypatch, rows, most):
     """Sources of one to many rows, over many parts; nulls in every column, ties, repeated rows."""
     monkeypatch.setattr(merkle, "PART_ROWS", rows)
