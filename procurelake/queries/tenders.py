@@ -14,7 +14,7 @@ from procurelake.packs import lexicons as L
 from procurelake.packs.rules import FAIRNESS, INDUSTRIES, PRECHECKS
 from procurelake.queries import core, oracle
 from procurelake.queries.core import _docs
-from procurelake.queries.paths import _by, _layout_parts, _finding_select, _pick, layout_facts
+from procurelake.queries.paths import _by, _finding_select, _layout_parts, _matched, _pick, _scopes_sql, _templates_sql, layout_facts, scoped
 
 TENDERS = [t for _, t in core.TENDERS]
 DRAFTS = [d[1] for d in core.DRAFTS]
@@ -52,29 +52,29 @@ def _tenders(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", with_own(TENDERS).alias("text"))
 
 
-def constraints_cn(spark: SparkSession, sf: str) -> DataFrame:
+def constraint_params(spark: SparkSession, sf: str) -> DataFrame:
     """Weights, duration and amounts of every document's tender."""
     got = clauses.constraint_params(_tenders(spark, sf))
     money = lambda c: F.array_join(F.transform(c, lambda a: F.format_string("%.2f", a["value_yuan"])), "|")
     return got.select("doc_id", *[F.coalesce(F.col("weights")[k], F.lit("")).alias(f"w{i}") for i, k in enumerate(L.WEIGHTS)], "duration_days", money("bid_bond").alias("bond"), money("control_price").alias("control"))
 
 
-def clauses_cn(spark: SparkSession, sf: str) -> DataFrame:
+def clause_match_cn(spark: SparkSession, sf: str) -> DataFrame:
     """The four standing lists over every document's tender."""
     return clauses.clause_match(_tenders(spark, sf)).select("doc_id", "list_name", F.col("sent_no").cast("long").alias("sent_no"), "sentence", F.array_join("matched", "|").alias("matched"))
 
 
-def fairness_docs_cn(spark: SparkSession, sf: str) -> DataFrame:
+def fairness_cn(spark: SparkSession, sf: str) -> DataFrame:
     """The standing fairness rules over every document's tender."""
     return clauses.fairness_hits(_tenders(spark, sf)).select("doc_id", "rule_id", "type", "category", F.col("sent_no").cast("long").alias("sent_no"), F.array_join("matched", "|").alias("matched"))
 
 
-def industry_docs_cn(spark: SparkSession, sf: str) -> DataFrame:
+def industry_detect(spark: SparkSession, sf: str) -> DataFrame:
     """The standing industries over every document's tender."""
     return clauses.detect_industry(_tenders(spark, sf)).select("doc_id", "name", "pack_key", "confidence", F.array_join("matched_keywords", "|").alias("matched"))
 
 
-def facts_cn(spark: SparkSession, sf: str) -> DataFrame:
+def extract_facts(spark: SparkSession, sf: str) -> DataFrame:
     """The twelve facts of every document, from two requirements each."""
     docs = _docs(spark, sf)
     first = docs.select(_id().alias("project_id"), F.lit(0).alias("ord"), with_own(TENDERS).alias("content"))
@@ -85,7 +85,7 @@ def facts_cn(spark: SparkSession, sf: str) -> DataFrame:
 FACTS_SOURCE = f"(select doc_id project_id, 0 ord, text as content from {_with_own(TENDERS)} union all select doc_id, 1, {_pick(MORE)} from documents)"
 
 
-def facts_check_cn(spark: SparkSession, sf: str) -> DataFrame:
+def facts_check(spark: SparkSession, sf: str) -> DataFrame:
     """Quantities of every document's text against two facts of its own."""
     docs = _docs(spark, sf)
     texts = docs.select("doc_id", F.concat(numbered(CHECKED), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
@@ -100,7 +100,7 @@ def _facts_check_sql() -> str:
     return oracle._facts_check(f"({facts})", _with_own(CHECKED), "doc_id, ")
 
 
-def precheck_cn(spark: SparkSession, sf: str) -> DataFrame:
+def precheck_items(spark: SparkSession, sf: str) -> DataFrame:
     """The twelve checks of every document's draft, with item and prices."""
     drafts = _docs(spark, sf).select("doc_id", F.concat(_by(DRAFTS, "string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("draft_text"), _by(CONTROLS, "double").alias("control"), _by(DAYS, "int").alias("days"), _by(DRAFT_INDUSTRIES, "string").alias("industry"))
     got = precheck.precheck(drafts, control_col="control", days_col="days", industry_col="industry")
@@ -119,24 +119,33 @@ def _precheck_sql() -> str:
     return oracle._statuses(source, extra)
 
 
-def fact_check_cn(spark: SparkSession, sf: str) -> DataFrame:
-    """Statements, citations and placeholders of every document's section."""
+def _sections(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's section, and a citation of its own."""
     docs = _docs(spark, sf)
     sections = docs.select(_id().alias("section_id"), F.concat(_by(SECTIONS, "string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
     cites = docs.select(_id().alias("section_id"), F.lit("").alias("source"), F.get(F.array(*map(F.lit, CITED)), (F.floor(_id() / 3) % len(CITED)).cast("int")).alias("content"))
-    long = lambda c: F.col(c).cast("long").alias(c)
-    return evidence.fact_summary(sections, cites).select("section_id", *[long(c) for c in ("total_sentences", "factual_sentences", "cited", "uncited", "placeholder_count")])
+    return sections, cites
 
 
-def _fact_check_sql() -> str:
+def _sections_sql() -> tuple[str, str]:
     listed = "[" + ", ".join(map(oracle._q, CITED)) + "]"
     sections = f"(select doc_id section_id, {_pick(SECTIONS)} || chr(10) || coalesce(text, '') as text from documents)"
-    cites = f"(select doc_id section_id, '' source, ({listed})[(doc_id // 3) % {len(CITED)} + 1] as content from documents)"
+    return sections, f"(select doc_id section_id, '' source, ({listed})[(doc_id // 3) % {len(CITED)} + 1] as content from documents)"
+
+
+def fact_check_cn(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements, citations and placeholders of every document's section, counted."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return evidence.fact_summary(*_sections(spark, sf)).select("section_id", *[long(c) for c in ("total_sentences", "factual_sentences", "cited", "uncited", "placeholder_count")])
+
+
+def _fact_check_sql() -> str:
+    sections, cites = _sections_sql()
     return f"""with {oracle._cited(sections, cites)}, n as (select section_id, len(regexp_extract_all(text, {oracle._q(L.PLACEHOLDER)}))::bigint placeholder_count from {sections})
 select x.section_id, len(x.l)::bigint total_sentences, count(c.s) factual_sentences, count(c.s) filter (c.cited) cited, count(c.s) filter (not c.cited) uncited, placeholder_count from x join n using (section_id) left join c using (section_id) group by x.section_id, x.l, placeholder_count"""
 
 
-def kb_flatten_docs(spark: SparkSession, sf: str) -> DataFrame:
+def kb_flatten(spark: SparkSession, sf: str) -> DataFrame:
     """A knowledge pack of every document, as documents of its entries."""
     entry = lambda title, tags: F.struct(title.alias("title"), F.substring("text", 1, 40).alias("content"), tags.alias("tags"))
     none = F.lit(None).cast("array<struct<title:string,content:string,tags:array<string>>>")
@@ -181,20 +190,54 @@ h as (select project_id, req_id, len(k) n, len(list_filter(k, lambda w: contains
 s as (select *, case when n > 0 and n_hit >= greatest(1, n // 2) then '完全响应' else '缺失' end status from h)
 select project_id, req_id, status, n_hit::bigint n_hit, status = '缺失' and row_number() over (partition by project_id, status order by req_id) <= 2 as to_judge from s"""
 
+
+
+def template_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The standing template of every document's own scope and date."""
+    requests = scoped(_docs(spark, sf)).select(_id().alias("req_id"), "region", "city", "industry", "tender_type", "as_of")
+    return rules.match_template(requests, rules.template_frame(spark))
+
+
+def fact_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every statement of every document's section, cited or not."""
+    got = evidence.fact_check(*_sections(spark, sf))
+    return got.select("section_id", F.col("index").cast("long").alias("index"), "has_number", "cited", "status")
+
+
+def geometry_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on the layout of every document under the provincial template."""
+    verdict = rules.validate(layout_facts(_docs(spark, sf)), core.date(2025, 1, 1), industry="工程")[1]
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return verdict.select("doc_id", "verdict", "score", *[long(c) for c in ("rule_count", "checked", "skipped", "reject", "warn", "info", "rules_triggered")])
+
+
+def _geometry_sql() -> str:
+    d, common, every = _layout_parts()
+    parts = [_finding_select("''", p) for p in common + every["hebei-provincial-v3"]]
+    total = len(rules.effective_rules(rules.choose_template(core.date(2025, 1, 1), industry="工程")))
+    return f"""with {d}, x as ({" union all ".join(parts)}), n as (select doc_id, count(*) filter (severity = 'REJECT') reject, count(*) filter (severity = 'WARN') warn, count(distinct rule_id) rules_triggered from x group by 1)
+select doc_id, case when reject > 0 then 'REJECT' else 'WARN' end verdict, greatest(0, 100 - least(15 * reject, 60) - least(3 * warn, 30))::double score, {total}::bigint rule_count, {total}::bigint checked, 0::bigint skipped, reject, warn, 0::bigint info, rules_triggered from n"""
+
+
+# Names under which the core module has the same checks over a few inline rows, for its tests; registered is the one over all documents.
 QUERIES = {
-    "constraints_cn": constraints_cn, "clauses_cn": clauses_cn, "fairness_docs_cn": fairness_docs_cn, "industry_docs_cn": industry_docs_cn, "facts_cn": facts_cn, "facts_check_cn": facts_check_cn,
-    "precheck_cn": precheck_cn, "fact_check_cn": fact_check_cn, "kb_flatten_docs": kb_flatten_docs, "findings_ranked": findings_ranked, "compliance_capped": compliance_capped,
+    "constraint_params": constraint_params, "clause_match_cn": clause_match_cn, "fairness_cn": fairness_cn, "industry_detect": industry_detect, "extract_facts": extract_facts, "facts_check": facts_check,
+    "precheck_items": precheck_items, "fact_check": fact_check, "fact_check_cn": fact_check_cn, "kb_flatten": kb_flatten, "template_match": template_match, "geometry_verdict": geometry_verdict,
+    "findings_ranked": findings_ranked, "compliance_capped": compliance_capped,
 }
 ORACLE_SQL = {
-    "constraints_cn": oracle._params(_with_own(TENDERS)),
-    "clauses_cn": oracle._clauses(_with_own(TENDERS), L.CLAUSES, "s sentence"),
-    "fairness_docs_cn": oracle._fair(_with_own(TENDERS), FAIRNESS, "select doc_id, rule_id, type, category, sent_no, array_to_string(w, '|') matched from h"),
-    "industry_docs_cn": oracle._industry(_with_own(TENDERS), INDUSTRIES),
-    "facts_cn": oracle._extract_facts(FACTS_SOURCE),
-    "facts_check_cn": _facts_check_sql(),
-    "precheck_cn": _precheck_sql(),
+    "constraint_params": oracle._params(_with_own(TENDERS)),
+    "clause_match_cn": oracle._clauses(_with_own(TENDERS), L.CLAUSES, "s sentence"),
+    "fairness_cn": oracle._fair(_with_own(TENDERS), FAIRNESS, "select doc_id, rule_id, type, category, sent_no, array_to_string(w, '|') matched from h"),
+    "industry_detect": oracle._industry(_with_own(TENDERS), INDUSTRIES),
+    "extract_facts": oracle._extract_facts(FACTS_SOURCE),
+    "facts_check": _facts_check_sql(),
+    "precheck_items": _precheck_sql(),
+    "fact_check": f"with {oracle._cited(*_sections_sql())} select section_id, (i - 1)::bigint as index, has_number, cited, case when cited then '已引用' else '待人工补充' end status from c",
     "fact_check_cn": _fact_check_sql(),
-    "kb_flatten_docs": FLAT_SQL,
+    "kb_flatten": FLAT_SQL,
+    "template_match": f"with {_matched(_templates_sql(), _scopes_sql())} select q.req_id, b.template_id, b.score::double score from q left join b on b.req_id = q.req_id and r = 1",
+    "geometry_verdict": _geometry_sql(),
     "findings_ranked": _ranked_sql(),
     "compliance_capped": CAPPED_SQL,
 }
