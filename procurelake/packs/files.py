@@ -18,7 +18,7 @@ RULE = "struct<id:string,category:string,severity:string,detect:string,expect:st
 KINDS = {
     "industry": "key string, name string, keywords array<string>, ord int",
     "fairness": "key string, rules array<struct<id:string,type:string,category:string,keywords:array<string>,patterns:array<string>>>",
-    "template": f"key string, region string, city array<string>, industry array<string>, tender_type array<string>, level string, effective_from string, effective_to string, status string, supersedes array<string>, rules array<{RULE}>",
+    "template": f"key string, region string, city array<string>, industry array<string>, tender_type array<string>, level string, effective_from string, effective_to string, status string, supersedes array<string>, dialect string, rules array<{RULE}>",
 }
 #: The pack that is taken where nothing is chosen and one is needed.
 DEFAULT_KEY = "water"
@@ -57,20 +57,20 @@ def fairness(packs: DataFrame) -> tuple[FairRule, ...]:
 def templates(packs: DataFrame) -> tuple[Template, ...]:
     """Rule templates for ``choose_template``, ``match_template`` and ``validate``; ``expect`` is a JSON object.
 
-    Patterns of text rules are JavaScript's.  An invalid one is left out; a rule with one that Java can't express is
-    kept and gives a WARN finding, as does one whose ``expect`` is no object.
+    Patterns of text rules are Java's or, in a pack whose ``dialect`` is ``javascript``, translated.  An invalid one is left
+    out; a rule with one that can't be decided is kept and gives a WARN finding, as does one whose ``expect`` is no object.
     """
     import json
 
     java = packs.sparkSession._jvm.java.util.regex.Pattern
 
-    def compiles(pattern: str) -> bool:
+    def compiles(pattern: str) -> bool | None:
         try:
             return not java.compile(pattern).matcher("").find()
         except Exception:  # noqa: BLE001 - what the JVM raises arrives as one kind of error
-            return False
+            return None
 
-    def expected(detect: str, text: str | None) -> dict:
+    def expected(detect: str, text: str | None, dialect: str | None) -> dict:
         try:
             found = json.loads(text or "{}")
         except ValueError:
@@ -78,16 +78,16 @@ def templates(packs: DataFrame) -> tuple[Template, ...]:
         if not isinstance(found, dict):
             return {"failed": "expect is no object"}
         if detect == "text.pattern":
-            found["patterns"], failed = usable(list(found.get("patterns") or []), compiles)
+            found["patterns"], failed = usable(list(found.get("patterns") or []), compiles, (dialect or "").lower() == "javascript")
             if failed:
                 found["failed"] = failed
         return found
 
     day = lambda d: date.fromisoformat(d) if d else None
     scope = lambda s: tuple(s) if s else ("*",)
-    rule = lambda x: Rule(x.id, x.category, x.severity, x.detect, expected(x.detect, x.expect), bool(x.auto_fixable), bool(x.needs_review))
+    rule = lambda x, dialect: Rule(x.id, x.category, x.severity, x.detect, expected(x.detect, x.expect, dialect), bool(x.auto_fixable), bool(x.needs_review))
     rows = packs.orderBy("key").collect()
-    return tuple(Template(r.key, r.region or "*", scope(r.city), scope(r.industry), scope(r.tender_type), r.level or "", day(r.effective_from), day(r.effective_to), tuple(map(rule, r.rules or ())), tuple(r.supersedes or ()), r.status or "ACTIVE") for r in rows)
+    return tuple(Template(r.key, r.region or "*", scope(r.city), scope(r.industry), scope(r.tender_type), r.level or "", day(r.effective_from), day(r.effective_to), tuple(rule(x, r.dialect) for x in r.rules or ()), tuple(r.supersedes or ()), r.status or "ACTIVE") for r in rows)
 
 
 def write_packs(spark: SparkSession, path: str, packs: dict[str, dict]) -> None:

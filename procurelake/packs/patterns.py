@@ -162,19 +162,22 @@ def to_java(pattern: str) -> str:
     return _Reader(pattern).run()
 
 
-def usable(patterns: list[str], compiles) -> tuple[list[str], str | None]:
-    """Translated patterns without the invalid ones, and why the rule can't be decided, if it can't.
+def usable(patterns: list[str], compiles, javascript: bool) -> tuple[list[str], str | None]:
+    """The patterns for Java without the invalid ones, and why the rule can't be decided, if it can't.
 
-    ``compiles`` says whether Java takes a pattern.  One that can match nothing at all can't be decided either, as places
-    between signs are no findings.
+    ``compiles`` says whether a pattern that Java takes matches signs only; None if Java doesn't take it.  One that can match
+    nothing at all can't be decided, as places between signs are no findings.
     """
     good = []
     for p in patterns:
         try:
-            java = to_java(p)
+            java = to_java(p) if javascript else p
         except Invalid:
             continue
-        if not compiles(java):
-            return [], f"pattern can't be expressed: {p}"
+        told = compiles(java)
+        if told is None and not javascript:
+            continue
+        if not told:
+            return [], f"pattern can't be decided: {p}"
         good.append(java)
     return good, None

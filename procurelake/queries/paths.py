@@ -480,7 +480,7 @@ def odd_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
     folder = Scratch(spark, "packs").path("odd")
     given = [{"id": i, "category": "X", "severity": s, "detect": d, "expect": json.dumps(e)} for i, s, d, e in ODD_RULES]
-    files.write_packs(spark, folder, {"odd": {"key": "odd", "region": "*", "level": "LAW", "effective_from": "2024-01-01", "rules": given}})
+    files.write_packs(spark, folder, {"odd": {"key": "odd", "dialect": "javascript", "region": "*", "level": "LAW", "effective_from": "2024-01-01", "rules": given}})
     templates = files.templates(files.read_packs(spark, folder, "template"))
     found = rules.validate(_docs(spark, sf).select("doc_id", "text"), date(2025, 1, 1), templates=templates, text_most=(1 << 31) - 1)[0]
     return found.select("doc_id", "rule_id", "severity", F.col("n").cast("long").alias("n"))

@@ -60,7 +60,7 @@ def test_pack_with_odd_patterns(spark, tmp_path):
     """Bad patterns are left out, what can't be decided becomes a WARN finding, the rest is found."""
     rule = lambda i, detect, expect: {"id": i, "category": "X", "severity": "REJECT", "detect": detect, "expect": expect if isinstance(expect, str) else json.dumps(expect)}
     pack = {
-        "key": "odd", "region": "*", "level": "LAW", "effective_from": "2024-01-01",
+        "key": "odd", "dialect": "javascript", "region": "*", "level": "LAW", "effective_from": "2024-01-01",
         "rules": [
             rule("A", "text.pattern", {"patterns": ["([a-z", r"\bnew\b"], "occurrences": 0}), rule("B", "text.pattern", {"patterns": ["([a-z"], "occurrences": 0}),
             rule("C", "text.pattern", {"patterns": ["(?<=a.*)b"]}), rule("D", "metadata.creator", "[1"), rule("E", "run.font.size", {"tolerance": 1}), rule("F", "marks.comments", {"max": "many"}),
@@ -75,3 +75,11 @@ def test_pack_with_odd_patterns(spark, tmp_path):
     failed = {(d, i): ("WARN", rules.FAILED) for d in (1, 2) for i in ("D", "F", "H")}
     assert got == failed | {(1, "A"): ("REJECT", "「new」"), (1, "C"): ("REJECT", "「b」")}
     assert {(r.doc_id, r.checked, r.skipped) for r in verdict.collect()} == {(1, 6, 3), (2, 6, 3)}
+
+
+def test_pack_with_patterns_of_java(spark, tmp_path):
+    """Without a dialect patterns are Java's and stay as they are; invalid ones are left out all the same."""
+    expect = json.dumps({"patterns": ["a++b", "([a-z", r"x\s"], "occurrences": 0, "exclude": []})
+    files.write_packs(spark, f"file://{tmp_path}", {"own": {"key": "own", "rules": [{"id": "A", "category": "X", "severity": "REJECT", "detect": "text.pattern", "expect": expect}]}})
+    (template,) = files.templates(files.read_packs(spark, f"file://{tmp_path}", "template"))
+    assert template.rules[0].expect["patterns"] == ["a++b", r"x\s"]
