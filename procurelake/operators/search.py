@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ BLOCK_BYTES = 16 << 20
 BROADCAST_PAIRS = 200_000
 #: Room for the last bits of sums in bounds; scores themselves are compared exactly.
 ROOM = 1e-9
+#: Queries up to which a corpus without an index is scored as it is.
+ONCE_QUERIES = 2000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -105,6 +108,13 @@ def _least_terms(reach: Column, n: Column, vector: Column, vector_share: float)
     return F.ceil(rest / (1 - vector_share) * n) if vector_share < 1 else F.when(rest > 0, n + 1).otherwise(0)
 
 
+def _asked(queries: DataFrame, vector_share: float, scratch: Scratch) -> DataFrame:
+    """(q, query_id, qv, qt, vector) of the queries; vector says whether the cosine can add to a score."""
+    asked = queries.select(F.monotonically_increasing_id().alias("q"), "query_id", F.col("vec").cast("array<double>").alias("qv"), _terms("terms").alias("qt"))
+    norm = F.aggregate(F.coalesce("qv", F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + F.abs(v))
+    return scratch.save(asked.withColumn("vector", F.coalesce(norm > 0, F.lit(False)) & (F.lit(vector_share) != 0)), "queries")
+
+
 def search(queries: DataFrame, index: TermIndex, k: int = TOP_K, threshold: float = THRESHOLD, vector_share: float = VECTOR_SHARE, prefix_most: int | None = None) -> DataFrame:
     """(query_id, doc_id, similarity, rank): the ``k`` best rows of the index for each query at ``threshold`` or above.
 
@@ -114,9 +124,7 @@ def search(queries: DataFrame, index: TermIndex, k: int = TOP_K, threshold: floa
     scratch = Scratch(queries.sparkSession, "search")
     if prefix_most is None:
         prefix_most = min(PREFIX_MOST, max(PREFIX_LEAST, int(index.docs.count() * PREFIX_SHARE)))
-    asked = queries.select(F.monotonically_increasing_id().alias("q"), "query_id", F.col("vec").cast("array<double>").alias("qv"), _terms("terms").alias("qt"))
-    norm = F.aggregate(F.coalesce("qv", F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + F.abs(v))
-    asked = scratch.save(asked.withColumn("vector", F.coalesce(norm > 0, F.lit(False)) & (F.lit(vector_share) != 0)), "queries")
+    asked = _asked(queries, vector_share, scratch)
     # each query's terms with their numbers of documents, the rarest first
     each = asked.select("q", F.size("qt").alias("n"), "vector", F.explode("qt").alias("term")).join(index.lengths, "term", "left").fillna({"df": 0})
     by_query = Window.partitionBy("q").orderBy("df", "term")
@@ -258,8 +266,19 @@ def _against_all(block: pa.Table, docs: DataFrame, k: int, threshold: float, vec
 
 
 def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, vector_share: float = VECTOR_SHARE, prefix_most: int | None = None) -> DataFrame:
-    """``search`` over an index of ``corpus`` (doc_id, vec, terms) that is made for this call."""
+    """What ``search`` gives for a corpus (doc_id, vec, terms) without an index.
+
+    Up to ONCE_QUERIES queries are scored in blocks at once, as making an index takes longer than that pass; more get an
+    index of the terms that they use.
+    """
     scratch = Scratch(corpus.sparkSession, "term-index")
+    if queries.limit(ONCE_QUERIES + 1).count() <= ONCE_QUERIES:
+        docs = corpus.select("doc_id", F.col("vec").cast("array<double>").alias("vec"), _terms("terms").alias("terms"))
+        found = [_against_all(block, docs, k, threshold, vector_share) for block in _blocks(_asked(queries, vector_share, scratch))]
+        if not found:
+            kinds = (queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType, T.DoubleType())
+            found = [corpus.sparkSession.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "doc_id", "similarity"), kinds, strict=True)]))]
+        return _best(reduce(DataFrame.unionByName, found), k)
     wanted = scratch.save(queries.select(F.explode(_terms("terms")).alias("term")).distinct(), "wanted")
     index = build_index(corpus, scratch.path("index"), wanted)
     return search(queries, index, k, threshold, vector_share, prefix_most)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurelake.functions.text import clip
-from procurelake.operators import evidence, pii, retrieval, rules
+from procurelake.operators import evidence, pii, retrieval, rules, search
 from procurelake.packs.rules import DISCLOSURE, TEMPLATES, Rule, Template
 from procurelake.plans.requirements import extract_requirements
 from procurelake.queries import oracle
@@ -507,7 +507,8 @@ def kb_search(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("array<double>").alias("vec")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), none, F.slice(F.split("text", " "), 1, 8).alias("terms"))
     corpus = _docs(spark, sf).select("doc_id", none, F.array_distinct(F.split("text", " ")).alias("terms"))
-    got = retrieval.hybrid_topk(asked, corpus)
+    index = search.build_index(corpus, Scratch(spark, "kb-index").path("index"), asked.select(F.explode("terms").alias("term")))
+    got = search.search(asked, index)
     return got.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -40,12 +40,14 @@ def given(rng, n, with_vectors):
     return rows
 
 
-@pytest.mark.parametrize(("most", "pairs", "vectors", "k", "threshold", "share"), [(0, 0, True, 8, 0.2, 0.3), (50, 200_000, True, 8, 0.2, 0.3), (50_000, 0, False, 8, 0.2, 0.3), (50_000, 200_000, True, 3, 0.5, 0.3), (40, 0, True, 5, 0.6, 0.9), (50_000, 0, False, 2, 0.0, 0.3)])
+@pytest.mark.parametrize(("most", "pairs", "vectors", "k", "threshold", "share"), [(None, 0, True, 8, 0.2, 0.3), (0, 0, True, 8, 0.2, 0.3), (50, 200_000, True, 8, 0.2, 0.3), (50_000, 0, False, 8, 0.2, 0.3), (50_000, 200_000, True, 3, 0.5, 0.3), (40, 0, True, 5, 0.6, 0.9), (50_000, 0, False, 2, 0.0, 0.3)])
 def test_search_brute_force(spark, monkeypatch, most, pairs, vectors, k, threshold, share):
     """Scored in blocks only, by the index only, and some queries by each; ties, nulls and repeated rows."""
     monkeypatch.setattr(search, "BROADCAST_PAIRS", pairs)
     monkeypatch.setattr(search, "BLOCK_BYTES", 2000)
-    rng = random.Random(most + k)
+    if most is not None:  # with an index
+        monkeypatch.setattr(search, "ONCE_QUERIES", 0)
+    rng = random.Random((most or 7) + k)
     corpus = given(rng, 200, vectors)
     corpus += [(i + 1000, v, t) for i, v, t in corpus[:20]] + corpus[:5] + [(None, [1.0, 0.0, 0.0], ["the"])]
     queries = given(rng, 30, vectors)
@@ -54,7 +56,9 @@ def test_search_brute_force(spark, monkeypatch, most, pairs, vectors, k, thresho
     assert sorted(((q, d, round(s, 9), r) for q, d, s, r in got.collect()), key=repr) == best(queries, corpus, k, threshold, share)
 
 
-def test_search_plan_and_empty_tables(spark, monkeypatch):
+@pytest.mark.parametrize("once", [0, 2000])
+def test_search_plan_and_empty_tables(spark, monkeypatch, once):
+    monkeypatch.setattr(search, "ONCE_QUERIES", once)
     none_q, none_d = spark.createDataFrame([], ASKED), spark.createDataFrame([], CORPUS)
     one_q, one_d = spark.createDataFrame([(1, None, ["a", "b"])], ASKED), spark.createDataFrame([(1, None, ["b"]), (2, None, ["c"])], CORPUS)
     assert search.hybrid_topk(none_q, one_d).count() == search.hybrid_topk(one_q, none_d).count() == 0
