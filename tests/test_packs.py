@@ -76,3 +76,33 @@ def test_near_pairs_are_all_pairs(spark, radius):
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert collusion.near_pairs(fps.limit(0), "source").count() == 0
+
+
+def _near_codes(seed: int, n: int, ids) -> list[tuple]:
+    rng = random.Random(seed)
+    codes, rows = [rng.getrandbits(64) for _ in range(12)], []
+    for i in range(n):
+        code = rng.choice(codes)
+        for bit in rng.sample(range(64), rng.choice([0, 0, 1, 2, 3, 5, 8])):
+            code ^= 1 << bit
+        rows.append((ids(rng, i), rng.choice(["p", "p", "q", None]), code - (1 << 64) if code >> 63 else code))
+    return rows
+
+
+@pytest.mark.parametrize("most", [25, 10_000])
+def test_link_counts_lose_no_link(spark, most):
+    """Every document's links in blocks, with copies and nulls, against all pairs."""
+    from procurelake.operators import collusion
+
+    rows = _near_codes(3, 400, lambda rng, i: rng.choice([i, i, i, None]))
+    fps = spark.createDataFrame(rows, "doc_id long, source string, fp long")
+    kept = [r for r in rows if r[0] is not None and r[1] is not None]
+    bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    want = []
+    for i, p, x in kept:
+        near = [(bits(x, y), j) for j, q, y in kept if q == p]
+        want.append((p, i, min(j for d, j in near if not d), sum(d <= 3 for d, _ in near) - 1, sum(3 < d <= 10 for d, _ in near)))
+    got = collusion.link_counts(fps, "source", most=most)
+    assert got.columns == ["source", "doc_id", "class_id", "n_high", "n_medium"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert collusion.link_counts(fps.limit(0), "source").count() == 0
