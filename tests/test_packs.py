@@ -106,3 +106,18 @@ def test_link_counts_lose_no_link(spark, most):
     assert got.columns == ["source", "doc_id", "class_id", "n_high", "n_medium"]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert collusion.link_counts(fps.limit(0), "source").count() == 0
+
+
+@pytest.mark.parametrize("crowded", [7, 10_000])
+def test_close_links_have_the_groups_of_pairs(spark, crowded):
+    """Links are no more than documents and tables allow, and group as all pairs do."""
+    from procurelake.operators import collusion
+
+    rows = [(i, x) for i, _, x in _near_codes(5, 900, lambda rng, i: i)] + [(None, 1)]
+    fps = spark.createDataFrame(rows, "doc_id long, fp long")
+    links = collusion.close_links(fps, crowded=crowded)
+    pairs = collusion.close_pairs(fps)
+    groups = lambda found: sorted(map(tuple, collusion.risk_groups(found).collect()))
+    assert groups(links) == groups(pairs) != []
+    if crowded > 900:
+        assert links.count() <= 21 * len(rows) and links.count() < pairs.count()
