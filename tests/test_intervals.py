@@ -87,3 +87,18 @@ def test_validate_each_is_validate_of_each(spark):
     assert len(every) > 63 and all(len(m) == 2 for m in maps.values()) and len(maps[None]) == 2 and sum(w.bit_count() for w in maps[None]) == len(DISCLOSURE)
     none = facts.limit(0)
     assert rules.validate_each(none)[1].count() == 0
+
+
+def test_calendar_has_a_row_for_scopes_and_not_for_templates(spark):
+    """However many templates are in force, those of equal region and scopes take one row a span, with the best of each day."""
+    day = lambda n: date(1970, 1, 1) + timedelta(n)
+    spans = [(k % 70, 64 + k % 30, f"t{k:04}") for k in range(900)]
+    rows = [("r", ["c"], ["*"], ["*"], day(a), day(b), (-5.0, -a, name)) for a, b, name in spans]
+    kind = "t_region string, cities array<string>, industries array<string>, types array<string>, effective_from date, effective_to date, own struct<s:double,d:bigint,template_id:string>"
+    got = rules._calendar(spark.createDataFrame(rows, kind), 10, 80).collect()
+    assert sorted(r.span for r in got) == [0, 1, 2]
+    for r in got:
+        for i, best in enumerate(r.best):
+            n = r.span * rules.SPAN + i
+            fits = [(-a, name) for a, b, name in spans if max(a, 10) <= n <= min(b, 80)]
+            assert (best and (best.d, best.template_id)) == (min(fits) if fits else None)
