@@ -386,3 +386,12 @@ def test_repeated_ids_of_evidence(spark):
     drafts = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, None)], "project_id long, draft string")
     reqs = spark.createDataFrame([(1, "r1", ["alpha"]), (2, "r2", ["x"]), (3, "r3", None)], "project_id long, req_id string, keywords array<string>")
     assert sorted((r.project_id, r.n_hit) for r in evidence.check_compliance(reqs, drafts).collect()) == [(1, 0), (1, 1), (2, 0), (3, 0)]
+
+
+def test_a_draft_is_lowered_once(spark):
+    """However many words are looked for, and whatever the evidence: lowering a long draft is what takes the time."""
+    reqs = spark.createDataFrame([(1, 1, ["Alpha", "", "beta", None]), (1, 2, ["x"])], "project_id long, req_id long, keywords array<string>")
+    got = evidence.check_compliance(reqs, spark.createDataFrame([(1, "an ALPHA and Beta")], "project_id long, draft string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\((?:coalesce\()?draft", plan)) == 1
+    assert sorted((r.req_id, r.status, r.n_hit, r.evidence) for r in got.collect()) == [(1, "完全响应", 3, "an ALPHA and Beta"), (2, "缺失", 0, "")]
