@@ -350,12 +350,14 @@ def docx_media(spark: SparkSession, sf: str) -> DataFrame:
     import io
     import zipfile
 
-    import pandas as pd
+    import pyarrow as pa
+
+    from procurelake.functions.batches import pieces
 
     def add(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
-            for path, raw in zip(b["path"], b["docx"], strict=True):
+            for path, raw in zip(b.column("path").to_pylist(), b.column("docx").to_pylist(), strict=True):
                 i, made = int(path), io.BytesIO()
                 with zipfile.ZipFile(io.BytesIO(raw)) as old, zipfile.ZipFile(made, "w") as new:
                     for name in old.namelist():
@@ -363,10 +365,10 @@ def docx_media(spark: SparkSession, sf: str) -> DataFrame:
                     for k in range(i % 3):
                         new.writestr(f"word/media/image{k}.bin", MEDIA[(i + k) % len(MEDIA)] + (b"Exif\x00" if i % 4 == 0 else b""))
                 out.append(made.getvalue())
-            yield pd.DataFrame({"path": b["path"], "docx": out})
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], names=["path", "docx"])
 
     rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("markdown"), F.lit("t").alias("title"))
-    got = facts(sinks.render(rows).select("path", "docx").mapInPandas(add, "path string, docx binary"), content_col="docx")
+    got = facts(sinks.render(rows).select("path", "docx").mapInArrow(add, "path string, docx binary"), content_col="docx")
     images = F.col("images")
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(images).cast("long").alias("n_images"), F.size(F.filter(images, lambda x: x["has_exif"])).cast("long").alias("n_exif"), F.array_join(F.transform(images, lambda x: x["color_space"]), "|").alias("spaces"), F.col("marks.rsid_count").cast("long").alias("n_rsid"))
 

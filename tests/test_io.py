@@ -212,3 +212,40 @@ def test_broken_and_undeclared_parts():
     assert parse(packed(""))["paragraphs"] == [] and parse(packed("no xml"))["text"] == ""
     deep = "<w:p><w:r>" * 3000 + "</w:r></w:p>" * 3000
     assert len(parse(packed(f'<w:document xmlns:w="{W}">{deep}</w:document>'))["paragraphs"]) == 3000
+
+
+def test_pieces_are_bounded():
+    """Batches come in slices of few rows and bytes, in order; one large row is a piece by itself."""
+    import pyarrow as pa
+
+    from procurelake.functions.batches import pieces
+
+    texts = ["x" * (5 << 20) if i == 300 else "y" * (i % 7) * 10_000 for i in range(1000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array(texts)], names=["i", "t"])
+    got = list(pieces(iter([batch, batch.slice(0, 0)])))
+    assert [i for b in got for i in b.column("i").to_pylist()] == list(range(1001))
+    assert all(b.num_rows <= 128 and (b.nbytes <= 2 << 20 or b.num_rows == 1) for b in got) and len(got) > 10
+
+
+def test_file_steps_give_pieces(spark, monkeypatch):
+    """Files are written and read, and chunks cut and asked, a piece at a time: no step makes Python objects of a whole batch."""
+    import pyarrow as pa
+
+    from procurelake.operators import retrieval
+    from procurelake.plans import requirements
+    from procurelake.sources import docx, sinks
+
+    steps = []
+    frame = type(spark.range(1))
+    kept = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema, *a, **b: steps.append(run) or kept(self, run, schema, *a, **b))
+    rows = spark.createDataFrame([("a", "# t\n\nx")], "path string, markdown string").selectExpr("*", "path title")
+    assert docx.facts(sinks.render(rows), content_col="docx").first().text == "t\n\nx"
+    requirements.ask_chunks(rows.selectExpr("path tender_id", "markdown text"), lambda c: "[]")
+    made = [sinks.render_docx("x")] * 1000
+    texts = pa.array(["x"] * 1000)
+    given = [pa.RecordBatch.from_arrays(a, names=n) for a, n in (([texts] * 8, [*"abcdefgh"]), ([texts, pa.array(made)], ["path", "docx"]), ([texts, texts], ["tender_id", "text"]), ([texts, pa.array([0] * 1000, pa.int32()), texts], ["tender_id", "chunk_no", "chunk"]))]
+    assert len(steps) == len(given) and retrieval.cut("x") == ["x"]
+    for run, batch in zip(steps, given, strict=True):
+        out = list(run(iter([batch])))
+        assert sum(b.num_rows for b in out) == 1000 and max(b.num_rows for b in out) <= 128
