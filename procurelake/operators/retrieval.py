@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from procurelake.functions.batches import pieces
 from procurelake.operators.search import hybrid_topk  # noqa: F401 - retrieval's own name for it
 
 CHUNK, OVERLAP, LOOKBACK = 6000, 400, 800
@@ -42,12 +44,13 @@ def chunk(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, id_col: st
     """(id, chunk_no from 0, chunk) by ``cut``; null and empty texts have none."""
     schema = T.StructType([docs.schema[id_col], T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, c) for i, t in zip(b[id_col], b[text_col], strict=True) for n, c in enumerate(cut(t, size, overlap, window))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            rows = [(i, n, c) for i, t in enumerate(b.column(1).to_pylist()) for n, c in enumerate(cut(t, size, overlap, window))]
+            at, no, chunks = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(chunks, pa.string())], names=[id_col, "chunk_no", "chunk"])
 
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 class ChunkText:

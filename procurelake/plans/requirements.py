@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procurelake.functions.batches import pieces
 from procurelake.functions.text import clip
 from procurelake.operators.evidence import dedup_requirements, normalize_requirements
 from procurelake.operators.retrieval import CHUNK, OVERLAP, chunk, extract_json
@@ -52,7 +53,7 @@ def answered(extractor: Callable[[str], str], chunk: str, attempts: int) -> tupl
 def ask_chunks(tenders: DataFrame, extractor: Callable[[str], str], size: int = CHUNK, overlap: int = OVERLAP, most_chars: int | None = 120_000, attempts: int = 3) -> DataFrame:
     """(tender_id, chunk_no, json, attempts, error) of every chunk of tenders (tender_id, text).
 
-    ``extractor`` gives a JSON array of requirements for a chunk's text; it runs in Python workers, a batch of chunks at a
+    ``extractor`` gives a JSON array of requirements for a chunk's text; it runs in Python workers, a piece of a batch at a
     time, and is the only part that may be a model.  It is asked ``attempts`` times at most; then json is null and
     error says why.  Blank tenders have no chunks.  Text after ``most_chars`` characters is left out; None reads all.
     """
@@ -61,12 +62,13 @@ def ask_chunks(tenders: DataFrame, extractor: Callable[[str], str], size: int =
     chunks = chunk(docs, size, overlap, "tender_id")
     tender = docs.schema["tender_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            said = pd.DataFrame([answered(extractor, c, attempts) for c in b["chunk"]], columns=["json", "attempts", "error"], dtype=object)
-            yield pd.concat([b[["tender_id", "chunk_no"]].reset_index(drop=True), said], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            said = list(zip(*(answered(extractor, c, attempts) for c in b.column("chunk").to_pylist()), strict=True))
+            told = [pa.array(x, kind) for x, kind in zip(said, (pa.string(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("tender_id"), b.column("chunk_no"), *told], names=["tender_id", "chunk_no", "json", "attempts", "error"])
 
-    return chunks.mapInPandas(run, f"tender_id {tender}, chunk_no int, json string, attempts int, error string")
+    return chunks.mapInArrow(run, f"tender_id {tender}, chunk_no int, json string, attempts int, error string")
 
 
 def requirements_of(asked: DataFrame) -> DataFrame:
