@@ -23,18 +23,19 @@ def valid(price: Column) -> Column:
 def _based(rows: DataFrame, algorithms: dict[str, str], drop_n: int, group_col: str, control: Column | None = None, two_decimals: bool = False) -> DataFrame:
     """``rows`` (group, price, ...) with a column STRUCT<value, degraded> for each of ``algorithms`` (column to name).
 
-    Sums run over a group's prices in order, inside one sort of its rows that spills; nothing collects a group.
+    Sums run over a group's prices in order, inside one sort of its rows that spills; nothing collects a group.  Counts
+    and extremes go by the same order, as a window without it would sort the rows once more.
     """
     group, price = Window.partitionBy(group_col), F.col("price")
     every = group.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"__r": F.row_number().over(group.orderBy("price")), "__n": F.count("*").over(group)})
+    rows = rows.withColumns({"__r": F.row_number().over(group.orderBy("price")), "__n": F.count("*").over(every)})
     r, n = F.col("__r"), F.col("__n")
     mean = round2(F.sum("price").over(every) / n)
     kept = lambda low, high: round2(F.sum(F.when((r > low) & (r <= n - high), price)).over(every) / (n - low - high))
     made = {}
     for column, algorithm in algorithms.items():
         if algorithm == "MIN_PRICE":
-            value, degraded = F.min("price").over(group), F.lit(False)
+            value, degraded = F.min("price").over(every), F.lit(False)
         elif algorithm == "AVG_DROP":
             degraded = n < 2 * drop_n + 1
             value = F.when(degraded, mean).otherwise(kept(drop_n, drop_n))
@@ -42,7 +43,7 @@ def _based(rows: DataFrame, algorithms: dict[str, str], drop_n: int, group_col:
             degraded = n < drop_n + 1
             value = F.when(degraded, mean).otherwise(kept(drop_n, 0))
         elif algorithm == "CONTROL_WEIGHT" and control is not None:
-            limit = F.max(control).over(group)
+            limit = F.max(control).over(every)
             degraded = ~F.coalesce(valid(limit), F.lit(False))
             mixed = 0.5 * limit + 0.5 * mean
             value = F.when(degraded, mean).otherwise(round2(mixed) if two_decimals else F.floor(mixed + F.lit(0.5)).cast("double"))
@@ -106,7 +107,7 @@ def score_prices(
     if control_col:
         score = F.when(F.coalesce(valid(F.col("control")) & (p > F.col("control")), F.lit(False)), 0.0).otherwise(score)
     scored = rows.withColumn("score", score)
-    order = Window.partitionBy(group_col, F.col("score") > 0).orderBy(F.desc("score"), bid_col, "price")
+    order = Window.partitionBy(group_col).orderBy(F.desc("score"), bid_col, "price")  # bids without score come last
     return scored.select(group_col, bid_col, "price", "base_price", "score", F.when(F.col("score") > 0, F.row_number().over(order)).otherwise(0).alias("rank"))
 
 

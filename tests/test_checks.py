@@ -143,6 +143,16 @@ def test_price_invalid(spark):
     assert pricing.score_prices(bids(spark, float("nan"), None)).count() == 0
 
 
+def test_price_sorts(spark, capsys):
+    """Base prices take one sort of the bids and ranks another, whatever the method: each sort is memory of a task."""
+    limited = bids(spark, 850.0, 860.0).withColumn("c", F.lit(900.0))
+    for method in ("BASE_PRICE_RATIO", "LOWEST_FULL", "BASE_PRICE_LINEAR", "REASONABLE_LOW"):
+        pricing.score_prices(limited, method, control_col="c").explain()
+        assert capsys.readouterr().out.count("- Sort [") == 2, method
+    pricing.score_matrix(limited).explain()
+    assert capsys.readouterr().out.count("- Sort [") == 1
+
+
 def test_price_pattern(spark):
     kind = lambda *p: pricing.price_pattern(bids(spark, *p)).first().type
     assert kind(29.1e6, 29.2e6, 29.3e6, 29.4e6) == "等差规律"
