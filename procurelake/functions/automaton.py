@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from procurelake.functions.text import present
+from procurelake.functions.text import may_hold, present
 
 #: Words of a pack from which the automaton is used; below, one search a word within the JVM is quicker than Python.
 AUTOMATON_FROM = 200
@@ -48,11 +48,13 @@ class Automaton:
 def found_words(text: Column, groups: Sequence[Sequence[str]], from_words: int | None = None) -> Column:
     """ARRAY<STRUCT<no, words>>: the groups, by number, of which the text contains a word, with those words in order.
 
-    Small packs are searched word by word in the JVM, those of ``from_words`` words or more by an automaton; the answer is the same.
+    Small packs are searched word by word in the JVM, in texts that may hold one, those of ``from_words`` words or more by an automaton; the answer is the same.
     """
     if sum(map(len, groups)) < (AUTOMATON_FROM if from_words is None else from_words):
-        every = F.array(*[F.struct(F.lit(i).alias("no"), present(text, words).alias("words")) for i, words in enumerate(groups)]) if groups else F.array().cast(FOUND)
-        return F.filter(every, lambda f: F.size(f["words"]) > 0)
+        none = F.array().cast(FOUND)
+        every = F.array(*[F.struct(F.lit(i).alias("no"), present(text, words).alias("words")) for i, words in enumerate(groups)]) if groups else none
+        found, may = F.filter(every, lambda f: F.size(f["words"]) > 0), may_hold(text, [w for words in groups for w in words])
+        return found if may is None else F.when(may, found).otherwise(none)
     packed = [list(g) for g in groups]
 
     @F.pandas_udf(FOUND)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurelake.functions.automaton import found_words, words_of
-from procurelake.functions.text import present, round2, sentences, strings, trim
+from procurelake.functions.text import heads, may_hold, present, round2, sentences, strings, trim
 from procurelake.packs import lexicons as L
 from procurelake.packs.rules import DEFAULT_PACK, FAIRNESS, INDUSTRIES, UNKNOWN_INDUSTRY
 
@@ -75,14 +78,19 @@ def fairness_hits(docs: DataFrame, pack=FAIRNESS, id_col: str = "doc_id", text_c
     """(id, rule_ord, rule_id, type, category, sent_no, sentence, matched): a row for each rule and sentence that meet.
 
     ``matched`` are the rule's key words in order, then each pattern's first match, marked, up to 40 characters.  The key
-    words of all rules are searched in one pass over a sentence; patterns one by one.
+    words of all rules are searched in one pass over a sentence; patterns one by one, in sentences that hold a word with
+    which a match begins, where a pattern shows these.
     """
     s, pack = F.col("sentence"), tuple(pack)
-    each = split_sentences(docs, 6, id_col, text_col).withColumn("found", found_words(s, [r.keywords for r in pack]))
+    begin = {p: heads(p) for r in pack for p in r.patterns}
+    each = split_sentences(docs, 6, id_col, text_col)
+    may = may_hold(s, [w for r in pack for w in r.keywords] + [w for ws in begin.values() for w in ws]) if None not in begin.values() else None
+    each = (each if may is None else each.where(may)).withColumn("found", found_words(s, [r.keywords for r in pack]))
+    meets = lambda p: s.rlike(p) if begin[p] is None else reduce(or_, [F.contains(s, F.lit(w)) for w in begin[p]]) & s.rlike(p)
     marked = []
     for i, rule in enumerate(pack):
         if rule.patterns:
-            marks = [F.when(s.rlike(p), F.array(F.concat(F.lit("匹配："), F.substring(F.regexp_extract(s, p, 0), 1, 40)))).otherwise(strings([])) for p in rule.patterns]
+            marks = [F.when(meets(p), F.array(F.concat(F.lit("匹配："), F.substring(F.regexp_extract(s, p, 0), 1, 40)))).otherwise(strings([])) for p in rule.patterns]
             marked.append(F.struct(F.lit(i).alias("no"), F.concat(words_of(F.col("found"), i), *marks).alias("words")))
     plain = [i for i, r in enumerate(pack) if not r.patterns]
     met = F.filter("found", lambda f: f["no"].isin(plain)) if marked else F.col("found")

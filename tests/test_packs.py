@@ -1,13 +1,16 @@
 """Large packs by the automaton, and look-alike pairs by multi-index hashing, against the plain ways."""
 
 import random
+import re
 
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from procurelake.functions import automaton
+from procurelake.functions.text import BLANKS, heads, may_hold, trim
 from procurelake.operators import clauses, collusion
 from procurelake.packs.rules import FAIRNESS, INDUSTRIES, FairRule
 
@@ -59,6 +62,42 @@ def test_packs_of_ten_thousand_words(texts, monkeypatch):
     both(monkeypatch, lambda: clauses.detect_industry(texts))
 
 
+def test_heads():
+    """Words with which every match begins; none where a look at the pattern can't be sure."""
+    assert heads(r"(?:指定|必须)(?:采用|使用)?[^，|；\n]{0,20}(?:品牌|牌)") == ["指定", "必须"] and heads(r"(?:ing|tion)+ (?:the|of)\|[(]") == ["ing", "tion"]
+    unsure = ["a|b", "(?:a|b)?c", "(?:a|b)*", "(?:a){0,2}b", "(?:a|b)c|d", "(?:a|)c", "(?:a.|b)c", "(?i)(?:a)", "(a)b", "(?:a)(?i)b", r"(?:a|b)\Q(\E|c\Q)\E", "(?:a)[[b]|]", "(?:a)[]|a]"]
+    assert not [p for p in unsure if heads(p) is not None]
+
+
+def test_may_hold(spark):
+    words = ["指定品牌", "央企", "是é", "𠀀a", "", "本地", "外地", "内定"]
+    assert may_hold(F.lit("a"), ["ab", "指定"]) is None and may_hold(F.lit("a"), []) is None
+    texts = ["指定品牌", "企", "plain", "café", "x𠀀a", "是é.", "", None]
+    held = lambda ws: [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(may_hold(F.col("t"), ws).alias("m")).collect()]
+    assert held(words)[:7] == [True] * 7  # every text has the empty word
+    got = held([w for w in words if w])
+    assert got[2:4] == [False, False] and all(got[i] for i in (0, 4, 5)) and not got[6] and not got[7]
+
+
+def test_trim_takes_white_space_of_all_alphabets_only(spark):
+    odd = ["\u0085", "\u200b", "\x1c", "\x00", "é", "𠀀"]
+    rows = ["x \u0085", *[f"{b}{b}x {o}{b}" for b in BLANKS for o in odd], *[f"{b}{o}{b}" for b in BLANKS for o in odd], BLANKS, "", None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").select("i", trim(F.col("t")).alias("t")).collect()
+    assert all(r.t == (None if rows[r.i] is None else rows[r.i].strip(BLANKS)) for r in got)
+
+
+def test_fairness_patterns_run_where_they_can_match(spark, texts, capsys):
+    """Sentences without a word's signs go before any search; the rows are those of a search of all words and patterns."""
+    clauses.fairness_hits(texts).explain()
+    assert "octet_length" in capsys.readouterr().out
+    more = ["plain ascii sentence of words", "café au lait, naïve", "须在本地设立分公司 café", "获得某某奖项可以加分", "预算一百万元以上须特级", "只能使用某某牌的设备", "必须使用该平台 BIM", "𠀀𠀀𠀀𠀀央企𠀀𠀀", "强制要求采用某CA认证", "无关的中文句子而已"]
+    odd = FairRule("ODD", "SOFT", "c", ("naïve",), (r"(?:au|须) ?l|牌的", r"(?:预算|平台)"))
+    for pack in (FAIRNESS, (*FAIRNESS, odd), (FairRule("A", "SOFT", "c", ("café",), ()),)):
+        got = {(r.doc_id, r.rule_id): r.matched for r in clauses.fairness_hits(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), pack).collect()}
+        want = {(i, r.id): [w for w in r.keywords if w in t] + ["匹配：" + m[0][:40] for p in r.patterns if (m := re.search(p, t))] for i, t in enumerate(more) for r in pack}
+        assert got == {k: v for k, v in want.items() if v} and got
+
+
 @pytest.mark.parametrize("radius", [10, 3, 13])
 def test_near_pairs_are_all_pairs(spark, radius):
     """All pairs up to the radius, with copies, repeated ids, nulls, and codes that differ in chosen bits."""
