@@ -523,7 +523,7 @@ def _audit_sql() -> str:
     total = len(rules.effective_rules(rules.choose_template(date(2025, 1, 1), industry="工程")))
     escaped = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     signs = f"(1 + length(replace(array_to_string(list_transform(string_split({escaped}, chr(10)), lambda l: case when trim(l) = '' then '' else {_MARKED} end), chr(10)), chr(10), '')))"
-    return f"""with l as (select doc_id, count(distinct rule_id) leaks from ({oracle._disclosure_rows()}) group by 1),
+    return f"""with l as (select doc_id, count(distinct rule_id) leaks from ({oracle._disclosure_rows(None)}) group by 1),
 p as (select doc_id, text, coalesce(leaks, 0) leaks, coalesce(ceil({signs} / (34 * 37.0)), 1) pages from documents left join l using (doc_id)),
 n as (select doc_id, (leaks + (text is not null)::int + (pages > 125)::int)::int reject, (2 + (pages > 100 and pages <= 125)::int)::int warn from p)
 select doc_id::varchar doc_id, case when reject > 0 then 'REJECT' else 'WARN' end verdict, greatest(0, 100 - least(15 * reject, 60) - least(3 * warn, 30))::double score, {total} rule_count, {total} checked, 0 skipped, reject, warn, 0 info, reject + warn rules_triggered from n"""

@@ -209,6 +209,42 @@ def test_places_of_many_matches(spark):
         assert [None if g is None else [tuple(m) for m in g] for g in got] == want
 
 
+def test_contexts_of_many_matches(spark):
+    from procurelake.functions.text import around, matches, surrounded
+
+    texts = ["", "x", None, "12", "12ab3", "é1" * 63, "1a" * 65 + "zz", "ab12\n𠀀 " * 3000, "x" * 50 + "7" + "y" * 50 + "8é9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for reach in (1, 4, 25):
+        near = F.transform(matches(F.col("t"), "[0-9]+", 1 << 20), lambda m: F.struct(m["match"].alias("match"), around(F.col("t"), m["off"], F.length(m["match"]), reach).alias("context")))  # noqa: B023
+        for got in rows.select(surrounded(F.col("t"), "[0-9]+", reach), near).collect():
+            assert got[0] == got[1]
+        got = [r[0] for r in rows.select(surrounded(F.col("t"), "[0-9]+", reach)).collect()]
+        want = [None if t is None else [(m[0], t[max(m.start() - reach, 0) : m.end() + reach]) for m in re.finditer("[0-9]+", t)] for t in texts]
+        assert [None if g is None else [tuple(m) for m in g] for g in got] == want
+
+
+def test_leaks_behind_many_matches(spark, tmp_path):
+    """A text rule looks at every match: a leak after hundreds of excused ones is found, by ``docx_audit`` and its SQL too."""
+    import duckdb
+
+    from procurelake.queries import ORACLE_SQL, QUERIES
+
+    excused, rest = "招标人为某某建设有限公司。", "x" * 40
+    texts = [excused * 700, excused * 700 + rest + "丙丁建设有限公司", excused * 300 + rest + "丙丁建设有限公司", "13900001111 " * 700, None]
+    given = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = rules.validate(given.select("doc_id", "text"), date(2025, 1, 1), industry="工程")[0]
+    assert sorted((r.doc_id, r.rule_id, r.n) for r in found.collect()) == [(1, "LEAK.COMPANY_NAME", 1), (2, "LEAK.COMPANY_NAME", 1), (3, "LEAK.MOBILE", 700)]
+    first = rules.validate(given.select("doc_id", "text"), date(2025, 1, 1), industry="工程", text_most=500)[0]
+    assert sorted((r.doc_id, r.n) for r in first.collect()) == [(2, 1), (3, 500)]
+    given.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["docx_audit"](spark, str(tmp_path))
+    want = duckdb.connect()
+    want.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    told = want.sql(ORACLE_SQL["docx_audit"])
+    assert sorted(tuple(r) for r in got.select(*told.columns).collect()) == sorted(told.fetchall())
+    assert {r.doc_id: r.reject for r in got.collect()} == {"0": 1, "1": 2, "2": 2, "3": 2, "4": 0}
+
+
 def test_simhash_carries_columns(spark):
     rows = [(1, "abc", "p"), (1, "xyz and more", None), (None, None, "q"), (2, "", "q")]
     got = collusion.simhash(spark.createDataFrame(rows, "doc_id int, text string, letters string"), keep=("letters",))
